@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from holdfast import rules
 from holdfast.functions.choice import first_match
 
-WORD = r"[\p{L}\p{N}]+"
+NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def whole_word(word: str) -> str:
@@ -34,13 +34,21 @@ def topic_label(text: Column, patterns: Mapping[str, Sequence[str]] = rules.TOPI
     return F.when(best["hits"] > 0, best["label"])
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(WORD))
+def spaced_words(text: Column) -> Column:
+    """The words of a text in lower case, each with a blank of its own on either side."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), NOT_WORD, "  ")), F.lit(" "))
 
 
-def term_count(text: Column, term: str) -> Column:
-    """Occurrences of a lower-case word as a whole word."""
-    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}]){term}(?![\p{{L}}\p{{N}}])"))
+def word_count(spaced: Column) -> Column:
+    """Number of words in ``spaced_words``."""
+    blanks = F.char_length(spaced) - F.char_length(F.replace(spaced, F.lit(" "), F.lit("")))
+    return F.when(F.trim(spaced) == "", 0).otherwise((blanks / 2).cast("long"))
+
+
+def term_count(spaced: Column, term: str) -> Column:
+    """Occurrences of a lower-case word in ``spaced_words``."""
+    without = F.replace(spaced, F.lit(f" {term} "), F.lit(""))
+    return ((F.char_length(spaced) - F.char_length(without)) / (len(term) + 2)).cast("long")
 
 
 def sections(text: Column) -> Column:

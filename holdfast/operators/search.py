@@ -14,8 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from holdfast import rules
 from holdfast.functions.rates import rows
-from holdfast.functions.text import pieces, sections, term_count, word_count
+from holdfast.functions.text import pieces, sections, spaced_words, term_count, word_count
 from holdfast.operators.ranks import topk_per_key
+from holdfast.session import materialize
 
 # Questions are held by every task. More than this is refused, not cut.
 MAX_QUESTIONS = 4_096
@@ -106,10 +107,12 @@ def keyword_topk(
     Terms are counted inside each row, so no token is ever shuffled; the corpus
     statistics are one row that is broadcast back.
     """
-    counted = notes.select(
-        F.col(note_id).alias("note_id"), word_count(F.col(text)).alias("_words"),
-        *[term_count(F.col(text), term).alias(f"_tf{i}") for i, term in enumerate(terms)],
-    )
+    worded = notes.select(F.col(note_id).alias("note_id"), spaced_words(F.col(text)).alias("_spaced"))
+    # The counts, a few numbers per note, are read twice; the texts are read once.
+    counted = materialize(worded.select(
+        "note_id", word_count(F.col("_spaced")).alias("_words"),
+        *[term_count(F.col("_spaced"), term).alias(f"_tf{i}") for i, term in enumerate(terms)],
+    ), "word_counts")
     corpus = counted.agg(
         rows().alias("_n"), F.sum("_words").alias("_all_words"),
         *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))],
@@ -134,15 +137,22 @@ def hybrid_rrf(vector_hits: DataFrame, text_hits: DataFrame, k: int = 5, offset:
 
     The keyword list does not depend on the question, so it is repeated for each.
     """
-    asked = vector_hits.select("question_id").distinct()
-    by_text = asked.crossJoin(F.broadcast(text_hits.select("note_id", "text_rank")))
-    by_vector = vector_hits.select("question_id", "note_id", "vector_rank")
+    def as_map(rank: str):  # note -> rank; a list has one short leg, so the map is small
+        return F.map_from_entries(F.collect_list(F.struct("note_id", rank)))
 
     def share(rank: str):
         return F.coalesce(1.0 / (F.lit(float(offset)) + F.col(rank)), F.lit(0.0))
 
-    fused = by_vector.join(by_text, ["question_id", "note_id"], "full").withColumn(
-        "rrf_score", F.round(share("vector_rank") + share("text_rank"), 8)
+    by_vector = vector_hits.groupBy("question_id").agg(as_map("vector_rank").alias("_v"))
+    by_text = text_hits.agg(as_map("text_rank").alias("_t"))
+    either = F.explode(F.array_union(F.map_keys("_v"), F.map_keys("_t")))
+    fused = (
+        by_vector.crossJoin(F.broadcast(by_text)).select("question_id", "_v", "_t", either.alias("note_id"))
+        .select(
+            "question_id", "note_id", F.try_element_at("_v", F.col("note_id")).alias("vector_rank"),
+            F.try_element_at("_t", F.col("note_id")).alias("text_rank"),
+        )
+        .withColumn("rrf_score", F.round(share("vector_rank") + share("text_rank"), 8))
     )
     return topk_per_key(fused, ["question_id"], [F.desc("rrf_score"), F.asc("note_id")], k)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from holdfast import rules
 from holdfast.functions.rates import count_true, rows
 from holdfast.operators.ranks import global_position, global_rank, value_table
+from holdfast.session import materialize
 
 SCORE_DOMAIN = 10_001  # scores in [0, 1] rounded to four places
 
@@ -32,6 +33,7 @@ def worklist(scores: DataFrame, cases: DataFrame, actions: DataFrame) -> DataFra
         .join(committed, "case_id", "left")
         .withColumn("needs_action", F.col("_done").isNull())
     )
+    flagged = materialize(flagged.drop("_done"), "worklist")  # ranking reads it again
     return global_rank(flagged, "churn_score", "priority_rank", domain_bound=SCORE_DOMAIN).select(
         "customer_id", "market", "churn_score", "risk_tier", "case_id", "competitor_id", "recommended_offer_id",
         "status", "needs_action", "priority_rank",
@@ -99,14 +101,12 @@ def action_state(events: DataFrame, key: str, kind: str, at: str, sequence: str)
 
 def case_open(scores: DataFrame, agents: DataFrame) -> DataFrame:
     """One new case per critical customer, handed to the agents in turn, highest scores first."""
-    critical = scores.where(F.col("risk_tier") == "Critical")
+    critical = materialize(scores.where(F.col("risk_tier") == "Critical"), "critical")
     placed = global_position(critical, "churn_score", "customer_id", "_place", domain_bound=SCORE_DOMAIN)
-    slots = value_table(agents.select("agent_id"), "agent_id").frame.select(
-        F.col("agent_id").alias("assigned_agent_id"), F.col("_before").alias("_slot")
-    )
-    n_agents = agents.agg(rows().alias("_agents"))
+    numbered = value_table(agents.select("agent_id"), "agent_id")
+    slots = numbered.frame.select(F.col("agent_id").alias("assigned_agent_id"), F.col("_before").alias("_slot"))
     return (
-        placed.crossJoin(F.broadcast(n_agents)).withColumn("_slot", F.pmod("_place", "_agents"))
+        placed.withColumn("_slot", F.pmod("_place", F.lit(max(1, numbered.n_rows))))
         .join(slots, "_slot")
         .select(
             "customer_id", "market", "competitor_id", "assigned_agent_id", F.lit("Open").alias("status"),

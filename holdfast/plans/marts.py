@@ -10,6 +10,7 @@ and falls back to a shuffle join (with skew splitting) for a large one.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from holdfast import rules
@@ -17,6 +18,7 @@ from holdfast.functions.rates import count_true, exact_mean, rate, rows, share_p
 from holdfast.operators.ranks import global_rank
 from holdfast.operators.rolling import fill_days as add_missing_days
 from holdfast.operators.rolling import trailing
+from holdfast.session import materialize
 
 RATE_DOMAIN = 10_001  # distinct values of a rate in [0, 1] rounded to four places
 
@@ -65,7 +67,8 @@ def agent_performance(calls: DataFrame, agents: DataFrame) -> DataFrame:
         rate(count_true(F.col("offer_accepted")), rows()).alias("offer_conversion_rate"),
     )
     profile = agents.select("agent_id", "agent_name", "team", "tier", "nps", "hire_date")
-    known = profile.join(measured, "agent_id")
+    # Ranks and the mean read this table again; the calls behind it are scanned once.
+    known = materialize(profile.join(measured, "agent_id"), "agent_performance")
     ranked = global_rank(known, "save_rate", "save_rate_rank", domain_bound=RATE_DOMAIN)
     team = known.agg(exact_mean(F.col("save_rate"), 4).alias("_mean"))
     return ranked.crossJoin(F.broadcast(team)).select(
@@ -109,10 +112,9 @@ def topic_mix(calls: DataFrame) -> DataFrame:
         F.round(F.avg("handle_time_min"), 1).alias("avg_handle_time_min"),
         rate(count_true(F.col("competitor_mentioned")), rows()).alias("competitor_mention_rate"),
     )
-    total = topics.agg(F.sum("call_volume").alias("_total"))
-    return topics.crossJoin(F.broadcast(total)).select(
-        "*", share_pct(F.col("call_volume"), F.col("_total")).alias("pct_of_calls")
-    ).drop("_total")
+    # One row per topic, a short fixed list, so the total is a window over a handful of rows.
+    total = F.sum("call_volume").over(W.partitionBy())
+    return topics.withColumn("pct_of_calls", share_pct(F.col("call_volume"), total))
 
 
 def daily_counts(calls: DataFrame, disconnect_topics=rules.DISCONNECT_TOPICS) -> DataFrame:

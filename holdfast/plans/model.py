@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from holdfast import rules
 from holdfast.plans.scoring import FEATURES
-from holdfast.session import use_checkpoints
+from holdfast.session import materialize, use_checkpoints
 
 
 def split_by_hash(
@@ -32,6 +32,7 @@ def train_churn(flagged: DataFrame, key: str = "customer_id", **settings) -> tup
     """Boosted trees on the churn features; returns the model and a one-row report with the hold-out AUC."""
     spark = flagged.sparkSession
     use_checkpoints(spark)
+    flagged = materialize(flagged.select(key, "label", *FEATURES), "training")
     chosen = {**rules.TREE_SETTINGS, **settings}
     train, held_out = split_by_hash(flagged, key, "label")
     trees = GBTClassifier(

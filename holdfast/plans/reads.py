@@ -68,11 +68,11 @@ def competitor_share(calls: DataFrame, competitors: DataFrame) -> DataFrame:
 
 
 def competitor_share_pct(calls: DataFrame, competitors: DataFrame) -> DataFrame:
-    share = competitor_share(calls, competitors)
-    total = share.agg(F.sum("mention_count").alias("_total"))
-    return share.crossJoin(F.broadcast(total)).select(
+    # One row per competitor, so the total is a window over a handful of rows.
+    total = F.sum("mention_count").over(W.partitionBy())
+    return competitor_share(calls, competitors).select(
         "competitor_name", F.col("mention_count").alias("mentions"),
-        share_pct(F.col("mention_count"), F.col("_total")).alias("pct"),
+        share_pct(F.col("mention_count"), total).alias("pct"),
     ).orderBy(F.desc("mentions"), "competitor_name")
 
 
@@ -113,7 +113,9 @@ def best_rate_per_offer(offer_results: DataFrame) -> DataFrame:
 
 def competitor_cards(competitors: DataFrame, offer_results: DataFrame) -> DataFrame:
     """Facts of each competitor with its counter-offer and the best rate that offer reached."""
-    counter = best_rate_per_offer(offer_results).select(
+    # Catalyst moves this semi join below the aggregation of the calls: only counter-offers are counted.
+    wanted = competitors.select(F.col("best_counter_offer_id").alias("offer_id")).distinct()
+    counter = best_rate_per_offer(offer_results.join(wanted, "offer_id", "left_semi")).select(
         F.col("offer_id").alias("best_counter_offer_id"), F.col("offer_name").alias("counter_offer_name"),
         F.col("save_rate").alias("counter_save_rate"), F.col("price").alias("counter_price"),
         F.col("monthly_cost").alias("counter_monthly_cost"), F.col("best_for").alias("counter_best_for"),

@@ -11,6 +11,7 @@ from holdfast import rules
 from holdfast.functions.choice import first_match, lookup
 from holdfast.functions.rates import count_true, rows
 from holdfast.operators.ranks import rank_pct
+from holdfast.session import materialize
 
 FEATURES = [
     "tenure_months", "monthly_spend", "n_calls", "n_competitor_calls", "ever_competitor", "n_events",
@@ -26,10 +27,35 @@ def churn_features(
     Both histories are aggregated to one row per customer before they are joined,
     so a customer with very many calls never meets the join as more than one row.
     """
-    call_history = calls.groupBy("customer_id").agg(
-        rows().alias("n_calls"),
-        count_true(F.col("competitor_mentioned")).alias("n_competitor_calls"),
-    )
+    return _profiles(customers, customer_history(calls), service_events, quality_events).drop("competitor_id")
+
+
+def scoring_frame(
+    customers: DataFrame, calls: DataFrame, service_events: DataFrame, quality_events=rules.QUALITY_EVENTS,
+    **flag_names: str,
+) -> DataFrame:
+    """Features, flags and the dominant competitor of every customer from a single pass over the calls."""
+    profiles = _profiles(customers, customer_history(calls), service_events, quality_events)
+    return churn_feature_flags(profiles, **flag_names)
+
+
+def customer_history(calls: DataFrame) -> DataFrame:
+    """Calls, competitor calls and dominant competitor per customer.
+
+    Counted per (customer, competitor) first; the second step sees one row per
+    competitor of a customer, whatever the number of calls.
+    """
+    mentioned = F.coalesce("competitor_mentioned", F.lit(False))
+    counted = calls.groupBy("customer_id", "competitor_id", mentioned.alias("_mentioned")).agg(rows().alias("_n"))
+    best = F.min(F.when(F.col("_mentioned"), F.struct((-F.col("_n")).alias("rank"), F.col("competitor_id"))))
+    return counted.groupBy("customer_id").agg(
+        F.sum("_n").alias("n_calls"),
+        F.sum(F.when(F.col("_mentioned"), F.col("_n")).otherwise(0)).alias("n_competitor_calls"),
+        best.alias("_best"),
+    ).withColumn("competitor_id", F.col("_best.competitor_id")).drop("_best")
+
+
+def _profiles(customers: DataFrame, call_history: DataFrame, service_events: DataFrame, quality_events) -> DataFrame:
     service_history = service_events.groupBy("customer_id").agg(
         rows().alias("n_events"),
         count_true(F.col("event_type").isin(*quality_events)).alias("n_quality_events"),
@@ -47,7 +73,7 @@ def churn_features(
             count_or_zero("n_calls"), count_or_zero("n_competitor_calls"),
             F.when(F.col("n_competitor_calls") > 0, 1).otherwise(0).alias("ever_competitor"),
             count_or_zero("n_events"), count_or_zero("n_quality_events"),
-            F.when(F.col("status") == "Churned", 1).otherwise(0).alias("label"),
+            F.when(F.col("status") == "Churned", 1).otherwise(0).alias("label"), "competitor_id",
         )
     )
 
@@ -102,18 +128,8 @@ def risk_tier(score: Column) -> Column:
 
 
 def dominant_competitor(calls: DataFrame) -> DataFrame:
-    """The competitor a customer mentions most; ties go to the lowest competitor id.
-
-    Counted per (customer, competitor) first, so the second step sees at most one
-    row per competitor of a customer.
-    """
-    counted = calls.where(F.col("competitor_mentioned")).groupBy("customer_id", "competitor_id").agg(
-        rows().alias("_n")
-    )
-    best = F.min(F.struct((-F.col("_n")).alias("rank"), F.col("competitor_id")))
-    return counted.groupBy("customer_id").agg(best.alias("_best")).select(
-        "customer_id", F.col("_best.competitor_id").alias("competitor_id")
-    )
+    """The competitor a customer mentions most; ties go to the lowest competitor id."""
+    return customer_history(calls.where(F.col("competitor_mentioned"))).select("customer_id", "competitor_id")
 
 
 def next_best_offer(
@@ -142,16 +158,16 @@ def topic_offer(
 
 
 def churn_scores(
-    scored: DataFrame, calls: DataFrame, critical_share: float = rules.CRITICAL_SHARE,
+    scored: DataFrame, critical_share: float = rules.CRITICAL_SHARE,
     domain_bound: int | None = None, active_only: bool = False, **offer_rules,
 ) -> DataFrame:
     """The published score table, one row per customer.
 
-    ``scored`` holds the feature flags and a ``raw_score``.  Customers who already
-    left are ranked with the rest; ``active_only`` takes them out of the result.
+    ``scored`` is a scoring frame with a ``raw_score``.  It is written down first, since
+    ranking reads it again.  Customers who already left are ranked with the rest;
+    ``active_only`` takes them out of the result.
     """
-    ranked = calibrate_scores(scored, "raw_score", critical_share, domain_bound)
-    result = ranked.join(dominant_competitor(calls), "customer_id", "left")
+    result = calibrate_scores(materialize(scored, "scored"), "raw_score", critical_share, domain_bound)
     if active_only:
         result = result.where(F.col("label") == 0)
     return result.select(

@@ -25,6 +25,13 @@ def flagged(spark, sf) -> DataFrame:
     return scoring.churn_feature_flags(features(spark, sf), internet_only=star.INTERNET_ONLY_PLAN)
 
 
+def frame(spark, sf) -> DataFrame:
+    return scoring.scoring_frame(
+        star.customers(spark, sf, with_churn_date=False), star.calls(spark, sf), star.service_events(spark, sf),
+        star.QUALITY_EVENTS, internet_only=star.INTERNET_ONLY_PLAN,
+    )
+
+
 def calibrated(spark, sf) -> DataFrame:
     return scoring.calibrate_scores(star.raw_scores(spark, sf)).select(
         "customer_id", "market", "churn_score", "raw_score"
@@ -37,13 +44,12 @@ def tiered(spark, sf) -> DataFrame:
 
 def scores(spark, sf) -> DataFrame:
     """The score table, with the exact stand-in for the model's probability."""
-    scored = flagged(spark, sf).withColumn("raw_score", -F.col("monthly_spend"))
-    return scoring.churn_scores(scored, star.calls(spark, sf), **star.OFFER_RULES)
+    scored = frame(spark, sf).withColumn("raw_score", -F.col("monthly_spend"))
+    return scoring.churn_scores(scored, **star.OFFER_RULES)
 
 
 def _next_best_offer(spark, sf):
-    known = flagged(spark, sf).join(scoring.dominant_competitor(star.calls(spark, sf)), "customer_id", "left")
-    return known.select(
+    return frame(spark, sf).select(
         "customer_id", "competitor_id",
         scoring.next_best_offer(F.col("competitor_id"), **star.OFFER_RULES).alias("recommended_offer_id"),
     )
@@ -72,8 +78,8 @@ def _score_customers(spark, sf):
 
 
 def _model_scores(spark, sf):
-    scored = model.score_customers(_trained(spark, sf)[0], flagged(spark, sf))
-    return scoring.churn_scores(scored, star.calls(spark, sf), **star.OFFER_RULES)
+    scored = model.score_customers(_trained(spark, sf)[0], frame(spark, sf))
+    return scoring.churn_scores(scored, **star.OFFER_RULES)
 
 
 QUERIES = {

@@ -9,6 +9,7 @@ from holdfast.functions.text import whole_word
 from holdfast.operators import conversation, notes, search
 from holdfast.plans import model
 from holdfast.registry.sql import count_if, rate
+from holdfast.session import spread_small
 from holdfast.sources import star_tables as star
 
 # The documents are invented prose, so the patterns are syllables that occur in it.
@@ -24,7 +25,7 @@ CHUNK = 1_200
 
 
 def _documents(spark, sf):
-    return star.table(spark, sf, "documents")
+    return spread_small(star.table(spark, sf, "documents"))
 
 
 def _note_sentiment(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that results or skew handling depend on.
 RUNTIME_SETTINGS = {
@@ -59,6 +59,33 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Evaluate a plan once into the shared scratch folder and return the written table.
+
+    For results that later steps read more than once: without it, every reader would run
+    the whole plan again.  The table survives the loss of executors.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan, from file sizes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread_small(df: DataFrame, limit: int = 1 << 30) -> DataFrame:
+    """Exchange a small table over all cores before costly work per row.
+
+    A file with one row group is read by one task however many cores there are.  Tables
+    above the limit have enough row groups and are left where they are.
+    """
+    if estimated_bytes(df) > limit:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` and iterative ML cut lineage in the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -18,9 +18,11 @@ def parse_evolving(lines: DataFrame, schema: T.StructType, value: str = "value",
     """
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     record = F.from_json(F.col(value), with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    everything = F.from_json(F.col(value), T.MapType(T.StringType(), T.StringType()))
     known = F.array(*[F.lit(name) for name in schema.fieldNames()])
-    extra = F.map_filter(everything, lambda name, _: ~F.array_contains(known, name))
+    # The names are cheap to list; the line is parsed a second time only when one of them is new.
+    unknown = F.size(F.array_except(F.json_object_keys(F.col(value)), known)) > 0
+    everything = F.from_json(F.col(value), T.MapType(T.StringType(), T.StringType()))
+    extra = F.when(unknown, F.map_filter(everything, lambda name, _: ~F.array_contains(known, name)))
     return lines.select(record.alias("_r"), _none_if_empty(extra).alias("_extra"), *(keep or [])).select(
         "_r.*", "_extra", *(keep or [])
     )

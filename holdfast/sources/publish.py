@@ -13,11 +13,11 @@ from holdfast.functions.rates import count_true, rows
 
 def publish_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Replace a table and return it as read back."""
-    writer = df.write.mode("overwrite")
     if partition_by:
-        # One writer per partition value would be a hot spot; rows stay where they are.
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        # Few files per partition value, while a value with very many rows is split among writers.
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -35,9 +35,13 @@ def ingest_stream(
         .trigger(availableNow=True).start(table)
     )
     run.awaitTermination()
-    return read_bronze(spark, table)
+    return read_bronze(spark, table, parsed.schema)
 
 
-def read_bronze(spark: SparkSession, table: str) -> DataFrame:
-    """A bronze table whose files may come from several schema versions."""
-    return spark.read.option("mergeSchema", "true").parquet(table)
+def read_bronze(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    """A bronze table in the current schema.
+
+    Files of older schema versions give NULL for newer columns, and no file footers
+    have to be read to find that out.
+    """
+    return spark.read.schema(schema).parquet(table)
