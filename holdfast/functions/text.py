@@ -14,8 +14,11 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def whole_word(word: str) -> str:
-    """Pattern for a word that no letter or digit of any alphabet touches."""
-    return rf"(^|[^\p{{L}}\p{{N}}]){word}([^\p{{L}}\p{{N}}]|$)"
+    """Pattern for a word that no letter or digit of any alphabet touches.
+
+    The word comes first, so that a text is scanned for it and only hits look around.
+    """
+    return rf"{word}(?![\p{{L}}\p{{N}}])(?<![\p{{L}}\p{{N}}]{word})"
 
 
 def note_sentiment(text: Column, patterns: Mapping[str, str] = rules.SENTIMENT_PATTERNS,

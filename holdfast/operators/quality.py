@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast import rules
 from holdfast.functions.rates import count_true, exact_mean, ratio, rows
 
 
@@ -63,6 +64,38 @@ class Constraints:
     foreign_keys: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)
 
 
+def operational_constraints(tables: dict[str, DataFrame]) -> list[Constraints]:
+    """The promises of the operational tables, for those that are given."""
+    agents, cases = tables.get("agents"), tables.get("retention_cases")
+
+    def refers(**parents: tuple[DataFrame | None, str]) -> dict[str, tuple[DataFrame, str]]:
+        return {name: (frame, key) for name, (frame, key) in parents.items() if frame is not None}
+
+    to_case = (cases, "case_id")
+    known = {
+        "agents": dict(primary_key=["agent_id"], not_null=["agent_id", "agent_name"]),
+        "retention_cases": dict(
+            primary_key=["case_id"], not_null=["case_id", "customer_id", "status", "priority", "opened_at"],
+            domains={"status": rules.CASE_STATUSES, "priority": rules.CASE_PRIORITIES},
+            checks={"closed_at >= opened_at": F.col("closed_at") >= F.col("opened_at")},
+            foreign_keys=refers(assigned_agent_id=(agents, "agent_id")),
+        ),
+        "case_notes": dict(
+            primary_key=["note_id"], not_null=["note_id", "case_id", "note_text"],
+            foreign_keys=refers(case_id=to_case, agent_id=(agents, "agent_id")),
+        ),
+        "offers_presented": dict(
+            primary_key=["offer_presentation_id"], not_null=["case_id", "offer_id"], foreign_keys=refers(case_id=to_case),
+        ),
+        "retention_actions": dict(
+            primary_key=["action_id"], not_null=["customer_id", "action_type", "approval_status"],
+            domains={"approval_status": rules.APPROVAL_STATUSES}, foreign_keys=refers(case_id=to_case),
+        ),
+        "workflow_events": dict(primary_key=["event_id"], not_null=["event_type"]),
+    }
+    return [Constraints(name, frame, **known[name]) for name, frame in tables.items()]
+
+
 def constraint_violations(tables: list[Constraints]) -> DataFrame:
     """One row per rule with the number of violating rows (key groups for primary keys)."""
     return reduce(DataFrame.unionByName, [part for table in tables for part in _violations(table)])

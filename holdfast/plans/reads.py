@@ -113,14 +113,17 @@ def best_rate_per_offer(offer_results: DataFrame) -> DataFrame:
 
 def competitor_cards(competitors: DataFrame, offer_results: DataFrame) -> DataFrame:
     """Facts of each competitor with its counter-offer and the best rate that offer reached."""
-    # Catalyst moves this semi join below the aggregation of the calls: only counter-offers are counted.
+    # Only counter-offers are ranked and named.
     wanted = competitors.select(F.col("best_counter_offer_id").alias("offer_id")).distinct()
     counter = best_rate_per_offer(offer_results.join(wanted, "offer_id", "left_semi")).select(
         F.col("offer_id").alias("best_counter_offer_id"), F.col("offer_name").alias("counter_offer_name"),
         F.col("save_rate").alias("counter_save_rate"), F.col("price").alias("counter_price"),
         F.col("monthly_cost").alias("counter_monthly_cost"), F.col("best_for").alias("counter_best_for"),
     )
-    return competitors.join(counter, "best_counter_offer_id", "left")
+    cards = competitors.join(counter, "best_counter_offer_id", "left")
+    if "weaknesses" in cards.columns:  # a comma-separated text in the landed source
+        cards = cards.withColumn("weaknesses", F.split("weaknesses", r",\s+"))
+    return cards
 
 
 # --- agents ---------------------------------------------------------------------------

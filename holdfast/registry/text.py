@@ -14,12 +14,9 @@ from holdfast.sources import star_tables as star
 
 # The documents are invented prose, so the patterns are syllables that occur in it.
 SENTIMENT = {"negative": "rewh|thand", "at_risk": "ention|eux"}
-TOPICS = {
-    "Articles": tuple(whole_word(w) for w in ("the", "der", "le")),
-    "Joiners": tuple(whole_word(w) for w in ("and", "und", "et")),
-    "Places": tuple(whole_word(w) for w in ("from", "von", "sur", "zu")),
-    "Endings": ("tion", "ment", "lich"),
-}
+TOPIC_WORDS = {"Articles": ("the", "der", "le"), "Joiners": ("and", "und", "et"), "Places": ("from", "von", "sur", "zu")}
+TOPIC_ENDINGS = {"Endings": ("tion", "ment", "lich")}
+TOPICS = {label: tuple(whole_word(w) for w in words) for label, words in TOPIC_WORDS.items()} | TOPIC_ENDINGS
 TERMS = ("rewh", "eau", "den", "by")
 CHUNK = 1_200
 
@@ -138,9 +135,10 @@ _SENTIMENT_SQL = f"""CASE WHEN regexp_matches(text, '(?i)({SENTIMENT["negative"]
 
 
 def _topic_sql() -> str:
+    alone = {label: [f"(^|[^\\p{{L}}\\p{{N}}]){w}([^\\p{{L}}\\p{{N}}]|$)" for w in words] for label, words in TOPIC_WORDS.items()}
     hits = {
         label: " + ".join(f"CAST(regexp_matches(text, '(?i){p}') AS INTEGER)" for p in patterns)
-        for label, patterns in TOPICS.items()
+        for label, patterns in (alone | TOPIC_ENDINGS).items()
     }
     best = f"GREATEST({', '.join(hits.values())})"
     cases = " ".join(f"WHEN ({n}) = {best} THEN '{label}'" for label, n in hits.items())
