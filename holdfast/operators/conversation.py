@@ -9,7 +9,7 @@ from holdfast import rules, schemas
 from holdfast.operators.ranks import topk_per_key
 
 ROUTING_MARKER = r"(?s)^\s*<name>.*</name>\s*$"
-WHITESPACE_ENDS = r"^\s+|\s+$"
+WHITESPACE_ENDS = r"(?U)^\s+|\s+$"
 
 
 def final_answer(payload: Column) -> Column:

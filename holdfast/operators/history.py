@@ -11,6 +11,8 @@ from holdfast.functions.rates import rows
 
 # Changes of one key that a single task sorts without trouble.
 MAX_CHANGES_PER_TASK = 5_000_000
+MAX_SLICES = 1_024
+BROADCAST_ROWS = 400_000
 
 
 def dedupe_latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -57,13 +59,13 @@ def scd2_history(
     than ``max_changes`` changes is cut into slices of the sequence; only the first
     change of each slice is handed from slice to slice.
     """
-    hot = _hot_keys(feed, key, max_changes)
-    nxt = [F.col(at).alias("at")]
-    if not hot:
-        following = F.lead(F.struct(*nxt)).over(W.partitionBy(key).orderBy(sequence))
+    heavy = feed.groupBy(key).agg(rows().alias("_n")).where(F.col("_n") > max_changes)
+    n_hot, n_hot_rows = heavy.agg(rows(), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if n_hot == 0:
+        following = F.lead(F.struct(F.col(at).alias("at"))).over(W.partitionBy(key).orderBy(sequence))
         chained = feed.withColumn("_next", following)
     else:
-        chained = _chain_sliced(feed, key, sequence, at, hot, max_changes)
+        chained = _chain_sliced(feed, key, sequence, at, heavy, n_hot, -(-n_hot_rows // max_changes))
     return (
         chained.where(~F.col(change_type).eqNullSafe(F.lit("delete")))
         .select(
@@ -73,41 +75,45 @@ def scd2_history(
     )
 
 
-def _hot_keys(df: DataFrame, key: str, limit: int) -> list[tuple]:
-    """Keys with more rows than one task should hold, with their row counts: at most rows / limit of them."""
-    heavy = df.groupBy(key).agg(rows().alias("_n")).where(F.col("_n") > limit)
-    return [(r[0], r[1]) for r in heavy.collect()]
-
-
-def _chain_sliced(feed: DataFrame, key: str, sequence: str, at: str, hot: list[tuple], limit: int) -> DataFrame:
-    keys = [k for k, _ in hot if k is not None]
-    is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
-    if any(k is None for k, _ in hot):
-        is_hot = is_hot | F.col(key).isNull()
-    # Bounds from all hot rows. They are balanced for one dominant key, which is what matters;
+def _chain_sliced(
+    feed: DataFrame, key: str, sequence: str, at: str, heavy: DataFrame, n_hot: int, wanted_slices: int
+) -> DataFrame:
+    n_slices = min(MAX_SLICES, max(2, wanted_slices))
+    # At most (rows of the feed / max_changes) keys are heavy.
+    hot = _small_side(heavy.select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot")), n_hot)
+    marked = feed.join(hot, feed[key].eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key").withColumn(
+        "_hot", F.coalesce("_hot", F.lit(False))
+    )
+    # Bounds over all hot rows. They are balanced for one dominant key, which is what matters;
     # any bounds give the same history.
-    n_slices = min(1_024, max(2, -(-sum(n for _, n in hot) // limit)))
     steps = [i / n_slices for i in range(1, n_slices)]
-    bounds = sorted(set(
-        feed.where(is_hot).select(F.col(sequence).cast("double").alias("_s")).approxQuantile("_s", steps, 0.1 / n_slices)
-    ))
-    slot = slice_of(F.col(sequence).cast("double"), bounds)
-    sliced = feed.withColumn("_slice", F.when(is_hot, slot).otherwise(F.lit(0)))
-    # First change of each slice of the hot keys: at most len(hot) * n_slices rows.
-    first = sliced.where(is_hot).groupBy(key, "_slice").agg(F.min(F.struct(sequence, F.col(at).alias("at"))).alias("_f"))
+    hot_rows = marked.where("_hot")
+    in_order = hot_rows.select(F.col(sequence).cast("double").alias("_s"))
+    bounds = sorted(set(in_order.approxQuantile("_s", steps, 0.1 / n_slices)))
+    slot = F.when(F.col("_hot"), slice_of(F.col(sequence).cast("double"), bounds)).otherwise(F.lit(0))
+    sliced = marked.withColumn("_slice", slot)
+    # First change of each slice of the hot keys: at most n_hot * n_slices rows.
+    change = F.struct(sequence, F.col(at).alias("at"))
+    first = sliced.where("_hot").groupBy(key, "_slice").agg(F.min(change).alias("_first"))
+    by_slice = W.partitionBy(key).orderBy("_slice")
     handed = first.select(
         F.col(key).alias("_key"), F.col("_slice").alias("_key_slice"),
-        F.lead(F.struct(F.col("_f.at").alias("at"))).over(W.partitionBy(key).orderBy("_slice")).alias("_handed"),
+        F.lead(F.struct(F.col("_first.at").alias("at"))).over(by_slice).alias("_handed"),
     )
     inside = F.lead(F.struct(F.col(at).alias("at"))).over(W.partitionBy(key, "_slice").orderBy(sequence))
     on = sliced[key].eqNullSafe(handed["_key"]) & (sliced["_slice"] == handed["_key_slice"])
     return (
-        sliced.withColumn("_inside", inside).join(F.broadcast(handed) if len(hot) * n_slices <= 400_000 else handed, on, "left")
+        sliced.withColumn("_inside", inside).join(_small_side(handed, n_hot * n_slices), on, "left")
         .withColumn("_next", F.coalesce("_inside", "_handed"))
-        .drop("_inside", "_handed", "_key", "_key_slice", "_slice")
+        .drop("_inside", "_handed", "_key", "_key_slice", "_slice", "_hot")
     )
 
 
+def _small_side(df: DataFrame, most_rows: int) -> DataFrame:
+    """Broadcast a side whose row count is known to be small; otherwise leave the join to Spark."""
+    return F.broadcast(df) if most_rows <= BROADCAST_ROWS else df
+
+
 def current_rows(history: DataFrame) -> DataFrame:
     return history.where(F.col("is_current")).drop("valid_to", "is_current")
 

@@ -127,7 +127,7 @@ def rank_pct(df: DataFrame, column: str, out: str = "pct", domain_bound: int | N
         total = F.sum("_ties").over(W.partitionBy())
         table.frame = table.frame.withColumn("_total", total)
     else:
-        table.frame = table.frame.withColumn("_total", F.lit(table.n_rows))
+        table.frame = table.frame.withColumn("_total", F.lit(max(1, table.n_rows)))
     mean_rank = F.col("_before") + (F.col("_ties") + 1) / 2
     return table.attach(df).withColumn(out, mean_rank / F.col("_total")).drop("_ties", "_before", "_total")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ from holdfast.functions.text import pieces, sections, spaced_words, term_count,
 from holdfast.operators.ranks import topk_per_key
 from holdfast.session import materialize
 
+# The helpers below travel inside the task's closure, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Questions are held by every task. More than this is refused, not cut.
 MAX_QUESTIONS = 4_096
 DISTANCE_PLACES = 6

@@ -152,13 +152,10 @@ def agents_need_coaching(agents: DataFrame, tiers=rules.COACHING_TIERS, n: int =
 
 def tier_rollup(agents: DataFrame, tiers=rules.AGENT_TIERS) -> DataFrame:
     """Plain means over the agents of a tier (an agent counts once, whatever the number of calls)."""
-    def mean(column: str, places: int) -> Column:
-        return F.round(exact_mean(F.col(column), places), 6)
-
     position = order_in(F.col("tier"), tiers, rules.UNKNOWN_TIER_ORDER)
     return agents.groupBy("tier").agg(
-        rows().alias("agents"), mean("save_rate", 4).alias("avg_save_rate"),
-        mean("avg_handle_time_min", 1).alias("avg_handle_time"), mean("nps", 1).alias("avg_nps"),
+        rows().alias("agents"), exact_mean(F.col("save_rate"), 4).alias("avg_save_rate"),
+        exact_mean(F.col("avg_handle_time_min"), 1).alias("avg_handle_time"), exact_mean(F.col("nps"), 1).alias("avg_nps"),
     ).withColumn("tier_order", position).orderBy("tier_order", "tier")
 
 

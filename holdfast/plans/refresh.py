@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast import schemas
+from holdfast import rules, schemas
 from holdfast.functions.rates import rows
-from holdfast.plans import marts
-from holdfast.sources.publish import publish_table
-from holdfast.streaming.ingest import ingest_stream
+from holdfast.plans import marts, model, scoring
+from holdfast.session import materialize
+from holdfast.sources.publish import publish_snapshot, publish_table
+from holdfast.streaming.ingest import ingest_stream, read_bronze
 
 
 @dataclass
@@ -29,6 +30,9 @@ class Store:
     def checkpoint(self, source: str) -> str:
         return f"{self.root}/checkpoints/{source}"
 
+    def snapshots(self, name: str) -> str:
+        return f"{self.root}/snapshots/{name}"
+
     def mart(self, name: str, version: str) -> str:
         return f"{self.root}/marts/{version}/{name}"
 
@@ -55,6 +59,26 @@ def refresh_marts(spark: SparkSession, store: Store, version: str, **kpi_setting
     return {name: publish_table(plan, store.mart(name, version)) for name, plan in plans.items()}
 
 
+def refresh_scores(
+    spark: SparkSession, store: Store, version: str, critical_share: float = rules.CRITICAL_SHARE, **tree_settings
+) -> tuple[DataFrame, DataFrame, str]:
+    """Train on the ingested tables, score every customer, publish the score table and its keyed snapshot.
+
+    Returns the table, the training report and the snapshot's folder.  The feature table is
+    written once; training, scoring and ranking read that.
+    """
+    def bronze(name: str) -> DataFrame:
+        return read_bronze(spark, store.bronze(name), schemas.SOURCES[name])
+
+    frame = materialize(
+        scoring.scoring_frame(bronze("customer_profiles"), bronze("call_interactions"), bronze("service_events")), "features"
+    )
+    trained, report = model.train_churn(frame, **tree_settings)
+    scores = scoring.churn_scores(model.score_customers(trained, frame), critical_share)
+    table = publish_table(scores, store.mart("churn_scores", version))
+    return table, report, publish_snapshot(table, store.snapshots("churn_scores"), "customer_id", version)
+
+
 def mart_sizes(tables: dict[str, DataFrame]) -> DataFrame:
     """Row count of each mart."""
     counted = [frame.agg(rows().alias("n_rows")).select(F.lit(name).alias("mart"), "n_rows") for name, frame in tables.items()]

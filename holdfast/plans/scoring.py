@@ -81,16 +81,16 @@ def _profiles(customers: DataFrame, call_history: DataFrame, service_events: Dat
 def churn_feature_flags(
     features: DataFrame, month_to_month: str = "Month-to-Month", internet_only: str = "Internet Only"
 ) -> DataFrame:
-    """Add the five binary model inputs."""
+    """Add the five binary model inputs; an unknown mobile line or autopay counts as none."""
     def flag(condition: Column) -> Column:
         return F.when(condition, 1).otherwise(0)
 
     return features.withColumns({
         "is_month_to_month": flag(F.col("contract_type") == month_to_month),
         "is_internet_only": flag(F.col("plan_type") == internet_only),
-        "no_mobile": flag(~F.col("has_mobile")),
+        "no_mobile": flag(~F.coalesce("has_mobile", F.lit(False))),
         "low_tenure": flag(F.col("tenure_months") < 12),
-        "no_autopay": flag(~F.col("autopay_enrolled")),
+        "no_autopay": flag(~F.coalesce("autopay_enrolled", F.lit(False))),
     })
 
 
@@ -108,7 +108,8 @@ def calibrated(pct: Column, critical_share: float = rules.CRITICAL_SHARE) -> Col
         score = F.when(pct >= threshold, F.lit(cutoff) + position * position * span).otherwise(
             F.lit(floor) + pct / threshold * (cutoff - floor)
         )
-    return F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), score)), 4)
+    clipped = F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), score)), 4)
+    return F.when(pct.isNotNull(), clipped)  # GREATEST and LEAST would pass over a NULL
 
 
 def calibrate_scores(
@@ -122,9 +123,8 @@ def calibrate_scores(
 
 def risk_tier(score: Column) -> Column:
     """Tier of a rounded score."""
-    return first_match(
-        [(score >= cutoff, F.lit(tier)) for tier, cutoff in rules.TIER_CUTOFFS], F.lit(rules.LOWEST_TIER)
-    )
+    tiers = [(score >= cutoff, F.lit(tier)) for tier, cutoff in rules.TIER_CUTOFFS]
+    return first_match(tiers, F.when(score.isNotNull(), F.lit(rules.LOWEST_TIER)))
 
 
 def dominant_competitor(calls: DataFrame) -> DataFrame:

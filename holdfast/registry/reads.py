@@ -38,7 +38,7 @@ QUERIES = {
 
 
 def _mean(column: str, places: int) -> str:
-    return half_up(f"(CAST(SUM(CAST({column} AS DECIMAL(18, {places}))) AS DOUBLE) / COUNT(*))", 6)
+    return f"CAST(SUM(CAST({column} AS DECIMAL(18, {places}))) AS DOUBLE) / COUNT(*)"
 
 
 _BEST = """SELECT * FROM offer_effectiveness

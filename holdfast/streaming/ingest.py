@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.sources.evolve import parse_evolving
+from holdfast.sources.evolve import CORRUPT, parse_evolving
+
+METADATA = [T.StructField("_source_file", T.StringType()), T.StructField("_ingested_at", T.TimestampType())]
+
+
+def bronze_schema(source: T.StructType) -> T.StructType:
+    """Columns of a bronze table: the declared ones, what could not be placed, and the metadata."""
+    text = T.StringType()
+    return T.StructType([
+        *source.fields, T.StructField(CORRUPT, text), T.StructField("_extra", T.MapType(text, text)), *METADATA,
+    ])
 
 
 def ingest_metadata(df: DataFrame) -> DataFrame:
@@ -35,13 +45,13 @@ def ingest_stream(
         .trigger(availableNow=True).start(table)
     )
     run.awaitTermination()
-    return read_bronze(spark, table, parsed.schema)
+    return read_bronze(spark, table, schema)
 
 
-def read_bronze(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
-    """A bronze table in the current schema.
+def read_bronze(spark: SparkSession, table: str, source: T.StructType) -> DataFrame:
+    """A bronze table in the current schema of its source.
 
     Files of older schema versions give NULL for newer columns, and no file footers
     have to be read to find that out.
     """
-    return spark.read.schema(schema).parquet(table)
+    return spark.read.schema(bronze_schema(source)).parquet(table)

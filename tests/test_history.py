@@ -2,9 +2,10 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from holdfast.operators import history
-from holdfast.sources.publish import SnapshotRejected, publish_snapshot, publish_table
+from holdfast.sources.publish import SnapshotRejected, publish_bucketed, publish_snapshot, publish_table
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -45,8 +46,6 @@ def test_delete_closes_and_reinsert_opens(spark):
         ("a", 1, "one", at(1), at(2), False), ("a", 2, "two", at(2), at(3), False), ("a", 5, "five", at(5), None, True),
         ("b", 4, "x", at(4), None, True), ("c", 6, "y", at(6), at(7), False),
     ]
-    import pyspark.sql.functions as F
-
     assert {(r.k, r.v) for r in history.as_of(scd2(feed), F.lit(at(4))).collect()} == {("b", "x")}
     assert {r.k for r in history.current_rows(scd2(feed)).collect()} == {"a", "b"}
 
@@ -71,6 +70,17 @@ def test_intervals_of_a_key_do_not_overlap(spark):
         assert all(end == start for (_, end), (start, _) in zip(spans, spans[1:])) and spans[-1][1] is None
 
 
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    left = spark.range(100).select((F.col("id") % 10).alias("customer_id"), "id")
+    right = spark.range(10).withColumnRenamed("id", "customer_id")
+    a = publish_bucketed(left, "bucketed_calls", str(tmp_path / "a"), "customer_id", 4)
+    b = publish_bucketed(right, "bucketed_customers", str(tmp_path / "b"), "customer_id", 4)
+    joined = a.join(b.hint("merge"), "customer_id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 100
+    spark.sql("DROP TABLE bucketed_calls")
+    spark.sql("DROP TABLE bucketed_customers")
+
+
 def test_publish(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a"), (2, "b")], "customer_id int, p string")
     assert publish_table(frame, str(tmp_path / "t")).count() == 2

@@ -45,6 +45,13 @@ def test_calibration_at_the_ends(spark, share, tier):
     assert tiers == {tier} if tier else "Critical" not in tiers or share == 0.0
 
 
+def test_a_missing_score_stays_missing(spark):
+    frame = spark.createDataFrame([(1, 0.1), (2, None), (3, 0.9)], "customer_id int, raw_score double")
+    rows = {r.customer_id: (r.churn_score, r.tier) for r in
+            scoring.calibrate_scores(frame).withColumn("tier", scoring.risk_tier(F.col("churn_score"))).collect()}
+    assert rows[2] == (None, None) and rows[3] == (0.85, "Critical")
+
+
 def test_all_scores_tied(spark):
     frame = spark.range(50).select(F.col("id").alias("customer_id"), F.lit(0.5).alias("raw_score"))
     assert scoring.calibrate_scores(frame).select("churn_score").distinct().count() == 1

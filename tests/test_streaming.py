@@ -101,6 +101,25 @@ def _land_all(spark, store):
                       store.landing("call_interactions"))
 
 
+def test_scores_from_ingested_tables(spark, store):
+    _land_all(spark, store)
+    customers = spark.range(400).select(
+        F.concat(F.lit("CUST-"), F.col("id").cast("string")).alias("customer_id"), F.lit("Austin").alias("market"),
+        F.when(F.col("id") % 2 == 0, "Internet Only").otherwise("Triple Play").alias("plan_type"),
+        (F.col("id") % 3 == 0).alias("has_mobile"), (F.col("id") % 60 + 1).alias("tenure_months"),
+        (F.col("id") % 97 + 30.5).alias("monthly_spend"), F.lit("Month-to-Month").alias("contract_type"),
+        F.lit(True).alias("autopay_enrolled"),
+        F.when(F.col("id") % 60 < 12, "Churned").otherwise("Active").alias("status"),
+    )
+    landing.land_json(customers, store.landing("customer_profiles"))
+    refresh.refresh_marts(spark, store, "v1")
+    table, report, snapshot = refresh.refresh_scores(spark, store, "v1", maxIter=5)
+    assert table.count() == 400 and spark.read.parquet(snapshot).count() == 400
+    assert report.first().test_auc > 0.9
+    assert table.where("risk_tier = 'Critical'").count() >= 40
+    assert table.where("customer_id = 'CUST-1'").first().n_competitor_calls == 5
+
+
 def test_refresh_is_repeatable_and_sees_new_drops(spark, store):
     _land_all(spark, store)
     first = refresh.refresh_marts(spark, store, "v1")
