@@ -31,7 +31,7 @@ def dataset_checks(
     targets: dict[str, tuple[float, float]],
 ) -> DataFrame:
     """Mention rates (overall, at the start, in the spike), save rate and churners against their targets."""
-    day = F.col("call_date").cast("date")
+    day = F.col("call_date").try_cast("date")
     mentioned = F.col("competitor_mentioned")
     in_baseline = day < F.lit(baseline_until).cast("date")
     in_spike = day.between(F.lit(spike[0]).cast("date"), F.lit(spike[1]).cast("date"))

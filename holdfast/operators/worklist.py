@@ -101,7 +101,8 @@ def action_state(events: DataFrame, key: str, kind: str, at: str, sequence: str)
 
 def case_open(scores: DataFrame, agents: DataFrame) -> DataFrame:
     """One new case per critical customer, handed to the agents in turn, highest scores first."""
-    critical = materialize(scores.where(F.col("risk_tier") == "Critical"), "critical")
+    critical = scores.where(F.col("risk_tier") == "Critical").withColumn("churn_score", F.round("churn_score", 4))
+    critical = materialize(critical, "critical")  # the positions read it three times
     placed = global_position(critical, "churn_score", "customer_id", "_place", domain_bound=SCORE_DOMAIN)
     numbered = value_table(agents.select("agent_id"), "agent_id")
     slots = numbered.frame.select(F.col("agent_id").alias("assigned_agent_id"), F.col("_before").alias("_slot"))

@@ -23,6 +23,11 @@ from holdfast.session import materialize
 RATE_DOMAIN = 10_001  # distinct values of a rate in [0, 1] rounded to four places
 
 
+def _day(column: str) -> Column:
+    """Date of an ISO text or a date; text that is no date gives NULL (see ``sources.evolve.quarantine``)."""
+    return F.col(column).try_cast("date")
+
+
 def _is(outcome: str) -> Column:
     return F.col("outcome") == outcome
 
@@ -37,7 +42,7 @@ def call_fact(
     offer = offers.select(
         F.col("offer_id").alias("offer_presented_id"), F.col("offer_name").alias("offer_presented")
     )
-    day = F.col("call_date").cast("date")
+    day = _day("call_date")
     return (
         calls.join(customer, "customer_id", "left")
         .join(agent, "agent_id", "left")
@@ -118,8 +123,9 @@ def topic_mix(calls: DataFrame) -> DataFrame:
 
 
 def daily_counts(calls: DataFrame, disconnect_topics=rules.DISCONNECT_TOPICS) -> DataFrame:
-    """Additive counts per call day."""
-    return calls.groupBy(F.col("call_date").cast("date").alias("call_date")).agg(
+    """Additive counts per call day, for the calls that have a day."""
+    dated = calls.withColumn("call_date", _day("call_date")).where(F.col("call_date").isNotNull())
+    return dated.groupBy("call_date").agg(
         rows().alias("total_calls"),
         count_true(F.col("competitor_mentioned")).alias("competitor_mentions"),
         count_true(_is("Saved")).alias("saves"),
@@ -138,8 +144,8 @@ def daily_kpis(
     """
     days = daily_counts(calls, disconnect_topics)
     churned = (
-        customers.where((F.col("status") == "Churned") & F.col("churn_date").isNotNull())
-        .groupBy(F.col("churn_date").cast("date").alias("call_date"))
+        customers.where((F.col("status") == "Churned") & _day("churn_date").isNotNull())
+        .groupBy(_day("churn_date").alias("call_date"))
         .agg(rows().alias("churned"))
     )
     joined = days.join(churned, "call_date", "left").withColumn("churned", F.coalesce("churned", F.lit(0)))

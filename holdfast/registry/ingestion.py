@@ -44,11 +44,11 @@ def _event_drops(spark, sf) -> list[DataFrame]:
 
 
 def _land_json(spark, sf):
-    """Landing replaces: the last of two writes is what the folder holds."""
+    """Landing replaces: after a first drop, the whole table is landed, and that is what the folder holds."""
     folder = scratch_dir(spark, "landing")
     drops = _event_drops(spark, sf)
     landing.land_json(drops[0], folder)
-    landing.land_json(drops[2], folder)
+    landing.land_json(drops[0].unionByName(drops[1], True).unionByName(drops[2], True), folder, rows_per_file=100_000)
     return spark.read.schema(EVENT_V1).json(folder)
 
 
@@ -179,7 +179,7 @@ _VALUE = f"CASE WHEN ts < TIMESTAMP '{DROP_TIMES[0]}' OR ts >= TIMESTAMP '{DROP_
 _PROPS = f"CASE WHEN ts >= TIMESTAMP '{DROP_TIMES[1]}' THEN props END AS props"
 
 ORACLE = {
-    "land_json": f"SELECT event_id, {_TS}, user_id, event_type, value FROM events WHERE events.ts >= TIMESTAMP '{DROP_TIMES[1]}'",
+    "land_json": f"SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')} FROM events",
     "land_increment": f"SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')} FROM events",
     "ingest_stream": f"SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')}, {_PROPS.replace('ts ', 'events.ts ')} FROM events",
     "ingest_metadata": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, COUNT(*) AS n_rows, COUNT(*) AS with_file, COUNT(*) AS with_time,

@@ -16,9 +16,26 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# A task handles about this much of an exchange or a scan.
+TASK_BYTES = 256 << 20
+
 _local_root: str | None = None
 
 
+def sized_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """Session settings for an input size: enough exchange partitions that one fits in a task's memory.
+
+    The adaptive planner merges partitions that turn out small, but never splits one for
+    lack of partitions, so the number is set from the largest exchange (the input itself).
+    """
+    partitions = max(2 * cores, -(-input_bytes // TASK_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES // 2),
+        "spark.sql.files.maxPartitionBytes": str(TASK_BYTES),
+    }
+
+
 def build_session(app_name: str = "holdfast", master: str | None = None, **settings: str) -> SparkSession:
     """Create (or reuse) a session with the engine's settings."""
     builder = SparkSession.builder.appName(app_name)

@@ -38,6 +38,17 @@ def evolve_schema(spark: SparkSession, folder: str, schema: T.StructType) -> Dat
     return parse_evolving(lines, schema, keep=["_source_file"])
 
 
+def quarantine(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Rows that a mart cannot use in full: lines that are not JSON, and values that do not fit their type.
+
+    ``types`` names text columns and the type they must convert to; ``_reason`` lists what is wrong.
+    """
+    found = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), F.lit(f"{c} is no {t}")) for c, t in types.items()]
+    if CORRUPT in df.columns:
+        found.append(F.when(F.col(CORRUPT).isNotNull(), F.lit("not readable as JSON")))
+    return df.withColumn("_reason", F.array_compact(F.array(*found))).where(F.size("_reason") > 0)
+
+
 def promote_extra(df: DataFrame, new_fields: T.StructType) -> DataFrame:
     """Turn fields kept in ``_extra`` into columns once a schema version names them."""
     columns = {

@@ -50,7 +50,7 @@ def stream_closed_days(
     For readers that must not see a day revised.  Calls later than ``lateness`` are not in
     this table; ``stream_daily_counts`` has them.
     """
-    calls = spark.readStream.schema(schema).json(folder).withColumn("_at", F.col(at).cast("timestamp"))
+    calls = spark.readStream.schema(schema).json(folder).withColumn("_at", F.col(at).try_cast("timestamp"))
     closed = (
         calls.withWatermark("_at", lateness).groupBy(F.window("_at", "1 day").alias("_day"))
         .agg(

@@ -124,6 +124,17 @@ def test_daily_kpis_windows_and_gaps(spark, dims):
     assert {r.call_date: r for r in cut} == {d: r for d, r in found.items() if d >= D(2026, 5, 8)}
 
 
+def test_unreadable_dates_are_kept_and_reported(spark, dims):
+    from holdfast.sources.evolve import quarantine
+
+    calls = calls_frame(spark, [call(1), call(2, day="soon"), call(3, day=None)])
+    fact = {r.call_id: r.call_date for r in marts.call_fact(calls, **dims).collect()}
+    assert fact == {"CALL-1": D(2026, 5, 1), "CALL-2": None, "CALL-3": None}
+    assert [r.total_calls for r in marts.daily_kpis(calls, dims["customers"]).collect()] == [1]
+    bad = quarantine(calls, {"call_date": "date"}).collect()
+    assert [(r.call_id, r["_reason"]) for r in bad] == [("CALL-2", ["call_date is no date"])]
+
+
 def test_empty_input(spark, dims):
     empty = calls_frame(spark, [])
     assert marts.call_fact(empty, **dims).count() == 0

@@ -111,6 +111,11 @@ def test_materialize_evaluates_once(spark):
     assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, frame.collect()))
 
 
+def test_partitions_follow_the_input():
+    assert session.sized_for(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
+    assert session.sized_for(100 << 40, 8000)["spark.sql.shuffle.partitions"] == str(100 * 1024 * 4)
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     class Conf:
         def get(self, key, default):
