@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from holdfast import rules
-from holdfast.functions.rates import count_true, exact_mean, rate, rows, share_pct
+from holdfast.functions.rates import count_true, exact_mean, rate, ratio, rows, share_pct
 from holdfast.operators.ranks import global_rank
 from holdfast.operators.rolling import fill_days as add_missing_days
 from holdfast.operators.rolling import trailing
@@ -61,15 +61,43 @@ def call_fact(
     )
 
 
-def agent_performance(calls: DataFrame, agents: DataFrame) -> DataFrame:
-    """Calls, rates and peer rank for each agent that took at least one call."""
-    measured = calls.groupBy("agent_id").agg(
+def _counts(calls: DataFrame, *keys, **more: Column) -> DataFrame:
+    """Additive figures per key: sums and counts that can be added up over batches of calls."""
+    return calls.groupBy(*keys).agg(
         rows().alias("total_calls"),
         count_true(_is("Saved")).alias("saves"),
-        rate(count_true(_is("Saved")), rows()).alias("save_rate"),
-        F.round(F.avg("handle_time_min"), 1).alias("avg_handle_time_min"),
-        rate(count_true(F.col("competitor_mentioned")), rows()).alias("competitor_call_rate"),
-        rate(count_true(F.col("offer_accepted")), rows()).alias("offer_conversion_rate"),
+        count_true(F.col("competitor_mentioned")).alias("competitor_mentions"),
+        *[column.alias(name) for name, column in more.items()],
+    )
+
+
+def _handled() -> dict[str, Column]:
+    return {"handle_time_sum": F.sum("handle_time_min"), "handled_calls": F.count("handle_time_min")}
+
+
+def _mean_handle_time() -> Column:
+    return F.round(ratio(F.col("handle_time_sum"), F.col("handled_calls")), 1).alias("avg_handle_time_min")
+
+
+def _rate_of(part: str) -> Column:
+    return rate(F.col(part), F.col("total_calls"))
+
+
+def agent_counts(calls: DataFrame) -> DataFrame:
+    return _counts(calls, "agent_id", accepted=count_true(F.col("offer_accepted")), **_handled())
+
+
+def agent_performance(calls: DataFrame, agents: DataFrame) -> DataFrame:
+    """Calls, rates and peer rank for each agent that took at least one call."""
+    return agent_performance_of(agent_counts(calls), agents)
+
+
+def agent_performance_of(counts: DataFrame, agents: DataFrame) -> DataFrame:
+    """The agent mart from additive counts."""
+    measured = counts.select(
+        "agent_id", "total_calls", "saves", _rate_of("saves").alias("save_rate"), _mean_handle_time(),
+        _rate_of("competitor_mentions").alias("competitor_call_rate"),
+        _rate_of("accepted").alias("offer_conversion_rate"),
     )
     profile = agents.select("agent_id", "agent_name", "team", "tier", "nps", "hire_date")
     # Ranks and the mean read this table again; the calls behind it are scanned once.
@@ -84,16 +112,22 @@ def agent_performance(calls: DataFrame, agents: DataFrame) -> DataFrame:
     )
 
 
+def offer_counts(calls: DataFrame) -> DataFrame:
+    presented = calls.where(F.col("offer_presented_id").isNotNull())
+    key = F.col("offer_presented_id").alias("offer_id")
+    return _counts(presented, key, "competitor_id", accepted=count_true(F.col("offer_accepted")))
+
+
 def offer_effectiveness(calls: DataFrame, competitors: DataFrame, offers: DataFrame) -> DataFrame:
     """Results of each offer against each competitor; "no competitor" is a group of its own."""
-    presented = (
-        calls.where(F.col("offer_presented_id").isNotNull())
-        .groupBy(F.col("offer_presented_id").alias("offer_id"), "competitor_id")
-        .agg(
-            rows().alias("times_presented"),
-            count_true(F.col("offer_accepted")).alias("times_accepted"),
-            rate(count_true(_is("Saved")), rows()).alias("save_rate"),
-        )
+    return offer_effectiveness_of(offer_counts(calls), competitors, offers)
+
+
+def offer_effectiveness_of(counts: DataFrame, competitors: DataFrame, offers: DataFrame) -> DataFrame:
+    """The offer mart from additive counts."""
+    presented = counts.select(
+        "offer_id", "competitor_id", F.col("total_calls").alias("times_presented"),
+        F.col("accepted").alias("times_accepted"), _rate_of("saves").alias("save_rate"),
     )
     return (
         presented.join(competitors.select("competitor_id", "competitor_name"), "competitor_id", "left")
@@ -108,29 +142,32 @@ def offer_effectiveness(calls: DataFrame, competitors: DataFrame, offers: DataFr
     )
 
 
+def topic_counts(calls: DataFrame) -> DataFrame:
+    return _counts(calls, "call_topic", churned=count_true(_is("Churned")), **_handled())
+
+
 def topic_mix(calls: DataFrame) -> DataFrame:
     """Volume, outcome rates and share of all calls for each topic; a missing topic is a group."""
-    topics = calls.groupBy("call_topic").agg(
-        rows().alias("call_volume"),
-        rate(count_true(_is("Saved")), rows()).alias("save_rate"),
-        rate(count_true(_is("Churned")), rows()).alias("churn_rate"),
-        F.round(F.avg("handle_time_min"), 1).alias("avg_handle_time_min"),
-        rate(count_true(F.col("competitor_mentioned")), rows()).alias("competitor_mention_rate"),
-    )
+    return topic_mix_of(topic_counts(calls))
+
+
+def topic_mix_of(counts: DataFrame) -> DataFrame:
+    """The topic mart from additive counts."""
     # One row per topic, a short fixed list, so the total is a window over a handful of rows.
-    total = F.sum("call_volume").over(W.partitionBy())
-    return topics.withColumn("pct_of_calls", share_pct(F.col("call_volume"), total))
+    total = F.sum("total_calls").over(W.partitionBy())
+    return counts.select(
+        "call_topic", F.col("total_calls").alias("call_volume"), _rate_of("saves").alias("save_rate"),
+        _rate_of("churned").alias("churn_rate"), _mean_handle_time(),
+        _rate_of("competitor_mentions").alias("competitor_mention_rate"),
+        share_pct(F.col("total_calls"), total).alias("pct_of_calls"),
+    )
 
 
 def daily_counts(calls: DataFrame, disconnect_topics=rules.DISCONNECT_TOPICS) -> DataFrame:
     """Additive counts per call day, for the calls that have a day."""
     dated = calls.withColumn("call_date", _day("call_date")).where(F.col("call_date").isNotNull())
-    return dated.groupBy("call_date").agg(
-        rows().alias("total_calls"),
-        count_true(F.col("competitor_mentioned")).alias("competitor_mentions"),
-        count_true(_is("Saved")).alias("saves"),
-        count_true(F.col("call_topic").isin(*disconnect_topics)).alias("disconnect_intent_calls"),
-    )
+    disconnect = count_true(F.col("call_topic").isin(*disconnect_topics))
+    return _counts(dated, "call_date", disconnect_intent_calls=disconnect)
 
 
 def daily_kpis(
@@ -142,7 +179,15 @@ def daily_kpis(
     The warm-up rows are cut after the windows, so the first days shown have full windows.
     ``fill_gaps`` turns the row windows into calendar windows.
     """
-    days = daily_counts(calls, disconnect_topics)
+    return daily_kpis_of(daily_counts(calls, disconnect_topics), customers, warmup_until, churn_base, fill_gaps)
+
+
+def daily_kpis_of(
+    counts: DataFrame, customers: DataFrame, warmup_until: str | None = None, churn_base: float = rules.CHURN_BASE,
+    fill_gaps: bool = False,
+) -> DataFrame:
+    """The daily mart from additive counts."""
+    days = counts.select("call_date", "total_calls", "competitor_mentions", "saves", "disconnect_intent_calls")
     churned = (
         customers.where((F.col("status") == "Churned") & _day("churn_date").isNotNull())
         .groupBy(_day("churn_date").alias("call_date"))

@@ -10,12 +10,13 @@ from holdfast import schemas
 from holdfast.operators.history import dedupe_latest
 from holdfast.plans import refresh
 from holdfast.registry import marts
-from holdfast.registry.sql import count_if, query
+from holdfast.registry.sql import count_if, query, whole
 from holdfast.session import scratch_dir
 from holdfast.sources import evolve, landing
 from holdfast.sources import star_tables as star
 from holdfast.streaming.daily_counts import stream_closed_days, stream_daily_counts
 from holdfast.streaming.ingest import ingest_stream
+from holdfast.streaming.mart_counts import marts_of, stream_mart_counts
 
 # Events in three drops: before, between and after these times.
 DROP_TIMES = ("2024-01-11", "2024-01-21")
@@ -152,6 +153,29 @@ def _stream_daily_counts(spark, sf):
     return result
 
 
+def _incremental(spark, sf) -> dict[str, DataFrame]:
+    """The marts from partial counts of two drops."""
+    base = scratch_dir(spark, "incremental")
+    partials = None
+    for drop in _call_drops(spark, sf):
+        landing.land_increment(drop, f"{base}/landing")
+        partials = stream_mart_counts(
+            spark, f"{base}/landing", CALL_COUNT_SCHEMA, f"{base}/counts", f"{base}/checkpoint", star.DISCONNECT_TOPICS
+        )
+    dims = {n: _as_landed(f, n) for n, f in _sources(spark, sf).items() if n not in ("call_interactions", "service_events")}
+    return marts_of(
+        partials, dims["customer_profiles"], dims["agents"], dims["competitor_intel"], dims["retention_offers"],
+        warmup_until=marts.WARMUP_UNTIL, churn_base=marts.CHURN_BASE,
+    )
+
+
+def _incremental_agents(spark, sf):
+    return _incremental(spark, sf)["agent_performance"].select(
+        "agent_id", "total_calls", "saves", "save_rate", "avg_handle_time_min", "competitor_call_rate",
+        "offer_conversion_rate", "save_rate_rank", "team_avg_save_rate", "save_rate_vs_avg",
+    )
+
+
 def _stream_closed_days(spark, sf):
     """Days up to two days before the newest call are final; later ones are not written yet."""
     base = scratch_dir(spark, "closed")
@@ -172,6 +196,8 @@ QUERIES = {
     "refresh_marts": _refresh_marts,
     "stream_daily_counts": _stream_daily_counts,
     "stream_closed_days": _stream_closed_days,
+    "incremental_daily_kpis": lambda s, d: _incremental(s, d)["daily_kpis"],
+    "incremental_agents": _incremental_agents,
 }
 
 _TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts"
@@ -201,6 +227,12 @@ ORACLE = {
                    {count_if("call_topic IN ('1-URGENT', '2-HIGH')")} AS disconnect_intent_calls
             FROM calls GROUP BY 1""", "calls"
     ),
+    "incremental_daily_kpis": whole("daily_kpis", "call_date"),
+    "incremental_agents": query(
+        """SELECT CAST(agent_id AS VARCHAR) AS agent_id, total_calls, saves, save_rate, avg_handle_time_min,
+                  competitor_call_rate, offer_conversion_rate, save_rate_rank, team_avg_save_rate, save_rate_vs_avg
+           FROM agent_performance""", "agent_performance"
+    ),
     "stream_closed_days": query(
         f"""SELECT CAST(call_date AS VARCHAR) AS call_date, COUNT(*) AS total_calls, {count_if("competitor_mentioned")} AS competitor_mentions,
                    {count_if("outcome = 'Saved'")} AS saves
