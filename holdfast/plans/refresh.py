@@ -12,7 +12,8 @@ from holdfast.functions.rates import rows
 from holdfast.plans import marts, model, scoring
 from holdfast.session import materialize
 from holdfast.sources.publish import publish_snapshot, publish_table
-from holdfast.streaming.ingest import ingest_stream, read_bronze
+from holdfast.streaming.ingest import bronze_schema, ingest_stream, read_bronze
+from holdfast.streaming.mart_counts import marts_of, stream_mart_counts
 
 
 @dataclass
@@ -37,11 +38,16 @@ class Store:
         return f"{self.root}/marts/{version}/{name}"
 
 
-def refresh_marts(spark: SparkSession, store: Store, version: str, **kpi_settings) -> dict[str, DataFrame]:
+def refresh_marts(
+    spark: SparkSession, store: Store, version: str, incremental: bool = False,
+    disconnect_topics=rules.DISCONNECT_TOPICS, **kpi_settings,
+) -> dict[str, DataFrame]:
     """Run the ingestion of all sources and write a new version of the five marts.
 
     Running it again without new files rebuilds the same marts: ingestion adds
-    nothing, and each version is written to its own folder.
+    nothing, and each version is written to its own folder.  With ``incremental`` the
+    four aggregated marts come from counts that only the new calls are added to; all
+    refreshes of a store must then use the same ``disconnect_topics``.
     """
     bronze = {
         name: ingest_stream(spark, store.landing(name), store.bronze(name), schema, store.checkpoint(name))
@@ -51,11 +57,20 @@ def refresh_marts(spark: SparkSession, store: Store, version: str, **kpi_setting
     competitors, offers = bronze["competitor_intel"], bronze["retention_offers"]
     plans = {
         "call_fact": marts.call_fact(calls, customers, agents, competitors, offers),
-        "agent_performance": marts.agent_performance(calls, agents),
-        "offer_effectiveness": marts.offer_effectiveness(calls, competitors, offers),
-        "topic_mix": marts.topic_mix(calls),
-        "daily_kpis": marts.daily_kpis(calls, customers, **kpi_settings),
     }
+    if incremental:
+        partials = stream_mart_counts(
+            spark, store.bronze("call_interactions"), bronze_schema(schemas.SOURCES["call_interactions"]),
+            store.bronze("mart_counts"), store.checkpoint("mart_counts"), disconnect_topics, source="parquet",
+        )
+        plans |= marts_of(partials, customers, agents, competitors, offers, **kpi_settings)
+    else:
+        plans |= {
+            "agent_performance": marts.agent_performance(calls, agents),
+            "offer_effectiveness": marts.offer_effectiveness(calls, competitors, offers),
+            "topic_mix": marts.topic_mix(calls),
+            "daily_kpis": marts.daily_kpis(calls, customers, disconnect_topics=disconnect_topics, **kpi_settings),
+        }
     return {name: publish_table(plan, store.mart(name, version)) for name, plan in plans.items()}
 
 

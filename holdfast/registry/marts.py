@@ -8,7 +8,7 @@ from holdfast.functions.rates import count_true, rows
 from holdfast.operators.ranks import global_rank, rank_pct, topk_per_key
 from holdfast.operators.rolling import rolling_rate
 from holdfast.plans import marts
-from holdfast.registry.sql import half_up, query, rate, whole
+from holdfast.registry.sql import query, rate, whole
 from holdfast.sources import star_tables as star
 
 WARMUP_UNTIL = "1995-02-01"

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators.quality import tier_checks
-from holdfast.operators.worklist import SCORE_DOMAIN
 from holdfast.plans import model, scoring
 from holdfast.registry.sql import half_up, query, whole
 from holdfast.sources import star_tables as star

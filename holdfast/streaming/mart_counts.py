@@ -51,17 +51,19 @@ def _grain(grouping: Column) -> Column:
 
 def stream_mart_counts(
     spark: SparkSession, folder: str, schema: T.StructType, table: str, checkpoint: str,
-    disconnect_topics=rules.DISCONNECT_TOPICS,
+    disconnect_topics=rules.DISCONNECT_TOPICS, source: str = "json",
 ) -> DataFrame:
     """Count the files that are new since the last run; returns the partials of all runs.
 
+    The files are landed JSON, or a bronze table with ``source="parquet"``.
+
     A partial is written under its batch number, so a batch that is retried replaces what
     it wrote before.
     """
     def write_partial(batch: DataFrame, batch_id: int) -> None:
         partial_counts(batch, disconnect_topics).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
-    calls = spark.readStream.schema(schema).json(folder)
+    calls = spark.readStream.schema(schema).format(source).load(folder)
     run = (
         calls.writeStream.foreachBatch(write_partial).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()

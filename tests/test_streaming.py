@@ -122,6 +122,16 @@ def test_incremental_marts_equal_the_full_ones(spark, store):
         assert sorted(map(repr, frame.collect())) == sorted(map(repr, full[name].collect())), name
 
 
+def test_incremental_refresh(spark, store):
+    _land_all(spark, store)
+    refresh.refresh_marts(spark, store, "v1", incremental=True)
+    landing.land_increment(calls(spark, 10, 5, "2026-05-02"), store.landing("call_interactions"))
+    kept_up = refresh.refresh_marts(spark, store, "v2", incremental=True)
+    rebuilt = refresh.refresh_marts(spark, store, "v3")
+    for name, frame in rebuilt.items():
+        assert sorted(map(repr, kept_up[name].collect())) == sorted(map(repr, frame.collect())), name
+
+
 def test_scores_from_ingested_tables(spark, store):
     _land_all(spark, store)
     customers = spark.range(400).select(
