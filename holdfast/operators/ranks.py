@@ -143,22 +143,21 @@ def global_position(
     """
     table = value_table(df, column, ascending, domain_bound)
     digest = F.md5(F.col(key).cast("string").cast("binary"))
-    parted = df.withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, spread_digits))
-    counts = parted.groupBy(column, "_part").agg(rows().alias("_in_part"))
-    ahead = W.partitionBy(column).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = table.attach(
-        counts.withColumn("_parts_before", F.coalesce(F.sum("_in_part").over(ahead), F.lit(0)))
-    ).select(
-        F.col(column).alias("_value"), F.col("_part").alias("_value_part"),
-        (F.col("_before") + F.col("_parts_before")).alias("_start"),
+    # The unit is one key for the window and the join, so the rows are exchanged once.
+    parted = df.withColumn("_digest", digest).withColumn(
+        "_unit", F.struct(F.col(column).alias("value"), F.substring("_digest", 1, spread_digits).alias("part"))
     )
-    inside = W.partitionBy(column, "_part").orderBy("_digest", key)
-    on = parted[column].eqNullSafe(offsets["_value"]) & (parted["_part"] == offsets["_value_part"])
+    counts = parted.groupBy("_unit").agg(rows().alias("_in_unit")).withColumn(column, F.col("_unit.value"))
+    ahead = W.partitionBy(column).orderBy("_unit.part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = table.attach(
+        counts.withColumn("_units_before", F.coalesce(F.sum("_in_unit").over(ahead), F.lit(0)))
+    ).select(F.col("_unit").alias("_offset_unit"), (F.col("_before") + F.col("_units_before")).alias("_start"))
+    inside = W.partitionBy("_unit").orderBy("_digest", key)
     return (
         parted.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(offsets, on)
+        .join(offsets, F.col("_unit") == F.col("_offset_unit"))
         .withColumn(out, F.col("_start") + F.col("_inside"))
-        .drop("_digest", "_part", "_value", "_value_part", "_inside", "_start")
+        .drop("_digest", "_unit", "_offset_unit", "_inside", "_start")
     )
 
 

@@ -62,12 +62,14 @@ def test_domain_bound_gives_the_same(spark):
     assert a == b
 
 
-@pytest.mark.parametrize("shape", ["plain", "one value", "hot value"])
+@pytest.mark.parametrize("shape", SHAPES)
 def test_positions_are_distinct_and_ordered(spark, path, shape):
     frame = _frame(spark, _values(shape))
     placed = ranks.global_position(frame, "v", "id", spread_digits=1).orderBy("position").collect()
     assert [r.position for r in placed] == list(range(len(placed)))
-    assert [r.v for r in placed] == sorted((r.v for r in placed), reverse=True)
+    ordered = sorted((r.v for r in placed if r.v is not None), reverse=True)
+    assert [r.v for r in placed] == ordered + [None] * (len(placed) - len(ordered))
+    assert len(placed) == len(_values(shape))
 
 
 @pytest.mark.parametrize("k", [1, 3, 2000])
