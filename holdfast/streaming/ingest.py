@@ -28,18 +28,22 @@ def ingest_metadata(df: DataFrame) -> DataFrame:
 
 def ingest_stream(
     spark: SparkSession, folder: str, table: str, schema: T.StructType, checkpoint: str,
-    max_bytes_per_batch: str | None = None,
+    max_bytes_per_batch: str | None = None, unique_key: list[str] | None = None, repeats_within: str = "7 days",
 ) -> DataFrame:
     """Append the files that are new since the last run, then stop; returns the bronze table.
 
     The checkpoint remembers the files, and the parquet sink's log makes a batch that
     was retried appear once.  Fields unknown to the schema are kept in ``_extra``.
+    Bronze keeps every landed row; with ``unique_key`` a row whose key arrived within the
+    given time before is left out, for sources whose drops are landed again by accident.
     """
     reader = spark.readStream.schema("value string")
     if max_bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_batch)
     lines = ingest_metadata(reader.text(folder))
     parsed = parse_evolving(lines, schema, keep=["_source_file", "_ingested_at"])
+    if unique_key:  # the state holds the keys of that time span, spread over the key
+        parsed = parsed.withWatermark("_ingested_at", repeats_within).dropDuplicatesWithinWatermark(unique_key)
     run = (
         parsed.writeStream.format("parquet").option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start(table)

@@ -51,6 +51,16 @@ def test_only_new_files_are_read(spark, store):
     assert unlabeled_filter(again).count() == 20
 
 
+def test_repeated_drops_can_be_left_out(spark, store):
+    source = "call_interactions"
+    folder, paths = store.landing(source), (store.bronze(source), CALLS, store.checkpoint(source))
+    for first, n, total in [(0, 6, 6), (0, 6, 6), (4, 4, 8)]:
+        landing.land_increment(calls(spark, first, n), folder)
+        bronze = ingest_stream(spark, folder, *paths, unique_key=["call_id"])
+        assert bronze.count() == total
+    assert bronze.select("call_id").distinct().count() == 8
+
+
 def test_evolution_keeps_what_the_schema_does_not_know(spark, tmp_path):
     folder = tmp_path / "drop"
     folder.mkdir()
