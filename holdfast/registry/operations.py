@@ -14,6 +14,7 @@ from holdfast.session import scratch_dir
 
 # Snapshots of customer activity: the year up to each of two dates.
 SNAPSHOTS = ("1999-01-01", "1999-07-01")
+AS_OF = "2024-01-15 12:00:00"
 BASELINE_UNTIL = "1995-02-01"
 SPIKE = ("1998-01-01", "1998-01-31")
 TARGETS = {
@@ -60,6 +61,10 @@ def _scd2_history(spark, sf):
     return history.scd2_history(feed, "user_id", "lsn", "changed_at", "change_type", ["state", "value"])
 
 
+def _scd2_as_of(spark, sf):
+    return history.as_of(_scd2_history(spark, sf), F.lit(AS_OF).cast("timestamp_ntz"))
+
+
 def _publish_table(spark, sf):
     topics = marts.topic_mix(spark, sf)
     return publish_table(topics, scratch_dir(spark, "topic_mix"))
@@ -155,6 +160,7 @@ QUERIES = {
     "dedupe_increment": _dedupe_increment,
     "snapshot_diff": _snapshot_diff,
     "scd2_history": _scd2_history,
+    "scd2_as_of": _scd2_as_of,
     "publish_table": _publish_table,
     "publish_snapshot": _publish_snapshot,
     "read_result": _read_result,
@@ -170,6 +176,13 @@ _ACTIVITY = """SELECT o_custkey AS customer_id, COUNT(*) AS n_orders,
                  AND CAST(o_orderdate AS DATE) >= CAST(DATE '{0}' - INTERVAL 12 MONTH AS DATE) GROUP BY 1"""
 
 
+_SCD2 = """
+        SELECT user_id, event_id AS lsn, event_type AS state, value, ts AS valid_from, next_ts AS valid_to,
+               next_ts IS NULL AS is_current
+        FROM (SELECT *, LEAD(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS next_ts FROM events)
+        WHERE event_type <> 'error'"""
+
+
 def _check(metric: str, value: str) -> str:
     low, high = TARGETS[metric]
     return f"""SELECT '{metric}' AS metric, v AS value, CAST({low} AS DOUBLE) AS low, CAST({high} AS DOUBLE) AS high,
@@ -234,11 +247,9 @@ ORACLE = {
           ON a.customer_id = b.customer_id
         WHERE a.customer_id IS NULL OR b.customer_id IS NULL OR a.n_orders <> b.n_orders OR a.revenue <> b.revenue
            OR a.last_order <> b.last_order""",
-    "scd2_history": """
-        SELECT user_id, event_id AS lsn, event_type AS state, value, ts AS valid_from, next_ts AS valid_to,
-               next_ts IS NULL AS is_current
-        FROM (SELECT *, LEAD(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS next_ts FROM events)
-        WHERE event_type <> 'error'""",
+    "scd2_history": _SCD2,
+    "scd2_as_of": f"""
+        SELECT * FROM ({_SCD2}) WHERE valid_from <= TIMESTAMP '{AS_OF}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AS_OF}')""",
     "publish_table": whole("topic_mix"),
     "publish_snapshot": query("SELECT customer_id, market, churn_score, raw_score, risk_tier FROM tiered", "tiered"),
     "read_result": query(

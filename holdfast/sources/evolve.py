@@ -50,10 +50,16 @@ def quarantine(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def promote_extra(df: DataFrame, new_fields: T.StructType) -> DataFrame:
-    """Turn fields kept in ``_extra`` into columns once a schema version names them."""
-    columns = {
-        f.name: F.try_element_at("_extra", F.lit(f.name)).try_cast(f.dataType) for f in new_fields.fields
-    }
+    """Turn fields kept in ``_extra`` into columns once a schema version names them.
+
+    Rows that were ingested under the new version have the column already; older rows get
+    it from ``_extra``.
+    """
+    def column(field: T.StructField) -> Column:
+        kept = F.try_element_at("_extra", F.lit(field.name)).try_cast(field.dataType)
+        return F.coalesce(F.col(field.name), kept) if field.name in df.columns else kept
+
+    columns = {field.name: column(field) for field in new_fields.fields}
     names = F.array(*[F.lit(f.name) for f in new_fields.fields])
     left = F.map_filter("_extra", lambda name, _: ~F.array_contains(names, name))
     return df.withColumns(columns).withColumn("_extra", _none_if_empty(left))

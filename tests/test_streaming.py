@@ -51,6 +51,20 @@ def test_only_new_files_are_read(spark, store):
     assert unlabeled_filter(again).count() == 20
 
 
+def test_a_new_schema_version_reads_old_and_new_rows(spark, tmp_path):
+    v1 = T.StructType([T.StructField("a", T.LongType())])
+    added = T.StructType([T.StructField("b", T.DoubleType())])
+    folder, table, checkpoint = (str(tmp_path / n) for n in ("landing", "bronze", "checkpoint"))
+    landing.land_increment(spark.createDataFrame([(1, 1.5)], "a long, b double"), folder)
+    ingest_stream(spark, folder, table, v1, checkpoint)
+    landing.land_increment(spark.createDataFrame([(2, 2.5)], "a long, b double"), folder)
+    landing.land_increment(spark.createDataFrame([(3,)], "a long"), folder)
+    bronze = ingest_stream(spark, folder, table, T.StructType([*v1.fields, *added.fields]), checkpoint)
+    assert sorted((r.a, r.b is None) for r in bronze.collect()) == [(1, True), (2, False), (3, True)]
+    promoted = evolve.promote_extra(bronze, added).orderBy("a").collect()
+    assert [(r.a, r.b, r["_extra"]) for r in promoted] == [(1, 1.5, None), (2, 2.5, None), (3, None, None)]
+
+
 def test_repeated_drops_can_be_left_out(spark, store):
     source = "call_interactions"
     folder, paths = store.landing(source), (store.bronze(source), CALLS, store.checkpoint(source))
