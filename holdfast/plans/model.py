@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from holdfast import rules
 from holdfast.plans.scoring import FEATURES
-from holdfast.session import materialize, use_checkpoints
+from holdfast.session import use_checkpoints
 
 
 def split_by_hash(
@@ -29,10 +29,12 @@ def split_by_hash(
 
 
 def train_churn(flagged: DataFrame, key: str = "customer_id", **settings) -> tuple[PipelineModel, DataFrame]:
-    """Boosted trees on the churn features; returns the model and a one-row report with the hold-out AUC."""
-    spark = flagged.sparkSession
-    use_checkpoints(spark)
-    flagged = materialize(flagged.select(key, "label", *FEATURES), "training")
+    """Boosted trees on the churn features; returns the model and a one-row report with the hold-out AUC.
+
+    ``flagged`` is read several times (fit, evaluation, counts), so hand over a written
+    table (``session.materialize``) rather than the plan that makes it.
+    """
+    use_checkpoints(flagged.sparkSession)
     chosen = {**rules.TREE_SETTINGS, **settings}
     train, held_out = split_by_hash(flagged, key, "label")
     trees = GBTClassifier(

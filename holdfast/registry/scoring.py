@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from holdfast.operators.quality import tier_checks
 from holdfast.plans import model, scoring
 from holdfast.registry.sql import half_up, query, whole
+from holdfast.session import materialize
 from holdfast.sources import star_tables as star
 
 _models: dict = {}
@@ -61,24 +62,26 @@ def _topic_offer(spark, sf):
 
 
 def _trained(spark, sf):
-    """One training per session and folder, shared by the queries below."""
+    """Feature table, model and report: one training per session and folder, shared by the queries below."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _models:
-        _models[key] = model.train_churn(flagged(spark, sf))
+        table = materialize(frame(spark, sf), "features")
+        _models[key] = (table, *model.train_churn(table))
     return _models[key]
 
 
 def _train_churn(spark, sf):
-    return _trained(spark, sf)[1]
+    return _trained(spark, sf)[2]
 
 
 def _score_customers(spark, sf):
-    return model.score_customers(_trained(spark, sf)[0], flagged(spark, sf)).select("customer_id", "label", "raw_score")
+    table, trained, _ = _trained(spark, sf)
+    return model.score_customers(trained, table).select("customer_id", "label", "raw_score")
 
 
 def _model_scores(spark, sf):
-    scored = model.score_customers(_trained(spark, sf)[0], frame(spark, sf))
-    return scoring.churn_scores(scored, **star.OFFER_RULES)
+    table, trained, _ = _trained(spark, sf)
+    return scoring.churn_scores(model.score_customers(trained, table), **star.OFFER_RULES)
 
 
 QUERIES = {
