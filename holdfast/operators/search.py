@@ -116,7 +116,7 @@ def keyword_topk(
     # The counts, a few numbers per note, are read twice; the texts are read once.
     counted = materialize(worded.select(
         "note_id", word_count(F.col("_spaced")).alias("_words"),
-        *[term_count(F.col("_spaced"), term).alias(f"_tf{i}") for i, term in enumerate(terms)],
+        *[term_count(F.col("_spaced"), term.lower()).alias(f"_tf{i}") for i, term in enumerate(terms)],
     ), "word_counts")
     corpus = counted.agg(
         rows().alias("_n"), F.sum("_words").alias("_all_words"),

@@ -108,8 +108,9 @@ def calibrated(pct: Column, critical_share: float = rules.CRITICAL_SHARE) -> Col
         score = F.when(pct >= threshold, F.lit(cutoff) + position * position * span).otherwise(
             F.lit(floor) + pct / threshold * (cutoff - floor)
         )
-    clipped = F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), score)), 4)
-    return F.when(pct.isNotNull(), clipped)  # GREATEST and LEAST would pass over a NULL
+    clipped = F.greatest(F.lit(0.01), F.least(F.lit(0.99), score))
+    # Rounded to even as numerical libraries do. GREATEST and LEAST would pass over a NULL.
+    return F.when(pct.isNotNull(), F.rint(clipped * 10_000) / 10_000)
 
 
 def calibrate_scores(

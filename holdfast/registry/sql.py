@@ -119,10 +119,10 @@ CTES = {
                CASE WHEN NOT autopay_enrolled THEN 1 ELSE 0 END AS no_autopay
         FROM features""",
     "raw_scores": "SELECT *, -monthly_spend AS raw_score FROM customers",
-    "calibrated": f"""
-        SELECT *, {half_up('''GREATEST(0.01, LEAST(0.99, CASE WHEN p >= thr THEN
+    "calibrated": """
+        SELECT *, round_even((GREATEST(0.01, LEAST(0.99, CASE WHEN p >= thr THEN
                    0.55 + GREATEST(0.0, LEAST(1.0, (p - thr) / (1 - thr))) * GREATEST(0.0, LEAST(1.0, (p - thr) / (1 - thr))) * 0.3
-                   ELSE 0.02 + p / thr * CAST(0.53 AS DOUBLE) END))''', 4)} AS churn_score
+                   ELSE 0.02 + p / thr * CAST(0.53 AS DOUBLE) END))) * 10000, 0) / 10000 AS churn_score
         FROM (SELECT *, CAST(below + (ties + 1) / CAST(2 AS DOUBLE) AS DOUBLE) / n AS p,
                      CAST(0.8725 AS DOUBLE) AS thr
               FROM (SELECT *, RANK() OVER (ORDER BY raw_score) - 1 AS below,
