@@ -4,7 +4,7 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
-from holdfast import rules
+from holdfast import registry, rules
 
 SF = "/root/testdata/sf0.001"
 TRAINED = {"train_churn", "score_customers", "model_scores"}
@@ -15,7 +15,7 @@ def tables():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_as_sql(spark, tables, name):
     assert differences(entry.queries()[name](spark, SF), tables, entry.oracle_sql()[name]) is None
 
@@ -25,7 +25,7 @@ def test_every_oracle_has_a_query():
 
 
 def test_only_trained_models_go_without_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == TRAINED | {"topic_label_model"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == TRAINED | {"topic_label_model"}
 
 
 def test_entry(spark):
