@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import bpe, decontaminate
+from holdfast.llm import bpe, decontaminate, ngram_join
 from holdfast.session import prepare
 
 #: Rank file of the token queries; a parameter of the operators.
@@ -22,10 +22,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("items")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(spark, public_tokenizers.path(RANKS))
     return bpe.token_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op9_bpe": op9_bpe}
+QUERIES = {query.__name__: query for query in (op2_decontaminate, op4_ngram_join, op9_bpe)}
 ORACLE: dict[str, str] = {}
