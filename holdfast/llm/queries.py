@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, decontaminate, ngram_join
+from holdfast.llm import bpe, decontaminate, ngram_join, quality
 from holdfast.session import prepare
 
 #: Rank file of the token queries; a parameter of the operators.
@@ -26,10 +27,20 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    chain = quality.train(docs, labels.where(~quality.is_held_out("doc_id", 5, 0)))
+    scored = quality.score(docs.select("doc_id", "text"), chain)
+    return scored.select(
+        "doc_id", quality.is_held_out("doc_id", 5, 0).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(spark, public_tokenizers.path(RANKS))
     return bpe.token_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {query.__name__: query for query in (op2_decontaminate, op4_ngram_join, op9_bpe)}
+QUERIES = {query.__name__: query for query in (op2_decontaminate, op4_ngram_join, op8_quality, op9_bpe)}
 ORACLE: dict[str, str] = {}
