@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, decontaminate, ngram_join, quality
+from holdfast.llm import bpe, decontaminate, ngram_join, quality, suffix_tree
 from holdfast.session import prepare
 
 #: Rank file of the token queries; a parameter of the operators.
@@ -42,5 +42,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {query.__name__: query for query in (op2_decontaminate, op4_ngram_join, op8_quality, op9_bpe)}
+
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.is_held_out("doc_id", 7, 2)
+    tree, words = suffix_tree.train(docs.where(~held_out))
+    scored = suffix_tree.score(docs, tree, words)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {query.__name__: query for query in (op2_decontaminate, op4_ngram_join, op8_quality, op9_bpe, op10_suffix_tree)}
 ORACLE: dict[str, str] = {}
