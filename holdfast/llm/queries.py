@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, decontaminate, ngram_join, quality, suffix_tree
+from holdfast.llm import bpe, decontaminate, ngram_join, projection_dedup, quality, suffix_tree
 from holdfast.session import prepare
 
 #: Rank file of the token queries; a parameter of the operators.
@@ -27,6 +27,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     chain = quality.train(docs, labels.where(~quality.is_held_out("doc_id", 5, 0)))
@@ -52,5 +56,5 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {query.__name__: query for query in (op2_decontaminate, op4_ngram_join, op8_quality, op9_bpe, op10_suffix_tree)}
+QUERIES = {query.__name__: query for query in (op2_decontaminate, op4_ngram_join, op6_projection_dedup, op8_quality, op9_bpe, op10_suffix_tree)}
 ORACLE: dict[str, str] = {}
