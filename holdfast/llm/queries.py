@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, decontaminate, ngram_join, projection_dedup, quality, suffix_tree
+from holdfast.llm import bpe, decontaminate, html_region, ngram_join, projection_dedup, quality, suffix_tree
 from holdfast.session import prepare
 
 #: Rank file of the token queries; a parameter of the operators.
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_region.main_text(pages, html_region.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -56,5 +62,7 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {query.__name__: query for query in (op2_decontaminate, op4_ngram_join, op6_projection_dedup, op8_quality, op9_bpe, op10_suffix_tree)}
+QUERIES = {query.__name__: query for query in (
+    op1_html_region, op2_decontaminate, op4_ngram_join, op6_projection_dedup, op8_quality, op9_bpe, op10_suffix_tree,
+)}
 ORACLE: dict[str, str] = {}
