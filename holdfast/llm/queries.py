@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, decontaminate, html_region, ngram_join, projection_dedup, quality, suffix_tree
-from holdfast.session import prepare
+from holdfast.llm import bpe, decontaminate, html_region, ngram_join, projection_dedup, quality, separators, suffix_tree, warc
+from holdfast.session import prepare, scratch_dir
 
 #: Rank file of the token queries; a parameter of the operators.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The id of that vocabulary which no token has.
+END_OF_DOCUMENT = 50_256
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,28 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("items")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    records = warc.read_archive(spark, path, payloads=False).where("type IN ('response', 'revisit')")
+    return records.select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), warc.page_of("refers_to").alias("refers_to"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(spark, public_tokenizers.path(RANKS))
+    tokens = bpe.encode(_table(spark, sf_dir, "documents").select("text"), ranks, public_tokenizers.PATTERN)
+    path = scratch_dir(spark, "tokens")
+    separators.write_flat(tokens, path, END_OF_DOCUMENT)
+    found = separators.document_lengths(spark, path, END_OF_DOCUMENT)
+    return found.select(separators.file_number().alias("file"), "document", "begin", "n_tokens")
+
+
 def op6_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +83,6 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_html_region, op2_decontaminate, op4_ngram_join, op6_projection_dedup, op8_quality, op9_bpe, op10_suffix_tree,
+    op1_html_region, op2_decontaminate, op3_warc, op4_ngram_join, op5_separators, op6_projection_dedup, op8_quality, op9_bpe, op10_suffix_tree,
 )}
 ORACLE: dict[str, str] = {}
