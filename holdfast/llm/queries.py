@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, decontaminate, html_region, ngram_join, projection_dedup, quality, separators, suffix_tree, warc
+from holdfast.llm import bpe, decontaminate, html_region, line_align, ngram_join, projection_dedup, quality, separators, suffix_tree, warc
 from holdfast.session import prepare, scratch_dir
 
 #: Rank file of the token queries; a parameter of the operators.
@@ -57,6 +57,12 @@ def op6_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_line_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_align.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select(
+        "doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     chain = quality.train(docs, labels.where(~quality.is_held_out("doc_id", 5, 0)))
@@ -83,6 +89,6 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_html_region, op2_decontaminate, op3_warc, op4_ngram_join, op5_separators, op6_projection_dedup, op8_quality, op9_bpe, op10_suffix_tree,
+    op1_html_region, op2_decontaminate, op3_warc, op4_ngram_join, op5_separators, op6_projection_dedup, op7_line_align, op8_quality, op9_bpe, op10_suffix_tree,
 )}
 ORACLE: dict[str, str] = {}
