@@ -33,6 +33,8 @@ SHINGLE, PERCENT = 5, 80
 BUCKETS = 32
 #: Ids of repeated documents are broadcast up to this number (8 bytes each), else joined by an exchange.
 BROADCAST_IDS = 1 << 20
+#: Documents that a task handles at a time where each brings all its shingles.
+ROWS = 64
 #: Texts whose shingles travel as one row per bucket.
 SLICE = 16 << 20
 
@@ -148,10 +150,11 @@ def _prefixes(percent: int):
     """Order a document's shared shingles: the prefix, and all of them for verification."""
 
     def run(batches):
-        for batch in batches:
+        # Few rows at a time: a row holds all shared shingles of a document, in parts.
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             prefix, whole = [], []
             sizes, kept = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for n, k, parts in zip(sizes, kept, batch.column(3).to_pylist()):
+            for n, k, parts in zip(sizes, kept, (p.as_py() for p in batch.column(3))):
                 keys = np.concatenate([np.frombuffer(p["hashes"], np.uint32).astype(np.int64) | p["bucket"] << 32 for p in parts])
                 frequency = np.concatenate([np.frombuffer(p["frequencies"], np.uint32) for p in parts])
                 length = n + (-percent * n // 100) + 1 - (n - k)

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import bpe, decontaminate, html_region, line_align, ngram_join, projection_dedup, quality, separators, suffix_tree, warc
-from holdfast.session import prepare, scratch_dir
+from holdfast.llm.settings import bounded
+from holdfast.session import scratch_dir
 
 #: Rank file of the token queries; a parameter of the operators.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -16,7 +17,7 @@ END_OF_DOCUMENT = 50_256
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
