@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import bpe, decontaminate, line_align, ngram_join, quality
 from holdfast.llm.queries import RANKS
-from holdfast.session import materialize, prepare
+from holdfast.llm.settings import bounded
+from holdfast.session import materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject, scored by a model of the labelled rows among them."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = bounded(spark).read.parquet(f"{sf_dir}/labels.parquet")
     chain = quality.train(docs, labels.where(~quality.is_held_out("doc_id", 5, 0)))
     return quality.score(docs, chain).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
 
@@ -27,6 +28,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Texts that had no words before stay, and ``n_chars`` follows the text.
     """
+    bounded(spark)
     left = line_align.remove_repeats(docs)
     left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -35,17 +37,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id."""
+    bounded(spark)
     return ngram_join.first_of_each(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no ten words in a row with a benchmark item."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    return decontaminate.drop_contaminated(docs, bounded(spark).read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
-    return bpe.token_digests(docs, bpe.read_ranks(spark, public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+    return bpe.token_digests(docs, bpe.read_ranks(bounded(spark), public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -62,8 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after another, over the documents; what a stage returns is written and read again."""
-    prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return docs
