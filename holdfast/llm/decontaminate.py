@@ -67,12 +67,15 @@ def _block(ids: list[str], texts: list, window: int, k: int) -> Block:
     flat, at = flat[at[0] : at[-1]], at - at[0]
     starts, ends, first = tb.words(flat, at, tb.LETTERS)
     hashes, size = tb.word_hashes(flat, starts, ends), np.diff(first)
+    # Rows that repeat an id are one item with the windows of all of them.
+    index = {name: i for i, name in reversed(list(enumerate(ids)))}
+    item = np.array([index[name] for name in ids], np.int64)
     kept = {}
     for n in sorted({min(int(s), window) for s in size if s}):
         runs, valid = _grams(hashes, first, n)
         row = tb.row_of(first, len(hashes))[: len(runs)]
         take = valid & (size[row] >= window if n == window else size[row] == n)
-        pairs = np.unique(np.stack([runs[take], row[take].astype(np.uint64)]), axis=1)
+        pairs = np.unique(np.stack([runs[take], item[row[take]].astype(np.uint64)]), axis=1)
         keys, begin = np.unique(pairs[0], return_index=True)
         kept[n] = (keys, np.append(begin, pairs.shape[1]), pairs[1].astype(np.int64))
     prints = np.zeros(0, np.uint64)

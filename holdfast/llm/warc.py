@@ -142,7 +142,10 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
         name, colon, value = row.partition(b":")
         if not colon or not re.fullmatch(rb"[!-9;-~]+", name):
             raise Broken("bad header line")
-        head[name.decode().lower()] = value.strip().decode("utf-8", "replace")
+        key = name.decode().lower()
+        if key in head and key != "warc-concurrent-to":
+            raise Broken("header field stands twice")
+        head[key] = value.strip().decode("utf-8", "replace")
     if not re.fullmatch(r"\d{1,18}", head.get("content-length", "")):
         raise Broken("no content length")
     begin, end = stop + 4, stop + 4 + int(head["content-length"])
