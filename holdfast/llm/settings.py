@@ -1,16 +1,37 @@
-"""Session settings that the operators' memory bounds rest on."""
+"""Session settings that the operators' memory bounds rest on, and the package on the executors."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
+import holdfast
 from pyspark.sql import SparkSession
 
 from holdfast.session import prepare
 
 #: Bytes that go to a Python worker at a time, besides those of a single longer row.
 BATCH_BYTES = 8 << 20
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their functions import it, and keep what they cache."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(holdfast.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="holdfast-")) / "holdfast.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(archive))  # the driver serves it
+    _shipped.add(context.applicationId)
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """The engine's settings, and small batches between Spark and Python."""
+    """The engine's settings, small batches between Spark and Python, and the package on the executors."""
+    ship(spark)
     prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
