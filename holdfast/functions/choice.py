@@ -29,17 +29,3 @@ def first_match(cases, default: Column) -> Column:
         return default
     start = F.when(cases[0][0], cases[0][1])
     return reduce(lambda acc, case: acc.when(case[0], case[1]), cases[1:], start).otherwise(default)
-
-
-def slice_of(column: Column, bounds: list[float]) -> Column:
-    """Number of sorted bounds that are ``<=`` the value, as nested comparisons.
-
-    Balanced, so a value costs log2(len(bounds)) comparisons inside generated code.
-    """
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(column >= F.lit(bounds[middle]), search(middle + 1, high)).otherwise(search(low, middle))
-
-    return search(0, len(bounds))

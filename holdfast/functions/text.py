@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -49,9 +50,16 @@ def word_count(spaced: Column) -> Column:
 
 
 def term_count(spaced: Column, term: str) -> Column:
-    """Occurrences of a lower-case word in ``spaced_words``."""
-    without = F.replace(spaced, F.lit(f" {term} "), F.lit(""))
-    return ((F.char_length(spaced) - F.char_length(without)) / (len(term) + 2)).cast("long")
+    """Occurrences in ``spaced_words`` of a word, or of several words in a row, whatever stands between them.
+
+    The term is taken apart like a text: case and characters that are no part of a word do not count.
+    """
+    words = [w for w in re.split(r"[\W_]+", term.lower()) if w]
+    if not words:
+        raise ValueError(f"no word in the search term {term!r}")
+    sought = " " + "  ".join(words) + " "
+    without = F.replace(spaced, F.lit(sought), F.lit(""))
+    return ((F.char_length(spaced) - F.char_length(without)) / len(sought)).cast("long")
 
 
 def sections(text: Column) -> Column:

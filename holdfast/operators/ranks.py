@@ -14,14 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from holdfast.functions.choice import slice_of
 from holdfast.functions.rates import rows
+from holdfast.session import materialize
 
-# A value table up to this many rows (about 16 bytes each) is broadcast.
+# A value table up to this many rows (about 16 bytes each) is ranked by one task and broadcast.
 BROADCAST_VALUES = 400_000
 # Distinct values per slice when the value table is too big for one task.
 VALUES_PER_SLICE = 2_000_000
-MAX_SLICES = 1_024
 # A value is hot when more than 1/HOT_SHARE of the rows have it: at most HOT_SHARE such values.
 HOT_SHARE = 1_000
 HOT_SALTS = 256
@@ -29,29 +28,33 @@ HOT_SALTS = 256
 
 @dataclass
 class ValueTable:
-    """Distinct values with ``_ties`` (rows that have the value) and ``_before`` (rows ahead)."""
+    """Distinct values with ``_ties`` (rows that have the value) and ``_before`` (rows ahead).
+
+    The two ways to build and attach it differ in the plan, never in the rows.
+    """
 
     frame: DataFrame
     column: str
-    n_values: int | None
     n_rows: int | None
+    small: bool
     hot: list
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Add ``_ties`` and ``_before`` to every row of ``df``."""
         values = self.frame.withColumnRenamed(self.column, "_value")
-        if self.n_values is not None and self.n_values > BROADCAST_VALUES:
+        if not self.small:
             return self._attach_shuffled(df, values)
         return df.join(F.broadcast(values), df[self.column].eqNullSafe(values["_value"]), "left").drop("_value")
 
     def _attach_shuffled(self, df: DataFrame, values: DataFrame) -> DataFrame:
         # Rows of a hot value are spread over salts; its one table row is repeated per salt.
-        # The salt is the partition number: stable when a lost task is run again.
+        # The salt follows from the row, so it is the same when a lost task is run again.
         if self.hot:
-            hot_row = F.col(self.column).isin(self.hot)
-            salt = F.when(hot_row, F.pmod(F.spark_partition_id(), F.lit(HOT_SALTS))).otherwise(F.lit(0))
-            hot_value = F.col("_value").isin(self.hot)
-            salts = F.when(hot_value, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+            hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+            spread = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(HOT_SALTS)).cast("int")
+            salt = F.when(self._is_hot(F.col(self.column)), spread).otherwise(F.lit(0))
+            salts = F.when(self._is_hot(F.col("_value")), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(
+                F.array(F.lit(0)))
         else:
             salt, salts = F.lit(0), F.array(F.lit(0))
         left = df.withColumn("_salt", salt)
@@ -59,56 +62,63 @@ class ValueTable:
         on = left[self.column].eqNullSafe(right["_value"]) & (left["_salt"] == right["_value_salt"])
         return left.join(right, on, "left").drop("_value", "_salt", "_value_salt")
 
+    def _is_hot(self, value: Column) -> Column:
+        known = F.coalesce(value.isin([v for v in self.hot if v is not None]), F.lit(False))
+        return known | value.isNull() if None in self.hot else known
+
 
 def value_table(df: DataFrame, column: str, ascending: bool = True, domain_bound: int | None = None) -> ValueTable:
-    """Running counts over the distinct values of ``column``.
+    """Running counts over the distinct values of ``column``, which may have any type that has an order.
 
     ``domain_bound`` states that the column cannot have more distinct values than
     that (scores rounded to four places have 10,001), which saves the counting pass.
-    Without it the column must be numeric.
+    A column that breaks the promise is an error when the plan runs.
     """
-    direction = F.col(column).asc() if ascending else F.col(column).desc()
     ties = df.groupBy(column).agg(rows().alias("_ties"))
-    bounded = domain_bound is not None and domain_bound <= BROADCAST_VALUES
-    if bounded:
-        n_values, n_rows = None, None
-    else:
-        found = ties.agg(rows(), F.sum("_ties")).first()
-        n_values, n_rows = found[0], found[1] or 0
-    if bounded or n_values <= BROADCAST_VALUES:
-        before = F.sum("_ties").over(W.orderBy(direction).rowsBetween(W.unboundedPreceding, -1))
-        frame = ties.withColumn("_before", F.coalesce(before, F.lit(0)))
-        return ValueTable(frame, column, n_values, n_rows, [])
+    if domain_bound is not None and domain_bound <= BROADCAST_VALUES:
+        error = F.raise_error(F.lit(f"{column} has more than the {domain_bound} values that were promised"))
+        counted = ties.withColumn("_values", F.count("*").over(W.partitionBy()))
+        ties = counted.where(
+            F.when(F.col("_values") <= domain_bound, F.lit(True)).otherwise(error.cast("boolean"))).drop("_values")
+        return ValueTable(_running(ties, column, ascending), column, None, True, [])
+    # Written once: the counts, the slices and the ranks are read from it.
+    ties = materialize(ties, "values")
+    n_values, n_rows = ties.agg(rows(), F.sum("_ties")).first()
+    if n_values <= BROADCAST_VALUES:
+        return ValueTable(_running(ties, column, ascending), column, n_rows or 0, True, [])
     return _sliced_table(ties, column, ascending, n_values, n_rows)
 
 
-def _sliced_table(ties: DataFrame, column: str, ascending: bool, n_values: int, n_rows: int) -> ValueTable:
-    n_slices = min(MAX_SLICES, max(2, -(-n_values // VALUES_PER_SLICE)))
-    probabilities = [i / n_slices for i in range(1, n_slices)]
-    as_double = ties.select(F.col(column).cast("double").alias("_v"))
-    # At most MAX_SLICES numbers come to the driver. They only balance the slices: any bounds give exact ranks.
-    bounds = sorted(set(as_double.approxQuantile("_v", probabilities, 0.1 / n_slices)))
-    # Nulls sort before all values ascending, like Spark orders them.
-    slot = F.coalesce(slice_of(F.col(column).cast("double"), bounds), F.lit(-1))
-    sliced = ties.withColumn("_slice", F.when(F.col(column).isNull(), F.lit(-1)).otherwise(slot))
-
-    def ordered(name: str) -> Column:
-        return F.col(name).asc() if ascending else F.col(name).desc()
+def _ordered(name: str, ascending: bool) -> Column:
+    return F.col(name).asc() if ascending else F.col(name).desc()
+
 
+def _running(ties: DataFrame, column: str, ascending: bool) -> DataFrame:
+    before = F.sum("_ties").over(W.orderBy(_ordered(column, ascending)).rowsBetween(W.unboundedPreceding, -1))
+    return ties.withColumn("_before", F.coalesce(before, F.lit(0)))
+
+
+def _sliced_table(ties: DataFrame, column: str, ascending: bool, n_values: int, n_rows: int) -> ValueTable:
+    # The values are dealt out in ranges of their own type; the slice is written with them, so it stays what it is.
+    n_slices = max(2, -(-n_values // VALUES_PER_SLICE))
+    sliced = materialize(
+        ties.repartitionByRange(n_slices, _ordered(column, ascending)).withColumn("_slice", F.spark_partition_id()),
+        "slices",
+    )
+    # One row per slice.
     totals = sliced.groupBy("_slice").agg(F.sum("_ties").alias("_in_slice"))
+    ahead = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        F.col("_slice").alias("_offset_slice"),
-        F.coalesce(F.sum("_in_slice").over(W.orderBy(ordered("_slice")).rowsBetween(W.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_offset"),
-    )
-    inside = W.partitionBy("_slice").orderBy(ordered(column)).rowsBetween(W.unboundedPreceding, -1)
+        F.col("_slice").alias("_offset_slice"), F.coalesce(F.sum("_in_slice").over(ahead), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy("_slice").orderBy(_ordered(column, ascending)).rowsBetween(W.unboundedPreceding, -1)
     frame = (
-        sliced.join(F.broadcast(offsets), F.col("_slice") == F.col("_offset_slice"))
+        sliced.join(offsets, F.col("_slice") == F.col("_offset_slice"))
         .withColumn("_before", F.col("_offset") + F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
         .select(column, "_ties", "_before")
     )
+    # At most HOT_SHARE values, NULL among them.
     hot = [r[0] for r in ties.where(F.col("_ties") > n_rows / HOT_SHARE).select(column).collect()]
-    return ValueTable(frame, column, n_values, n_rows, [v for v in hot if v is not None])
+    return ValueTable(frame, column, n_rows, False, hot)
 
 
 def global_rank(

@@ -23,8 +23,10 @@ from holdfast.session import materialize
 # The helpers below travel inside the task's closure, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Questions are held by every task. More than this is refused, not cut.
-MAX_QUESTIONS = 4_096
+# Questions that every task holds at a time; more are searched in several passes over the notes.
+BLOCK_QUESTIONS = 4_096
+# Distances of one step: notes times questions.
+STEP_CELLS = 1 << 22
 DISTANCE_PLACES = 6
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -38,38 +40,67 @@ def vector_topk(
 
     Each task multiplies its Arrow batches with the question matrix and keeps only its
     own best ``k`` per question, so no (question, note) pair beyond those leaves a task.
-    Distances are rounded before they are compared; the note id breaks ties.
+    Distances are rounded before they are compared; the note id breaks ties.  Questions
+    come in blocks of ``BLOCK_QUESTIONS``, each a pass over the notes of its own.
+
+    Notes and questions without a vector are left out.  A vector of another length than
+    the first question's, or with a NULL in it, is an error.
     """
-    asked = questions.select(question_id, vector).limit(MAX_QUESTIONS + 1).collect()
-    if len(asked) > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} questions: search them in several calls")
-    ids = [r[0] for r in asked]
-    matrix = np.array([r[1] for r in asked], dtype=np.float64).reshape(len(ids), -1)
+    asked = questions.select(question_id, vector).where(F.col(vector).isNotNull())
     result = T.StructType([
         T.StructField("question_id", questions.schema[question_id].dataType),
         T.StructField("note_id", notes.schema[note_id].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
+    local, size = None, None
+    for ids, vectors in _blocks(asked):
+        size = size if size is not None else len(vectors[0])
+        if any(len(v) != size or None in v for v in vectors):
+            raise ValueError(f"a question's vector has not {size} numbers")
+        found = _search_block(notes, note_id, vector, ids, np.array(vectors, dtype=np.float64), k, result)
+        local = found if local is None else local.unionByName(found)
+    if local is None:
+        local = notes.sparkSession.createDataFrame([], result)
+    order = [F.asc("distance"), F.asc("note_id")]
+    top = topk_per_key(local, ["question_id"], order, k, "position")
+    by_distance = W.partitionBy("question_id").orderBy("distance")
+    return top.withColumn("vector_rank", F.rank().over(by_distance)).drop("position")
+
+
+def _blocks(asked: DataFrame) -> Iterator[tuple[list, list]]:
+    """The questions, a bounded block at a time."""
+    ids, vectors = [], []
+    for row in asked.toLocalIterator():
+        ids.append(row[0])
+        vectors.append(row[1])
+        if len(ids) == BLOCK_QUESTIONS:
+            yield ids, vectors
+            ids, vectors = [], []
+    if ids:
+        yield ids, vectors
+
+
+def _search_block(
+    notes: DataFrame, note_id: str, vector: str, ids: list, matrix: np.ndarray, k: int, result: T.StructType
+) -> DataFrame:
     arrow = to_arrow_schema(result)
     shared = notes.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, wanted = shared.value
-        best = None
+        best, step = None, max(1, STEP_CELLS // len(names))
         for batch in batches:
-            if batch.num_rows:
-                best = _keep_nearest(best, batch, wanted, k)
-        if best is not None and names:
+            for i in range(0, batch.num_rows, step):
+                best = _keep_nearest(best, batch.slice(i, step), wanted, k)
+        if best is not None:
             yield _nearest_batch(best, names, arrow)
 
-    local = (
-        notes.where(F.col(vector).isNotNull()).select(F.col(note_id).alias("note_id"), F.col(vector).alias("v"))
-        .mapInArrow(nearest, result)
-    )
-    order = [F.asc("distance"), F.asc("note_id")]
-    top = topk_per_key(local, ["question_id"], order, k, "position")
-    by_distance = W.partitionBy("question_id").orderBy("distance")
-    return top.withColumn("vector_rank", F.rank().over(by_distance)).drop("position")
+    v = F.col(vector)
+    whole = (F.size(v) == matrix.shape[1]) & ~F.exists(v, lambda x: x.isNull())
+    error = F.raise_error(F.lit(f"a note's vector has not {matrix.shape[1]} numbers")).cast(notes.schema[vector].dataType)
+    checked = notes.where(v.isNotNull()).select(
+        F.col(note_id).alias("note_id"), F.when(whole, v).otherwise(error).alias("v"))
+    return checked.mapInArrow(nearest, result)
 
 
 def _keep_nearest(best, batch: pa.RecordBatch, wanted: np.ndarray, k: int):
@@ -116,7 +147,7 @@ def keyword_topk(
     # The counts, a few numbers per note, are read twice; the texts are read once.
     counted = materialize(worded.select(
         "note_id", word_count(F.col("_spaced")).alias("_words"),
-        *[term_count(F.col("_spaced"), term.lower()).alias(f"_tf{i}") for i, term in enumerate(terms)],
+        *[term_count(F.col("_spaced"), term).alias(f"_tf{i}") for i, term in enumerate(terms)],
     ), "word_counts")
     corpus = counted.agg(
         rows().alias("_n"), F.sum("_words").alias("_all_words"),
@@ -137,10 +168,15 @@ def keyword_topk(
     return ranked.withColumn("text_rank", F.rank().over(W.orderBy(F.desc("score"))))
 
 
-def hybrid_rrf(vector_hits: DataFrame, text_hits: DataFrame, k: int = 5, offset: int = rules.RRF_OFFSET) -> DataFrame:
+def hybrid_rrf(
+    vector_hits: DataFrame, text_hits: DataFrame, questions: DataFrame | None = None, k: int = 5,
+    offset: int = rules.RRF_OFFSET, notes: DataFrame | None = None, note_id: str = "note_id", text: str = "text",
+) -> DataFrame:
     """Reciprocal rank fusion of the two lists of each question; a missing leg adds nothing.
 
-    The keyword list does not depend on the question, so it is repeated for each.
+    The keyword list does not depend on the question, so it is repeated for each.  ``questions``
+    (``question_id``) names those that may have no vector hit.  With ``notes`` the result has
+    their ``note_text``.
     """
     def as_map(rank: str):  # note -> rank; a list has one short leg, so the map is small
         return F.map_from_entries(F.collect_list(F.struct("note_id", rank)))
@@ -149,8 +185,11 @@ def hybrid_rrf(vector_hits: DataFrame, text_hits: DataFrame, k: int = 5, offset:
         return F.coalesce(1.0 / (F.lit(float(offset)) + F.col(rank)), F.lit(0.0))
 
     by_vector = vector_hits.groupBy("question_id").agg(as_map("vector_rank").alias("_v"))
+    if questions is not None:
+        by_vector = questions.select("question_id").distinct().join(by_vector, "question_id", "left")
     by_text = text_hits.agg(as_map("text_rank").alias("_t"))
-    either = F.explode(F.array_union(F.map_keys("_v"), F.map_keys("_t")))
+    found = F.coalesce(F.map_keys("_v"), F.array().cast(f"array<{text_hits.schema['note_id'].dataType.simpleString()}>"))
+    either = F.explode(F.array_union(found, F.map_keys("_t")))
     fused = (
         by_vector.crossJoin(F.broadcast(by_text)).select("question_id", "_v", "_t", either.alias("note_id"))
         .select(
@@ -159,7 +198,10 @@ def hybrid_rrf(vector_hits: DataFrame, text_hits: DataFrame, k: int = 5, offset:
         )
         .withColumn("rrf_score", F.round(share("vector_rank") + share("text_rank"), 8))
     )
-    return topk_per_key(fused, ["question_id"], [F.desc("rrf_score"), F.asc("note_id")], k)
+    top = topk_per_key(fused, ["question_id"], [F.desc("rrf_score"), F.asc("note_id")], k)
+    if notes is None:
+        return top
+    return top.join(notes.select(F.col(note_id).alias("note_id"), F.col(text).alias("note_text")), "note_id", "left")
 
 
 def chunk_corpus(documents: DataFrame, doc_id: str, text: str, max_chars: int = 1_200) -> DataFrame:

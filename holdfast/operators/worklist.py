@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from holdfast import rules
 from holdfast.functions.rates import count_true, rows
-from holdfast.operators.ranks import BROADCAST_VALUES, global_position, global_rank, value_table
+from holdfast.operators.ranks import global_position, global_rank, value_table
 from holdfast.session import materialize
 
 SCORE_DOMAIN = 10_001  # scores in [0, 1] rounded to four places
@@ -106,7 +106,7 @@ def case_open(scores: DataFrame, agents: DataFrame) -> DataFrame:
     placed = global_position(critical, "churn_score", "customer_id", "_place", domain_bound=SCORE_DOMAIN)
     numbered = value_table(agents.select("agent_id"), "agent_id")
     slots = numbered.frame.select(F.col("agent_id").alias("assigned_agent_id"), F.col("_before").alias("_slot"))
-    if numbered.n_values <= BROADCAST_VALUES:  # few agents: a shuffle on the slot would have few partitions
+    if numbered.small:  # few agents: a shuffle on the slot would have few partitions
         slots = F.broadcast(slots)
     return (
         placed.withColumn("_slot", F.pmod("_place", F.lit(max(1, numbered.n_rows))))

@@ -53,10 +53,9 @@ def _unlabeled_filter(spark, sf):
 
 def _questions(spark, sf):
     """One question per label: the embedding of the label's first note."""
-    first = F.min(F.struct("vec_id", "embedding")).alias("first")
-    return star.table(spark, sf, "embeddings").groupBy(F.col("label").alias("question_id")).agg(first).select(
-        "question_id", "first.embedding"
-    )
+    vectors = star.table(spark, sf, "embeddings")
+    first = vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    return vectors.join(first, ["label", "vec_id"], "left_semi").select(F.col("label").alias("question_id"), "embedding")
 
 
 def _vector_hits(spark, sf):
@@ -69,8 +68,11 @@ def _text_hits(spark, sf):
 
 
 def _hybrid(spark, sf):
-    """Fused lists; rank 0 says that the note is not in that leg."""
-    return search.hybrid_rrf(_vector_hits(spark, sf), _text_hits(spark, sf)).fillna(0, ["vector_rank", "text_rank"])
+    """Fused lists with the notes' texts, also for a question that has no vector; rank 0: not in that leg."""
+    asked = _questions(spark, sf).select("question_id").unionByName(spark.createDataFrame([(-1,)], "question_id int"))
+    fused = search.hybrid_rrf(
+        _vector_hits(spark, sf), _text_hits(spark, sf), asked, notes=star.table(spark, sf, "documents"), note_id="doc_id")
+    return fused.fillna(0, ["vector_rank", "text_rank"])
 
 
 def _replies(spark, sf):
@@ -188,13 +190,13 @@ ORACLE = {
     "keyword_topk": _bm25_sql(),
     "hybrid_rrf": f"""
         WITH v AS ({_VECTOR_SQL}), t AS ({_bm25_sql()}),
-             tq AS (SELECT question_id, note_id, text_rank FROM t, (SELECT DISTINCT question_id FROM v))
-        SELECT question_id, note_id, COALESCE(vector_rank, 0) AS vector_rank, COALESCE(text_rank, 0) AS text_rank, rrf_score,
+             tq AS (SELECT question_id, note_id, text_rank FROM t, (SELECT DISTINCT question_id FROM v UNION SELECT -1))
+        SELECT question_id, note_id, text AS note_text, COALESCE(vector_rank, 0) AS vector_rank, COALESCE(text_rank, 0) AS text_rank, rrf_score,
                ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY rrf_score DESC, note_id) AS position
         FROM (SELECT COALESCE(v.question_id, tq.question_id) AS question_id, COALESCE(v.note_id, tq.note_id) AS note_id,
                      vector_rank, text_rank,
                      round(COALESCE(1.0 / CAST(60 + vector_rank AS DOUBLE), 0) + COALESCE(1.0 / CAST(60 + text_rank AS DOUBLE), 0), 8) AS rrf_score
-              FROM v FULL JOIN tq ON v.question_id = tq.question_id AND v.note_id = tq.note_id)
+              FROM v FULL JOIN tq ON v.question_id = tq.question_id AND v.note_id = tq.note_id) LEFT JOIN documents ON doc_id = note_id
         QUALIFY position <= 5""",
     "chunk_corpus": f"""
         WITH marked AS (SELECT doc_id, regexp_replace(text, '\\n(#{{1,6}} )', chr(10) || chr(10) || '\\1', 'g') AS t FROM documents),

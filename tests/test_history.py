@@ -59,6 +59,26 @@ def test_hot_keys_are_sliced_with_the_same_result(spark):
     assert sorted(map(tuple, scd2(feed, max_changes=50).collect()), key=repr) == plain
 
 
+def test_sequences_of_text(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "k"]), f"0/{i:08X}", at(i), "update", str(i)) for i in range(400)]
+    feed = spark.createDataFrame(rows, FEED.replace("lsn int", "lsn string")).repartition(5)
+    plain = sorted(map(tuple, scd2(feed).collect()))
+    assert sorted(map(tuple, scd2(feed, max_changes=60).collect())) == plain and len(plain) == 400
+
+
+def test_before_images_are_left_out(spark):
+    rows = [("a", 1, at(1), "insert", "one"), ("a", 2, at(2), "update_preimage", "one"), ("a", 2, at(2), "update_postimage", "two")]
+    got = sorted(map(tuple, scd2(spark.createDataFrame(rows, FEED)).collect()))
+    assert got == [("a", 1, "one", at(1), at(2), False), ("a", 2, "two", at(2), None, True)]
+
+
+def test_latest_row_with_a_map(spark):
+    frame = spark.createDataFrame([("a", 1, {"x": "1"}), ("a", 2, {"x": "2"}), ("b", 1, None)], "k string, t int, _extra map<string,string>")
+    got = sorted((r.k, r.t, r._extra) for r in history.dedupe_latest(frame, ["k"], ["t"]).collect())
+    assert got == [("a", 2, {"x": "2"}), ("b", 1, None)]
+
+
 def test_intervals_of_a_key_do_not_overlap(spark):
     rng = random.Random(6)
     feed = spark.createDataFrame([(f"k{rng.randint(0, 5)}", i, at(i), "update", str(i)) for i in range(300)], FEED)

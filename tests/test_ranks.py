@@ -55,6 +55,25 @@ def test_rank_pct_is_the_mean_rank(spark, path, shape):
         assert (got[i] is None) if pd.isna(p) else got[i] == pytest.approx(p, abs=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "bigint", "decimal(20,3)", "timestamp"])
+@pytest.mark.parametrize("ascending", [True, False])
+def test_every_type_ranks_alike(spark, path, kind, ascending):
+    rng = random.Random(3)
+    codes = [None if rng.random() < 0.4 else rng.randint(0, 90) for _ in range(300)]
+    text = {"string": "concat('AGT-', lpad(v, 4, '0'))", "date": "date_add(date '2024-01-01', v)", "timestamp": "timestamp_seconds(v)"}
+    frame = _frame(spark, codes, "int").selectExpr("id", f"{text.get(kind, f'CAST(v AS {kind})')} AS v")
+    got = {r.id: r["rank"] for r in ranks.global_rank(frame, "v", ascending=ascending).collect()}
+    frame.createOrReplaceTempView("typed_values")
+    direction = "ASC" if ascending else "DESC"
+    assert got == {r.id: r.k for r in spark.sql(f"SELECT id, RANK() OVER (ORDER BY v {direction}) k FROM typed_values").collect()}
+
+
+def test_a_broken_domain_bound_is_an_error(spark):
+    frame = _frame(spark, _values("plain"))
+    with pytest.raises(Exception, match="promised"):
+        ranks.global_rank(frame, "v", domain_bound=5).collect()
+
+
 def test_domain_bound_gives_the_same(spark):
     frame = _frame(spark, [round(v, 1) for v in _values("hot value")])
     a = sorted(map(tuple, ranks.rank_pct(frame, "v").collect()))

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from holdfast.functions.choice import first_match, lookup, order_in, slice_of
+from holdfast.functions.choice import first_match, lookup, order_in
 from holdfast.functions.rates import count_true, exact_mean, exact_sum, rate, ratio, share_pct
 from holdfast.operators.rolling import fill_days, rolling_rate
 from holdfast.registry.sql import half_up
@@ -41,15 +41,6 @@ def test_conditions_that_are_null_count_as_no(spark):
     assert frame.agg(count_true(F.col("b")), count_true(~F.col("b"))).first() == (1, 1)
 
 
-@settings(max_examples=15, deadline=None)
-@given(bounds=st.lists(st.floats(-100, 100), max_size=40, unique=True), values=st.lists(st.floats(-150, 150), min_size=1, max_size=20))
-def test_slices(spark, bounds, values):
-    bounds = sorted(bounds)
-    frame = spark.createDataFrame([(v,) for v in values], "v double")
-    got = [(r.v, r.s) for r in frame.select("v", slice_of(F.col("v"), bounds).alias("s")).collect()]
-    assert got == [(v, sum(b <= v for b in bounds)) for v in values]
-
-
 def test_choices(spark):
     frame = spark.createDataFrame([("a",), ("z",), (None,)], "k string")
     rows = frame.select(

@@ -119,9 +119,30 @@ def test_vectors_against_brute_force(spark, monkeypatch):
         best = sorted((float(x), i) for i, x in enumerate(d))[:20]
         want += [(q, x, i, 1 + sum(y < x for y, _ in best)) for x, i in best]
     assert [(g[0], pytest.approx(g[1], abs=1.1e-6), *g[2:]) for g in got] == sorted(want)
-    monkeypatch.setattr(search, "MAX_QUESTIONS", 1)
+    monkeypatch.setattr(search, "BLOCK_QUESTIONS", 1)  # several passes give the same
+    again = search.vector_topk(frame, questions, 20).select("question_id", "distance", "note_id", "vector_rank")
+    assert sorted(map(tuple, again.collect())) == got
+    assert search.vector_topk(frame, questions.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("bad", [[1.0], [1.0, 2.0, 3.0], [None, 1.0]])
+def test_vectors_of_another_length_are_refused(spark, bad):
+    schema = "id int, embedding array<double>"
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], schema).withColumnRenamed("id", "question_id")
+    notes_ = spark.createDataFrame([(1, [1.0, 0.0]), (2, bad), (3, [0.0, 1.0])], schema).withColumnRenamed("id", "note_id")
+    with pytest.raises(Exception, match="has not 2 numbers"):
+        search.vector_topk(notes_, asked).collect()
+    wrong = asked.unionByName(spark.createDataFrame([(2, bad)], schema).withColumnRenamed("id", "question_id"))
     with pytest.raises(ValueError):
-        search.vector_topk(frame, questions)
+        search.vector_topk(notes_.where("note_id <> 2"), wrong)
+
+
+def test_terms_of_several_words(spark):
+    frame = texts(spark, ["Port out, please", "port-out port out", "out port", "report outs"]).withColumnRenamed("id", "note_id")
+    assert sorted(r.note_id for r in search.keyword_topk(frame, ["port out"]).collect()) == [0, 1]
+    assert sorted(r.note_id for r in search.keyword_topk(frame, ["Port  OUT!"]).collect()) == [0, 1]
+    with pytest.raises(ValueError):
+        search.keyword_topk(frame, ["!"])
 
 
 def test_keywords_against_brute_force(spark):
@@ -150,11 +171,22 @@ def test_hybrid_joins_both_lists(spark):
     by_vector = spark.createDataFrame([("q", n, 0.1, r) for n, r in [(1, 1), (2, 2), (3, 2)]],
                                       "question_id string, note_id int, distance double, vector_rank int")
     by_text = spark.createDataFrame([(3, 2.0, 1), (9, 1.0, 2)], "note_id int, score double, text_rank int")
-    rows = [(r.note_id, r.vector_rank, r.text_rank, r.rrf_score) for r in search.hybrid_rrf(by_vector, by_text, 4).orderBy("position").collect()]
+    rows = [(r.note_id, r.vector_rank, r.text_rank, r.rrf_score) for r in search.hybrid_rrf(by_vector, by_text, k=4).orderBy("position").collect()]
     assert rows == [(3, 2, 1, round(1 / 62 + 1 / 61, 8)), (1, 1, None, round(1 / 61, 8)), (2, 2, None, round(1 / 62, 8)),
                     (9, None, 2, round(1 / 62, 8))]
 
 
+def test_hybrid_keeps_questions_without_a_vector(spark):
+    by_vector = spark.createDataFrame([("q", 1, 0.1, 1)], "question_id string, note_id int, distance double, vector_rank int")
+    by_text = spark.createDataFrame([(3, 2.0, 1)], "note_id int, score double, text_rank int")
+    asked = spark.createDataFrame([("q",), ("r",)], "question_id string")
+    notes_ = spark.createDataFrame([(1, "one"), (3, "three")], "note_id int, text string")
+    rows = search.hybrid_rrf(by_vector, by_text, asked, notes=notes_).collect()
+    assert sorted((r.question_id, r.note_id, r.note_text) for r in rows) == [("q", 1, "one"), ("q", 3, "three"), ("r", 3, "three")]
+    nothing = search.hybrid_rrf(by_vector.limit(0), by_text, asked).collect()
+    assert sorted((r.question_id, r.note_id) for r in nothing) == [("q", 3), ("r", 3)]
+
+
 def test_null_to_zero(spark):
     frame = spark.createDataFrame([("1.5",), ("abc",), (None,), ("",), ("-2e3",)], "v string")
     assert [r[0] for r in frame.select(null_to_zero(F.col("v"))).collect()] == [1.5, 0.0, 0.0, 0.0, -2000.0]
