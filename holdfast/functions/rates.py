@@ -33,6 +33,11 @@ def exact_sum(column: Column, scale: int = 2) -> Column:
     return F.sum(column.cast(f"decimal(18,{scale})")).cast("double")
 
 
+def exact_total(column: str, scale: int = 4) -> Column:
+    """Sum of a measure in DECIMAL, which can be added up further in any order."""
+    return F.sum(F.col(column).cast(f"decimal(18,{scale})"))
+
+
 def exact_mean(column: Column, places: int) -> Column:
     """Mean of values rounded to ``places``; the sum is taken in DECIMAL, so row order cannot matter."""
     return exact_sum(column, places) / F.count(column)

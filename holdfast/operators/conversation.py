@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from holdfast import rules, schemas
 from holdfast.operators.ranks import topk_per_key
 
-ROUTING_MARKER = r"(?s)^\s*<name>.*</name>\s*$"
 WHITESPACE_ENDS = r"(?U)^\s+|\s+$"
 
 
@@ -27,7 +26,7 @@ def final_answer(payload: Column) -> Column:
 
     messages = F.filter(F.coalesce(parsed["output"], F.array()), lambda item: item["type"] == "message")
     texts = F.filter(
-        F.transform(messages, message_text), lambda t: (t != "") & ~t.rlike(ROUTING_MARKER)
+        F.transform(messages, message_text), lambda t: (t != "") & ~t.rlike(rules.ROUTING_MARKER)
     )
     # ``content`` counts only when it is a JSON string, not an object or a list.
     variant = F.try_parse_json(payload)
@@ -63,12 +62,13 @@ def conversation_index(
     messages: DataFrame, conversation: str, order: str, length: int = rules.TITLE_LENGTH,
     owner: list[str] | None = None,
 ) -> DataFrame:
-    """Conversations with the title taken from the first user message, newest first."""
+    """Conversations with the title taken from the first user message, newest first, and by owner where there is one."""
     trimmed = F.regexp_replace("text", WHITESPACE_ENDS, "")
     title = F.substring(trimmed, 1, min(length, rules.TITLE_STORE_LENGTH))
-    asked = F.when((F.col("role") == "user") & (trimmed != ""), F.struct(order, title.alias("title")))
+    asked = F.when((F.col("role") == "user") & (trimmed != ""), F.col(order))
     return (
         messages.groupBy(*(owner or []), conversation)
-        .agg(F.min(asked).alias("_first"), F.count(F.lit(1)).alias("n_messages"), F.max(order).alias("last_message"))
-        .select(*(owner or []), conversation, F.col("_first.title").alias("title"), "n_messages", "last_message")
+        .agg(F.min_by(title, asked).alias("title"), F.count(F.lit(1)).alias("n_messages"), F.max(order).alias("last_message"))
+        .select(*(owner or []), conversation, "title", "n_messages", "last_message")
+        .orderBy(*(owner or []), F.desc("last_message"), conversation)
     )

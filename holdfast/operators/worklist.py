@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,37 +67,85 @@ def case_status_priority(cases: DataFrame) -> DataFrame:
     )
 
 
-def action_state(events: DataFrame, key: str, kind: str, at: str, sequence: str) -> DataFrame:
+_STEPS = ("proposed", "approved", "corrected", "rejected", "committed")
+
+
+def _position(at: str, sequence: str, kind: str) -> Column:
+    """Time, sequence and kind of an event as one number, so that a running maximum needs no sort.
+
+    The time is in microseconds, the sequence a whole number from 0 below 10**18.
+    """
+    time = F.unix_micros(F.col(at).cast("timestamp")).cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
+    code = F.coalesce(*[F.when(F.col(kind) == k, F.lit(i)) for i, k in enumerate(_STEPS)], F.lit(len(_STEPS)))
+    return (time + F.col(sequence).cast("decimal(18,0)") * 10 + code).cast("decimal(38,0)")
+
+
+def _kind_at(position: str) -> Column:
+    names = F.array(*[F.lit(k) for k in _STEPS], F.lit(None).cast("string"))
+    return F.element_at(names, (F.col(position) % 10).cast("int") + 1)
+
+
+def action_state(
+    events: DataFrame, key: str, kind: str, at: str, sequence: str, offer: str | None = None, actor: str | None = None,
+    constant: Sequence[str] = (),
+) -> DataFrame:
     """Fold proposed / approved / corrected / rejected / committed events into one row per action.
 
     Only running minima, maxima and counts are kept, so the fold combines before the
     exchange and a busy action needs no sorting.  ``is_valid`` is false where an action
     was decided before it was proposed, committed without a decision, or both rejected
-    and committed.
+    and committed.  ``constant`` are numeric columns that all events of an action share
+    (case, customer).  With ``offer`` and ``actor`` the row has ``proposed_offer_id`` (of the
+    first proposal), ``approver`` (of the last decision) and ``final_offer_id``: the decision's
+    offer if it was corrected, none if it was rejected, else the proposed one.
     """
+    events = events.withColumn("_position", _position(at, sequence, kind))
+
     def first(state: str) -> Column:
         return F.min(F.when(F.col(kind) == state, F.col(at)))
 
     decided = F.col(kind).isin("approved", "corrected", "rejected")
     folded = events.groupBy(key).agg(
         rows().alias("n_events"),
+        *[F.max(c).alias(c) for c in constant],
         first("proposed").alias("proposed_at"),
         F.min(F.when(decided, F.col(at))).alias("decided_at"),
-        F.max(F.when(decided, F.struct(at, sequence, F.col(kind).alias("status")))).alias("_decision"),
         first("rejected").alias("rejected_at"),
         first("committed").alias("committed_at"),
-        F.max(F.struct(at, sequence, F.col(kind).alias("status"))).alias("_last"),
+        F.min(F.when(F.col(kind) == "proposed", F.col("_position"))).alias("_proposal"),
+        F.max(F.when(decided, F.col("_position"))).alias("_decision"),
+        F.max("_position").alias("_last"),
     )
-    approval = F.coalesce(F.col("_decision.status"), F.lit("proposed"))
+    approval = F.coalesce(_kind_at("_decision"), F.lit("proposed"))
     before_proposal = F.col("proposed_at").isNull() | (F.col("decided_at") < F.col("proposed_at"))
     undecided = F.col("committed_at").isNotNull() & (
         F.col("decided_at").isNull() | (F.col("committed_at") < F.col("decided_at"))
     )
     contradictory = F.col("committed_at").isNotNull() & F.col("rejected_at").isNotNull()
     broken = F.coalesce(before_proposal, F.lit(False)) | undecided | contradictory
-    return folded.select(
-        key, "n_events", approval.alias("approval_status"), F.col("_last.status").alias("last_event"),
-        "proposed_at", "decided_at", "committed_at", (~broken).alias("is_valid"),
+    state = folded.select(
+        key, *constant, "n_events", approval.alias("approval_status"), _kind_at("_last").alias("last_event"),
+        "proposed_at", "decided_at", "committed_at", (~broken).alias("is_valid"), "_proposal", "_decision",
+    )
+    if offer is not None:
+        chosen = events.where(F.col(kind) == "proposed").select(
+            key, F.col("_position").alias("_proposal"), F.col(offer).alias("proposed_offer_id"))
+        state = state.join(chosen, [key, "_proposal"], "left")
+        own = [F.col(offer).alias("_own")] + ([F.col(actor).alias("approver")] if actor is not None else [])
+        state = state.join(
+            events.where(decided).select(key, F.col("_position").alias("_decision"), *own), [key, "_decision"], "left")
+        final = F.when(F.col("approval_status") == "corrected", F.col("_own")).when(
+            F.col("approval_status") != "rejected", F.col("proposed_offer_id"))
+        state = state.withColumn("final_offer_id", final).drop("_own")
+    return state.drop("_proposal", "_decision")
+
+
+def committed_offers(state: DataFrame, key: str) -> DataFrame:
+    """The offers that committed actions put before customers, with the moment of the commit."""
+    done = state.where(F.col("committed_at").isNotNull() & F.col("final_offer_id").isNotNull())
+    return done.select(
+        key, "customer_id", F.col("final_offer_id").alias("offer_id"), F.col("committed_at").alias("presented_at"),
+        F.lit("Presented").alias("outcome"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from holdfast import rules
-from holdfast.functions.rates import count_true, exact_mean, rate, ratio, rows, share_pct
+from holdfast.functions.rates import count_true, exact_mean, exact_total, rate, ratio, rows, share_pct
 from holdfast.operators.ranks import global_rank
 from holdfast.operators.rolling import fill_days as add_missing_days
 from holdfast.operators.rolling import trailing
@@ -72,7 +72,7 @@ def _counts(calls: DataFrame, *keys, **more: Column) -> DataFrame:
 
 
 def _handled() -> dict[str, Column]:
-    return {"handle_time_sum": F.sum("handle_time_min"), "handled_calls": F.count("handle_time_min")}
+    return {"handle_time_sum": exact_total("handle_time_min"), "handled_calls": F.count("handle_time_min")}
 
 
 def _mean_handle_time() -> Column:

@@ -12,7 +12,7 @@ from holdfast.sources import star_tables as star
 from holdfast.sources.publish import publish_snapshot, publish_table, read_result, register_marts
 from holdfast.session import scratch_dir
 
-# Snapshots of customer activity: the year up to each of two dates.
+# Snapshots of customer activity: all orders up to each of two dates.
 SNAPSHOTS = ("1999-01-01", "1999-07-01")
 AS_OF = "2024-01-15 12:00:00"
 BASELINE_UNTIL = "1995-02-01"
@@ -35,11 +35,11 @@ def _dedupe_increment(spark, sf):
 
 
 def _activity(spark, sf, until: str):
-    """Orders and revenue of each customer in the year before a date."""
+    """Orders and revenue of each customer up to a date."""
     end = F.lit(until).cast("date")
     day = F.col("o_orderdate").cast("date")
     return (
-        star.table(spark, sf, "orders").where((day < end) & (day >= F.add_months(end, -12)))
+        star.table(spark, sf, "orders").where(day < end)
         .groupBy(F.col("o_custkey").alias("customer_id"))
         .agg(F.count(F.lit(1)).alias("n_orders"),
              F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("revenue"),
@@ -97,7 +97,9 @@ def _null_to_zero(spark, sf):
 
 
 def _action_state(spark, sf):
-    return worklist.action_state(star.action_events(spark, sf), "action_id", "event", "created_at", "event_id")
+    return worklist.action_state(
+        star.action_events(spark, sf), "action_id", "event", "created_at", "event_id", "offer_id", "actor",
+        ["case_id", "customer_id"])
 
 
 def _dataset_checks(spark, sf):
@@ -155,6 +157,7 @@ QUERIES = {
     "worklist_topn": lambda s, d: worklist.worklist_topn(ranked(s, d)),
     "refresh_event": lambda s, d: worklist.refresh_event(ranked(s, d)),
     "action_state": _action_state,
+    "committed_offers": lambda s, d: worklist.committed_offers(_action_state(s, d), "action_id"),
     "case_status_priority": lambda s, d: worklist.case_status_priority(star.cases(s, d)),
     "case_open": _case_open,
     "dedupe_increment": _dedupe_increment,
@@ -172,8 +175,7 @@ QUERIES = {
 
 _ACTIVITY = """SELECT o_custkey AS customer_id, COUNT(*) AS n_orders,
                       CAST(SUM(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS revenue, MAX(o_orderdate) AS last_order
-               FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '{0}'
-                 AND CAST(o_orderdate AS DATE) >= CAST(DATE '{0}' - INTERVAL 12 MONTH AS DATE) GROUP BY 1"""
+               FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '{0}' GROUP BY 1"""
 
 
 _SCD2 = """
@@ -197,6 +199,26 @@ def _rule(table: str, rule: str, count: str) -> str:
     return f"SELECT '{table}' AS table_name, '{rule}' AS rule, CAST(({count}) AS BIGINT) AS violations"
 
 
+_DECIDED = "event IN ('approved', 'corrected', 'rejected')"
+_ACTION_STATE = f"""
+    SELECT action_id, case_id, customer_id, n_events, COALESCE(decision, 'proposed') AS approval_status, last_event,
+           proposed_at, decided_at, committed_at, proposed_offer_id, approver,
+           CASE WHEN decision = 'corrected' THEN own WHEN COALESCE(decision, '') <> 'rejected' THEN proposed_offer_id END AS final_offer_id,
+           NOT (proposed_at IS NULL OR COALESCE(decided_at < proposed_at, FALSE)
+                OR (committed_at IS NOT NULL AND (decided_at IS NULL OR committed_at < decided_at))
+                OR (committed_at IS NOT NULL AND rejected_at IS NOT NULL)) AS is_valid
+    FROM (SELECT action_id, MAX(case_id) AS case_id, MAX(customer_id) AS customer_id, COUNT(*) AS n_events,
+                 MIN(created_at) FILTER (WHERE event = 'proposed') AS proposed_at,
+                 MIN(created_at) FILTER (WHERE {_DECIDED}) AS decided_at,
+                 MIN(created_at) FILTER (WHERE event = 'rejected') AS rejected_at,
+                 MIN(created_at) FILTER (WHERE event = 'committed') AS committed_at,
+                 FIRST(offer_id ORDER BY created_at, event_id) FILTER (WHERE event = 'proposed') AS proposed_offer_id,
+                 LAST(event ORDER BY created_at, event_id) AS last_event,
+                 LAST(event ORDER BY created_at, event_id) FILTER (WHERE {_DECIDED}) AS decision,
+                 LAST(offer_id ORDER BY created_at, event_id) FILTER (WHERE {_DECIDED}) AS own,
+                 LAST(actor ORDER BY created_at, event_id) FILTER (WHERE {_DECIDED}) AS approver
+          FROM action_events GROUP BY 1)"""
+
 ORACLE = {
     "worklist": whole("worklist"),
     "worklist_topn": query("SELECT * FROM worklist ORDER BY priority_rank, case_id LIMIT 10", "worklist"),
@@ -205,21 +227,10 @@ ORACLE = {
                    'v_retention_worklist' AS entity_id, 'system' AS actor,
                    '{{"flagged_needing_action":' || {count_if("needs_action")} || '}}' AS detail FROM worklist""", "worklist"
     ),
-    "action_state": query(
-        """SELECT action_id, n_events, COALESCE(decision, 'proposed') AS approval_status, last_event, proposed_at,
-                  decided_at, committed_at,
-                  NOT (proposed_at IS NULL OR COALESCE(decided_at < proposed_at, FALSE)
-                       OR (committed_at IS NOT NULL AND (decided_at IS NULL OR committed_at < decided_at))
-                       OR (committed_at IS NOT NULL AND rejected_at IS NOT NULL)) AS is_valid
-           FROM (SELECT action_id, COUNT(*) AS n_events,
-                        MIN(created_at) FILTER (WHERE event = 'proposed') AS proposed_at,
-                        MIN(created_at) FILTER (WHERE event IN ('approved', 'corrected', 'rejected')) AS decided_at,
-                        MIN(created_at) FILTER (WHERE event = 'rejected') AS rejected_at,
-                        MIN(created_at) FILTER (WHERE event = 'committed') AS committed_at,
-                        LAST(event ORDER BY created_at, event_id) AS last_event,
-                        LAST(event ORDER BY created_at, event_id)
-                          FILTER (WHERE event IN ('approved', 'corrected', 'rejected')) AS decision
-                 FROM action_events GROUP BY 1)""", "action_events"
+    "action_state": query(_ACTION_STATE, "action_events"),
+    "committed_offers": query(
+        f"""SELECT action_id, customer_id, final_offer_id AS offer_id, committed_at AS presented_at, 'Presented' AS outcome
+            FROM ({_ACTION_STATE}) WHERE committed_at IS NOT NULL AND final_offer_id IS NOT NULL""", "action_events"
     ),
     "case_status_priority": query(
         """SELECT status, priority, COUNT(*) AS cases, status IN ('Open', 'In Progress') AS is_open

@@ -153,7 +153,8 @@ CTES = {
                o_orderdate AS opened_at
         FROM orders""",
     "action_events": """
-        SELECT event_id // 4 AS action_id, event_id // 4 AS case_id, event_id, ts AS created_at,
+        SELECT event_id // 4 AS action_id, event_id // 4 AS case_id, event_id // 4 % 1000 AS customer_id,
+               event_id % 7 AS offer_id, 'user ' || user_id AS actor, event_id, ts AS created_at,
                CASE event_type WHEN 'click' THEN 'proposed' WHEN 'view' THEN 'approved' WHEN 'purchase' THEN 'committed'
                     WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'corrected' END AS event
         FROM events""",

@@ -16,23 +16,30 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# A task handles about this much of an exchange or a scan.
+# A task handles about this much of a scan (up to MAX_SCAN_BYTES on large inputs) and of an exchange.
 TASK_BYTES = 256 << 20
+MAX_SCAN_BYTES = 1 << 30
+EXCHANGE_BYTES = 1 << 30
+# Shuffle blocks (scan tasks times exchange partitions) that the drivers and disks bear.
+MAX_BLOCKS = 4_000_000_000
 
 _local_root: str | None = None
 
 
-def sized_for(input_bytes: int, cores: int) -> dict[str, str]:
-    """Session settings for an input size: enough exchange partitions that one fits in a task's memory.
+def sized_for(input_bytes: int, cores: int, exchanged: float = 0.25) -> dict[str, str]:
+    """Session settings for an input size: exchange partitions of about 1 GiB, within a bounded number of blocks.
 
-    The adaptive planner merges partitions that turn out small, but never splits one for
-    lack of partitions, so the number is set from the largest exchange (the input itself).
+    ``exchanged`` is the share of the input that the largest exchange carries: the marts exchange
+    aggregates of pruned columns.  The adaptive planner merges partitions that turn out small.
     """
-    partitions = max(2 * cores, -(-input_bytes // TASK_BYTES))
+    scan = min(MAX_SCAN_BYTES, max(TASK_BYTES, -(-input_bytes // 100_000)))
+    scan_tasks = max(1, -(-input_bytes // scan))
+    partitions = max(2 * cores, -(-int(input_bytes * exchanged) // EXCHANGE_BYTES))
+    partitions = max(1, min(partitions, MAX_BLOCKS // scan_tasks))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES // 2),
-        "spark.sql.files.maxPartitionBytes": str(TASK_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(scan),
     }
 
 

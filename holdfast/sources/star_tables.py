@@ -159,7 +159,8 @@ def action_events(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in ACTION_EVENTS.items()])
     return table(spark, folder, "events").select(
         F.expr("event_id div 4").alias("action_id"), kind.alias("event"), F.col("ts").alias("created_at"), "event_id",
-        F.expr("event_id div 4").alias("case_id"),
+        F.expr("event_id div 4").alias("case_id"), F.expr("event_id div 4 % 1000").alias("customer_id"),
+        (F.col("event_id") % 7).alias("offer_id"), F.concat(F.lit("user "), F.col("user_id")).alias("actor"),
     )
 
 

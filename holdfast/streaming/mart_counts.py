@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast import rules
-from holdfast.functions.rates import count_true, rows
+from holdfast.functions.rates import count_true, exact_total, rows
 from holdfast.plans import marts
 
 KEYS = ["agent_id", "call_topic", "offer_id", "competitor_id", "call_date"]
@@ -34,7 +34,7 @@ def partial_counts(calls: DataFrame, disconnect_topics=rules.DISCONNECT_TOPICS)
         count_true(F.col("competitor_mentioned")).alias("competitor_mentions"),
         count_true(F.col("offer_accepted")).alias("accepted"),
         count_true(F.col("call_topic").isin(*disconnect_topics)).alias("disconnect_intent_calls"),
-        F.sum("handle_time_min").alias("handle_time_sum"),
+        exact_total("handle_time_min").alias("handle_time_sum"),
         F.count("handle_time_min").alias("handled_calls"),
     )
     return counted.withColumn("grain", _grain(F.col("_set"))).drop("_set")

@@ -68,6 +68,26 @@ def test_action_state(spark):
     assert rows[1].last_event == "committed" and rows[1].committed_at == at(2)
 
 
+def test_actions_with_offers(spark):
+    events = spark.createDataFrame(
+        [(1, "proposed", at(1), 1, 10, "a", 7), (1, "corrected", at(2), 2, 11, "b", 7), (1, "committed", at(3), 3, 99, "c", 7),
+         (2, "proposed", at(1), 4, 12, "a", 8), (2, "approved", at(1), 5, 13, "d", 8), (2, "committed", at(2), 6, 99, "c", 8),
+         (3, "proposed", at(1), 7, 14, "a", 9), (3, "rejected", at(2), 8, 15, "e", 9), (4, "committed", at(1), 9, 1, None, None)],
+        "action_id int, event string, created_at timestamp, event_id int, offer int, actor string, customer_id int",
+    ).repartition(4)
+    state = worklist.action_state(events, "action_id", "event", "created_at", "event_id", "offer", "actor", ["customer_id"])
+    rows = {r.action_id: (r.customer_id, r.proposed_offer_id, r.final_offer_id, r.approver) for r in state.collect()}
+    assert rows == {1: (7, 10, 11, "b"), 2: (8, 12, 12, "d"), 3: (9, 14, None, "e"), 4: (None, None, None, None)}
+    given = worklist.committed_offers(state, "action_id").orderBy("action_id").collect()
+    assert [(r.customer_id, r.offer_id, r.presented_at) for r in given] == [(7, 11, at(3)), (8, 12, at(2))]
+
+
+def test_folding_actions_needs_no_sort(spark):
+    events = spark.createDataFrame([(1, "proposed", at(1), 1)], "action_id int, event string, created_at timestamp, event_id int")
+    plan = worklist.action_state(events, "action_id", "event", "created_at", "event_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_cases_go_round_the_agents(spark, scores):
     many = spark.range(103).select(
         F.concat(F.lit("C"), F.col("id").cast("string")).alias("customer_id"), F.lit("Austin").alias("market"),
