@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from holdfast import rules, schemas
 from holdfast.functions.rates import rows
+from holdfast.operators.history import dedupe_latest
 from holdfast.plans import marts, model, scoring
 from holdfast.session import materialize
 from holdfast.sources.publish import publish_snapshot, publish_table
@@ -40,19 +42,25 @@ class Store:
 
 def refresh_marts(
     spark: SparkSession, store: Store, version: str, incremental: bool = False,
-    disconnect_topics=rules.DISCONNECT_TOPICS, **kpi_settings,
+    disconnect_topics=rules.DISCONNECT_TOPICS, unique_key: Mapping[str, str] | None = None, **kpi_settings,
 ) -> dict[str, DataFrame]:
     """Run the ingestion of all sources and write a new version of the five marts.
 
     Running it again without new files rebuilds the same marts: ingestion adds
     nothing, and each version is written to its own folder.  With ``incremental`` the
     four aggregated marts come from counts that only the new calls are added to; all
-    refreshes of a store must then use the same ``disconnect_topics``.
+    refreshes of a store must then use the same ``disconnect_topics``.  ``unique_key`` names
+    the key of sources of which a drop may land twice: of rows with equal keys the latest
+    arrival counts.  It does not go with ``incremental``, whose counts are never taken back.
     """
+    if incremental and unique_key:
+        raise ValueError("counts of a repeated drop cannot be taken back: refresh in full")
     bronze = {
         name: ingest_stream(spark, store.landing(name), store.bronze(name), schema, store.checkpoint(name))
         for name, schema in schemas.SOURCES.items()
     }
+    for name, key in (unique_key or {}).items():
+        bronze[name] = dedupe_latest(bronze[name], [key], ["_ingested_at", "_source_file"])
     calls, customers, agents = bronze["call_interactions"], bronze["customer_profiles"], bronze["agents"]
     competitors, offers = bronze["competitor_intel"], bronze["retention_offers"]
     plans = {

@@ -27,6 +27,7 @@ EVENT_V1 = T.StructType([
     T.StructField("value", T.DoubleType()),
 ])
 EVENT_V2_FIELDS = T.StructType([T.StructField("props", T.StringType())])
+LANDED = T.StructType([*EVENT_V1.fields, *EVENT_V2_FIELDS.fields])
 CALL_COUNT_SCHEMA = T.StructType([f for f in schemas.SOURCES["call_interactions"].fields])
 
 
@@ -44,21 +45,31 @@ def _event_drops(spark, sf) -> list[DataFrame]:
     ]
 
 
+def _whole_drops(spark, sf) -> list[DataFrame]:
+    """All columns of the events, in three drops."""
+    events = star.table(spark, sf, "events")
+    first, second = (F.lit(t).cast("timestamp_ntz") for t in DROP_TIMES)
+    time = F.col("ts")
+    shown = lambda part: part.withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return [shown(events.where(time < first)), shown(events.where((time >= first) & (time < second))),
+            shown(events.where(time >= second))]
+
+
 def _land_json(spark, sf):
     """Landing replaces: after a first drop, the whole table is landed, and that is what the folder holds."""
     folder = scratch_dir(spark, "landing")
-    drops = _event_drops(spark, sf)
+    drops = _whole_drops(spark, sf)
     landing.land_json(drops[0], folder)
-    landing.land_json(drops[0].unionByName(drops[1], True).unionByName(drops[2], True), folder, rows_per_file=100_000)
-    return spark.read.schema(EVENT_V1).json(folder)
+    landing.land_json(drops[0].unionByName(drops[1]).unionByName(drops[2]), folder, rows_per_file=100_000)
+    return spark.read.schema(LANDED).json(folder)
 
 
 def _land_increment(spark, sf):
     """Landing an increment adds: all drops are in the folder."""
     folder = scratch_dir(spark, "landing")
-    for drop in _event_drops(spark, sf):
+    for drop in _whole_drops(spark, sf):
         landing.land_increment(drop, folder)
-    return spark.read.schema(EVENT_V1).json(folder)
+    return spark.read.schema(LANDED).json(folder)
 
 
 def _ingested(spark, sf):
@@ -108,8 +119,9 @@ def _dedupe_repeated(spark, sf):
     for drop in [*_event_drops(spark, sf), _event_drops(spark, sf)[2]]:
         landing.land_increment(drop, folder)
         bronze = ingest_stream(spark, folder, table, EVENT_V1, checkpoint)
-    arrived = bronze.select("event_id", "_ingested_at", "_source_file", "ts", "user_id", "event_type", "value")
-    return dedupe_latest(arrived, ["event_id"], ["_ingested_at", "_source_file"]).drop("_ingested_at", "_source_file")
+    latest = dedupe_latest(bronze, ["event_id"], ["_ingested_at", "_source_file"])
+    return evolve.promote_extra(latest, EVENT_V2_FIELDS).select(
+        "event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 def _as_landed(frame: DataFrame, source: str) -> DataFrame:
@@ -126,13 +138,46 @@ def _sources(spark, sf) -> dict[str, DataFrame]:
     }
 
 
-def _refresh_marts(spark, sf):
-    """Land all six sources, ingest them and build the marts."""
+SETTINGS = {"warmup_until": marts.WARMUP_UNTIL, "churn_base": marts.CHURN_BASE, "disconnect_topics": star.DISCONNECT_TOPICS}
+
+
+def _landed_store(spark, sf) -> refresh.Store:
+    """All six sources, landed."""
     store = refresh.Store(scratch_dir(spark, "refresh"))
     for name, frame in _sources(spark, sf).items():
         landing.land_json(_as_landed(frame, name), store.landing(name))
-    settings = {"warmup_until": marts.WARMUP_UNTIL, "churn_base": marts.CHURN_BASE, "disconnect_topics": star.DISCONNECT_TOPICS}
-    return refresh.mart_sizes(refresh.refresh_marts(spark, store, "v1", **settings))
+    return store
+
+
+def _refreshed(spark, sf) -> dict[str, DataFrame]:
+    """Ingest the landed sources and build the marts."""
+    return refresh.refresh_marts(spark, _landed_store(spark, sf), "v1", **SETTINGS)
+
+
+def _refresh_marts(spark, sf):
+    return refresh.mart_sizes(_refreshed(spark, sf))
+
+
+def _refresh_repeated(spark, sf):
+    """Customers and agents landed twice, with the guard: the days of a single drop."""
+    store = _landed_store(spark, sf)
+    keys = {"customer_profiles": "customer_id", "agents": "agent_id"}
+    for name in keys:
+        landing.land_increment(_as_landed(_sources(spark, sf)[name], name), store.landing(name))
+    return refresh.refresh_marts(spark, store, "v1", unique_key=keys, **SETTINGS)["daily_kpis"]
+
+
+def _full_refresh(spark, sf):
+    """All landed files again into new tables."""
+    store = _landed_store(spark, sf)
+    return refresh.full_refresh(spark, store.root, scratch_dir(spark, "full"), "v2", **SETTINGS)["daily_kpis"]
+
+
+def _agents_of(tables: dict[str, DataFrame]) -> DataFrame:
+    return tables["agent_performance"].select(
+        "agent_id", "total_calls", "saves", "save_rate", "avg_handle_time_min", "competitor_call_rate",
+        "offer_conversion_rate", "save_rate_rank", "team_avg_save_rate", "save_rate_vs_avg",
+    )
 
 
 def _call_drops(spark, sf) -> list[DataFrame]:
@@ -168,13 +213,6 @@ def _incremental(spark, sf) -> dict[str, DataFrame]:
     )
 
 
-def _incremental_agents(spark, sf):
-    return _incremental(spark, sf)["agent_performance"].select(
-        "agent_id", "total_calls", "saves", "save_rate", "avg_handle_time_min", "competitor_call_rate",
-        "offer_conversion_rate", "save_rate_rank", "team_avg_save_rate", "save_rate_vs_avg",
-    )
-
-
 def _stream_closed_days(spark, sf):
     """Days up to two days before the newest call are final; later ones are not written yet."""
     base = scratch_dir(spark, "closed")
@@ -196,22 +234,37 @@ QUERIES = {
     "stream_daily_counts": _stream_daily_counts,
     "stream_closed_days": _stream_closed_days,
     "incremental_daily_kpis": lambda s, d: _incremental(s, d)["daily_kpis"],
-    "incremental_agents": _incremental_agents,
+    "incremental_agents": lambda s, d: _agents_of(_incremental(s, d)),
+    "incremental_topics": lambda s, d: _incremental(s, d)["topic_mix"],
+    "incremental_offers": lambda s, d: _incremental(s, d)["offer_effectiveness"],
+    "refresh_agents": lambda s, d: _agents_of(_refreshed(s, d)),
+    "refresh_topics": lambda s, d: _refreshed(s, d)["topic_mix"],
+    "refresh_offers": lambda s, d: _refreshed(s, d)["offer_effectiveness"],
+    "refresh_daily_kpis": lambda s, d: _refreshed(s, d)["daily_kpis"],
+    "refresh_repeated": _refresh_repeated,
+    "full_refresh": _full_refresh,
 }
 
 _TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts"
 _VALUE = f"CASE WHEN ts < TIMESTAMP '{DROP_TIMES[0]}' OR ts >= TIMESTAMP '{DROP_TIMES[1]}' THEN value END AS value"
 _PROPS = f"CASE WHEN ts >= TIMESTAMP '{DROP_TIMES[1]}' THEN props END AS props"
 
+_AGENTS = query(
+    """SELECT CAST(agent_id AS VARCHAR) AS agent_id, total_calls, saves, save_rate, avg_handle_time_min,
+              competitor_call_rate, offer_conversion_rate, save_rate_rank, team_avg_save_rate, save_rate_vs_avg
+       FROM agent_performance""", "agent_performance"
+)
+_OFFERS = query("SELECT * REPLACE (CAST(offer_id AS VARCHAR) AS offer_id) FROM offer_effectiveness", "offer_effectiveness")
+
 ORACLE = {
-    "land_json": f"SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')} FROM events",
-    "land_increment": f"SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')} FROM events",
+    "land_json": f"SELECT event_id, {_TS}, user_id, event_type, value, props FROM events",
+    "land_increment": f"SELECT event_id, {_TS}, user_id, event_type, value, props FROM events",
     "ingest_stream": f"SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')}, {_PROPS.replace('ts ', 'events.ts ')} FROM events",
     "ingest_metadata": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, COUNT(*) AS n_rows, COUNT(*) AS with_file, COUNT(*) AS with_time,
                                  1 AS arrivals FROM events GROUP BY 1""",
     "evolve_schema": f"""SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')}, {_PROPS.replace('ts ', 'events.ts ')},
                                 TRUE AS nothing_left, TRUE AS readable FROM events""",
-    "dedupe_repeated_batch": f"SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')} FROM events",
+    "dedupe_repeated_batch": f"SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')}, {_PROPS.replace('ts ', 'events.ts ')} FROM events",
     "refresh_marts": query(
         """SELECT 'call_fact' AS mart, COUNT(*) AS n_rows FROM calls
            UNION ALL SELECT 'agent_performance', COUNT(DISTINCT agent_id) FROM calls
@@ -227,11 +280,15 @@ ORACLE = {
             FROM calls GROUP BY 1""", "calls"
     ),
     "incremental_daily_kpis": whole("daily_kpis", "call_date"),
-    "incremental_agents": query(
-        """SELECT CAST(agent_id AS VARCHAR) AS agent_id, total_calls, saves, save_rate, avg_handle_time_min,
-                  competitor_call_rate, offer_conversion_rate, save_rate_rank, team_avg_save_rate, save_rate_vs_avg
-           FROM agent_performance""", "agent_performance"
-    ),
+    "incremental_agents": _AGENTS,
+    "incremental_topics": whole("topic_mix"),
+    "incremental_offers": _OFFERS,
+    "refresh_agents": _AGENTS,
+    "refresh_topics": whole("topic_mix"),
+    "refresh_offers": _OFFERS,
+    "refresh_daily_kpis": whole("daily_kpis", "call_date"),
+    "refresh_repeated": whole("daily_kpis", "call_date"),
+    "full_refresh": whole("daily_kpis", "call_date"),
     "stream_closed_days": query(
         f"""SELECT CAST(call_date AS VARCHAR) AS call_date, COUNT(*) AS total_calls, {count_if("competitor_mentioned")} AS competitor_mentions,
                    {count_if("outcome = 'Saved'")} AS saves
