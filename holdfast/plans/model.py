@@ -20,10 +20,12 @@ def split_by_hash(
 ) -> tuple[DataFrame, DataFrame]:
     """Training and hold-out rows, drawn at the same share within every label.
 
-    The draw is a hash of the key, so a retried task or a second run gives the
-    same split, and no label has to pass through one task to be counted off.
+    The draw is the MD5 of seed, label and key as text, so a retried task, a second run
+    and any SQL engine give the same split, and no label has to pass through one task to
+    be counted off.
     """
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col(key)), F.lit(10_000))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col(label).cast("int").cast("string"), F.col(key).cast("string"))
+    bucket = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % 10_000
     drawn = labelled.withColumn("_train", bucket < int(share * 10_000))
     return drawn.where("_train").drop("_train"), drawn.where("NOT _train").drop("_train")
 
@@ -65,7 +67,11 @@ def score_customers(model: PipelineModel, flagged: DataFrame) -> DataFrame:
 def train_topic_model(
     labelled: DataFrame, text: str, label: str, n_features: int = 1 << 16, max_iter: int = 20
 ) -> PipelineModel:
-    """Text classifier that learns the topics from calls that already carry one."""
+    """Text classifier that learns the topics from calls that already carry one.
+
+    ``labelled`` is read once for the labels, once for the frequencies and once per step of the fit, so hand over a
+    written table.
+    """
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(labelled)
     return Pipeline(stages=[
         index,

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast import rules
 from holdfast.operators.quality import tier_checks
 from holdfast.plans import model, scoring
-from holdfast.registry.sql import half_up, query, whole
-from holdfast.session import materialize
+from holdfast.registry.sql import count_if, half_up, query, whole
+from holdfast.session import scratch_root
 from holdfast.sources import star_tables as star
-
-_models: dict = {}
+from holdfast.sources.publish import publish_table
 
 
 def features(spark, sf) -> DataFrame:
@@ -61,29 +65,48 @@ def _topic_offer(spark, sf):
     return star.calls(spark, sf).select("call_id", "competitor_id", "call_topic", offer.alias("offer_id"))
 
 
-def _trained(spark, sf):
-    """Feature table, model and report: one training per session and folder, shared by the queries below."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _models:
-        table = materialize(frame(spark, sf), "features")
-        _models[key] = (table, *model.train_churn(table))
-    return _models[key]
+def _trained(spark, sf) -> tuple[DataFrame, PipelineModel, DataFrame]:
+    """Feature table, model and report, kept below the scratch folder under the session's and the tables' names."""
+    name = re.sub(r"\W+", "_", f"{spark.sparkContext.applicationId} {sf}")
+    base = f"{scratch_root(spark)}/churn-{name}"
+    try:
+        report = spark.read.parquet(f"{base}/report")  # written last
+        return spark.read.parquet(f"{base}/features"), PipelineModel.load(f"{base}/model"), report
+    except AnalysisException:
+        table = publish_table(frame(spark, sf), f"{base}/features")
+        trained, report = model.train_churn(table)
+        trained.write().overwrite().save(f"{base}/model")
+        return table, trained, publish_table(report, f"{base}/report")
 
 
 def _train_churn(spark, sf):
-    return _trained(spark, sf)[2]
+    """Sizes of the split and settings; whether the hold-out AUC is better than chance."""
+    return _trained(spark, sf)[2].withColumn("learns", F.col("test_auc").between(0.5, 1.0)).drop("test_auc")
 
 
 def _score_customers(spark, sf):
+    """Every customer has a probability; the model's own numbers have no SQL."""
     table, trained, _ = _trained(spark, sf)
-    return model.score_customers(trained, table).select("customer_id", "label", "raw_score")
+    scored = model.score_customers(trained, table)
+    return scored.select("customer_id", "label", F.col("raw_score").between(0.0, 1.0).alias("is_probability"))
 
 
-def _model_scores(spark, sf):
+def model_table(spark, sf) -> DataFrame:
+    """The score table from the trained model."""
     table, trained, _ = _trained(spark, sf)
     return scoring.churn_scores(model.score_customers(trained, table), **star.OFFER_RULES)
 
 
+def _model_scores(spark, sf):
+    """The score table; of the columns that hang on the model, whether they are what they may be."""
+    made = model_table(spark, sf)
+    tier = F.col("risk_tier")
+    return made.select(
+        "customer_id", "competitor_id", "n_competitor_calls", "monthly_spend", "tenure_months", "plan_type", "market",
+        "recommended_offer_id", F.col("churn_score").between(0.01, 0.99).alias("has_score"), tier.isNotNull().alias("has_tier"),
+    )
+
+
 QUERIES = {
     "churn_features": features,
     "churn_feature_flags": flagged,
@@ -99,6 +122,9 @@ QUERIES = {
     "model_scores": _model_scores,
 }
 
+_TRAIN = f"""CAST('0x' || substr(md5('42|' || CAST(label AS INTEGER) || '|' || customer_id), 1, 8) AS BIGINT) % 10000
+             < {int(rules.TRAIN_SHARE * 10_000)}"""
+
 ORACLE = {
     "churn_features": whole("features"),
     "churn_feature_flags": whole("flagged"),
@@ -119,4 +145,15 @@ ORACLE = {
                    {half_up("(CAST(SUM(CAST(churn_score AS DECIMAL(18, 4))) AS DOUBLE) / COUNT(*))", 3)} AS mean_score
             FROM tiered GROUP BY 1""", "tiered"
     ),
+    "train_churn": query(
+        f"""SELECT {count_if(_TRAIN)} AS n_train, {count_if(f"NOT ({_TRAIN})")} AS n_test, {rules.TREE_SETTINGS["maxIter"]} AS n_trees,
+                   {rules.TREE_SETTINGS["maxDepth"]} AS max_depth, CAST({rules.TREE_SETTINGS["stepSize"]} AS DOUBLE) AS learning_rate,
+                   TRUE AS learns
+            FROM flagged""", "flagged"
+    ),
+    "score_customers": query("SELECT customer_id, label, TRUE AS is_probability FROM flagged", "flagged"),
+    "model_scores": query(
+        """SELECT customer_id, competitor_id, n_competitor_calls, monthly_spend, tenure_months, plan_type, market,
+                  recommended_offer_id, TRUE AS has_score, TRUE AS has_tier FROM scores""", "scores"
+    ),
 }

@@ -9,7 +9,7 @@ from holdfast.functions.text import whole_word
 from holdfast.operators import conversation, notes, search
 from holdfast.plans import model
 from holdfast.registry.sql import count_if, rate
-from holdfast.session import spread_small
+from holdfast.session import materialize, spread_small
 from holdfast.sources import star_tables as star
 
 # The documents are invented prose, so the patterns are syllables that occur in it.
@@ -37,15 +37,22 @@ def _topic_label_rules(spark, sf):
     return notes.topic_label_rules(_documents(spark, sf), "text", TOPICS).select("doc_id", "topic")
 
 
-def _topic_label_model(spark, sf):
+def topic_labels(spark, sf):
     """Quality labels learnt from the labelled documents and given to all of them."""
     labels = star.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("topic"))
-    labelled = _documents(spark, sf).select("doc_id", "text").join(labels, "doc_id")
+    labelled = materialize(_documents(spark, sf).select("doc_id", "text").join(labels, "doc_id"), "labelled")
     return model.label_topics(
         model.train_topic_model(labelled, "text", "topic"), _documents(spark, sf), "text", ["doc_id"]
     )
 
 
+def _topic_label_checks(spark, sf):
+    """Every text has one of the labels, with at least the confidence of a choice between two."""
+    given = topic_labels(spark, sf)
+    return given.select("doc_id", F.col("predicted_topic").isin("0", "1").alias("has_label"),
+                        F.col("confidence").between(0.5, 1.0).alias("is_confidence"))
+
+
 def _unlabeled_filter(spark, sf):
     drop = notes.unlabeled_filter(_documents(spark, sf).select("doc_id", "source", "text"), "source", "src1")
     return notes.topic_label_rules(drop, "text", TOPICS).select("doc_id", "source", "topic")
@@ -120,7 +127,7 @@ QUERIES = {
     "note_sentiment": _note_sentiment,
     "sentiment_triage": _sentiment_triage,
     "topic_label_rules": _topic_label_rules,
-    "topic_label_model": _topic_label_model,
+    "topic_label_model": _topic_label_checks,
     "unlabeled_filter": _unlabeled_filter,
     "vector_topk": _vector_hits,
     "keyword_topk": _text_hits,
@@ -185,6 +192,7 @@ ORACLE = {
                {count_if("s = 'neutral'")} AS neutral, {rate(count_if("s = 'negative'"))} AS negative_rate
         FROM (SELECT source, {_SENTIMENT_SQL} AS s FROM documents) GROUP BY 1""",
     "topic_label_rules": f"SELECT doc_id, {_topic_sql()} AS topic FROM documents",
+    "topic_label_model": "SELECT doc_id, TRUE AS has_label, TRUE AS is_confidence FROM documents",
     "unlabeled_filter": f"SELECT doc_id, source, {_topic_sql()} AS topic FROM documents WHERE source LIKE 'src1%'",
     "vector_topk": _VECTOR_SQL,
     "keyword_topk": _bm25_sql(),

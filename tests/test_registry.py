@@ -4,10 +4,10 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
-from holdfast import registry, rules
+from holdfast import registry
+from holdfast.registry import scoring, text
 
 SF = "/root/testdata/sf0.001"
-TRAINED = {"train_churn", "score_customers", "model_scores"}
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +24,8 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_only_trained_models_go_without_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == TRAINED | {"topic_label_model"}
+def test_every_query_has_sql():
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
 def test_entry(spark):
@@ -34,14 +34,9 @@ def test_entry(spark):
     assert [r.call_volume for r in rows] == sorted((r.call_volume for r in rows), reverse=True)
 
 
-def test_trained_queries(spark, monkeypatch):
-    monkeypatch.setitem(rules.TREE_SETTINGS, "maxIter", 5)
+def test_score_table_from_the_model(spark):
+    table = scoring.model_table(spark, SF)
     n = spark.read.parquet(f"{SF}/customer.parquet").count()
-    report = entry.queries()["train_churn"](spark, SF).first()
-    assert report.n_train + report.n_test == n and 0.5 < report.test_auc <= 1.0
-    scored = entry.queries()["score_customers"](spark, SF)
-    assert scored.count() == n and scored.where("raw_score < 0 OR raw_score > 1").count() == 0
-    table = entry.queries()["model_scores"](spark, SF)
     assert table.columns == [
         "customer_id", "churn_score", "risk_tier", "recommended_offer_id", "competitor_id", "n_competitor_calls",
         "monthly_spend", "tenure_months", "plan_type", "market",
@@ -51,6 +46,6 @@ def test_trained_queries(spark, monkeypatch):
 
 
 def test_topic_model_labels_every_text(spark):
-    labelled = entry.queries()["topic_label_model"](spark, SF)
+    labelled = text.topic_labels(spark, SF)
     assert labelled.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert {r[0] for r in labelled.select("predicted_topic").distinct().collect()} <= {"0", "1"}
