@@ -51,15 +51,24 @@ def worklist_topn(ranked: DataFrame, n: int = 10) -> DataFrame:
     return ranked.orderBy("priority_rank", "case_id").limit(n)
 
 
-def refresh_event(ranked: DataFrame, source: str = "schedule", view: str = "v_retention_worklist") -> DataFrame:
-    """One log row per refresh with the number of cases that need action."""
+def refresh_event(
+    ranked: DataFrame, source: str = "schedule", view: str = "v_retention_worklist", at: Column | None = None
+) -> DataFrame:
+    """One log row per refresh with the number of cases that need action; ``at`` is now, if not given."""
     return ranked.agg(count_true(F.col("needs_action")).alias("flagged_needing_action")).select(
         F.lit("view_refresh_trigger").alias("event_type"), F.lit(source).alias("trigger_source"),
         F.lit("view").alias("entity_type"), F.lit(view).alias("entity_id"), F.lit("system").alias("actor"),
         F.to_json(F.struct("flagged_needing_action")).alias("detail"),
+        (F.current_timestamp() if at is None else at).alias("created_at"),
     )
 
 
+def log_event(event: DataFrame, path: str) -> DataFrame:
+    """Append to the event log and return it as read back."""
+    event.write.mode("append").parquet(path)
+    return event.sparkSession.read.parquet(path)
+
+
 def case_status_priority(cases: DataFrame) -> DataFrame:
     """Cases by status and priority, with the mark that keeps them on the worklist."""
     return cases.groupBy("status", "priority").agg(rows().alias("cases")).withColumn(

@@ -9,11 +9,12 @@ from holdfast.operators import history, quality, worklist
 from holdfast.registry import marts, scoring
 from holdfast.registry.sql import count_if, half_up, query, whole
 from holdfast.sources import star_tables as star
-from holdfast.sources.publish import publish_snapshot, publish_table, read_result, register_marts
-from holdfast.session import scratch_dir
+from holdfast.sources.publish import current_snapshot, publish_snapshot, publish_table, read_result, register_marts
+from holdfast.session import materialize, scratch_dir
 
 # Snapshots of customer activity: all orders up to each of two dates.
 SNAPSHOTS = ("1999-01-01", "1999-07-01")
+REFRESHES = {"schedule": "2024-01-15 06:00:00", "manual": "2024-01-15 09:30:00"}
 AS_OF = "2024-01-15 12:00:00"
 BASELINE_UNTIL = "1995-02-01"
 SPIKE = ("1998-01-01", "1998-01-31")
@@ -27,6 +28,16 @@ def ranked(spark, sf):
     return worklist.worklist(scoring.tiered(spark, sf), star.cases(spark, sf), star.actions(spark, sf))
 
 
+def _refresh_event(spark, sf):
+    """The log after two refreshes, one by schedule and one by hand."""
+    log = scratch_dir(spark, "workflow_events")
+    cases = materialize(ranked(spark, sf), "worklist")
+    for source, moment in REFRESHES.items():
+        event = worklist.refresh_event(cases, source, at=F.lit(moment).cast("timestamp_ntz"))
+        logged = worklist.log_event(event, log)
+    return logged
+
+
 def _dedupe_increment(spark, sf):
     """Order lines share keys; the latest shipment of each key stays."""
     order = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
@@ -71,8 +82,12 @@ def _publish_table(spark, sf):
 
 
 def _publish_snapshot(spark, sf):
-    path = publish_snapshot(scoring.tiered(spark, sf), scratch_dir(spark, "risk_snapshot"), "customer_id")
-    return spark.read.parquet(path)
+    """Two versions; readers follow the pointer to the second."""
+    root = scratch_dir(spark, "risk_snapshot")
+    scored = scoring.tiered(spark, sf)
+    publish_snapshot(scored.where("churn_score > 0.5"), root, "customer_id", "v1")
+    publish_snapshot(scored, root, "customer_id", "v2")
+    return current_snapshot(spark, root)
 
 
 def _read_result(spark, sf):
@@ -155,7 +170,7 @@ def _case_open(spark, sf):
 QUERIES = {
     "worklist": ranked,
     "worklist_topn": lambda s, d: worklist.worklist_topn(ranked(s, d)),
-    "refresh_event": lambda s, d: worklist.refresh_event(ranked(s, d)),
+    "refresh_event": _refresh_event,
     "action_state": _action_state,
     "committed_offers": lambda s, d: worklist.committed_offers(_action_state(s, d), "action_id"),
     "case_status_priority": lambda s, d: worklist.case_status_priority(star.cases(s, d)),
@@ -223,9 +238,11 @@ ORACLE = {
     "worklist": whole("worklist"),
     "worklist_topn": query("SELECT * FROM worklist ORDER BY priority_rank, case_id LIMIT 10", "worklist"),
     "refresh_event": query(
-        f"""SELECT 'view_refresh_trigger' AS event_type, 'schedule' AS trigger_source, 'view' AS entity_type,
+        f"""SELECT 'view_refresh_trigger' AS event_type, trigger_source, created_at, 'view' AS entity_type,
                    'v_retention_worklist' AS entity_id, 'system' AS actor,
-                   '{{"flagged_needing_action":' || {count_if("needs_action")} || '}}' AS detail FROM worklist""", "worklist"
+                   '{{"flagged_needing_action":' || {count_if("needs_action")} || '}}' AS detail
+            FROM worklist, (VALUES ('schedule', TIMESTAMP '2024-01-15 06:00:00'), ('manual', TIMESTAMP '2024-01-15 09:30:00'))
+                           AS t(trigger_source, created_at) GROUP BY trigger_source, created_at""", "worklist"
     ),
     "action_state": query(_ACTION_STATE, "action_events"),
     "committed_offers": query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast import schemas
 from holdfast.functions.rates import count_true, rows
+from holdfast.session import materialize
 
 
 def publish_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -38,21 +39,35 @@ class SnapshotRejected(ValueError):
 def publish_snapshot(df: DataFrame, root: str, key: str, version: str | None = None) -> str:
     """Write a new read-only version of a snapshot, once its key is proven unique and not NULL.
 
-    The rows are written first and checked as written, so the check and the snapshot
-    cannot differ; a rejected version is never named to readers.
+    The rows are written to the scratch folder and checked as written, so the check and the
+    snapshot cannot differ, and a rejected version never comes below ``root``.  The name of
+    the version stands in a table beside ``root``, which ``current_snapshot`` follows.
     """
-    path = f"{root.rstrip('/')}/version={version or uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    written = df.sparkSession.read.parquet(path).select(key)
-    per_key = written.groupBy(key).agg(rows().alias("_n"))
+    root = root.rstrip("/")
+    version = version or uuid.uuid4().hex
+    path = f"{root}/version={version}"
+    rows_ = materialize(df, "snapshot")
+    per_key = rows_.groupBy(key).agg(rows().alias("_n"))
     repeated, missing = per_key.agg(
         count_true(F.col("_n") > 1), count_true(F.col(key).isNull())
     ).first()
     if repeated or missing:
         raise SnapshotRejected(f"{repeated} repeated keys, {missing} NULL keys in {key}")
+    rows_.write.mode("errorifexists").parquet(path)
+    named = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.lit(path).alias("path"))
+    named.write.mode("overwrite").parquet(_pointer(root))
     return path
 
 
+def _pointer(root: str) -> str:
+    return f"{root.rstrip('/')}.current"
+
+
+def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the version that was published last."""
+    return spark.read.parquet(spark.read.parquet(_pointer(root)).first()["path"])
+
+
 def register_marts(marts: dict[str, DataFrame]) -> None:
     """Make marts available to SQL under their published table names."""
     for name, frame in marts.items():
