@@ -158,13 +158,21 @@ def _temporal_order_check(spark, sf):
 
 
 def _case_open(spark, sf):
-    """Cases per agent and the spread of their scores; the agent of a case is fixed by its place."""
-    known = scoring.tiered(spark, sf).withColumns({
-        "competitor_id": F.lit(None).cast("string"), "recommended_offer_id": F.lit(None).cast("int"),
-    })
-    return worklist.case_open(known, star.agents(spark, sf)).select(
-        "customer_id", "market", "assigned_agent_id", "status", "priority", "churn_score"
-    )
+    """A case per critical customer of the score table, for agents with ids of text."""
+    agents = star.agents(spark, sf).withColumn("agent_id", F.format_string("AGT-%06d", F.col("agent_id").cast("long")))
+    return worklist.case_open(scoring.scores(spark, sf), agents)
+
+
+def _operational_constraints(spark, sf):
+    """The declared promises of the operational tables, on the mapped tables."""
+    agents = star.agents(spark, sf)
+    cases = star.cases(spark, sf).withColumn("closed_at", F.when(F.col("status") == "Saved", F.col("opened_at")))
+    cases = cases.withColumn("assigned_agent_id", (F.col("case_id") % 120).cast("long"))
+    actions = _action_state(spark, sf).withColumn("action_type", F.lit("offer"))
+    events = star.table(spark, sf, "events").select("event_id", "event_type")
+    return quality.constraint_violations(quality.operational_constraints({
+        "agents": agents, "retention_cases": cases, "retention_actions": actions, "workflow_events": events,
+    }))
 
 
 QUERIES = {
@@ -185,6 +193,7 @@ QUERIES = {
     "null_to_zero": _null_to_zero,
     "dataset_checks": _dataset_checks,
     "constraint_violations": _constraint_violations,
+    "operational_constraints": _operational_constraints,
     "temporal_order_check": _temporal_order_check,
 }
 
@@ -234,7 +243,34 @@ _ACTION_STATE = f"""
                  LAST(actor ORDER BY created_at, event_id) FILTER (WHERE {_DECIDED}) AS approver
           FROM action_events GROUP BY 1)"""
 
+_PROMISES = {
+    ("agents", "agents"): {
+        "not_null(agent_id)": "agent_id IS NULL", "not_null(agent_name)": "agent_name IS NULL", "primary_key(agent_id)": "agent_id"},
+    ("retention_cases", "cases"): {
+        **{f"not_null({c})": f"{c} IS NULL" for c in ("case_id", "customer_id", "status", "priority", "opened_at")},
+        "domain(status)": "status NOT IN ('Open', 'In Progress', 'Saved', 'Churned')",
+        "domain(priority)": "priority NOT IN ('Low', 'Medium', 'High', 'Critical')",
+        "check(closed_at >= opened_at)": "status = 'Saved' AND opened_at < opened_at", "primary_key(case_id)": "case_id",
+        "foreign_key(assigned_agent_id)": "case_id % 120 NOT IN (SELECT agent_id FROM agents)"},
+    ("retention_actions", f"({_ACTION_STATE})"): {
+        "not_null(customer_id)": "customer_id IS NULL", "not_null(action_type)": "FALSE",
+        "not_null(approval_status)": "approval_status IS NULL",
+        "domain(approval_status)": "approval_status NOT IN ('proposed', 'approved', 'corrected', 'rejected')",
+        "primary_key(action_id)": "action_id", "foreign_key(case_id)": "case_id NOT IN (SELECT case_id FROM cases)"},
+    ("workflow_events", "events"): {"not_null(event_type)": "event_type IS NULL", "primary_key(event_id)": "event_id"},
+}
+
+
+def _promise(table: str, source: str, rule: str, what: str) -> str:
+    if rule.startswith("primary_key"):
+        return _rule(table, rule, f"SELECT COUNT(*) FROM (SELECT 1 FROM {source} GROUP BY {what} HAVING COUNT(*) > 1)")
+    return _rule(table, rule, f"SELECT COUNT(*) FROM {source} WHERE {what}")
+
+
 ORACLE = {
+    "operational_constraints": query(
+        " UNION ALL ".join(_promise(*names, rule, what) for names, rules in _PROMISES.items() for rule, what in rules.items()),
+        "agents", "cases", "action_events"),
     "worklist": whole("worklist"),
     "worklist_topn": query("SELECT * FROM worklist ORDER BY priority_rank, case_id LIMIT 10", "worklist"),
     "refresh_event": query(
@@ -254,12 +290,13 @@ ORACLE = {
            FROM cases GROUP BY 1, 2""", "cases"
     ),
     "case_open": query(
-        """SELECT customer_id, market, agent_id AS assigned_agent_id, 'Open' AS status, 'Critical' AS priority, churn_score
+        """SELECT customer_id, market, competitor_id, 'AGT-' || lpad(CAST(agent_id AS VARCHAR), 6, '0') AS assigned_agent_id,
+                  'Open' AS status, 'Critical' AS priority, recommended_offer_id, churn_score
            FROM (SELECT *, (ROW_NUMBER() OVER (ORDER BY churn_score DESC, md5(CAST(customer_id AS VARCHAR)), customer_id) - 1)
                            % (SELECT COUNT(*) FROM agents) AS slot
-                 FROM tiered WHERE risk_tier = 'Critical')
+                 FROM scores WHERE risk_tier = 'Critical')
            JOIN (SELECT agent_id, ROW_NUMBER() OVER (ORDER BY agent_id) - 1 AS slot FROM agents) USING (slot)""",
-        "tiered", "agents",
+        "scores", "agents",
     ),
     "dedupe_increment": """
         SELECT * FROM lineitem
