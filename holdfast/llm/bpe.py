@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ CACHE = 600_000
 #: Pieces up to these lengths share a matrix; longer ones go by powers of two.
 BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32)
 CELLS = 1 << 20
+#: Bytes beyond which a piece (one match of the pattern) does not get a matrix row, whose rounds take its length squared.
+LONG = 4096
 #: Characters that are encoded at a time; a longer text is cut where the pattern cannot reach across.
 PART = 1 << 21
 _NONE = np.iinfo(np.int32).max
@@ -62,6 +65,7 @@ class Vocabulary:
                 if left is not None and right is not None:
                     keys.append(left << 32 | right)
                     values.append(rank)
+        self.pair_of = dict(zip(keys, values))
         keys, values = np.array(keys, np.int64), np.array(values, np.int32)
         self.bits = max(4, int(len(keys) * 4).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
@@ -104,8 +108,16 @@ class Vocabulary:
         group = np.where(size <= BUCKETS[-1], limits[np.minimum(np.searchsorted(limits, size), len(limits) - 1)],
                          1 << np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64))
         begin, tokens, codes, total = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], 0
+        group[size > LONG] = 0
         for width in np.unique(group):
             members = np.flatnonzero(group == width)
+            if width == 0:
+                for row in members:
+                    one = self._merge_long(pieces[row])
+                    codes.append(one)
+                    begin[row], tokens[row] = total, len(one)
+                    total += len(one)
+                continue
             step = max(1, CELLS // int(width))
             for i in range(0, len(members), step):
                 rows = members[i : i + step]
@@ -157,6 +169,35 @@ class Vocabulary:
             left = np.flatnonzero(at > 0)
             ranks[left, at[left] - 1] = self.pair_ranks(ids[left, at[left] - 1], best[left].astype(np.int64))
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one very long piece by the same rule, with a heap of (rank, place) instead of a matrix row."""
+        ids = self.byte[np.frombuffer(piece, np.uint8)]
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        heap = [(int(r), i) for i, r in enumerate(ranks.tolist()) if r != _NONE]
+        heapq.heapify(heap)
+        ids, n = ids.tolist(), len(ids)
+        after, before, rank = list(range(1, n + 1)), list(range(-1, n - 1)), [*ranks.tolist(), _NONE]
+        pairs = self.pair_of
+
+        def renew(i: int) -> None:
+            j = after[i]
+            rank[i] = pairs.get(ids[i] << 32 | ids[j], _NONE) if j < n else _NONE
+            if rank[i] != _NONE:
+                heapq.heappush(heap, (rank[i], i))
+
+        while heap:
+            best, i = heapq.heappop(heap)
+            if ids[i] < 0 or rank[i] != best:
+                continue
+            j = after[i]
+            ids[i], ids[j], after[i] = best, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            renew(i)
+            if before[i] >= 0:
+                renew(before[i])
+        return np.array([t for t in ids if t >= 0], "<u4")
+
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that were not seen before."""
         # Letters after at most one blank are one match of "an optional blank and letters".

@@ -211,7 +211,7 @@ def test_op9(spark, documents):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
     rng = random.Random(9)
     odd = ["".join(rng.choice(" \n\tab'sé1. \x1c!漢\0") for _ in range(rng.randrange(0, 40))) for _ in range(1500)]
-    odd += ["a" * 3000, "ab " * 3000, " ", "  x", "it's 'd", "é" * 500]
+    odd += ["a" * 3000, "ab" * 9000 + "é" * 4000, "漢字テ" * 5000, "".join(rng.choice("etaoinsh") for _ in range(20_000)), "ab " * 3000, " ", "  x", "it's 'd", "é" * 500]
     texts = odd + [t or "" for _, t in documents]
     for text, code in zip(texts, bpe._encoded(texts, vocab)):
         ids = np.frombuffer(code, "<u4")
