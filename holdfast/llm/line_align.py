@@ -176,7 +176,9 @@ def repeated_lines(
     lines = materialize(rows.mapInArrow(_hashed, "doc_id long, hashes binary, words binary"), "lines")
     rare = lines.mapInArrow(_rare(min_line_words), "line long, doc_id long")
     first = rare.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    pairs = rare.join(first.select("line", "first"), "line").where("doc_id <> first").select("first", "doc_id").distinct()
+    # Written, so that the join may split a line that very many documents have.
+    first = materialize(first.select("line", "first"), "first_lines")
+    pairs = rare.join(first, "line").where("doc_id <> first").select("first", "doc_id").distinct()
     later = pairs.join(lines, "doc_id").select("first", "doc_id", "words", F.col("hashes").alias("later"))
     both = later.join(lines.select(F.col("doc_id").alias("first"), F.col("hashes").alias("earlier")), "first")
     found = both.select("doc_id", "words", "later", "earlier").mapInArrow(
