@@ -206,12 +206,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     ``labels`` has ``doc_id`` and ``quality`` (0 or 1; NULL and other values are left out).  With no row of one label
     the chain is fitted on what there is; with none at all, every line is as likely good as bad.
     """
-    chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL")
+    # An id with several labels counts with the lowest.
+    chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(
+        F.min("quality").cast("int").alias("quality"))
     picked = None
     for value in (0, 1):
         some = chosen.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
-    picked = F.broadcast(picked.dropDuplicates(["doc_id"]))  # at most 2 * sample ids
+    picked = F.broadcast(picked)  # at most 2 * sample ids
     rows = docs.select("doc_id", "text").join(picked, "doc_id").select("quality", "text")
     found = sorted(tuple(r) for r in rows.mapInArrow(_features, "quality int, lines binary").collect())
     if not found:
