@@ -110,29 +110,35 @@ def parsed(page: str) -> list[tuple[str, str, str, bool]]:
     passed over as browsers do.
     """
     out, stack, deep = [], [], 0
+    open_names: Counter = Counter()  # an end tag of none of them needs no search
     for kind, raw, name in tokens(page):
         if kind == "open":
             plain = name.lstrip("!")
             for open_name, enders in ENDS.items():
                 if stack and stack[-1].lstrip("!") == open_name and plain in enders:
+                    open_names[open_name] -= 1
                     deep -= stack.pop()[0] == "!"
             if plain in VOID or raw.endswith("/>"):
                 out.append(("void", raw, plain, deep > 0))
                 continue
             # A page's own header stands outside its article; the header of an article is content.
-            if plain == "header" and not any(s in CONTENT for s in stack):
+            if plain == "header" and not any(open_names[c] for c in CONTENT):
                 name = "!header"
             stack.append(name)
+            open_names[plain] += 1
             deep += name[0] == "!"
             out.append((kind, raw, name, deep > 0))
         elif kind == "close":
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].lstrip("!") == name), None)
+            at = None
+            if open_names[name]:
+                at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].lstrip("!") == name)
             if at is None or (name in INLINE and any(s.lstrip("!") not in INLINE for s in stack[at + 1 :])):
                 out.append(("void", raw, name, deep > 0))
                 continue
             full = stack[at]
             out.append((kind, raw, full, deep > 0))
             deep -= sum(s[0] == "!" for s in stack[at:])
+            open_names.subtract(s.lstrip("!") for s in stack[at:])
             del stack[at:]
         else:
             out.append((kind, raw, name, deep > 0))
