@@ -24,6 +24,7 @@ EXCHANGE_BYTES = 1 << 30
 MAX_BLOCKS = 4_000_000_000
 
 _local_root: str | None = None
+_written: dict[str, list[str]] = {}  # scratch tables by application
 
 
 def sized_for(input_bytes: int, cores: int, exchanged: float = 0.25) -> dict[str, str]:
@@ -90,10 +91,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     the whole plan again.  The table survives the loss of executors.
     """
     path = scratch_dir(df.sparkSession, label)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the tables that ``materialize`` wrote for this application; returns how many.
+
+    For the time after results have been written or collected: plans that still read those
+    tables fail afterwards.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        place = hadoop(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan, from file sizes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -119,6 +119,17 @@ def test_partitions_follow_the_input():
     assert scan <= session.MAX_SCAN_BYTES
 
 
+def test_scratch_tables_can_be_removed(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    session.clear_scratch(spark)
+    table = session.materialize(spark.range(5), "kept")
+    place = Path(urlparse(table.inputFiles()[0]).path).parent
+    assert table.count() == 5 and place.exists()
+    assert session.clear_scratch(spark) == 1 and not place.exists() and session.clear_scratch(spark) == 0
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     class Conf:
         def get(self, key, default):
