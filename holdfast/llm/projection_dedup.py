@@ -30,7 +30,7 @@ from holdfast.session import materialize
 
 COSINE, MISS = 0.98, 0.002
 #: Vectors of a block, of a window's half, and of a part of a large component.
-BLOCK, BITS, LEAD = 512, 48, 20
+BLOCK, BITS, STEP = 512, 48, 16
 SEED = 20240611
 
 
@@ -120,22 +120,26 @@ def _relatives(cosine: float, kind: str):
 def _windows(vectors: DataFrame) -> DataFrame:
     """One row per vector, pass and window; a vector is in the window of its block and in the next one's.
 
-    A vector's place in the order comes from counts per group of leading bits, added up in two steps, so that no
-    sort or sum spans a label.
+    A vector's place in the order comes from counts per group of leading bits, added up level by level, so that no
+    sum spans more than ``2 ** STEP`` groups and no sort more than the vectors with one and the same key.
     """
     keyed = vectors.select("vec_id", "label", "size", "vec", F.posexplode("keys").alias("turn", "_key"))
-    keyed = keyed.withColumn("_lead", F.shiftright("_key", BITS - LEAD)).withColumn("_coarse", F.shiftright("_lead", LEAD // 2))
+    levels = [f"_bits{n}" for n in range(STEP, BITS, STEP)]
+    for n, name in zip(range(STEP, BITS, STEP), levels):
+        keyed = keyed.withColumn(name, F.shiftright("_key", BITS - n))
     table = ["turn", "label", "size"]
-    counts = keyed.groupBy(*table, "_coarse", "_lead").agg(F.count("*").alias("_n"))
-    coarse = counts.groupBy(*table, "_coarse").agg(F.sum("_n").alias("_m"))
-    ahead = W.partitionBy(*table).orderBy("_coarse").rowsBetween(W.unboundedPreceding, -1)
-    coarse = coarse.select(*table, "_coarse", F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_base"))
-    ahead = W.partitionBy(*table, "_coarse").orderBy("_lead").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("_here", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).join(coarse, [*table, "_coarse"])
-    starts = starts.select(*table, "_lead", (F.col("_base") + F.col("_here")).alias("_start"))
-    rank = F.row_number().over(W.partitionBy(*table, "_lead").orderBy("_key", "vec_id")) - 1
+    groups = [*table, *levels, "_key"]
+    starts = counts = keyed.groupBy(*groups).agg(F.count("*").alias("_n"))
+    starts = starts.select(*groups, F.lit(0).cast("long").alias("_start"))
+    while len(groups) > len(table):  # from the finest groups to the coarsest
+        ahead = W.partitionBy(*groups[:-1]).orderBy(groups[-1]).rowsBetween(W.unboundedPreceding, -1)
+        before = counts.select(*groups, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+        starts = starts.join(before, groups).withColumn("_start", F.col("_start") + F.col("_before")).drop("_before")
+        groups = groups[:-1]
+        counts = counts.groupBy(*groups).agg(F.sum("_n").alias("_n"))
+    rank = F.row_number().over(W.partitionBy(*table, "_key").orderBy("vec_id")) - 1
     block = F.floor((F.col("_start") + rank) / BLOCK)
-    placed = keyed.join(starts, [*table, "_lead"]).withColumn("_block", block)
+    placed = keyed.join(starts.select(*table, "_key", "_start"), [*table, "_key"]).withColumn("_block", block)
     return placed.select(*table, "vec_id", "vec", F.explode(F.array("_block", F.col("_block") + 1)).alias("block"))
 
 
