@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.llm import textbytes as tb
 
-CACHE = 600_000
+CACHE = 400_000
 #: Pieces up to these lengths share a matrix; longer ones go by powers of two.
 BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32)
 CELLS = 1 << 20
@@ -270,17 +270,21 @@ def _parts(text: str):
     yield text[begin:]
 
 
-def _tokenizer(lines: bytes, pattern: str):
+def _tokenizer(lines: bytes, pattern: str, id_type: str, keep: list[str]):
     def run(batches):
         vocab = vocabulary(lines, pattern)
+        kind = np.dtype(id_type).newbyteorder("<")
+        if vocab.size - 1 > np.iinfo(kind).max:
+            raise ValueError(f"ids up to {vocab.size - 1} do not fit {id_type}")
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             for low, high, _, _ in tb.slices(column, PART * 4):
                 texts = [t or "" for t in column.slice(low, high - low).to_pylist()]
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(_encoded(texts, vocab), pa.binary())], names=[*part.schema.names, "ids"]
-                )
+                part, codes = batch.slice(low, high - low), _encoded(texts, vocab)
+                if kind.itemsize != 4:
+                    codes = [np.frombuffer(c, "<u4").astype(kind).tobytes() for c in codes]
+                kept = [part.column(part.schema.get_field_index(name)) for name in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(codes, pa.binary())], names=[*keep, "ids"])
 
     return run
 
@@ -291,27 +295,30 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
-    """``docs`` with ``ids``: the tokens of ``text`` as little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, ranks: bytes, pattern: str, id_type: str = "uint32", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``ids``: the tokens of ``text`` as little-endian integers of ``id_type``.
 
-    All columns stay; a column called ``ids`` is replaced.  A NULL or empty text has no tokens.  Each row stands for
+    All columns stay, or those in ``keep``; a column called ``ids`` is replaced.  A NULL or empty text has no tokens.  Each row stands for
     itself, so repeated rows, ties and NULLs in other columns change nothing, and an empty table gives an empty one.
     A text of any length is encoded whole, in parts cut where no match of the pattern can reach across.
     """
     docs = docs.drop("ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids binary"
-    return docs.mapInArrow(_tokenizer(ranks, pattern), schema)
+    keep = docs.columns if keep is None else keep
+    docs = docs.select(*keep, *[c for c in ("text",) if c not in keep])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids binary"])
+    return docs.mapInArrow(_tokenizer(ranks, pattern, id_type, keep), schema)
 
 
-def _decoder(lines: bytes, pattern: str):
+def _decoder(lines: bytes, pattern: str, id_type: str):
     def run(batches):
         vocab = vocabulary(lines, pattern)
+        kind = np.dtype(id_type).newbyteorder("<")
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("ids"))
             texts = []
             for value in column:
                 raw = value.as_py() or b""
-                ids = np.frombuffer(raw, "<u4")
+                ids = np.frombuffer(raw, kind)
                 # Long texts are decoded in parts of bounded size.
                 texts.append(b"".join(vocab.decode(ids[i : i + PART]).tobytes() for i in range(0, len(ids), PART)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())],
@@ -320,11 +327,11 @@ def _decoder(lines: bytes, pattern: str):
     return run
 
 
-def decode(tokens: DataFrame, ranks: bytes, pattern: str = r"\w+") -> DataFrame:
+def decode(tokens: DataFrame, ranks: bytes, pattern: str = r"\w+", id_type: str = "uint32") -> DataFrame:
     """``tokens`` with ``decoded``: the bytes that ``ids`` stand for (none for NULL)."""
     tokens = tokens.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields) + ", decoded binary"
-    return tokens.mapInArrow(_decoder(ranks, pattern), schema)
+    return tokens.mapInArrow(_decoder(ranks, pattern, id_type), schema)
 
 
 def _digests(lines: bytes, pattern: str, id_type: pa.DataType):

@@ -47,9 +47,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(spark, public_tokenizers.path(RANKS))
-    tokens = bpe.encode(_table(spark, sf_dir, "documents").select("text"), ranks, public_tokenizers.PATTERN)
+    docs = _table(spark, sf_dir, "documents").select("text")
+    tokens = bpe.encode(docs, ranks, public_tokenizers.PATTERN, "uint16", keep=[])
     path = scratch_dir(spark, "tokens")
-    separators.write_flat(tokens, path, END_OF_DOCUMENT)
+    separators.write_flat(tokens, path, END_OF_DOCUMENT, given="uint16")
     found = separators.document_lengths(spark, path, END_OF_DOCUMENT)
     return found.select(separators.file_number().alias("file"), "document", "begin", "n_tokens")
 

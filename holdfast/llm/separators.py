@@ -39,12 +39,16 @@ def _narrow(id_type: str, separator: int):
     return run
 
 
-def write_flat(tokens: DataFrame, path: str, separator: int, id_type: str = "uint16") -> None:
-    """Write ``ids`` (little-endian 32-bit, as the encoder gives them) as flat files, ``separator`` behind each row.
+def write_flat(tokens: DataFrame, path: str, separator: int, id_type: str = "uint16", given: str = "uint32") -> None:
+    """Write ``ids`` (little-endian, of the type ``given``) as flat files of ``id_type``, ``separator`` behind each row.
 
+    Ids that are already of ``id_type`` are written as they are and must not hold the separator; others are checked.
     NULL is an empty document.  One file per task, its number in the name; rows stay in the order of the table.
     """
-    narrow = tokens.select("ids").mapInArrow(_narrow(id_type, separator), "tokens binary")
+    if given == id_type:
+        narrow = tokens.select(F.coalesce("ids", F.lit(b"")).alias("tokens"))
+    else:
+        narrow = tokens.select("ids").mapInArrow(_narrow(id_type, separator), "tokens binary")
     write_binary(narrow, "tokens", np.array([separator], _width(id_type)).tobytes(), path)
 
 
