@@ -7,15 +7,23 @@ import zipfile
 from pathlib import Path
 
 import holdfast
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.session import prepare
+from holdfast.session import estimated_bytes, prepare
 
 #: Bytes that go to a Python worker at a time, besides those of a single longer row.
 BATCH_BYTES = 8 << 20
+#: Buckets of hashes: at least so many, and one for so many bytes of input files, so that one fits a task's memory.
+LEAST_BUCKETS, BUCKET_BYTES = 32, 16 << 20
 _shipped: set[str] = set()
 
 
+def buckets_for(table: DataFrame) -> int:
+    """Buckets among which the hashes of a table's words are dealt out; no fewer than exchange partitions."""
+    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(LEAST_BUCKETS, partitions, estimated_bytes(table) // BUCKET_BYTES)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application: their functions import it, and keep what they cache."""
     context = spark.sparkContext

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm import textbytes as tb
+from holdfast.llm.settings import buckets_for
 from holdfast.session import materialize
 
 SYMBOL_SHARE, CONTEXT_SHARE, PAIR_SHARE = 2e-6, 1e-4, 1e-6
@@ -335,9 +336,9 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    buckets = buckets_for(docs)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType
-    buckets = max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = materialize(docs.mapInArrow(
         _score(tree, to_arrow_type(kind)),
         f"slice string, ids array<{kind.simpleString()}>, n_tokens array<long>, base array<double>, "
