@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import textbytes as tb
 from holdfast.llm.graph import components
+from holdfast.llm.settings import buckets_for
 from holdfast.session import materialize
 
 SHINGLE, PERCENT = 5, 80
-#: At least so many buckets of hashes, so that one fits a task's memory with room to spare.
-BUCKETS = 32
 #: Ids of repeated documents are broadcast up to this number (8 bytes each), else joined by an exchange.
 BROADCAST_IDS = 1 << 20
+#: Sets of several rows are broadcast up to this number (32 bytes each).
+BROADCAST_SETS = 1 << 19
 #: Documents that a task handles at a time where each brings all its shingles.
 ROWS = 64
 #: Texts whose shingles travel as one row per bucket.
@@ -188,19 +189,22 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n`` (size of the set), ``rep`` (smallest id with an equal set)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(docs.mapInArrow(_digests(shingle), "doc_id long, n long, d1 long, d2 long"), "sets")
-    same = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    same = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows"))
+    # Only sets that several rows have.  Written, so that a join by exchange can split a set that many have.
+    same = materialize(same.where("_rows > 1").drop("_rows"), "repeated")
+    if same.count() <= BROADCAST_SETS:
+        same = F.broadcast(same)
     joined = rows.join(same, ["n", "d1", "d2"], "left")
     return materialize(joined.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "sets")
 
 
 def links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (``a``, ``b``) between the representatives of :func:`document_sets` whose components are those of all links."""
-    spark = docs.sparkSession
+    buckets = buckets_for(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     repeated = sets.where("doc_id <> rep").select("doc_id").distinct()
     if repeated.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         repeated = F.broadcast(repeated)
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.join(repeated, "doc_id", "left_anti").mapInArrow(
         _packed(shingle, buckets), "bucket int, ids binary, counts binary, hashes binary")
     shared = packed.groupBy("bucket").applyInArrow(
