@@ -1,27 +1,25 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The tree's alphabet has a symbol for every word whose share of the training tokens is at
-least ``SYMBOL_SHARE``, one for the end of a text, one for its start (as context only) and
-one for all other words together.  A context is a run of symbols; it is counted if its
-share is at least ``CONTEXT_SHARE``, and kept if what follows it diverges from what follows
-its suffix: the log-likelihood gain of its own next-symbol distribution must exceed half
-the logarithm of the training size for every next symbol it stores.
-
-A kept context stores the next symbols whose pairs have a share of at least ``PAIR_SHARE``;
-the rest of its mass, with ``BACKOFF`` added, goes to its suffix, and the empty context
-gives words their add-one share.  So every state's distribution sums to one.  A text is
-scored by the longest kept context at every word.
-
-All three thresholds are shares, which bounds what is broadcast whatever the corpus
-(1 / share entries each); word counts grow with the corpus and are joined, never
-broadcast.  The probability of a word outside the alphabet is a product of back-off
-weights and its own share, so a task adds up the former and a join the latter.
+Every word is a symbol, and so are the end of a text and (as context only) its start.  A
+context is a run of up to ``DEPTH`` symbols.  It stores what follows it at least ``LEAST``
+times, a fixed count whatever the corpus, and it is kept if that diverges from what follows
+its suffix: the log-likelihood gain of its own next-symbol distribution must exceed half the
+logarithm of the training size for every next symbol it stores.  The rest of a kept
+context's mass, with ``BACKOFF`` added, goes to its suffix, and the empty context gives words
+their add-one share.  So every state's distribution sums to one.  A text is scored by the
+longest kept context at every word.
+
+Nothing of the tree is collected or broadcast.  Runs of symbols have 64-bit keys, and the
+key of a context is that of the run which it is, so one table of keys has word counts, next
+symbols and back-off weights.  Slices of texts ask its buckets for their keys.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,37 +30,68 @@ from holdfast.llm import textbytes as tb
 from holdfast.llm.settings import buckets_for
 from holdfast.session import materialize
 
-SYMBOL_SHARE, CONTEXT_SHARE, PAIR_SHARE = 2e-6, 1e-4, 1e-6
+#: Times that a run must stand in the training texts to be stored; share that a word needs to be stored as next symbol.
+LEAST, SYMBOL_SHARE = 2, 0.0
 DEPTH, BACKOFF = 2, 4.0
-#: The hash that stands for the end of a text; words hash to it by chance only.
-END_HASH = np.int64(0x6C62272E07BB0142)
+#: The hashes that stand for the end and the start of a text; words hash to them by chance only.
+END_HASH, START_HASH = np.int64(0x6C62272E07BB0142), np.int64(0x27D4EB2F165667C5)
+_ODD = tb.U64(0xD6E8FEB86659FD93)
 
 
 @dataclass
 class Tree:
-    """Alphabet (sorted hashes and counts) and, by depth, kept contexts with their next symbols."""
+    """By depth, tables of the kept contexts and of their next symbols."""
 
-    keys: np.ndarray  # hashes of the symbols, sorted; symbol i is keys[i]
-    counts: np.ndarray
+    words: DataFrame  # word, n
     total: int  # training tokens
     distinct: int
-    levels: list = field(default_factory=list)  # (context keys, log10 back-off, pair keys, pair counts, size)
-
-    @property
-    def other(self) -> int:
-        return len(self.keys)
-
-    @property
-    def start(self) -> int:
-        return len(self.keys) + 1
-
-    @property
-    def radix(self) -> int:
-        return len(self.keys) + 2
+    tables: list  # (contexts: b<depth> ... b1, context, size, escape; next symbols: context, word, key, n, value)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1.0) / (self.total + self.distinct + 1.0)
 
+    def known(self) -> DataFrame:
+        """``key``, ``kind``, ``value``: 0 for word counts and shares of next symbols, 1 for back-off weights."""
+        row = lambda t, key, kind, value: t.select(
+            F.col(key).alias("key"), F.lit(kind).alias("kind"), F.col(value).cast("double").alias("value"))
+        out = row(self.words, "word", 0, "n")
+        for contexts, following in self.tables:
+            out = out.unionByName(row(contexts, "context", 1, "escape")).unionByName(row(following, "key", 0, "value"))
+        return out
+
+    # A small tree in memory, to look at: symbol i is keys[i], a context is a number with the nearest symbol lowest.
+    @cached_property
+    def _alphabet(self) -> list[np.ndarray]:
+        return _collected(self.words, "word", "n")
+
+    keys = property(lambda self: self._alphabet[0])
+    counts = property(lambda self: self._alphabet[1])
+    other = property(lambda self: len(self.keys))
+    start = property(lambda self: len(self.keys) + 1)
+    radix = property(lambda self: len(self.keys) + 2)
+
+    @cached_property
+    def levels(self) -> list:
+        """By depth: context keys, back-off weights, pair keys (index of the context, next symbol), counts, sizes."""
+        out = []
+        for depth, (contexts, following) in enumerate(self.tables, 1):
+            names = [f"b{k}" for k in range(depth, 0, -1)]
+            hashes, size, escape, *runs = _collected(contexts, "context", "size", "escape", *names)
+            code = np.zeros(len(hashes), np.int64)
+            for run in runs:
+                code = code * self.radix + np.where(run == START_HASH, self.start, _look(self.keys, run))
+            order = np.argsort(code)
+            owner, word, n = _collected(following, "context", "word", "n")
+            pairs = np.argsort(order)[_look(hashes, owner)] * self.radix + _look(self.keys, word)
+            by = np.argsort(pairs)
+            out.append((code[order], escape[order], pairs[by], n[by].astype(float), size[order]))
+        return out
+
+
+def _chain(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of a run that is one word longer."""
+    return tb.mix(run.view(tb.U64) * _ODD + tb.mix(word.view(tb.U64) ^ _ODD)).view(np.int64)
+
 
 def _look(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index of each wanted key, or -1."""
@@ -84,90 +113,103 @@ def _tokens(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], stop])
 
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, where = np.unique(keys, return_inverse=True)
-    return found, np.bincount(where, counts, len(found)).astype(np.int64)
-
-
 class _Counter:
-    """Adds up counts of integer keys, and hands them on when there are many."""
+    """Adds up counts of runs by their key, and hands them on when there are many."""
 
     def __init__(self, names: list[str], limit: int = 1 << 20):
-        self.names, self.limit, self.keys, self.counts, self.size = names, limit, [], [], 0
+        self.names, self.limit, self.held, self.size = names, limit, [], 0
 
-    def add(self, keys: np.ndarray):
-        found, counts = np.unique(keys, return_counts=True)
-        self.keys.append(found)
-        self.counts.append(counts)
+    def add(self, keys: np.ndarray, columns: list[np.ndarray]):
+        found, at, counts = np.unique(keys, return_index=True, return_counts=True)
+        self.held.append((found, counts, [c[at] for c in columns]))
         self.size += len(found)
         if self.size >= 2 * self.limit:
             yield from self.flush(self.limit)
 
     def flush(self, above: int = 0):
-        if self.keys:
-            keys, counts = _merge(np.concatenate(self.keys), np.concatenate(self.counts))
+        if self.held:
+            keys, at, where = np.unique(np.concatenate([h[0] for h in self.held]), return_index=True, return_inverse=True)
+            counts = np.bincount(where, np.concatenate([h[1] for h in self.held]), len(keys)).astype(np.int64)
+            columns = [np.concatenate(c)[at] for c in zip(*(h[2] for h in self.held))]
+            self.held, self.size = [(keys, counts, columns)], len(keys)
             if len(keys) > above:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=self.names)
-                keys, counts = keys[:0], counts[:0]
-            self.keys, self.counts, self.size = [keys], [counts], len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, counts)], names=self.names)
+                self.held, self.size = [], 0
 
 
 def _count_words(batches):
     counter = _Counter(["word", "n"])
     for batch in batches:
         for _, _, flat, at in tb.slices(batch.column(0)):
-            yield from counter.add(_tokens(flat, at)[0])
+            hashes = _tokens(flat, at)[0]
+            yield from counter.add(hashes, [hashes])
     yield from counter.flush()
 
 
-def _symbols(tree: Tree, hashes: np.ndarray) -> np.ndarray:
-    at = _look(tree.keys, hashes)
-    return np.where(at < 0, tree.other, at)
-
-
-def _contexts(tree: Tree, symbols: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-    """Key of the ``depth`` symbols before each token, nearest in the lowest digit; -1 where the text is too short.
+def _back(hashes: np.ndarray, first: np.ndarray, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The ``depth`` symbols before each token, farthest first, and whether the text is long enough for them.
 
     A text's start counts as one symbol, as the farthest of a context.
     """
-    keys = np.zeros(len(symbols), np.int64)
-    place = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
+    place, out = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first)), []
     for back in range(depth, 0, -1):
-        one = np.full(len(symbols), tree.start, np.int64)
-        one[back:] = symbols[:-back] if back < len(symbols) else symbols[:0]
-        one[place < back] = tree.start
-        keys = keys * tree.radix + one
-    keys[place < depth - 1] = -1
-    return keys
+        one = np.full(len(hashes), START_HASH)
+        one[back:] = hashes[:-back] if back < len(hashes) else hashes[:0]
+        one[place < back] = START_HASH
+        out.append(one)
+    return out, place >= depth - 1
 
 
-def _count_next(tree: Tree, depth: int, allowed: np.ndarray):
-    """Counts of (index of an allowed context, next symbol), as one integer."""
+def _key(symbols: list[np.ndarray]) -> np.ndarray:
+    key = symbols[0]
+    for one in symbols[1:]:
+        key = _chain(key, one)
+    return key
+
+
+def _count_runs(depth: int, names: list[str]):
+    """Counts of the runs of ``depth`` symbols and the one that follows."""
 
     def run(batches):
-        counter = _Counter(["pair", "n"])
+        counter = _Counter([*names, "n"])
         for batch in batches:
             for _, _, flat, at in tb.slices(batch.column(0)):
                 hashes, first = _tokens(flat, at)
-                symbols = _symbols(tree, hashes)
-                which = _look(allowed, _contexts(tree, symbols, first, depth))
-                use = which >= 0
-                yield from counter.add(which[use] * tree.radix + symbols[use])
+                before, use = _back(hashes, first, depth)
+                symbols = [x[use] for x in (*before, hashes)]
+                yield from counter.add(_key(symbols), symbols)
         yield from counter.flush()
 
     return run
 
 
+def _with_keys(depth: int):
+    """Adds the keys of the context and of the run, and of those whose context is cut to 1, 2, ... symbols."""
+
+    def run(batches):
+        for batch in batches:
+            symbols = [np.asarray(c) for c in batch.columns[:-1]]
+            cut = [x for k in [depth, *range(1, depth)] for x in (_key(symbols[-1 - k : -1]), _key(symbols[-1 - k :]))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *map(pa.array, cut)], names=[*batch.schema.names, "context", "key", *_shorter(depth)])
+
+    return run
+
+
+def _shorter(depth: int) -> list[str]:
+    return [f"{name}{k}" for k in range(1, depth) for name in ("context", "key")]
+
+
 def _collected(df: DataFrame, *names: str) -> list[np.ndarray]:
-    """Columns of a table that the caller has bounded, sorted by the first."""
+    """Columns of a small table, sorted by the first."""
     table = df.select(*names).toArrow().sort_by(names[0])
     return [np.asarray(table.column(n).combine_chunks()) for n in names]
 
 
 def _probability(tree: Tree, symbols: np.ndarray, base: np.ndarray, contexts: list[np.ndarray], depth: int) -> np.ndarray:
-    """Probability of each symbol after its longest kept context of at most ``depth`` symbols.
+    """Probability of each symbol after its longest kept context of at most ``depth`` symbols, from the tree in memory.
 
-    Of a symbol outside the alphabet: the factor in front of the word's own share.
+    ``base`` has the symbols' shares; for symbol ``other``, a word that no context has seen, give 1 to get the factor.
     """
     p = base.copy()
     for (keys, escape, pairs, counts, size), context in zip(tree.levels[:depth], contexts):
@@ -180,148 +222,158 @@ def _probability(tree: Tree, symbols: np.ndarray, base: np.ndarray, contexts: li
     return p
 
 
-def _base(tree: Tree, symbols: np.ndarray) -> np.ndarray:
-    """Share of each symbol; 1 for words outside the alphabet, whose share is joined later."""
-    counts = np.concatenate([tree.counts, [0, 0]])
-    return np.where(symbols == tree.other, 1.0, tree.base(counts[symbols]))
-
-
-def _grow(docs: DataFrame, tree: Tree, candidates: np.ndarray, depth: int) -> np.ndarray:
-    """Count what follows the candidates, keep those that diverge; returns the candidates one symbol longer."""
-    pairs = materialize(
-        docs.mapInArrow(_count_next(tree, depth, candidates), "pair long, n long")
-        .groupBy("pair").agg(F.sum("n").alias("n")), "contexts")
-    sizes = _collected(
-        pairs.groupBy(F.expr(f"pair div {tree.radix}").alias("context")).agg(F.sum("n").alias("n")), "context", "n")
-    size = np.zeros(len(candidates))
-    size[sizes[0]] = sizes[1]
-    floor = max(1.0, PAIR_SHARE * tree.total)
-    # Words outside the alphabet are left to the back-off.
-    keys, counts = _collected(pairs.where((F.col("n") >= floor) & (F.col("pair") % tree.radix != tree.other)), "pair", "n")
-    owner, symbol = keys // tree.radix, keys % tree.radix
-    stored = np.bincount(owner, counts, len(candidates))
-    escape = (size - stored + BACKOFF) / (size + BACKOFF)
-    # Divergence from the suffix: gain of log-likelihood over the training tokens behind the context.
-    nearer = candidates % tree.radix ** (depth - 1)
-    suffix = [nearer[owner] % tree.radix**d for d in range(1, depth)]
-    below = _probability(tree, symbol, _base(tree, symbol), suffix, depth - 1)
-    own = counts / (size[owner] + BACKOFF) + escape[owner] * below
-    gain = np.bincount(owner, counts * np.log(own / below), len(candidates)) + (size - stored) * np.log(escape)
-    price = 0.5 * np.log(max(2, tree.total)) * np.maximum(1, np.bincount(owner, minlength=len(candidates)))
-    keep = (size >= max(1.0, CONTEXT_SHARE * tree.total)) & (gain > price)
-    fresh, use = np.cumsum(keep) - 1, keep[owner]
-    # Candidates are sorted, so the new pair keys are sorted, too.
-    tree.levels.append((candidates[keep], escape[keep], fresh[owner[use]] * tree.radix + symbol[use],
-                        counts[use].astype(float), size[keep]))
-    # A context one longer: any symbol before a candidate, if frequent enough.  Its count is that of the pair
-    # (farther symbol, candidate); those come from counting with the farther symbol as context.
-    often = (counts >= CONTEXT_SHARE * tree.total) & (symbol != _look(tree.keys, np.array([END_HASH]))[0])
-    # pair (context c, next s): the context "c s", with s nearest.
-    return np.unique(candidates[owner[often]] * tree.radix + symbol[often])
+def _grow(docs: DataFrame, tree: Tree, sizes: DataFrame, depth: int) -> DataFrame:
+    """Count what follows the contexts of ``depth`` symbols and keep those that diverge; returns all runs' counts.
+
+    ``sizes`` (``context``, ``size``) says how often the contexts stand.
+    """
+    back = [f"b{k}" for k in range(depth, 0, -1)]
+    names = [*back, "word"]
+    long = ", ".join(f"{n} long" for n in names)
+    runs = docs.mapInArrow(_count_runs(depth, names), f"{long}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
+    keys = ["context", "key", *_shorter(depth)]
+    runs = materialize(runs.where(F.col("n") >= LEAST).mapInArrow(
+        _with_keys(depth), f"{long}, n long, " + ", ".join(f"{k} long" for k in keys)), "runs")
+    shares = tree.words.select("word", F.col("n").alias("_all")).where(F.col("_all") >= SYMBOL_SHARE * tree.total)
+    # What the suffix gives, from the share of the word to the context that is one shorter.
+    below = (F.col("_all") + 1.0) / (tree.total + tree.distinct + 1.0)
+    rows = runs.join(shares, "word").join(sizes, "context").withColumn("below", below).drop("_all")
+    for k, (contexts, following) in enumerate(tree.tables, 1):
+        rows = rows.join(
+            contexts.select(F.col("context").alias(f"context{k}"), F.col("escape").alias("_escape")), f"context{k}", "left")
+        rows = rows.join(following.select(F.col("key").alias(f"key{k}"), F.col("value").alias("_seen")), f"key{k}", "left")
+        longer = F.coalesce("_seen", F.lit(0.0)) + F.coalesce("_escape", F.lit(1.0)) * F.col("below")
+        rows = rows.withColumn("below", longer).drop("_escape", "_seen")
+    rows = materialize(rows.select(*names, "context", "key", "n", "size", "below"), "following")
+    total = rows.groupBy("context").agg(F.sum("n").alias("stored"), F.count("*").alias("pairs"))
+    whole = F.col("size") + BACKOFF
+    escape = (F.col("size") - F.col("stored") + BACKOFF) / whole
+    # Divergence from the suffix: gain of log-likelihood over the training tokens behind the context.  Summed as
+    # decimals, so that the order of rows does not matter.
+    gain = F.col("n") * F.log((F.col("n") / whole + F.col("escape") * F.col("below")) / F.col("below"))
+    gains = rows.join(total, "context").withColumn("escape", escape).groupBy("context", "stored", "pairs", "size", "escape").agg(
+        F.sum(gain.cast("decimal(28,9)")).cast("double").alias("gain"), *(F.min(b).alias(b) for b in back))
+    price = 0.5 * math.log(max(2, tree.total))
+    kept = materialize(gains.where(
+        F.col("gain") + (F.col("size") - F.col("stored")) * F.log("escape") > F.col("pairs") * price
+    ).select(*back, "context", "size", "escape"), "contexts")
+    following = materialize(
+        rows.join(kept.select("context"), "context").select("context", "word", "key", "n", (F.col("n") / whole).alias("value")),
+        "next")
+    tree.tables.append((kept, following))
+    return runs
 
 
 def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     """The tree of ``docs`` and the table of all word counts (``word``, ``n``).
 
-    NULL texts count as empty: their end is a token.  An empty table gives a tree without symbols.
+    NULL texts count as empty: their end is a token.  An empty table gives a tree without contexts.
     """
     texts = docs.select("text")
     words = materialize(
         texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    keys, counts = _collected(words.where(F.col("n") >= max(1.0, SYMBOL_SHARE * total)), "word", "n")
-    tree = Tree(keys, counts, int(total), int(distinct))
-    often = np.flatnonzero((counts >= CONTEXT_SHARE * total) & (keys != END_HASH))
-    candidates = np.append(often, tree.start).astype(np.int64)
+    tree = Tree(words, int(total), int(distinct), [])
+    # A text has one start and one end; the end has nothing behind it.
+    context = F.when(F.col("word") == int(END_HASH), F.lit(int(START_HASH))).otherwise(F.col("word"))
+    sizes = words.select(context.alias("context"), F.col("n").alias("size"))
     for d in range(1, depth + 1):
-        if tree.radix ** (d + 1) >= 2**62 or not len(candidates):
-            break
-        candidates = _grow(texts, tree, candidates, d)
+        runs = _grow(texts, tree, sizes, d)
+        # A context one longer is a run of this depth, so its count is known.
+        sizes = runs.select(F.col("key").alias("context"), F.col("n").alias("size"))
     return tree, words
 
 
-def _score(tree: Tree, id_type: pa.DataType):
-    """One row per slice: what the tree settles of each document's scores, and the words outside the alphabet."""
+def _packed(id_type: pa.DataType):
+    """One row per slice: its ids and texts."""
 
     def run(batches):
         for batch in batches:
-            for low, high, flat, at in tb.slices(batch.column(1)):
-                hashes, first = _tokens(flat, at)
-                symbols = _symbols(tree, hashes)
-                base = _base(tree, symbols)
-                contexts = [_contexts(tree, symbols, first, d) for d in range(1, len(tree.levels) + 1)]
-                p = _probability(tree, symbols, base, contexts, len(tree.levels))
-                rare = np.flatnonzero(symbols == tree.other)
-                words, index = np.unique(hashes[rare], return_inverse=True)
-                per_row = np.diff(np.searchsorted(rare, first))
-                ids = batch.column(0).slice(low, high - low).cast(id_type)
+            for low, high, _, _ in tb.slices(batch.column(1)):
+                ids, texts = (batch.column(k).slice(low, high - low) for k in (0, 1))
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), x)
-                add = lambda x: one(pa.array(np.add.reduceat(x, first[:-1])))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([uuid.uuid4().hex]), one(ids), one(pa.array(np.diff(first))), add(np.log10(base)),
-                    add(np.log10(p)), one(pa.array(per_row)), pa.array([index.astype("<u4").tobytes()], pa.binary()),
-                    pa.array([words.tobytes()], pa.binary()),
-                ], names=["slice", "ids", "n_tokens", "base", "score", "n_rare", "index", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().hex]), one(ids.cast(id_type)), one(texts)], names=["slice", "ids", "texts"])
 
     return run
 
 
+def _wanted(texts, depth: int):
+    """Of a slice: the keys it needs, sorted; the rows' first tokens; and by depth, from 0, the tokens' runs and contexts.
+
+    Runs and contexts are places among the keys, and come with whether the text is long enough.
+    """
+    flat, at = tb.buffers(texts)
+    hashes, first = _tokens(flat[at[0] : at[-1]], at - at[0])
+    runs = [(np.ones(len(hashes), bool), hashes, hashes)]
+    for d in range(1, depth + 1):
+        before, use = _back(hashes, first, d)
+        context = _key(before)
+        runs.append((use, _chain(context, hashes), context))
+    keys = np.unique(np.concatenate([[START_HASH], hashes, *(run[use] for use, run, _ in runs[1:])]))
+    return keys, first, [(use, _look(keys, run), _look(keys, context)) for use, run, context in runs]
+
+
 def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
     return (words.view(np.uint64) >> np.uint64(40)).astype(np.int64) % buckets
 
 
-def _questions(buckets: int):
-    """The words that a slice asks for, one row per bucket."""
+def _questions(buckets: int, depth: int):
+    """The keys that a slice asks for, one row per bucket."""
 
     def run(batches):
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = np.frombuffer(raw, np.int64)
-                bucket = _bucket(words, buckets)
+            for name, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys = _wanted(texts.values, depth)[0]
+                bucket = _bucket(keys, buckets)
                 found = np.unique(bucket)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found), pa.array([name] * len(found)),
-                     pa.array([words[bucket == b].tobytes() for b in found], pa.binary())],
-                    names=["bucket", "slice", "words"])
+                     pa.array([keys[bucket == b].tobytes() for b in found], pa.binary())],
+                    names=["bucket", "slice", "keys"])
 
     return run
 
 
 def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
-    known = known.sort_by("word")
-    keys, counts = (np.asarray(known.column(c).combine_chunks()) for c in ("word", "n"))
+    """For each key asked for: its count or share as a run, then its back-off weight as a context; 0 if there is none."""
+    known = known.sort_by([("kind", "ascending"), ("key", "ascending")])
+    kind, keys, values = (np.asarray(known.column(c).combine_chunks()) for c in ("kind", "key", "value"))
+    cut = int(np.searchsorted(kind, 1))
     replies = []
-    for raw in asked.column("words").to_pylist():
-        at = _look(keys, np.frombuffer(raw, np.int64))
-        replies.append((np.where(at >= 0, counts[at], 0) if len(keys) else np.zeros(len(at), np.int64)).astype(np.int64).tobytes())
+    for raw in asked.column("keys").to_pylist():
+        wanted, reply = np.frombuffer(raw, np.int64), []
+        for own, value in ((keys[:cut], values[:cut]), (keys[cut:], values[cut:])):
+            at = _look(own, wanted)
+            reply.append(np.where(at >= 0, value[at], 0.0) if len(own) else np.zeros(len(at)))
+        replies.append(np.concatenate(reply).tobytes())
     return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"),
-                     "counts": pa.array(replies, pa.binary())})
+                     "values": pa.array(replies, pa.binary())})
 
 
-def _joined(tree: Tree, buckets: int, id_type: pa.DataType):
+def _joined(total: int, distinct: int, buckets: int, depth: int, id_type: pa.DataType):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
-                words, index = (np.frombuffer(row[n].as_py(), k) for n, k in (("words", np.int64), ("index", "<u4")))
-                bucket, counts = _bucket(words, buckets), np.zeros(len(words), np.int64)
-                for reply in row["replies"].as_py() or []:
-                    counts[bucket == reply["bucket"]] = np.frombuffer(reply["counts"], np.int64)
-                n_rare = np.asarray(row["n_rare"].values)
-                edge = np.concatenate([[0], np.cumsum(n_rare)])
-                total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[edge])
-                unknown = total((counts == 0)[index].astype(np.int64))
-                # Sum within each row only, so that a score does not depend on the rows around it.
-                logs = np.log10(tree.base(counts))[index]
-                more = np.zeros(len(n_rare))
-                full = n_rare > 0
-                if full.any():
-                    more[full] = np.add.reduceat(logs, edge[:-1][full])
-                n_tokens = np.asarray(row["n_tokens"].values)
+                keys, first, runs = _wanted(row["texts"].values, depth)
+                bucket, seen, escape = _bucket(keys, buckets), np.zeros(len(keys)), np.zeros(len(keys))
+                for reply in row["replies"] if row["replies"].is_valid else []:
+                    mine = bucket == reply["bucket"].as_py()
+                    seen[mine], escape[mine] = np.frombuffer(reply["values"].as_py()).reshape(2, -1)
+                counts = seen[runs[0][1]]
+                base = (counts + 1.0) / (total + distinct + 1.0)
+                p = base.copy()
+                for use, at, context in runs[1:]:
+                    use = np.flatnonzero(use & (context >= 0))
+                    use = use[escape[context[use]] > 0]
+                    p[use] = seen[at[use]] + escape[context[use]] * p[use]
+                # Sums within each row only, so that a score does not depend on the rows around it.
+                add = lambda x: pa.array(np.add.reduceat(x, first[:-1]))
+                n_tokens = np.diff(first)
                 yield pa.RecordBatch.from_arrays([
-                    row["ids"].values.cast(id_type), pa.array(n_tokens), pa.array(n_tokens - unknown),
-                    pa.array(np.full(len(n_tokens), tree.total)), pa.array(np.asarray(row["base"].values) + more),
-                    pa.array(np.asarray(row["score"].values) + more),
+                    row["ids"].values.cast(id_type), pa.array(n_tokens), add((counts > 0).astype(np.int64)),
+                    pa.array(np.full(len(n_tokens), total)), add(np.log10(base)), add(np.log10(p)),
                 ], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -330,24 +382,23 @@ def _joined(tree: Tree, buckets: int, id_type: pa.DataType):
 def score(docs: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
-    ``docs`` needs ``doc_id`` and ``text``; other columns are not read.  A NULL or empty text is its end alone.
-    Every row has its own result, also rows that repeat an id or have none; an empty table gives an empty one.
-    Texts of any length are scored whole.
+    ``docs`` needs ``doc_id`` and ``text``; other columns are not read.  ``words`` is the tree's own table.  A NULL or
+    empty text is its end alone.  Every row has its own result, also rows that repeat an id or have none; an empty
+    table gives an empty one.  Texts of any length are scored whole.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    buckets = buckets_for(docs)
+    buckets, depth = buckets_for(docs), len(tree.tables)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType
-    parts = materialize(docs.mapInArrow(
-        _score(tree, to_arrow_type(kind)),
-        f"slice string, ids array<{kind.simpleString()}>, n_tokens array<long>, base array<double>, "
-        "score array<double>, n_rare array<long>, index binary, words binary"), "slices")
-    asked = parts.select("slice", "words").mapInArrow(_questions(buckets), "bucket long, slice string, words binary")
-    known = words.withColumn("bucket", F.expr(f"shiftrightunsigned(word, 40) % {buckets}"))
+    id_type = to_arrow_type(kind)
+    parts = materialize(
+        docs.mapInArrow(_packed(id_type), f"slice string, ids array<{kind.simpleString()}>, texts array<string>"), "slices")
+    asked = parts.select("slice", "texts").mapInArrow(_questions(buckets, depth), "bucket long, slice string, keys binary")
+    known = tree.known().withColumn("bucket", F.expr(f"shiftrightunsigned(key, 40) % {buckets}"))
     replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
-        _answers, "slice string, bucket long, counts binary")
-    gathered = replies.groupBy("slice").agg(F.collect_list(F.struct("bucket", "counts")).alias("replies"))
+        _answers, "slice string, bucket long, values binary")
+    gathered = replies.groupBy("slice").agg(F.collect_list(F.struct("bucket", "values")).alias("replies"))
     return parts.join(gathered, "slice", "left").mapInArrow(
-        _joined(tree, buckets, to_arrow_type(kind)),
+        _joined(tree.total, tree.distinct, buckets, depth, id_type),
         f"doc_id {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
