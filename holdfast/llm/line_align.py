@@ -1,13 +1,15 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap if they share a line that is rare in both, that is, stands once in each.
-Every such line ties the documents that have it to the first of them, so a line that
-thousands of documents share makes one pair for each, not one for every two.  A pair is
-aligned by patience diff over line hashes: lines that are unique on both sides and in the
-same order are anchors, the gaps between them are aligned in the same way, and anchors
-grow over equal lines around them.  What is left unaligned is aligned again, until nothing
-is found, so that moved blocks are found, too.  Aligned blocks of enough words are deleted
-from the later document (the one with the larger id).
+Documents overlap if they share a run of consecutive lines that has enough words to be
+deleted, whatever its lines are and however often they stand.  Every shortest such run (from
+each line on, and up to each line) ties the documents that have it to the first of them, so
+a run that thousands of documents share makes one pair for each, not one for every two, and
+every block that is long enough meets its first holder.  A pair is aligned by patience diff
+over line hashes: lines that are unique on both sides and in the same order are anchors, the
+gaps between them are aligned in the same way, and anchors grow over equal lines around
+them.  What is left unaligned is aligned again, until nothing is found, so that moved blocks
+are found, too.  Aligned blocks of enough words are
+deleted from the later document (the one with the larger id).
 
 Blocks are found in the original texts, so the first document of a line keeps it unless a
 longer block takes it to an even earlier one.
@@ -26,7 +28,8 @@ from holdfast.llm import textbytes as tb
 from holdfast.llm.quality import lines_of
 from holdfast.session import materialize
 
-#: Words that a line must have to tie documents, and a block to be deleted.
+#: Words that a block must have to be deleted; runs of so many tie documents.  A line of MIN_LINE_WORDS is long enough
+#: to be called rare; shorter ones tie as parts of runs, so only tests read it.
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 3, 10
 
 
@@ -50,21 +53,32 @@ def _hashed(batches):
             ], names=["doc_id", "hashes", "words"])
 
 
-def _rare(min_words: int):
-    """Lines of enough words that stand once in their document."""
+def runs(lines: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shortest runs of lines with ``least`` words, from each line on and up to each line: start, end and hash.
+
+    They cover every run that has so many words, and equal runs are cut in the same way.
+    """
+    at = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    low = np.arange(len(lines))
+    high = np.searchsorted(at, at[:-1] + least)
+    low, high = low[high <= len(lines)], high[high <= len(lines)]
+    until = np.flatnonzero(at >= max(1, least))
+    starts = np.concatenate([low, np.searchsorted(at, at[until] - least, "right") - 1])
+    ends = np.concatenate([np.maximum(high, low + 1), until])
+    use = starts < ends
+    return starts[use], ends[use], tb.run_hashes(lines.view(tb.U64), starts[use], ends[use]).view(np.int64)
+
+
+def _runs(min_words: int):
+    """Hashes of each document's runs of enough words."""
 
     def run(batches):
         for batch in batches:
-            ids, found = [], []
             for doc, raw, words in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = np.frombuffer(raw, np.int64)
-                once, first, count = np.unique(lines, return_index=True, return_counts=True)
-                once = once[(count == 1) & (np.frombuffer(words, "<u4")[first] >= min_words)]
-                ids.append(np.full(len(once), doc, np.int64))
-                found.append(once)
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], names=["line", "doc_id"])
+                found = np.unique(runs(np.frombuffer(raw, np.int64), np.frombuffer(words, "<u4"), min_words)[2])
+                if len(found):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found), pa.array(np.full(len(found), doc, np.int64))], names=["run", "doc_id"])
 
     return run
 
@@ -127,7 +141,11 @@ def aligned_blocks(a, b, words, min_words: int = MIN_BLOCK_WORDS) -> list[int]:
 
     ``words`` are those of each line of ``b``.  A block is a run of matches without a gap on either side.
     """
-    a, b = list(a), list(b)
+    return sorted(_rounds(list(a), list(b), words, min_words))
+
+
+def _rounds(a: list, b: list, words, min_words: int) -> set:
+    """Places of ``b`` in blocks that rounds of patience diff align, each over what the ones before left."""
     left, right, gone = list(range(len(a))), list(range(len(b))), set()
     while left and right:
         found = _patience(a, b, left, right)
@@ -143,7 +161,7 @@ def aligned_blocks(a, b, words, min_words: int = MIN_BLOCK_WORDS) -> list[int]:
         gone.update(fresh)
         used_left, used_right = ({m[k] for m in found} for k in (0, 1))
         left, right = [i for i in left if i not in used_left], [j for j in right if j not in used_right]
-    return sorted(gone)
+    return gone
 
 
 def _aligned(min_words: int):
@@ -165,20 +183,18 @@ def _aligned(min_words: int):
     return run
 
 
-def repeated_lines(
-    docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS
-) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """``doc_id`` and ``gone``: the line numbers (from 0) that each document loses; documents that lose any.
 
     ``docs`` needs an integer ``doc_id`` and ``text``; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text <> ''")
     lines = materialize(rows.mapInArrow(_hashed, "doc_id long, hashes binary, words binary"), "lines")
-    rare = lines.mapInArrow(_rare(min_line_words), "line long, doc_id long")
-    first = rare.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    # Written, so that the join may split a line that very many documents have.
-    first = materialize(first.select("line", "first"), "first_lines")
-    pairs = rare.join(first, "line").where("doc_id <> first").select("first", "doc_id").distinct()
+    held = lines.mapInArrow(_runs(min_block_words), "run long, doc_id long")
+    first = held.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # Written, so that the join may split a run that very many documents have.
+    first = materialize(first.select("run", "first"), "first_runs")
+    pairs = held.join(first, "run").where("doc_id <> first").select("first", "doc_id").distinct()
     later = pairs.join(lines, "doc_id").select("first", "doc_id", "words", F.col("hashes").alias("later"))
     both = later.join(lines.select(F.col("doc_id").alias("first"), F.col("hashes").alias("earlier")), "first")
     found = both.select("doc_id", "words", "later", "earlier").mapInArrow(

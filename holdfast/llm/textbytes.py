@@ -120,6 +120,14 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the runs of hashes from ``starts`` to before ``ends``."""
+    sums = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * _powers(_BASE, len(hashes))[: len(hashes)], out=sums[1:])
+    back = _powers(_BACK, len(hashes) + 1)[starts]
+    return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(U64) * _MIX[2])
+
+
 def row_of(first: np.ndarray, n: int) -> np.ndarray:
     """Row of each of ``n`` words from the rows' first words."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first)) if n else np.zeros(0, np.int64)

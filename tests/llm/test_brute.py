@@ -173,6 +173,39 @@ def test_op7(spark, documents):
     assert got == {d: len(g) for d, g in gone.items()} and sum(got.values()) > 0
 
 
+def _common_runs(docs, least=line_align.MIN_BLOCK_WORDS):
+    """Lines removed from each document, by comparing every line of it with every line of all documents before."""
+    texts = {d: lower_lines(t) for d, t in docs}
+    out = {}
+    for d, own in texts.items():
+        gone = set()
+        for e, other in texts.items():
+            for i in range(len(other) if e < d else 0):
+                for j in range(len(own)):
+                    n = 0
+                    while i + n < len(other) and j + n < len(own) and other[i + n] == own[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in own[j : j + n]) >= least:
+                        gone.update(range(j, j + n))
+        out[d] = len(gone)
+    return out
+
+
+def _removed(spark, docs):
+    left = line_align.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    return {r.doc_id: r.n_removed for r in left.collect()}
+
+
+def test_passage_whose_lines_all_stand_in_earlier_documents(spark):
+    lines = [" ".join(f"w{k}x{i}" for i in range(6)) for k in range(10)]
+    scattered = "\n".join(f"{x}\nown line {k}" for k, x in enumerate(lines[::-1]))
+    docs = [(k, f"a{k} b c\n{x}\nd{k}") for k, x in enumerate(lines)] + [(15, scattered)]
+    docs += [(20, "\n".join(["top", *lines, ""])), (21, "\n".join(["other", *lines, "", "end"]))]
+    docs += [(30, "\n".join(f"go {k}\n" for k in range(9))), (31, "\n".join(["x", *(f"go {k}\n" for k in range(9))]))]
+    got = _removed(spark, docs)
+    assert got == _common_runs(docs) and got[21] >= 10 and got[20] == 0 and got[31] > 0
+
+
 def lower_lines(text):
     from plain import lower
 
