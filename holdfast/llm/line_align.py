@@ -8,7 +8,8 @@ every block that is long enough meets its first holder.  A pair is aligned by pa
 over line hashes: lines that are unique on both sides and in the same order are anchors, the
 gaps between them are aligned in the same way, and anchors grow over equal lines around
 them.  What is left unaligned is aligned again, until nothing is found, so that moved blocks
-are found, too.  Aligned blocks of enough words are
+are found, too; runs that are left then are matched with any place of the earlier document,
+so that a passage may stand more often in the later one.  Aligned blocks of enough words are
 deleted from the later document (the one with the larger id).
 
 Blocks are found in the original texts, so the first document of a line keeps it unless a
@@ -141,7 +142,18 @@ def aligned_blocks(a, b, words, min_words: int = MIN_BLOCK_WORDS) -> list[int]:
 
     ``words`` are those of each line of ``b``.  A block is a run of matches without a gap on either side.
     """
-    return sorted(_rounds(list(a), list(b), words, min_words))
+    a, b, gone = list(a), list(b), _rounds(list(a), list(b), words, min_words)
+    if len(gone) == len(b):
+        return sorted(gone)
+    # Runs that are left, at any place of a.  A line that b lacks gets words enough to be a run of its own.
+    number = {line: k for k, line in enumerate(dict.fromkeys(b))}
+    count = dict(zip(b, map(int, words)))
+    lines = lambda x: tb.mix(np.array([number.get(line, len(number)) for line in x], tb.U64)).view(np.int64)
+    there = np.unique(runs(lines(a), np.array([count.get(line, min_words) for line in a]), min_words)[2])
+    starts, ends, keys = runs(lines(b), np.array([count[line] for line in b]), min_words)
+    for k in np.flatnonzero(np.isin(keys, there)).tolist():
+        gone.update(range(starts[k], ends[k]))
+    return sorted(gone)
 
 
 def _rounds(a: list, b: list, words, min_words: int) -> set:

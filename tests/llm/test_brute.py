@@ -206,6 +206,16 @@ def test_passage_whose_lines_all_stand_in_earlier_documents(spark):
     assert got == _common_runs(docs) and got[21] >= 10 and got[20] == 0 and got[31] > 0
 
 
+def test_passage_that_stands_twice(spark):
+    passage = ["one two three four five six", "seven eight nine ten eleven"]
+    docs = [(1, "\n".join([*passage, "x"])), (2, "\n".join([*passage, "between", *passage])), (3, "\n".join(["y", *passage * 2]))]
+    docs += [(4, "\n".join(passage * 2)), (5, "\n".join(passage * 2))]
+    assert _removed(spark, docs) == _common_runs(docs) == {1: 0, 2: 4, 3: 4, 4: 4, 5: 4}
+    rng = random.Random(12)
+    docs = [(d, "\n".join(rng.choice(["", "a", "b c", "d e f", "g h i j k"]) for _ in range(rng.randrange(0, 25)))) for d in range(40)]
+    assert _removed(spark, docs) == _common_runs(docs)
+
+
 def lower_lines(text):
     from plain import lower
 
