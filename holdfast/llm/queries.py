@@ -35,7 +35,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    records = warc.read_archive(spark, path, payloads=False).where("type IN ('response', 'revisit')")
+    # A gap in an archive that was just written is a lost page.
+    lost = F.raise_error(F.concat(F.lit("gap in the written archive: "), "reason")).cast("boolean")
+    wanted = F.when(F.col("type") == "gap", lost).otherwise(F.col("type").isin("response", "revisit"))
+    records = warc.read_archive(spark, path, payloads=False).where(wanted)
     return records.select(
         warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest",
         F.col("type").alias("record_type"), warc.page_of("refers_to").alias("refers_to"))

@@ -27,8 +27,6 @@ from holdfast.llm.files import read_binary, write_binary
 
 #: Compressed bytes that a task gathers before it hands them to the writer.
 CHUNK = 4 << 20
-#: Longest inflated member and longest header that the reader takes for a record.
-MAX_RECORD, MAX_HEADER = 1 << 30, 1 << 16
 #: Payloads of fewer bytes are never stored as revisits.
 MIN_REVISIT = 0
 #: Up to so many revisit ids are broadcast (about 64 bytes each); more are joined by an exchange.
@@ -40,6 +38,7 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _MEMBER = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
 _LINE = re.compile(rb"WARC/\d\.\d\r?\n")
+_HEADER_END = re.compile(rb"\r\n(?:\r\n|WARC/\d\.\d\r?\n)")
 
 
 def _member(data: bytes) -> bytes:
@@ -133,10 +132,11 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     line = _LINE.match(data, at)
     if not line:
         raise Broken("no version line")
-    # Find the blank line that ends the header.
-    stop = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if stop < 0:
+    # Find the blank line that ends the header, however long that is, but not beyond the next version line.
+    blank = _HEADER_END.search(data, at)
+    if not blank or blank[0] != b"\r\n\r\n":
         raise Broken("header does not end")
+    stop = blank.start()
     head = {}
     for row in data[line.end() : stop].split(b"\r\n"):
         name, colon, value = row.partition(b":")
@@ -175,11 +175,11 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
     """Content of the gzip member at ``at`` and where it ends."""
     unpack = zlib.decompressobj(31)
     try:
-        out = unpack.decompress(data[at:], MAX_RECORD)
+        out = unpack.decompress(data[at:])
     except zlib.error as error:
         raise Broken("member does not inflate") from error
     if not unpack.eof:
-        raise Broken("member is cut off or too long")
+        raise Broken("member is cut off")
     return out, len(data) - len(unpack.unused_data)
 
 

@@ -78,6 +78,25 @@ def test_salvage():
     assert [r["record_id"] for r in warc.salvage(plain[0] + longer + plain[2])[0]] == ["<urn:page:0>", "<urn:page:2>"]
 
 
+def test_long_urls_are_kept_and_gaps_are_errors(spark, tmp_path, monkeypatch):
+    rows = [(1, "http://x/" + "a" * 100_000, "<p>one"), (2, "data:text/plain," + "é" * 30_000, "<p>two"),
+            (3, "http://x/WARC/1.0", "<p>one WARC/1.0\r\n"), (4, "u" * 300_000, "<p>one")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, registered.op3_warc(spark, str(tmp_path)).collect()))
+    assert got == sorted(archive(rows))
+    plain = b"".join(warc.record(i, u, h.encode(), warc.payload_digest(h.encode())) for i, u, h in rows)
+    assert len(warc.salvage(plain)[0]) == 4 and not warc.salvage(plain)[1]
+    cut = warc.salvage(plain[:60_000] + plain[100_500:])
+    assert [r["record_id"] for r in cut[0]][-2:] == ["<urn:page:3>", "<urn:page:4>"] and len(cut[1]) == 1
+
+    def noise(pages, path):
+        warc.write_binary(pages.selectExpr("CAST('no record' AS BINARY) AS b"), "b", warc.EMPTY_MEMBER, path)
+
+    monkeypatch.setattr(warc, "write_archive", noise)
+    with pytest.raises(Exception, match="gap in the written archive"):
+        registered.op3_warc(spark, str(tmp_path)).collect()
+
+
 def test_op4(spark, documents):
     assert sorted(map(tuple, run(spark, "op4_ngram_join").collect())) == near_copies(documents)
 
