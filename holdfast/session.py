@@ -93,7 +93,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``materialize`` returned, once everything that reads it has been written."""
+    spark = table.sparkSession
+    written = _written.get(spark.sparkContext.applicationId, [])
+    if table.scratch_path in written:
+        written.remove(table.scratch_path)
+        _delete(spark, table.scratch_path)
 
 
 def clear_scratch(spark: SparkSession) -> int:
@@ -103,10 +119,8 @@ def clear_scratch(spark: SparkSession) -> int:
     tables fail afterwards.
     """
     paths = _written.pop(spark.sparkContext.applicationId, [])
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for path in paths:
-        place = hadoop(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, path)
     return len(paths)
 
 
