@@ -61,3 +61,64 @@ VECTORS = f"""
          nodes AS (SELECT vec_id AS id FROM v), {_REACH}
     SELECT vec_id, (SELECT COUNT(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
     FROM v JOIN component ON component.id = v.vec_id"""
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Every round compares all parts with all entries; whole numbers are exact as doubles."""
+    steps = """kept AS (SELECT vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+                   WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         parts AS (SELECT vec_id, label, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x
+                   FROM kept, (SELECT unnest(range(4)) AS p)),
+         seeds AS (SELECT vec_id, ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 256),
+         book0 AS (SELECT p, e, x AS c FROM parts JOIN seeds USING (vec_id)),"""
+    for turn in range(rounds + 1):
+        steps += f"""
+         near{turn} AS (SELECT vec_id, any_value(label) AS label, p, any_value(x) AS x, MIN(d * 256 + e) AS best FROM (
+                          SELECT parts.*, e, CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c)
+                                                  + list_inner_product(c, c) AS BIGINT) AS d
+                          FROM parts JOIN book{turn} USING (p)) GROUP BY vec_id, p),"""
+        if turn < rounds:
+            steps += f"""
+         mean{turn} AS (SELECT p, e, list(floor(total / n) ORDER BY i) AS c FROM (
+                          SELECT p, e, i, SUM(y) AS total, COUNT(*) AS n FROM (
+                            SELECT p, best % 256 AS e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM near{turn})
+                          GROUP BY p, e, i) GROUP BY p, e),
+         book{turn + 1} AS (SELECT p, e, COALESCE(m.c, b.c) AS c FROM book{turn} b LEFT JOIN mean{turn} m USING (p, e)),"""
+    return f"""
+    WITH {steps}
+         sealed AS (SELECT sha256(string_agg(list_aggregate([CAST(CAST(y AS BIGINT) AS VARCHAR) FOR y IN c], 'string_agg', ','), ',' ORDER BY p, e)) AS s
+                    FROM book{rounds}),
+         coded AS (SELECT vec_id, any_value(label) AS label, CAST(SUM(best // 256) AS BIGINT) AS error,
+                          string_agg(lower(printf('%02x', best % 256)), '' ORDER BY p) AS code FROM near{rounds} GROUP BY vec_id)
+    SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+    FROM coded, sealed"""
+
+
+VECTOR_CODES = _vector_codes()
+
+#: Bytes of a text, each followed by eight -1: a step of CRC-32 takes a byte in, or shifts by a bit.
+_STEPS = """flatten([[16 * (strpos('0123456789ABCDEF', substr(h, 2 * k - 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * k, 1)) - 1,
+                          -1, -1, -1, -1, -1, -1, -1, -1] FOR k IN range(1, length(h) // 2 + 1)])"""
+_CRC = f"""xor(list_reduce(list_concat([4294967295::BIGINT], {_STEPS}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+              WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT)"""
+_DIGITS = "list_reduce([strpos('0123456789abcdef', c) - 1 FOR c IN string_split(substr(sha256('7:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 8), '')], lambda a, b: 16 * a + b)"
+
+IMPORTANCE = f"""
+    WITH texts AS (SELECT 1 AS side, doc_id, COALESCE({_LETTERS}, []) AS w FROM documents
+                   UNION ALL SELECT 0, NULL, COALESCE({_LETTERS}, []) FROM benchmark),
+         features AS (SELECT side, doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS f FROM texts),
+         hashed AS (SELECT f, {_CRC} % 10000 AS bucket FROM (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM features))),
+         placed AS (SELECT side, doc_id, bucket FROM features JOIN hashed USING (f)),
+         counts AS (SELECT bucket, CAST(SUM(side) AS DOUBLE) AS s, CAST(SUM(1 - side) AS DOUBLE) AS t FROM placed GROUP BY 1),
+         totals AS (SELECT SUM(s) AS all_s, SUM(t) AS all_t FROM counts),
+         gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS gain FROM counts, totals),
+         weights AS (SELECT doc_id, CAST(floor(SUM(gain) / COUNT(*)) AS BIGINT) AS weight
+                     FROM placed JOIN gains USING (bucket) WHERE side = 1 GROUP BY 1),
+         scored AS (SELECT doc_id, len(w) AS n_words, CAST(len(w) + greatest(len(w) - 1, 0) AS BIGINT) AS n_features,
+                           COALESCE(weight, 0) AS weight,
+                           COALESCE(weight, 0) + CAST(floor(-1000 * ln(-ln(({_DIGITS} + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score
+                    FROM texts LEFT JOIN weights USING (doc_id) WHERE side = 1),
+         ranked AS (SELECT doc_id, ROW_NUMBER() OVER (ORDER BY score DESC, doc_id) AS rank, COUNT(*) OVER () AS n
+                    FROM scored WHERE n_words >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank
+    FROM scored LEFT JOIN ranked USING (doc_id)"""

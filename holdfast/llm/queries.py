@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, decontaminate, html_region, line_align, ngram_join, oracle, projection_dedup, quality, separators, suffix_tree, warc
+from holdfast.llm import (
+    bpe, chunk_bpe, decontaminate, html_region, importance, line_align, ngram_join, oracle, projection_dedup, quality, separators,
+    suffix_tree, vector_codes, warc,
+)
 from holdfast.llm.settings import bounded
 from holdfast.session import scratch_dir
 
@@ -14,6 +17,8 @@ from holdfast.session import scratch_dir
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The id of that vocabulary which no token has.
 END_OF_DOCUMENT = 50_256
+#: Tokenizer file of the query that reuses chunks.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,11 +98,27 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books, coded = vector_codes.fit(_table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = chunk_bpe.read_tokenizer(spark, public_tokenizers.path(TOKENIZER))
+    return chunk_bpe.token_digests(_table(spark, sf_dir, "documents"), tokenizer, public_tokenizers.PATTERN)
+
+
 QUERIES = {query.__name__: query for query in (
     op1_html_region, op2_decontaminate, op3_warc, op4_ngram_join, op5_separators, op6_projection_dedup, op7_line_align, op8_quality, op9_bpe, op10_suffix_tree,
+    op11_vector_codes, op12_importance, op13_chunk_bpe,
 )}
 #: The others have no SQL: tests/llm holds them against brute force, the tokenizer's library and held-out labels.
 ORACLE = {
     "op2_decontaminate": oracle.DECONTAMINATE, "op3_warc": oracle.ARCHIVE, "op4_ngram_join": oracle.NGRAM_JOIN,
-    "op6_projection_dedup": oracle.VECTORS,
+    "op6_projection_dedup": oracle.VECTORS, "op11_vector_codes": oracle.VECTOR_CODES, "op12_importance": oracle.IMPORTANCE,
 }
