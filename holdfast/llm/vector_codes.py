@@ -197,7 +197,7 @@ def fit(
     state = whole.where(F.length("vec") == 4 * size)
     # The seeds: as many rows as a codebook has entries.
     seeds = [r.vec for r in state.orderBy(*order).limit(entries).select("vec").collect()]
-    books = np.frombuffer(b"".join(seeds), "<i4").astype(np.int64).reshape(len(seeds), parts, -1).transpose(1, 0, 2).copy()
+    books = np.frombuffer(b"".join(seeds), "<i4").astype(np.int64).reshape(len(seeds), parts, size // parts).transpose(1, 0, 2).copy()
     width = size // parts
     sums = np.zeros((parts, len(seeds), width + 1), np.int64)
     moved, schema = None, f"{head}, code binary, far binary, was binary, error long"

@@ -21,7 +21,7 @@ def test_same_as_sql(spark, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {re.match(r"op\d+", n)[0] for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {re.match(r"op\d+", n)[0] for n in names if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
 
@@ -41,7 +41,7 @@ def test_nothing_else_imports_the_package():
 
 
 def test_no_local_files_or_row_collections():
-    """Collected are only rows of a written bound: labelled samples, weights, alphabets and contexts, benchmark blocks."""
+    """Collected are only rows of a written bound: labelled samples, weights, alphabets and contexts, benchmark blocks, buckets, codebooks."""
     collects = {}
     for path in (ROOT / "holdfast" / "llm").glob("*.py"):
         source = path.read_text()
@@ -49,4 +49,4 @@ def test_no_local_files_or_row_collections():
         assert not re.search(r"localCheckpoint|toPandas|\.rdd\b|crossJoin", source), path
         collects[path.name] = len(re.findall(r"\.collect\(\)|\.toLocalIterator\(\)|\.toArrow\(\)", source))
     assert {k: v for k, v in collects.items() if v} == {
-        "decontaminate.py": 1, "html_region.py": 1, "quality.py": 1, "suffix_tree.py": 1}
+        "decontaminate.py": 1, "html_region.py": 1, "importance.py": 1, "quality.py": 1, "suffix_tree.py": 1, "vector_codes.py": 3}
