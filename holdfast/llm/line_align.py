@@ -1,16 +1,16 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap if they share a run of consecutive lines that has enough words to be
-deleted, whatever its lines are and however often they stand.  Every shortest such run (from
-each line on, and up to each line) ties the documents that have it to the first of them, so
-a run that thousands of documents share makes one pair for each, not one for every two, and
-every block that is long enough meets its first holder.  A pair is aligned by patience diff
-over line hashes: lines that are unique on both sides and in the same order are anchors, the
-gaps between them are aligned in the same way, and anchors grow over equal lines around
-them.  What is left unaligned is aligned again, until nothing is found, so that moved blocks
-are found, too; runs that are left then are matched with any place of the earlier document,
-so that a passage may stand more often in the later one.  Aligned blocks of enough words are
-deleted from the later document (the one with the larger id).
+Documents overlap if they share a rare run: consecutive lines that together have enough words
+to be deleted, be it a single long line or a passage of short ones that are common by
+themselves.  The hash of every shortest such run (from each line on, and up to each line) ties
+the documents that have it to the first of them, so a run that thousands of documents share
+makes one pair for each, not one for every two, and every block that is long enough meets its
+first holder.  A pair is aligned by patience diff: runs that stand once on both sides are
+anchors, the longest sequence of them that rises on both sides is kept, and blocks grow from
+the anchors over equal lines.  What no block has taken is aligned again with the whole earlier
+document, until nothing is left to find, so that moved blocks and passages that stand more
+often in the later document are found, too.  Aligned blocks are deleted from the later
+document (the one with the larger id).
 
 Blocks are found in the original texts, so the first document of a line keeps it unless a
 longer block takes it to an even earlier one.
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import textbytes as tb
 from holdfast.llm.quality import lines_of
+from holdfast.llm.settings import unused
 from holdfast.session import materialize
 
-#: Words that a block must have to be deleted; runs of so many tie documents.  A line of MIN_LINE_WORDS is long enough
-#: to be called rare; shorter ones tie as parts of runs, so only tests read it.
-MIN_LINE_WORDS, MIN_BLOCK_WORDS = 3, 10
+#: Words that a block must have to be deleted; runs of so many tie documents.
+MIN_BLOCK_WORDS = 10
 
 
 def line_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,80 +102,57 @@ def _longest_rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _singles(lines, places) -> dict:
-    """Place of each line that stands once among the places."""
-    seen: dict = {}
-    for i in places:
-        seen[lines[i]] = -1 if lines[i] in seen else i
-    return {line: i for line, i in seen.items() if i >= 0}
+def _anchors(todo: list[tuple[int, int]], there: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """Matches (place in a, place in b) of runs: those that stand once on either side, or all at their first place in a."""
+    places: dict[int, list[int]] = {}
+    for start, key in todo:
+        places.setdefault(key, []).append(start)
+    single = [(there[key][0], at[0]) for key, at in places.items() if len(at) == len(there[key]) == 1]
+    found = single or [(there[key][0], start) for start, key in todo]
+    # Of several matches of one place of a, a rise takes one: falling places of b never rise.
+    return _longest_rise(sorted(found, key=lambda m: (m[0], -m[1])))
 
 
-def _patience(a: list, b: list, left: list[int], right: list[int]) -> list[tuple[int, int]]:
-    """Matches (place in a, place in b) of the lines at the given places, both rising."""
-    out, todo = [], [(0, len(left), 0, len(right))]
-    while todo:
-        l0, l1, r0, r1 = todo.pop()
-        # Equal lines at both ends of a gap match without being unique.
-        while l0 < l1 and r0 < r1 and a[left[l0]] == b[right[r0]]:
-            out.append((l0, r0))
-            l0, r0 = l0 + 1, r0 + 1
-        while l0 < l1 and r0 < r1 and a[left[l1 - 1]] == b[right[r1 - 1]]:
-            l1, r1 = l1 - 1, r1 - 1
-            out.append((l1, r1))
-        if l0 >= l1 or r0 >= r1:
-            continue
-        one = _singles([a[i] for i in left[l0:l1]], range(l1 - l0))
-        two = _singles([b[i] for i in right[r0:r1]], range(r1 - r0))
-        anchors = _longest_rise(sorted((one[x] + l0, two[x] + r0) for x in one.keys() & two.keys()))
-        if not anchors:
-            continue
-        before = (l0, r0)
-        for i, j in [*anchors, (l1, r1)]:
-            todo.append((before[0], i, before[1], j))
-            before = (i + 1, j + 1)
-        out += anchors
-    return sorted((left[i], right[j]) for i, j in out)
+def _grown(a: list, b: list, i: int, j: int) -> tuple[int, int]:
+    """The block of ``b`` around place ``j`` that equals ``a`` around place ``i``."""
+    low, high = 0, 0
+    while i + high < len(a) and j + high < len(b) and a[i + high] == b[j + high]:
+        high += 1
+    while i - low > 0 and j - low > 0 and a[i - low - 1] == b[j - low - 1]:
+        low += 1
+    return j - low, j + high
 
 
 def aligned_blocks(a, b, words, min_words: int = MIN_BLOCK_WORDS) -> list[int]:
     """Places of lines of ``b`` in blocks of at least ``min_words`` words that align with ``a``.
 
-    ``words`` are those of each line of ``b``.  A block is a run of matches without a gap on either side.
+    ``words`` are those of each line of ``b``.  Every round aligns ``b`` with the whole of ``a``: anchors are runs of
+    lines that both have, in the longest order that rises on both sides, and blocks grow from them over equal lines.
+    The next round aligns what no block has taken yet, so that passages that are moved, or stand more often in
+    ``b``, are found in the end.
     """
-    a, b, gone = list(a), list(b), _rounds(list(a), list(b), words, min_words)
-    if len(gone) == len(b):
-        return sorted(gone)
-    # Runs that are left, at any place of a.  A line that b lacks gets words enough to be a run of its own.
+    a, b = list(a), list(b)
+    # A line that b lacks gets words enough to be a run of its own.
     number = {line: k for k, line in enumerate(dict.fromkeys(b))}
     count = dict(zip(b, map(int, words)))
     lines = lambda x: tb.mix(np.array([number.get(line, len(number)) for line in x], tb.U64)).view(np.int64)
-    there = np.unique(runs(lines(a), np.array([count.get(line, min_words) for line in a]), min_words)[2])
-    starts, ends, keys = runs(lines(b), np.array([count[line] for line in b]), min_words)
-    for k in np.flatnonzero(np.isin(keys, there)).tolist():
-        gone.update(range(starts[k], ends[k]))
+    there: dict[int, list[int]] = {}
+    starts, _, keys = runs(lines(a), np.array([count.get(line, min_words) for line in a], np.int64), min_words)
+    for start, key in sorted(set(zip(starts.tolist(), keys.tolist()))):
+        there.setdefault(key, []).append(start)
+    todo = [(i, j, key) for i, j, key in zip(*(x.tolist() for x in runs(lines(b), np.array([count[x] for x in b], np.int64), min_words)))
+            if key in there]
+    todo, gone = sorted(set(todo)), set()
+    while todo:
+        taken = (0, 0, 0)  # the block that grew last, and the distance of its places in a and b
+        for i, j in _anchors([(start, key) for start, _, key in todo], there):
+            if not (taken[0] <= j < taken[1] and i - j == taken[2]):
+                taken = (*_grown(a, b, i, j), i - j)
+                gone.update(range(*taken[:2]))
+        todo = [run for run in todo if not all(k in gone for k in range(run[0], run[1]))]
     return sorted(gone)
 
 
-def _rounds(a: list, b: list, words, min_words: int) -> set:
-    """Places of ``b`` in blocks that rounds of patience diff align, each over what the ones before left."""
-    left, right, gone = list(range(len(a))), list(range(len(b))), set()
-    while left and right:
-        found = _patience(a, b, left, right)
-        if not found:
-            break
-        block, fresh = [], []
-        for match in [*found, None]:
-            if block and (match is None or (match[0] - block[-1][0], match[1] - block[-1][1]) != (1, 1)):
-                if sum(int(words[j]) for _, j in block) >= min_words:
-                    fresh += [j for _, j in block]
-                block = []
-            block.append(match)
-        gone.update(fresh)
-        used_left, used_right = ({m[k] for m in found} for k in (0, 1))
-        left, right = [i for i in left if i not in used_left], [j for j in right if j not in used_right]
-    return gone
-
-
 def _aligned(min_words: int):
     def run(batches):
         for batch in batches:
@@ -215,18 +192,18 @@ def repeated_lines(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> D
 
 
 def _without(batches):
+    """The lines to remove stand in the last column."""
     for batch in batches:
-        text, gone = (batch.schema.get_field_index(n) for n in ("text", "_gone"))
+        text = batch.schema.get_field_index("text")
         out, lost = [], []
-        for value, lines in zip(batch.column(text).to_pylist(), batch.column(gone).to_pylist()):
+        for value, lines in zip(batch.column(text).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
             lost.append(len(lines or ()))
             if lines:
                 drop = set(lines)
                 value = "\n".join(line for i, line in enumerate(value.split("\n")) if i not in drop)
             out.append(value)
-        columns = [pa.array(out, pa.string()) if i == text else c for i, c in enumerate(batch.columns) if i != gone]
-        names = [n for n in batch.schema.names if n != "_gone"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.int64())], names=[*names, "n_removed"])
+        columns = [pa.array(out, pa.string()) if i == text else c for i, c in enumerate(batch.columns[:-1])]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.int64())], names=[*batch.schema.names[:-1], "n_removed"])
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -238,7 +215,8 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     equal lines the smallest id keeps them.  An empty table gives an empty one; texts are taken whole.
     """
     docs = docs.drop("n_removed")
-    gone = repeated_lines(docs, **options).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    doc, lost = unused("_doc", docs), unused("_gone", docs)
+    gone = repeated_lines(docs, **options).select(F.col("doc_id").alias(doc), F.col("gone").alias(lost))
+    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col(doc), "left").select(*docs.columns, lost)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_removed long"
     return joined.mapInArrow(_without, schema)

@@ -18,6 +18,8 @@ pair whose documents are not yet in one component.  A pair inside a component ca
 the components, so they are those of all links.
 """
 
+import string
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import textbytes as tb
 from holdfast.llm.graph import components
-from holdfast.llm.settings import buckets_for
+from holdfast.llm.settings import buckets_for, unused
 from holdfast.session import materialize
 
 SHINGLE, PERCENT = 5, 80
@@ -274,8 +276,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, with all columns: the one with the smallest id.
 
-    Documents without words stay, and so do rows without id; rows that repeat an id become one.
+    Documents without words stay, and so do rows without id.  Of rows that repeat an id with the same words one
+    stays; rows that repeat it with other words are documents of their own and stay.
     """
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    kept, words = unused("_kept", docs), unused("_words", docs)
+    first = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(first, docs["doc_id"].cast("long") == F.col(kept), "left_semi")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    spaced = F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))
+    named = named.withColumn(words, F.md5(spaced.cast("binary"))).dropDuplicates(["doc_id", words]).drop(words)
+    return named.unionByName(docs.where("doc_id IS NULL"))

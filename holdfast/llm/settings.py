@@ -24,6 +24,14 @@ def buckets_for(table: DataFrame) -> int:
     return max(LEAST_BUCKETS, partitions, estimated_bytes(table) // BUCKET_BYTES)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, in any case of its letters."""
+    taken = {c.lower() for table in tables for c in table.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application: their functions import it, and keep what they cache."""
     context = spark.sparkContext

@@ -177,19 +177,48 @@ def test_alignment_of_lines_that_stand_once():
 
 
 def test_op7(spark, documents):
-    """Against all pairs with a rare line in common, one after another."""
-    lines = {d: [x for x in lower_lines(t)] for d, t in documents if t}
-    first = {}
-    for d in sorted(lines):
-        for x in lines[d]:
-            if lines[d].count(x) == 1 and len(x.split()) >= line_align.MIN_LINE_WORDS:
-                first.setdefault(x, d)
-    gone = {d: set() for d, _ in documents}
-    for d, own in lines.items():
-        for origin in {first[x] for x in own if x in first and own.count(x) == 1} - {d}:
-            gone[d].update(line_align.aligned_blocks(lines[origin], own, [len(x.split()) for x in own]))
+    """Against every line of every document, compared with every line of all documents before."""
     got = {r.doc_id: r.n_removed for r in run(spark, "op7_line_align").collect()}
-    assert got == {d: len(g) for d, g in gone.items()} and sum(got.values()) > 0
+    assert got == _common_runs(documents) and sum(got.values()) > 0
+
+
+def test_deletion_is_by_alignment(monkeypatch):
+    """Blocks come from the rising order of anchors and nothing else; one round finds what is in order, more the rest."""
+    rng = random.Random(3)
+    words = lambda x: [len(str(line)) for line in x]
+    cases = [([rng.choice(["a", "bb", "ccc", "dddd"]) for _ in range(30)], [rng.choice(["a", "bb", "ccc", "dddd"]) for _ in range(30)]) for _ in range(300)]
+    full = [line_align.aligned_blocks(a, b, words(b), 6) for a, b in cases]
+    for (a, b), got in zip(cases, full):
+        want = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if sum(words(b[j : j + n])) >= 6:
+                    want.update(range(j, j + n))
+        assert got == sorted(want)
+    rise = line_align._longest_rise
+    rounds = []
+    monkeypatch.setattr(line_align, "_longest_rise", lambda pairs: rounds.append(1) or rise(pairs))
+    assert [line_align.aligned_blocks(a, b, words(b), 6) for a, b in cases] == full and len(rounds) > len(cases)
+    calls = []
+
+    def once(pairs):
+        calls.append(1)
+        if len(calls) > 1:
+            raise StopIteration
+        return rise(pairs)
+
+    short = 0
+    monkeypatch.setattr(line_align, "_longest_rise", once)
+    for (a, b), want in zip(cases, full):
+        calls.clear()
+        try:
+            short += line_align.aligned_blocks(a, b, words(b), 6) != want
+        except StopIteration:
+            short += 1
+    assert short > 0
 
 
 def _common_runs(docs, least=line_align.MIN_BLOCK_WORDS):
@@ -199,8 +228,11 @@ def _common_runs(docs, least=line_align.MIN_BLOCK_WORDS):
     for d, own in texts.items():
         gone = set()
         for e, other in texts.items():
+            at = defaultdict(list)
+            for j, line in enumerate(own):
+                at[line].append(j)
             for i in range(len(other) if e < d else 0):
-                for j in range(len(own)):
+                for j in at.get(other[i], ()):
                     n = 0
                     while i + n < len(other) and j + n < len(own) and other[i + n] == own[j + n]:
                         n += 1

@@ -20,7 +20,7 @@ ROWS = [
     (1, "one two three four five six seven eight nine ten eleven"), (None, "one two three four five six"),
     (None, None), (8, "日本語 テキスト\nüber die Straße"), (9, "x"),
 ]
-EXTRA = ["n", "rep", "ids", "score", "component", "words", "lines", "value", "lang", "source"]
+EXTRA = ["_gone", "_doc", "_kept", "_row", "n", "rep", "ids", "score", "component", "words", "lines", "value", "lang", "source"]
 
 
 @pytest.fixture(scope="module")
@@ -158,3 +158,11 @@ def test_stages(spark, docs, tmp_path):
             out = stage(spark, rows, str(tmp_path))
             assert out.columns == docs.columns and out.count() <= rows.count()
         assert corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() == rows.count()
+
+
+def test_an_id_on_different_texts(spark):
+    """Both clean texts of one id stay; its equal rows become one."""
+    rows = [(1, "one clean text about the sea and its tides"), (1, "quite another text about bread and its crust"),
+            (1, "One clean  text about the sea and its tides"), (2, "one clean text about the sea and its tides")]
+    kept = ngram_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text.lower().split()[1]) for r in kept) == [(1, "another"), (1, "clean")]
