@@ -12,10 +12,12 @@ from holdfast import rules, schemas
 from holdfast.functions.rates import rows
 from holdfast.operators.history import dedupe_latest
 from holdfast.plans import marts, model, scoring
+from holdfast.plans.fact_store import BUCKETS, FactStore, latest_calls
 from holdfast.session import materialize
 from holdfast.sources.publish import publish_snapshot, publish_table
 from holdfast.streaming.ingest import bronze_schema, ingest_stream, read_bronze
-from holdfast.streaming.mart_counts import marts_of, stream_mart_counts
+from holdfast.streaming.mart_counts import KEYS, mart_partials, marts_of, partial_counts
+from holdfast.streaming.partials import negated
 
 
 @dataclass
@@ -42,44 +44,77 @@ class Store:
 
 def refresh_marts(
     spark: SparkSession, store: Store, version: str, incremental: bool = False,
-    disconnect_topics=rules.DISCONNECT_TOPICS, unique_key: Mapping[str, str] | None = None, **kpi_settings,
+    disconnect_topics=rules.DISCONNECT_TOPICS, unique_key: Mapping[str, str] | None = None, fact_buckets: int = BUCKETS,
+    **kpi_settings,
 ) -> dict[str, DataFrame]:
     """Run the ingestion of all sources and write a new version of the five marts.
 
-    Running it again without new files rebuilds the same marts: ingestion adds
-    nothing, and each version is written to its own folder.  With ``incremental`` the
-    four aggregated marts come from counts that only the new calls are added to; all
-    refreshes of a store must then use the same ``disconnect_topics``.  ``unique_key`` names
-    the key of sources of which a drop may land twice: of rows with equal keys the latest
-    arrival counts.  It does not go with ``incremental``, whose counts are never taken back.
+    Running it again without new files rebuilds the same marts: ingestion adds nothing, and each version is written to
+    its own folder.  ``unique_key`` names the key of sources of which a drop may land twice, or corrected: of rows with
+    equal keys the latest arrival counts.
+
+    With ``incremental`` the call table and the counts below the four aggregated marts are kept from refresh to refresh:
+    only new calls are read, joined and counted, calls whose key comes again are taken back, and of the call table
+    only folders with calls of changed dimension rows are rewritten.  The call table is then read where it is kept.
+    All refreshes of a store must use the same ``disconnect_topics``, key of the calls and number of ``fact_buckets``
+    (among which the call table is dealt out by customer).
     """
-    if incremental and unique_key:
-        raise ValueError("counts of a repeated drop cannot be taken back: refresh in full")
+    keys = dict(unique_key or {})
     bronze = {
         name: ingest_stream(spark, store.landing(name), store.bronze(name), schema, store.checkpoint(name))
         for name, schema in schemas.SOURCES.items()
     }
-    for name, key in (unique_key or {}).items():
-        bronze[name] = dedupe_latest(bronze[name], [key], ["_ingested_at", "_source_file"])
+    call_key = keys.get("call_interactions")
+    for name, key in keys.items():
+        if not (incremental and name == "call_interactions"):
+            bronze[name] = dedupe_latest(bronze[name], [key], ["_ingested_at", "_source_file"])
     calls, customers, agents = bronze["call_interactions"], bronze["customer_profiles"], bronze["agents"]
     competitors, offers = bronze["competitor_intel"], bronze["retention_offers"]
-    plans = {
-        "call_fact": marts.call_fact(calls, customers, agents, competitors, offers),
-    }
     if incremental:
-        partials = stream_mart_counts(
-            spark, store.bronze("call_interactions"), bronze_schema(schemas.SOURCES["call_interactions"]),
-            store.bronze("mart_counts"), store.checkpoint("mart_counts"), disconnect_topics, source="parquet",
-        )
-        plans |= marts_of(partials, customers, agents, competitors, offers, **kpi_settings)
+        facts, partials = _kept_up(spark, store, bronze, call_key, disconnect_topics, fact_buckets)
+        plans = marts_of(partials, customers, agents, competitors, offers, **kpi_settings)
+        kept = {"call_fact": facts.read()}
     else:
-        plans |= {
+        kept, plans = {}, {
+            "call_fact": marts.call_fact(calls, customers, agents, competitors, offers),
             "agent_performance": marts.agent_performance(calls, agents),
             "offer_effectiveness": marts.offer_effectiveness(calls, competitors, offers),
             "topic_mix": marts.topic_mix(calls),
             "daily_kpis": marts.daily_kpis(calls, customers, disconnect_topics=disconnect_topics, **kpi_settings),
         }
-    return {name: publish_table(plan, store.mart(name, version)) for name, plan in plans.items()}
+    return kept | {name: publish_table(plan, store.mart(name, version)) for name, plan in plans.items()}
+
+
+def _kept_up(
+    spark: SparkSession, store: Store, bronze: dict[str, DataFrame], key: str | None, disconnect_topics, buckets: int
+) -> tuple[FactStore, DataFrame]:
+    """The call table and the partial counts, with the calls that are new in bronze.
+
+    The counts of a batch are written before the table changes, as they need the rows that the batch replaces; a
+    batch that is retried in between finds its counts there and only changes the table.
+    """
+    facts = FactStore(spark, store.bronze("call_facts"), buckets)
+    schema = bronze_schema(schemas.SOURCES["call_interactions"])
+    partials = mart_partials(spark, store.bronze("mart_counts"), schema, disconnect_topics)
+    facts.propagate(bronze)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        # The batch is read from bronze by each of the steps below; with a key, once, into the scratch folder.
+        calls = materialize(latest_calls(batch, key), "batch") if key else batch
+        if not partials.has(batch_id):
+            counts = partial_counts(calls, disconnect_topics)
+            if key:
+                counts = counts.unionByName(negated(partial_counts(facts.replaced(calls, key), disconnect_topics), [*KEYS, "grain"]))
+            partials.add(counts, batch_id)
+        facts.append(calls, bronze, batch_id, key)
+
+    new = spark.readStream.schema(schema).parquet(store.bronze("call_interactions"))
+    run = (
+        new.writeStream.foreachBatch(add).option("checkpointLocation", store.checkpoint("mart_counts"))
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return facts, partials.read()
 
 
 def refresh_scores(

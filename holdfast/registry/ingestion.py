@@ -213,6 +213,56 @@ def _incremental(spark, sf) -> dict[str, DataFrame]:
     )
 
 
+def _renamed(dims: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Dimensions before a change: some customers in another market, some agents in another tier, some rows missing."""
+    customers, agents = dims["customer_profiles"], dims["agents"]
+    return {
+        "customer_profiles": customers.where("CAST(customer_id AS LONG) % 50 <> 7").withColumn(
+            "market", F.when(F.expr("CAST(customer_id AS LONG) % 40 = 3"), F.lit("elsewhere")).otherwise(F.col("market"))),
+        "agents": agents.withColumn("tier", F.when(F.expr("CAST(agent_id AS LONG) % 9 = 4"), F.lit("New")).otherwise(F.col("tier"))),
+        "competitor_intel": dims["competitor_intel"].where("competitor_id <> '2'"),
+    }
+
+
+def _incremental_fact(spark, sf):
+    """The call table after two drops, with dimension rows that change, arrive and are landed again in between."""
+    store, dims = refresh.Store(scratch_dir(spark, "facts")), _sources(spark, sf)
+    dims = {name: _as_landed(frame, name) for name, frame in dims.items()}
+    keys = {"customer_profiles": "customer_id", "agents": "agent_id", "competitor_intel": "competitor_id"}
+    landed = _renamed(dims)
+    for drop in _call_drops(spark, sf):
+        for name in schemas.SOURCES:
+            if name == "call_interactions":
+                landing.land_increment(drop, store.landing(name))
+            elif name in landed:
+                landing.land_increment(landed[name], store.landing(name))
+        facts = refresh.refresh_marts(spark, store, "v1", incremental=True, unique_key=keys, fact_buckets=8, **SETTINGS)["call_fact"]
+        landed = {name: dims[name] for name in keys}
+    return facts
+
+
+def _corrected(spark, sf) -> dict[str, DataFrame]:
+    """Marts kept up over a wrong drop, its correction with a second half, and a repeated drop."""
+    store = refresh.Store(scratch_dir(spark, "corrected"))
+    calls = star.calls(spark, sf)
+    # In the test tables a call has no key of its own: equal rows are one call.
+    key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(calls.columns)]))
+    calls = _as_landed(calls.withColumn("call_id", key), "call_interactions")
+    late, early = F.col("call_date") >= CALL_DROP, F.col("call_date") < CALL_DROP
+    wrong = calls.where(late).withColumns({
+        "outcome": F.lit("Saved"), "handle_time_min": F.col("handle_time_min") + 7, "call_topic": F.lit("not yet known"),
+        "call_date": F.lit("1990-01-01"), "agent_id": F.lit("1"), "customer_id": F.lit("1")})
+    for name, frame in _sources(spark, sf).items():
+        if name != "call_interactions":
+            landing.land_json(_as_landed(frame, name), store.landing(name))
+    tables = {}
+    for drop in (wrong, calls, calls.where(early)):
+        landing.land_increment(drop, store.landing("call_interactions"))
+        tables = refresh.refresh_marts(
+            spark, store, "v1", incremental=True, unique_key={"call_interactions": "call_id"}, fact_buckets=8, **SETTINGS)
+    return tables
+
+
 def _stream_closed_days(spark, sf):
     """Days up to two days before the newest call are final; later ones are not written yet."""
     base = scratch_dir(spark, "closed")
@@ -237,6 +287,10 @@ QUERIES = {
     "incremental_agents": lambda s, d: _agents_of(_incremental(s, d)),
     "incremental_topics": lambda s, d: _incremental(s, d)["topic_mix"],
     "incremental_offers": lambda s, d: _incremental(s, d)["offer_effectiveness"],
+    "incremental_fact": _incremental_fact,
+    "corrected_fact": lambda s, d: _corrected(s, d)["call_fact"].drop("call_id"),
+    "corrected_agents": lambda s, d: _agents_of(_corrected(s, d)),
+    "corrected_daily_kpis": lambda s, d: _corrected(s, d)["daily_kpis"],
     "refresh_agents": lambda s, d: _agents_of(_refreshed(s, d)),
     "refresh_topics": lambda s, d: _refreshed(s, d)["topic_mix"],
     "refresh_offers": lambda s, d: _refreshed(s, d)["offer_effectiveness"],
@@ -256,7 +310,22 @@ _AGENTS = query(
 )
 _OFFERS = query("SELECT * REPLACE (CAST(offer_id AS VARCHAR) AS offer_id) FROM offer_effectiveness", "offer_effectiveness")
 
+
+
+def _distinct(sql: str) -> str:
+    """The same statement over calls of which equal rows are one."""
+    return sql.replace("SELECT 'CALL-'", "SELECT DISTINCT 'CALL-'")
+
+
+_FACT = marts.ORACLE["call_fact"]
+for _id in ("c.customer_id", "c.agent_id", "offer_presented_id"):
+    _FACT = _FACT.replace(f" {_id},", f" CAST({_id} AS VARCHAR) AS {_id.split('.')[-1]},")
+
 ORACLE = {
+    "incremental_fact": _FACT,
+    "corrected_fact": _distinct(f"SELECT * EXCLUDE (call_id) FROM ({_FACT})"),
+    "corrected_agents": _distinct(_AGENTS),
+    "corrected_daily_kpis": _distinct(whole("daily_kpis", "call_date")),
     "land_json": f"SELECT event_id, {_TS}, user_id, event_type, value, props FROM events",
     "land_increment": f"SELECT event_id, {_TS}, user_id, event_type, value, props FROM events",
     "ingest_stream": f"SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')}, {_PROPS.replace('ts ', 'events.ts ')} FROM events",

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from holdfast import rules
 from holdfast.plans.marts import daily_counts
 from holdfast.functions.rates import count_true, rows
+from holdfast.streaming.partials import Partials
 
 COUNTS = ["total_calls", "competitor_mentions", "saves", "disconnect_intent_calls"]
 
@@ -19,13 +20,14 @@ def stream_daily_counts(
 ) -> DataFrame:
     """Counts per day from all files seen so far.
 
-    Each micro-batch writes its own partial counts under its batch number, and the
-    reader adds them up.  A retried batch replaces its partial, so nothing counts
-    twice, and a call that arrives months late still counts: there is no watermark
-    that could drop it and no state that grows.
+    Each micro-batch adds its own partial counts, which are merged level by level (``Partials``), and the reader
+    adds them up.  A retried batch counts once, and a call that arrives months late still counts: there is no
+    watermark that could drop it and no state that grows.
     """
+    partials = _partials(spark, table, schema, disconnect_topics)
+
     def write_partial(batch: DataFrame, batch_id: int) -> None:
-        daily_counts(batch, disconnect_topics).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        partials.add(daily_counts(batch, disconnect_topics), batch_id)
 
     calls = spark.readStream.schema(schema).json(folder)
     run = (
@@ -33,12 +35,16 @@ def stream_daily_counts(
         .trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return read_daily_counts(spark, table)
+    return read_daily_counts(partials)
+
+
+def _partials(spark: SparkSession, table: str, schema: T.StructType, disconnect_topics=rules.DISCONNECT_TOPICS) -> Partials:
+    return Partials(spark, table, ["call_date"], daily_counts(spark.createDataFrame([], schema), disconnect_topics))
 
 
-def read_daily_counts(spark: SparkSession, table: str) -> DataFrame:
+def read_daily_counts(partials: Partials) -> DataFrame:
     """Sum of the partial counts of all batches."""
-    return spark.read.parquet(table).groupBy("call_date").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return partials.read().groupBy("call_date").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def stream_closed_days(

@@ -1,8 +1,8 @@
 """The marts kept up to date at the cost of the new calls only.
 
-The five marts rest on additive counts per agent, topic, offer and day.  Each micro-batch
-adds its counts as one partial; a refresh sums the partials, which are small, instead of
-reading all calls again.
+The aggregated marts rest on additive counts per agent, topic, offer and day.  Each micro-batch
+adds its counts as one partial; a refresh sums the partials, which are small and merged level by
+level, instead of reading all calls again.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from holdfast import rules
 from holdfast.functions.rates import count_true, exact_total, rows
 from holdfast.plans import marts
+from holdfast.streaming.partials import Partials
 
 KEYS = ["agent_id", "call_topic", "offer_id", "competitor_id", "call_date"]
 # What each mart is counted by.
@@ -57,11 +58,12 @@ def stream_mart_counts(
 
     The files are landed JSON, or a bronze table with ``source="parquet"``.
 
-    A partial is written under its batch number, so a batch that is retried replaces what
-    it wrote before.
+    A batch that is retried counts once.
     """
+    partials = mart_partials(spark, table, schema, disconnect_topics)
+
     def write_partial(batch: DataFrame, batch_id: int) -> None:
-        partial_counts(batch, disconnect_topics).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        partials.add(partial_counts(batch, disconnect_topics), batch_id)
 
     calls = spark.readStream.schema(schema).format(source).load(folder)
     run = (
@@ -69,7 +71,12 @@ def stream_mart_counts(
         .trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return spark.read.parquet(table)
+    return partials.read()
+
+
+def mart_partials(spark: SparkSession, table: str, schema: T.StructType, disconnect_topics=rules.DISCONNECT_TOPICS) -> Partials:
+    """The kept counts of all four grains."""
+    return Partials(spark, table, [*KEYS, "grain"], partial_counts(spark.createDataFrame([], schema), disconnect_topics))
 
 
 def counts_of(partials: DataFrame, grain: str) -> DataFrame:
@@ -77,6 +84,7 @@ def counts_of(partials: DataFrame, grain: str) -> DataFrame:
     keys = GRAINS[grain]
     sums = [c for c in partials.columns if c not in {*KEYS, "grain", "batch_id"}]
     summed = partials.where(F.col("grain") == grain).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    summed = summed.where(F.col("total_calls") > 0)  # all calls of a group may have been taken back
     # Calls without an offer or a readable day belong to no row of those marts.
     return summed.where(F.col(keys[0]).isNotNull()) if grain in ("offers", "days") else summed
 
