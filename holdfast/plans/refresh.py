@@ -17,7 +17,7 @@ from holdfast.session import materialize
 from holdfast.sources.publish import publish_snapshot, publish_table
 from holdfast.streaming.ingest import bronze_schema, ingest_stream, read_bronze
 from holdfast.streaming.mart_counts import KEYS, mart_partials, marts_of, partial_counts
-from holdfast.streaming.partials import negated
+from holdfast.streaming.partials import Partials, negated
 
 
 @dataclass
@@ -88,25 +88,14 @@ def refresh_marts(
 def _kept_up(
     spark: SparkSession, store: Store, bronze: dict[str, DataFrame], key: str | None, disconnect_topics, buckets: int
 ) -> tuple[FactStore, DataFrame]:
-    """The call table and the partial counts, with the calls that are new in bronze.
-
-    The counts of a batch are written before the table changes, as they need the rows that the batch replaces; a
-    batch that is retried in between finds its counts there and only changes the table.
-    """
+    """The call table and the partial counts, with the calls that are new in bronze."""
     facts = FactStore(spark, store.bronze("call_facts"), buckets)
     schema = bronze_schema(schemas.SOURCES["call_interactions"])
     partials = mart_partials(spark, store.bronze("mart_counts"), schema, disconnect_topics)
     facts.propagate(bronze)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        # The batch is read from bronze by each of the steps below; with a key, once, into the scratch folder.
-        calls = materialize(latest_calls(batch, key), "batch") if key else batch
-        if not partials.has(batch_id):
-            counts = partial_counts(calls, disconnect_topics)
-            if key:
-                counts = counts.unionByName(negated(partial_counts(facts.replaced(calls, key), disconnect_topics), [*KEYS, "grain"]))
-            partials.add(counts, batch_id)
-        facts.append(calls, bronze, batch_id, key)
+        add_calls(facts, partials, latest_calls(batch, key) if key else batch, bronze, batch_id, key, disconnect_topics)
 
     new = spark.readStream.schema(schema).parquet(store.bronze("call_interactions"))
     run = (
@@ -117,6 +106,26 @@ def _kept_up(
     return facts, partials.read()
 
 
+def add_calls(
+    facts: FactStore, partials: Partials, calls: DataFrame, dims: Mapping[str, DataFrame], batch_id: int,
+    key: str | None = None, disconnect_topics=rules.DISCONNECT_TOPICS,
+) -> None:
+    """Take a batch of calls, with at most one row for each ``key``, into the call table and the counts.
+
+    The counts are written before the table changes, as they need the rows that the batch replaces; a batch that is
+    retried in between finds its counts there and only changes the table.
+    """
+    if key:  # read several times below
+        calls = materialize(calls, "batch")
+    if not partials.has(batch_id):
+        counts = partial_counts(calls, disconnect_topics)
+        if key:
+            back = partial_counts(facts.replaced(calls, key), disconnect_topics)
+            counts = counts.unionByName(negated(back, [*KEYS, "grain"]))
+        partials.add(counts, batch_id)
+    facts.append(calls, dims, batch_id, key)
+
+
 def refresh_scores(
     spark: SparkSession, store: Store, version: str, critical_share: float = rules.CRITICAL_SHARE, **tree_settings
 ) -> tuple[DataFrame, DataFrame, str]:

@@ -9,14 +9,15 @@ from pyspark.sql import types as T
 from holdfast import schemas
 from holdfast.operators.history import dedupe_latest
 from holdfast.plans import refresh
+from holdfast.plans.fact_store import FactStore
 from holdfast.registry import marts
 from holdfast.registry.sql import count_if, query, whole
-from holdfast.session import scratch_dir
+from holdfast.session import materialize, scratch_dir
 from holdfast.sources import evolve, landing
 from holdfast.sources import star_tables as star
 from holdfast.streaming.daily_counts import stream_closed_days, stream_daily_counts
 from holdfast.streaming.ingest import ingest_stream
-from holdfast.streaming.mart_counts import marts_of, stream_mart_counts
+from holdfast.streaming.mart_counts import mart_partials, marts_of, stream_mart_counts
 
 # Events in three drops: before, between and after these times.
 DROP_TIMES = ("2024-01-11", "2024-01-21")
@@ -224,43 +225,47 @@ def _renamed(dims: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def _kept(spark, drops: list, dims: dict[str, DataFrame], key: str | None = None, before: dict | None = None):
+    """Call table and counts after some drops; the first is taken in with the dimensions ``before``."""
+    base = scratch_dir(spark, "kept")
+    facts = FactStore(spark, f"{base}/facts", buckets=8)
+    partials = mart_partials(spark, f"{base}/counts", CALL_COUNT_SCHEMA, star.DISCONNECT_TOPICS)
+    for number, drop in enumerate(drops):
+        now = dims | before if before and number == 0 else dims
+        facts.propagate(now)
+        refresh.add_calls(facts, partials, drop, now, number, key, star.DISCONNECT_TOPICS)
+    return facts, partials
+
+
+def _landed_dimensions(spark, sf) -> dict[str, DataFrame]:
+    return {n: materialize(_as_landed(f, n), n) for n, f in _sources(spark, sf).items() if n not in ("call_interactions", "service_events")}
+
+
 def _incremental_fact(spark, sf):
-    """The call table after two drops, with dimension rows that change, arrive and are landed again in between."""
-    store, dims = refresh.Store(scratch_dir(spark, "facts")), _sources(spark, sf)
-    dims = {name: _as_landed(frame, name) for name, frame in dims.items()}
-    keys = {"customer_profiles": "customer_id", "agents": "agent_id", "competitor_intel": "competitor_id"}
-    landed = _renamed(dims)
-    for drop in _call_drops(spark, sf):
-        for name in schemas.SOURCES:
-            if name == "call_interactions":
-                landing.land_increment(drop, store.landing(name))
-            elif name in landed:
-                landing.land_increment(landed[name], store.landing(name))
-        facts = refresh.refresh_marts(spark, store, "v1", incremental=True, unique_key=keys, fact_buckets=8, **SETTINGS)["call_fact"]
-        landed = {name: dims[name] for name in keys}
-    return facts
-
-
-def _corrected(spark, sf) -> dict[str, DataFrame]:
-    """Marts kept up over a wrong drop, its correction with a second half, and a repeated drop."""
-    store = refresh.Store(scratch_dir(spark, "corrected"))
+    """The call table after two drops, with dimension rows that change and arrive in between."""
+    dims = _landed_dimensions(spark, sf)
+    return _kept(spark, _call_drops(spark, sf), dims, before=_renamed(dims))[0].read()
+
+
+def _corrected(spark, sf):
+    """Call table and counts over a wrong drop, its correction with the older half, and that half repeated."""
     calls = star.calls(spark, sf)
     # In the test tables a call has no key of its own: equal rows are one call.
     key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(calls.columns)]))
-    calls = _as_landed(calls.withColumn("call_id", key), "call_interactions")
-    late, early = F.col("call_date") >= CALL_DROP, F.col("call_date") < CALL_DROP
-    wrong = calls.where(late).withColumns({
+    calls = _as_landed(calls.withColumn("call_id", key).dropDuplicates(["call_id"]), "call_interactions")
+    calls = materialize(calls, "calls")
+    wrong = calls.where(F.col("call_date") >= CALL_DROP).withColumns({
         "outcome": F.lit("Saved"), "handle_time_min": F.col("handle_time_min") + 7, "call_topic": F.lit("not yet known"),
         "call_date": F.lit("1990-01-01"), "agent_id": F.lit("1"), "customer_id": F.lit("1")})
-    for name, frame in _sources(spark, sf).items():
-        if name != "call_interactions":
-            landing.land_json(_as_landed(frame, name), store.landing(name))
-    tables = {}
-    for drop in (wrong, calls, calls.where(early)):
-        landing.land_increment(drop, store.landing("call_interactions"))
-        tables = refresh.refresh_marts(
-            spark, store, "v1", incremental=True, unique_key={"call_interactions": "call_id"}, fact_buckets=8, **SETTINGS)
-    return tables
+    dims = _landed_dimensions(spark, sf)
+    return (*_kept(spark, [wrong, calls, calls.where(F.col("call_date") < CALL_DROP)], dims, "call_id"), dims)
+
+
+def _corrected_marts(spark, sf) -> dict[str, DataFrame]:
+    _, partials, dims = _corrected(spark, sf)
+    return marts_of(
+        partials.read(), dims["customer_profiles"], dims["agents"], dims["competitor_intel"], dims["retention_offers"],
+        warmup_until=marts.WARMUP_UNTIL, churn_base=marts.CHURN_BASE)
 
 
 def _stream_closed_days(spark, sf):
@@ -288,9 +293,11 @@ QUERIES = {
     "incremental_topics": lambda s, d: _incremental(s, d)["topic_mix"],
     "incremental_offers": lambda s, d: _incremental(s, d)["offer_effectiveness"],
     "incremental_fact": _incremental_fact,
-    "corrected_fact": lambda s, d: _corrected(s, d)["call_fact"].drop("call_id"),
-    "corrected_agents": lambda s, d: _agents_of(_corrected(s, d)),
-    "corrected_daily_kpis": lambda s, d: _corrected(s, d)["daily_kpis"],
+    "corrected_fact": lambda s, d: _corrected(s, d)[0].read().drop("call_id"),
+    "corrected_agents": lambda s, d: _agents_of(_corrected_marts(s, d)),
+    "corrected_topics": lambda s, d: _corrected_marts(s, d)["topic_mix"],
+    "corrected_offers": lambda s, d: _corrected_marts(s, d)["offer_effectiveness"],
+    "corrected_daily_kpis": lambda s, d: _corrected_marts(s, d)["daily_kpis"],
     "refresh_agents": lambda s, d: _agents_of(_refreshed(s, d)),
     "refresh_topics": lambda s, d: _refreshed(s, d)["topic_mix"],
     "refresh_offers": lambda s, d: _refreshed(s, d)["offer_effectiveness"],
@@ -317,14 +324,16 @@ def _distinct(sql: str) -> str:
     return sql.replace("SELECT 'CALL-'", "SELECT DISTINCT 'CALL-'")
 
 
-_FACT = marts.ORACLE["call_fact"]
-for _id in ("c.customer_id", "c.agent_id", "offer_presented_id"):
-    _FACT = _FACT.replace(f" {_id},", f" CAST({_id} AS VARCHAR) AS {_id.split('.')[-1]},")
+_FACT = f"""SELECT * REPLACE (CAST(customer_id AS VARCHAR) AS customer_id, CAST(agent_id AS VARCHAR) AS agent_id,
+                               CAST(team AS VARCHAR) AS team, CAST(offer_presented_id AS VARCHAR) AS offer_presented_id)
+            FROM ({marts.ORACLE["call_fact"]})"""
 
 ORACLE = {
     "incremental_fact": _FACT,
     "corrected_fact": _distinct(f"SELECT * EXCLUDE (call_id) FROM ({_FACT})"),
     "corrected_agents": _distinct(_AGENTS),
+    "corrected_topics": _distinct(whole("topic_mix")),
+    "corrected_offers": _distinct(_OFFERS),
     "corrected_daily_kpis": _distinct(whole("daily_kpis", "call_date")),
     "land_json": f"SELECT event_id, {_TS}, user_id, event_type, value, props FROM events",
     "land_increment": f"SELECT event_id, {_TS}, user_id, event_type, value, props FROM events",
