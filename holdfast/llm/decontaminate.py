@@ -7,13 +7,16 @@ of ``window`` words in common share a fingerprint inside that run (the winnowing
 guarantee).  Fingerprints that match are extended to the windows around them, and the
 words of every window that occurs are marked.
 
-The benchmark is read in blocks of at most ``block_words`` words (the bound of what is
-broadcast); each block meets all documents, so any size of benchmark is exact.
+The benchmark is read in blocks of at most ``block_words`` words (the bound of what the driver
+and a task hold); each block meets all documents in a job of its own, whose hits are written
+before the next block is read, so any size of benchmark is exact.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm import textbytes as tb
+from holdfast.session import materialize
 
 WINDOW, GRAM = 10, 5
 #: Words of the benchmark that one broadcast holds at most, about 32 bytes each.
 BLOCK_WORDS = 1 << 20
-_SCHEMA = "doc_id {id}, n_words long, starts array<long>, ends array<long>, items array<string>"
+_SCHEMA = "doc_id {id}, n_words long, starts array<long>, ends array<long>, items array<string>, row binary"
 
 
 @dataclass
@@ -153,10 +157,12 @@ def _search(block: Block, window: int, k: int, id_type: pa.DataType):
                 lists = [pa.ListArray.from_arrays(pa.array(by_span, pa.int32()), pa.array(x - base))
                          for x in (span_from, span_to)]
                 ids = pa.array([block.items[i] for i in found[1]], pa.string())
+                # Rows that share an id are told apart by their texts.
+                seals = [hashlib.blake2b(flat[a:b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low).cast(id_type), pa.array(np.diff(first)), *lists,
-                     pa.ListArray.from_arrays(pa.array(by_item, pa.int32()), ids)],
-                    names=["doc_id", "n_words", "starts", "ends", "items"],
+                     pa.ListArray.from_arrays(pa.array(by_item, pa.int32()), ids), pa.array(seals, pa.binary())],
+                    names=["doc_id", "n_words", "starts", "ends", "items", "row"],
                 )
 
     return run
@@ -196,19 +202,21 @@ def find_overlaps(
     kind = docs.schema["doc_id"].dataType
     schema = _SCHEMA.format(id=kind.simpleString())
     id_type = pa.string() if kind.simpleString() == "string" else _arrow(kind)
-    parts = []
-    for ids, texts in _blocks(benchmark, block_words):
-        parts.append(docs.mapInArrow(_search(_block(ids, texts, window, k), window, k, id_type), schema))
-    if len(parts) == 1:
-        return parts[0]
-    # The same rows come back from every block in the same order only by value, so rows are told apart by it.
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    grouped = out.groupBy("doc_id", "n_words").agg(
-        F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.expr(f"count(*) div {len(parts)}").alias("_rows"),
+    search = lambda ids, texts: docs.mapInArrow(
+        _search(_block(ids, texts, window, k), window, k, id_type), schema)
+    blocks = _blocks(benchmark, block_words)
+    head = list(islice(blocks, 2))
+    if len(head) == 1:
+        return search(*head[0]).drop("row")
+    # The first block's table has all rows, those of the others the rows with hits.
+    out = materialize(search(*head[0]).withColumn("whole", F.lit(True)), "overlaps")
+    for ids, texts in chain(head[1:], blocks):
+        found = search(ids, texts).where(F.size("starts") > 0).withColumn("whole", F.lit(False))
+        out = out.unionByName(materialize(found, "overlaps"))
+    grouped = out.groupBy("doc_id", "n_words", "row").agg(
+        F.flatten(F.collect_set(F.arrays_zip("starts", "ends"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.count_if("whole").alias("_rows"),
     )
     merged = F.aggregate(
         F.array_sort("spans"), F.expr("CAST(array() AS array<struct<starts:bigint,ends:bigint>>)"),
@@ -234,7 +242,10 @@ def _arrow(kind) -> pa.DataType:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Counts of :func:`find_overlaps` per document; ``contaminated`` where any word is hit."""
+    """Counts of :func:`find_overlaps` per row of ``docs``; ``contaminated`` where any word is hit.
+
+    A NULL or empty text has no words and is clean; repeated rows, ties and empty tables as there.
+    """
     found = find_overlaps(docs, benchmark, **options)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
     n_hit = total(F.col("ends")) - total(F.col("starts"))
@@ -264,7 +275,14 @@ def _clean(block: Block, window: int, k: int):
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """The documents without a hit, with all their columns, in one pass per block and without an exchange."""
-    for ids, texts in _blocks(benchmark, block_words):
+    """The documents without a hit, with all their columns, in one pass per block and without an exchange.
+
+    NULL and empty texts, and all documents if the benchmark is empty, stay; each row stands for itself, also rows
+    that repeat an id.  Of a benchmark of several blocks, what each block leaves is written before the next is read.
+    """
+    blocks = _blocks(benchmark, block_words)
+    head = list(islice(blocks, 2))
+    for number, (ids, texts) in enumerate(chain(head, blocks)):
+        docs = materialize(docs, "clean") if number else docs
         docs = docs.mapInArrow(_clean(_block(ids, texts, window, k), window, k), docs.schema)
     return docs

@@ -6,9 +6,14 @@ tend to stand close together, so each is compared with its neighbours in the ord
 order is cut into blocks, and every block is compared with itself and the one before it,
 as a matrix product.  The verified pairs of all passes are united to components.
 
-The number of passes grows with the logarithm of the table, so that a pair at the threshold
-is missed by all passes with a probability of at most ``MISS``.  What a window is too short
-for is made up exactly: a link never leaves its component, so the links of each vector are
+Before projecting, the mean of a label's vectors is taken off: vectors of one label often lie
+in a cone, where most of them agree on most signs.  The number of passes follows, label by
+label, from two measurements: how many leading bits of a trial key it takes until the groups
+of equal bits fit a window, and how far the vectors lie from their mean, which says how often
+two vectors at the threshold agree on a bit.  A pair is then missed by all passes with a
+probability of about ``MISS``, up to ``MOST_PASSES``; ``search_plan`` tells what is expected of
+each label.  What a window is too short for
+is made up exactly: a link never leaves its component, so the links of each vector are
 counted by comparing every component with itself, in blocks if it is large.  Tasks hand on
 one row per vector (its smallest relative, its number of links), never pairs.
 
@@ -28,23 +33,16 @@ from pyspark.sql import functions as F
 from holdfast.llm.graph import components
 from holdfast.session import materialize
 
-COSINE, MISS = 0.98, 0.002
+COSINE, MISS, MOST_PASSES = 0.98, 0.002, 64
 #: Vectors of a block, of a window's half, and of a part of a large component.
 BLOCK, BITS, STEP = 512, 48, 16
+#: Leading bits are measured in steps of PROBE, and suffice when all but one in TAIL vectors are in groups of a block.
+PROBE, TAIL = 2, 100
+#: Labels whose sums of vectors a task holds at a time.
+HELD = 4096
 SEED = 20240611
 
 
-def passes_for(n: int, block: int, cosine: float, miss: float) -> int:
-    """Passes after which a pair at the threshold has been in one window with probability ``1 - miss``.
-
-    A pair agrees on a bit with probability ``1 - angle / pi``; it meets if it agrees on as many bits as it takes to
-    cut ``n`` vectors to a block.  One bit more allows for uneven parts.
-    """
-    agree = 1 - math.acos(cosine) / math.pi
-    once = agree ** (max(0.0, math.log2(max(1.0, n / block))) + 1)
-    return max(1, math.ceil(math.log(miss) / math.log(1 - min(once, 1 - 1e-9))))
-
-
 def _raw(kind: str):
     """The vectors that can link, as bytes: with all components there and finite, and not zero."""
 
@@ -70,7 +68,48 @@ def _units(raws: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _sums(kind: str):
+    """Number and sum of the unit vectors by label and size."""
+
+    def run(batches):
+        held: dict = {}
+
+        def flush():
+            if held:
+                keys = list(held)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k[0] for k in keys], label), pa.array([k[1] for k in keys], pa.int32()),
+                     pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1].tobytes() for k in keys], pa.binary())],
+                    names=["label", "size", "n", "total"])
+                held.clear()
+
+        for batch in batches:
+            label, raws = batch.schema.field(0).type, batch.column(1).to_pylist()
+            groups: dict = {}
+            for i, (name, raw) in enumerate(zip(batch.column(0).to_pylist(), raws)):
+                groups.setdefault((name, len(raw) // np.dtype(kind).itemsize), []).append(i)
+            for key, rows in groups.items():
+                x = _units([raws[i] for i in rows], kind)
+                n, total = held.get(key, (0, 0.0))
+                held[key] = n + len(rows), total + x.sum(0)
+            if len(held) > HELD:
+                yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _means(table: pa.Table) -> pa.Table:
+    """Mean and spread of a label from the tasks' sums."""
+    n = sum(table.column("n").to_pylist())
+    mean = sum(np.frombuffer(t) for t in table.column("total").to_pylist()) / n
+    return pa.table({"label": table.column("label")[:1], "size": table.column("size")[:1], "n": pa.array([n], pa.int64()),
+                     "mean": pa.array([mean.tobytes()], pa.binary()), "spread": pa.array([max(0.0, 1.0 - float(mean @ mean))])})
+
+
 def _keys(passes: int, kind: str, seed: int):
+    """Keys of every vector, seen from the mean of its label, which is the last column."""
+
     def run(batches):
         planes = {}
         for batch in batches:
@@ -79,14 +118,15 @@ def _keys(passes: int, kind: str, seed: int):
             keys = np.zeros((len(raws), passes), np.int64)
             for s in np.unique(size):
                 rows = np.flatnonzero(size == s)
-                x = _units([raws[i] for i in rows], kind)
+                means = b"".join(batch.column(3)[i].as_py() for i in rows.tolist())
+                x = _units([raws[i] for i in rows], kind) - np.frombuffer(means).reshape(len(rows), -1)
                 if s not in planes:
                     rng = np.random.Generator(np.random.PCG64(seed + int(s)))
                     planes[s] = rng.standard_normal((x.shape[1], passes * BITS))
                 bits = (x @ planes[s] >= 0).reshape(len(rows), passes, BITS)
                 keys[rows] = bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([
-                *batch.columns, pa.array((size // np.dtype(kind).itemsize).astype(np.int32)),
+                *batch.columns[:3], pa.array((size // np.dtype(kind).itemsize).astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(raws) + 1) * passes, pa.int32()), pa.array(keys.ravel())),
             ], names=["vec_id", "label", "vec", "size", "keys"])
 
@@ -117,8 +157,48 @@ def _relatives(cosine: float, kind: str):
     return run
 
 
+def search_plan(classes: DataFrame, kind: str, cosine: float = COSINE, miss: float = MISS, seed: int = SEED) -> DataFrame:
+    """By ``label`` and ``size``: ``n``, ``mean``, ``spread``, leading ``bits``, ``passes``, ``expected_miss``.
+
+    ``expected_miss`` is the probability that a pair at the threshold meets in no pass.  ``classes`` has distinct
+    vectors: ``label``, ``rep``, ``vec``.
+    """
+    label = classes.schema["label"].dataType.simpleString()
+    parts = classes.select("label", "vec").mapInArrow(_sums(kind), f"label {label}, size int, n long, total binary")
+    means = materialize(parts.groupBy("label", "size").applyInArrow(
+        _means, f"label {label}, size int, n long, mean binary, spread double"), "means")
+    trial = _with_mean(classes, means, kind).mapInArrow(_keys(1, kind, seed), _KEYED.format(label=label))
+    # The bits of one pass, cut to 0, PROBE, 2 * PROBE ... leading ones, and how many vectors agree on them.
+    levels = F.explode(F.sequence(F.lit(0), F.lit(BITS), F.lit(PROBE)))
+    cut = trial.select("label", "size", F.col("keys")[0].alias("key"), levels.alias("level"))
+    # Keys have BITS bits, so at level 0 nothing is left.
+    groups = cut.groupBy("label", "size", "level", F.expr(f"shiftright(key, {BITS} - level)").alias("lead")).agg(F.count("*").alias("_n"))
+    fits = groups.groupBy("label", "size", "level").agg(
+        F.sum(F.when(F.col("_n") > BLOCK, F.col("_n")).otherwise(0)).alias("_over"), F.sum("_n").alias("_all"))
+    bits = fits.groupBy("label", "size").agg(
+        F.coalesce(F.min(F.when(F.col("_over") * TAIL <= F.col("_all"), F.col("level"))), F.lit(BITS)).alias("bits"))
+    known = means.join(bits, ["label", "size"])
+    # Seen from the mean, two vectors at the threshold are further apart.  Where most vectors of a label link with each
+    # other, any of their links will do, so the angle is not taken for larger than 60 degrees.  They must agree on the
+    # leading bits, and on one more, which allows for uneven parts.
+    seen = F.greatest(F.lit(0.5), 1 - (1 - cosine) / F.greatest("spread", F.lit(1e-12)))
+    once = F.least(F.pow(1 - F.acos(F.least(seen, F.lit(1.0))) / math.pi, F.col("bits") + 1), F.lit(1 - 1e-9))
+    passes = F.greatest(F.lit(1), F.least(F.lit(MOST_PASSES), F.ceil(math.log(miss) / F.log(1 - once)).cast("int")))
+    return known.withColumn("passes", passes).withColumn("expected_miss", F.pow(1 - once, F.col("passes")))
+
+
+_KEYED = "vec_id long, label {label}, vec binary, size int, keys array<long>"
+
+
+def _with_mean(classes: DataFrame, means: DataFrame, kind: str, *more: str) -> DataFrame:
+    """The classes' vectors with the mean of their label; the table of means is broadcast if Spark finds it small."""
+    sized = classes.select(
+        F.col("rep").alias("vec_id"), "label", "vec", F.expr(f"length(vec) div {np.dtype(kind).itemsize}").cast("int").alias("size"))
+    return sized.join(means.select("label", "size", "mean", *more), ["label", "size"]).select("vec_id", "label", "vec", "mean", *more)
+
+
 def _windows(vectors: DataFrame) -> DataFrame:
-    """One row per vector, pass and window; a vector is in the window of its block and in the next one's.
+    """One row per vector, pass of its label and window; a vector is in the window of its block and in the next one's.
 
     A vector's place in the order comes from counts per group of leading bits, added up level by level, so that no
     sum spans more than ``2 ** STEP`` groups and no sort more than the vectors with one and the same key.
@@ -213,10 +293,11 @@ def near_duplicates(
     classes = materialize(
         once.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"),
                                             F.min("vec").alias("vec")), "classes")
-    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    keyed = classes.select(F.col("rep").alias("vec_id"), "label", "vec").mapInArrow(
-        _keys(passes_for(most, BLOCK, cosine, miss), kind, seed),
-        f"vec_id long, label {labels}, vec binary, size int, keys array<long>")
+    plan = materialize(search_plan(classes, kind, cosine, miss, seed), "plan")
+    most = plan.agg(F.max("passes")).first()[0] or 1
+    keyed = _with_mean(classes, plan, kind).mapInArrow(_keys(most, kind, seed), _KEYED.format(label=labels))
+    keyed = keyed.join(plan.select("label", "size", "passes"), ["label", "size"]).withColumn("keys", F.expr("slice(keys, 1, passes)"))
+    keyed = keyed.select("vec_id", "label", "vec", "size", "keys")
     near = _windows(materialize(keyed, "keys")).groupBy("turn", "label", "size", "block").applyInArrow(
         _relatives(cosine, kind), "a long, b long")
     label_of = materialize(components(near, "a", "b"), "components")

@@ -448,3 +448,28 @@ def test_word_hashes():
     hashes = tb.word_hashes(flat, starts, ends)
     assert np.diff(first).tolist() == [4, 0, 0, 3, 4, 2]
     assert hashes[0] == hashes[1] == hashes[2] and len(set(hashes.tolist())) == 11
+
+
+@pytest.mark.parametrize("n", [4_000, 20_000])
+def test_planted_pairs_in_a_cone(spark, n):
+    """Vectors of one label around a common direction (mean cosine 0.9), with planted pairs just above the threshold."""
+    rng = np.random.default_rng(n)
+    size, pairs = 64, 400
+    centre = np.zeros(size)
+    centre[0] = 1.0
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    x = unit(centre + unit(rng.standard_normal((n, size))) * math.sqrt(1 / 0.9 - 1))
+    one = x[:pairs]
+    side = rng.standard_normal((pairs, size))
+    side = unit(side - (side * one).sum(1)[:, None] * one)
+    x = np.concatenate([x, one * 0.981 + side * math.sqrt(1 - 0.981**2)])
+    import pandas as pd
+
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()})).selectExpr(
+        "vec_id", "CAST(embedding AS array<float>) AS embedding", "1 AS label").repartition(8)
+    component = {r.vec_id: r.component_id for r in projection_dedup.near_duplicates(table).collect()}
+    found = sum(component[i] == component[n + i] for i in range(pairs))
+    assert found >= 0.99 * pairs

@@ -166,3 +166,15 @@ def test_an_id_on_different_texts(spark):
             (1, "One clean  text about the sea and its tides"), (2, "one clean text about the sea and its tides")]
     kept = ngram_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text.lower().split()[1]) for r in kept) == [(1, "another"), (1, "clean")]
+
+
+def test_an_id_on_different_texts_and_blocks_of_any_size(spark):
+    """Two rows with one id and equally many words, one of them contaminated, whatever the size of a block."""
+    passage = "three four five six seven eight nine ten eleven twelve"
+    rows = [(1, f"one two {passage}"), (1, "a b c d e f g h i j k l"), (1, f"one two {passage}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(12, passage), (13, "quite other words"), (14, "x y")], "item_id long, text string")
+    for block in (1, 5, 1 << 20):
+        got = decontaminate.contamination(docs, bench, block_words=block).select("n_words", "n_hit", "n_items", "contaminated").collect()
+        assert sorted(map(tuple, got)) == [(12, 0, 0, False), (12, 10, 1, True), (12, 10, 1, True)]
+        assert [r.text for r in decontaminate.drop_contaminated(docs, bench, block_words=block).collect()] == [rows[1][1]]
