@@ -9,6 +9,8 @@ from holdfast.operators import history, quality, worklist
 from holdfast.registry import marts, scoring
 from holdfast.registry.sql import count_if, half_up, query, whole
 from holdfast.sources import star_tables as star
+from holdfast.sources.change_history import ChangeHistory
+from holdfast.sources.keyed_table import KeyedTable
 from holdfast.sources.publish import current_snapshot, publish_snapshot, publish_table, read_result, register_marts
 from holdfast.session import materialize, scratch_dir
 
@@ -62,14 +64,37 @@ def _snapshot_diff(spark, sf):
     return history.snapshot_diff(_activity(spark, sf, SNAPSHOTS[0]), _activity(spark, sf, SNAPSHOTS[1]), "customer_id")
 
 
-def _scd2_history(spark, sf):
+def _apply_snapshot_diff(spark, sf):
+    """The first snapshot, brought to the second by their difference."""
+    before, after = (_activity(spark, sf, day) for day in SNAPSHOTS)
+    table = KeyedTable(spark, scratch_dir(spark, "activity"), "customer_id", before.schema, buckets=16)
+    table.load(before)
+    table.apply(history.snapshot_diff(table.read(), after, "customer_id"), 0)
+    return table.read()
+
+
+def _feed(spark, sf):
     """Events as a change feed of each user's state; an error deletes the state."""
-    feed = star.table(spark, sf, "events").select(
+    return star.table(spark, sf, "events").select(
         F.col("user_id"), F.col("event_id").alias("lsn"), F.col("ts").alias("changed_at"),
         F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("change_type"),
         F.col("event_type").alias("state"), "value",
     )
-    return history.scd2_history(feed, "user_id", "lsn", "changed_at", "change_type", ["state", "value"])
+
+
+def _incremental_history(spark, sf):
+    """Three batches of the feed: the middle events arrive last, every fifth event comes twice."""
+    feed = _feed(spark, sf)
+    kept = ChangeHistory(spark, scratch_dir(spark, "history"), feed.schema, "user_id", "lsn", "changed_at", "change_type",
+                         ["state", "value"], buckets=16)
+    third = F.col("lsn") % 3
+    for batch, part in enumerate((feed.where(third == 0), feed.where((third == 2) | (F.col("lsn") % 5 == 0)), feed.where(third == 1))):
+        kept.add(part, batch)
+    return kept.read()
+
+
+def _scd2_history(spark, sf):
+    return history.scd2_history(_feed(spark, sf), "user_id", "lsn", "changed_at", "change_type", ["state", "value"])
 
 
 def _scd2_as_of(spark, sf):
@@ -185,7 +210,9 @@ QUERIES = {
     "case_open": _case_open,
     "dedupe_increment": _dedupe_increment,
     "snapshot_diff": _snapshot_diff,
+    "apply_snapshot_diff": _apply_snapshot_diff,
     "scd2_history": _scd2_history,
+    "incremental_history": _incremental_history,
     "scd2_as_of": _scd2_as_of,
     "publish_table": _publish_table,
     "publish_snapshot": _publish_snapshot,
@@ -312,7 +339,9 @@ ORACLE = {
           ON a.customer_id = b.customer_id
         WHERE a.customer_id IS NULL OR b.customer_id IS NULL OR a.n_orders <> b.n_orders OR a.revenue <> b.revenue
            OR a.last_order <> b.last_order""",
+    "apply_snapshot_diff": _ACTIVITY.format(SNAPSHOTS[1]),
     "scd2_history": _SCD2,
+    "incremental_history": _SCD2,
     "scd2_as_of": f"""
         SELECT * FROM ({_SCD2}) WHERE valid_from <= TIMESTAMP '{AS_OF}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AS_OF}')""",
     "publish_table": whole("topic_mix"),
