@@ -13,12 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from holdfast.functions.rates import rows
 from holdfast.session import materialize
 
-# A value table up to this many rows (about 16 bytes each) is ranked by one task and broadcast.
+# A value table up to this many rows, and bytes of texts, is ranked by one task and broadcast.
 BROADCAST_VALUES = 400_000
+BROADCAST_BYTES = 32 << 20
 # Distinct values per slice when the value table is too big for one task.
 VALUES_PER_SLICE = 2_000_000
 # A value is hot when more than 1/HOT_SHARE of the rows have it: at most HOT_SHARE such values.
@@ -83,8 +85,11 @@ def value_table(df: DataFrame, column: str, ascending: bool = True, domain_bound
         return ValueTable(_running(ties, column, ascending), column, None, True, [])
     # Written once: the counts, the slices and the ranks are read from it.
     ties = materialize(ties, "values")
-    n_values, n_rows = ties.agg(rows(), F.sum("_ties")).first()
-    if n_values <= BROADCAST_VALUES:
+    # Numbers and times have a fixed size; the length of all else is measured.
+    fixed = isinstance(ties.schema[column].dataType, (T.NumericType, T.DatetimeType, T.BooleanType))
+    size = F.lit(0) if fixed else F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(column)))), F.lit(0))
+    n_values, n_rows, n_bytes = ties.agg(rows(), F.sum("_ties"), size).first()
+    if n_values <= BROADCAST_VALUES and n_bytes <= BROADCAST_BYTES:
         return ValueTable(_running(ties, column, ascending), column, n_rows or 0, True, [])
     return _sliced_table(ties, column, ascending, n_values, n_rows)
 

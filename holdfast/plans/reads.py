@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from holdfast import rules
 from holdfast.functions.choice import order_in
 from holdfast.functions.rates import count_true, exact_mean, exact_sum, null_to_zero, rows, share_pct
-from holdfast.session import materialize
 
 
 def pct(column: str, places: int = 1) -> Column:
@@ -180,16 +179,13 @@ def critical_top(scores: DataFrame, n: int = 200) -> DataFrame:
 
 def roi_case(calls: DataFrame, customers: DataFrame, offers: DataFrame, months: int = 12) -> DataFrame:
     """Revenue kept from active customers with a saved call, against the cost of accepted offers."""
-    # One pass over the calls; both figures follow from a row per customer and offer.
-    figures = materialize(calls.groupBy("customer_id", F.col("offer_presented_id").alias("offer_id")).agg(
-        count_true(F.col("outcome") == "Saved").alias("_saves"), count_true(F.col("offer_accepted")).alias("_n")
-    ), "roi")
-    saved = figures.where("_saves > 0").select("customer_id").distinct()
+    # Two scans of two columns each; both combine before their small exchanges.
+    saved = calls.where(F.col("outcome") == "Saved").select("customer_id").distinct()
     kept = customers.where(F.col("status") == "Active").join(saved, "customer_id", "left_semi").agg(
         rows().alias("saved_customers"),
         F.round(F.coalesce(exact_sum(F.col("monthly_spend")), F.lit(0.0)) * months, 2).alias("protected_revenue"),
     )
-    accepted = figures.where("_n > 0").groupBy("offer_id").agg(F.sum("_n").alias("_n"))
+    accepted = calls.where("offer_accepted").groupBy(F.col("offer_presented_id").alias("offer_id")).agg(rows().alias("_n"))
     cost = accepted.join(offers.select("offer_id", "monthly_cost"), "offer_id").agg(
         F.coalesce(exact_sum(F.col("_n") * F.col("monthly_cost")), F.lit(0.0)).alias("program_cost")
     )

@@ -109,3 +109,11 @@ def test_topk_cuts_before_the_exchange(spark):
     plan = ranks.topk_per_key(frame, ["key"], [F.asc("id")], 5)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange"):]
     assert "WindowGroupLimit" in below and "Partial" in below
+
+
+def test_long_texts_are_not_broadcast(spark, monkeypatch):
+    frame = spark.createDataFrame([(f"{i % 70:04d}" + "x" * 500,) for i in range(300)] + [(None,)] * 9, "v string")
+    small = sorted((r.v or "", r["rank"]) for r in ranks.global_rank(frame, "v").collect())
+    monkeypatch.setattr(ranks, "BROADCAST_BYTES", 10_000)
+    assert not ranks.value_table(frame, "v").small
+    assert sorted((r.v or "", r["rank"]) for r in ranks.global_rank(frame, "v").collect()) == small
