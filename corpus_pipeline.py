@@ -17,7 +17,11 @@ from holdfast.session import materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject, scored by a model of the labelled rows among them."""
+    """Documents that the quality classifier does not reject, scored by a model of the labelled rows among them.
+
+    Empty and NULL texts are scored, too; rows that repeat an id, or have none, each have
+    their own score.  Without labels all scores are 0.5 and all documents stay; an empty table stays empty.
+    """
     labels = bounded(spark).read.parquet(f"{sf_dir}/labels.parquet")
     chain = quality.train(docs, labels.where(~quality.is_held_out("doc_id", 5, 0)))
     return quality.score(docs, chain).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
@@ -36,18 +40,29 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
+    """One document of each group of near copies: that with the smallest id.
+
+    Documents without words, and rows without id, stay.  Of rows that repeat an id with the same words one stays, with
+    other words all; an empty table stays empty.
+    """
     bounded(spark)
     return ngram_join.first_of_each(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no ten words in a row with a benchmark item."""
+    """Documents that share no ten words in a row with a benchmark item.
+
+    NULL and empty texts stay, and all documents if the benchmark is empty.  Each row stands for itself, also rows that
+    repeat an id or have none.
+    """
     return decontaminate.drop_contaminated(docs, bounded(spark).read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to."""
+    """Token counts and digests of the ids and of what they decode to.
+
+    One row per document, also for NULL and empty texts (no tokens), for rows that repeat an id and for rows without one.
+    """
     return bpe.token_digests(docs, bpe.read_ranks(bounded(spark), public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
 
 

@@ -328,7 +328,11 @@ def _decoder(lines: bytes, pattern: str, id_type: str):
 
 
 def decode(tokens: DataFrame, ranks: bytes, pattern: str = r"\w+", id_type: str = "uint32") -> DataFrame:
-    """``tokens`` with ``decoded``: the bytes that ``ids`` stand for (none for NULL)."""
+    """``tokens`` with ``decoded``: the bytes that ``ids`` stand for.
+
+    NULL and empty ``ids`` stand for no bytes.  Each row stands for itself, so repeated rows and NULLs in other columns
+    change nothing; a column called ``decoded`` is replaced, and an empty table gives an empty one.
+    """
     tokens = tokens.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields) + ", decoded binary"
     return tokens.mapInArrow(_decoder(ranks, pattern, id_type), schema)
@@ -359,7 +363,9 @@ def _digests(lines: bytes, pattern: str, id_type: pa.DataType):
 def token_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """:func:`encode` and :func:`decode` in one pass, of which only counts and digests leave the task.
 
-    Per row of ``docs``: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
+    Per row of ``docs``: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.  A NULL or empty text has no
+    tokens and the digests of nothing; rows that repeat an id, or have none, each have their own result; other columns
+    are not read; an empty table gives an empty one.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
