@@ -15,6 +15,7 @@ from holdfast.registry.sql import count_if, query, whole
 from holdfast.session import materialize, scratch_dir
 from holdfast.sources import evolve, landing
 from holdfast.sources import star_tables as star
+from holdfast.streaming.evolving import EvolvingTable
 from holdfast.streaming.daily_counts import stream_closed_days, stream_daily_counts
 from holdfast.streaming.ingest import ingest_stream
 from holdfast.streaming.mart_counts import mart_partials, marts_of, stream_mart_counts
@@ -112,6 +113,17 @@ def _evolve_schema(spark, sf):
     )
 
 
+def _evolving_ingest(spark, sf):
+    """Drops whose fields nobody declared: whole numbers, then fractions, then a new field; a version of the schema for each."""
+    base = scratch_dir(spark, "evolving")
+    table, drops = EvolvingTable(spark, f"{base}/table"), _whole_drops(spark, sf)
+    whole_numbers = F.floor("value").cast("long")
+    for drop in (drops[0].withColumn("value", whole_numbers).drop("props"), drops[1].drop("props"), drops[2]):
+        landing.land_increment(drop, f"{base}/landing")
+        table.ingest(f"{base}/landing")
+    return table.read().select(*LANDED.fieldNames(), F.col("_schema_version").alias("schema_version"))
+
+
 def _dedupe_repeated(spark, sf):
     """A batch landed twice: bronze keeps both copies, the latest arrival of each event stays."""
     base = scratch_dir(spark, "repeat")
@@ -284,6 +296,7 @@ QUERIES = {
     "ingest_stream": _ingest_stream,
     "ingest_metadata": _ingest_metadata,
     "evolve_schema": _evolve_schema,
+    "evolving_ingest": _evolving_ingest,
     "dedupe_repeated_batch": _dedupe_repeated,
     "refresh_marts": _refresh_marts,
     "stream_daily_counts": _stream_daily_counts,
@@ -342,6 +355,12 @@ ORACLE = {
                                  1 AS arrivals FROM events GROUP BY 1""",
     "evolve_schema": f"""SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')}, {_PROPS.replace('ts ', 'events.ts ')},
                                 TRUE AS nothing_left, TRUE AS readable FROM events""",
+    "evolving_ingest": f"""
+        SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, user_id, event_type,
+               CASE WHEN events.ts < TIMESTAMP '{DROP_TIMES[0]}' THEN floor(value) ELSE value END AS value,
+               {_PROPS.replace('ts ', 'events.ts ')},
+               CASE WHEN events.ts < TIMESTAMP '{DROP_TIMES[0]}' THEN 1 WHEN events.ts < TIMESTAMP '{DROP_TIMES[1]}' THEN 2 ELSE 3 END AS schema_version
+        FROM events""",
     "dedupe_repeated_batch": f"SELECT event_id, {_TS}, user_id, event_type, {_VALUE.replace('ts ', 'events.ts ')}, {_PROPS.replace('ts ', 'events.ts ')} FROM events",
     "refresh_marts": query(
         """SELECT 'call_fact' AS mart, COUNT(*) AS n_rows FROM calls

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.rates import count_true, rows
 from holdfast.operators.ranks import global_rank, rank_pct, topk_per_key
-from holdfast.operators.rolling import rolling_rate
+from holdfast.operators.rolling import long_trailing, rolling_rate
 from holdfast.plans import marts
 from holdfast.registry.sql import query, rate, whole
 from holdfast.sources import star_tables as star
@@ -74,6 +74,13 @@ def _rolling_rate(spark, sf):
     return rolling_rate(daily, "day", "high", "n", 7, "high_rate", series=["event_type"])
 
 
+def _rolling_long(spark, sf):
+    """Sums over the last thousand events: one series, cut into ranges."""
+    events = star.table(spark, sf, "events").select("event_id", F.col("value").cast("decimal(18,6)").alias("value"))
+    events = events.withColumn("one", F.lit(1))
+    return long_trailing(events, {"value": "last_values", "one": "last_events"}, 1_000, "event_id").drop("one")
+
+
 QUERIES = {
     "call_fact": call_fact,
     "agent_performance": agent_performance,
@@ -84,6 +91,7 @@ QUERIES = {
     "rank_pct": _rank_pct,
     "topk_per_key": _topk_per_key,
     "rolling_rate": _rolling_rate,
+    "rolling_long": _rolling_long,
 }
 
 ORACLE = {
@@ -123,4 +131,7 @@ ORACLE = {
         FROM (SELECT event_type, CAST(ts AS DATE) AS day, COUNT(*) AS n, COUNT(*) FILTER (WHERE value > 20) AS high
               FROM events GROUP BY 1, 2)
         WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+    "rolling_long": """
+        SELECT event_id, CAST(value AS DECIMAL(18,6)) AS value, SUM(CAST(value AS DECIMAL(18,6))) OVER w AS last_values, COUNT(*) OVER w AS last_events
+        FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""",
 }
