@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from holdfast import rules
 from holdfast.functions.text import whole_word
-from holdfast.operators import conversation, notes, search
+from holdfast.operators import conversation, notes, search, vector_index
 from holdfast.plans import model
 from holdfast.registry.sql import count_if, rate
-from holdfast.session import materialize, spread_small
+from holdfast.session import materialize, scratch_dir, spread_small
 from holdfast.sources import star_tables as star
 
 # The documents are invented prose, so the patterns are syllables that occur in it.
@@ -69,6 +69,13 @@ def _vector_hits(spark, sf):
     return search.vector_topk(vectors, _questions(spark, sf))
 
 
+def _index_hits(spark, sf):
+    """The same search by an index that skips cells."""
+    vectors = star.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "note_id")
+    index = vector_index.build_index(vectors, scratch_dir(spark, "vector-index"))
+    return vector_index.search_index(index, _questions(spark, sf))
+
+
 def _text_hits(spark, sf):
     return search.keyword_topk(_documents(spark, sf), TERMS, note_id="doc_id")
 
@@ -129,6 +136,7 @@ QUERIES = {
     "topic_label_model": _topic_label_checks,
     "unlabeled_filter": _unlabeled_filter,
     "vector_topk": _vector_hits,
+    "vector_index_topk": _index_hits,
     "keyword_topk": _text_hits,
     "hybrid_rrf": _hybrid,
     "chunk_corpus": lambda s, d: search.chunk_corpus(_documents(s, d), "doc_id", "text", CHUNK),
@@ -193,6 +201,7 @@ ORACLE = {
     "topic_label_model": "SELECT doc_id, TRUE AS has_label, TRUE AS is_confidence FROM documents",
     "unlabeled_filter": f"SELECT doc_id, source, {_topic_sql()} AS topic FROM documents WHERE source LIKE 'src1%'",
     "vector_topk": _VECTOR_SQL,
+    "vector_index_topk": _VECTOR_SQL,
     "keyword_topk": _bm25_sql(),
     "hybrid_rrf": f"""
         WITH v AS ({_VECTOR_SQL}), t AS ({_bm25_sql()}),
