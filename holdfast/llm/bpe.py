@@ -17,6 +17,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,8 @@ class Vocabulary:
     def __init__(self, lines: bytes, pattern: str):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, lines.split(b"\n")))}
         self.pattern = regex.compile(pattern)
+        # Texts are cut at blanks before they are matched, which only this pattern is known to allow.
+        self.cuts = pattern == public_tokenizers.PATTERN
         self.size = max(ranks.values()) + 1
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.ranks = ranks
@@ -202,7 +205,8 @@ class Vocabulary:
         """Ids of chunks that were not seen before."""
         # Letters after at most one blank are one match of "an optional blank and letters".
         find = self.pattern.findall
-        split = [(c,) if (c[1:] if c[0] == " " else c).isalpha() else find(c) for c in chunks]
+        one = (lambda c: (c[1:] if c[0] == " " else c).isalpha()) if self.cuts else (lambda c: True)
+        split = [(c,) if one(c) else find(c) for c in chunks]
         pieces = list(dict.fromkeys(p for found in split for p in found))
         code = dict(zip(pieces, self.encode_pieces([p.encode() for p in pieces])))
         return {chunk: code[chunk] if len(found) == 1 else b"".join([code[p] for p in found])
@@ -212,7 +216,9 @@ class Vocabulary:
         """Ids of each text as little-endian 32-bit integers."""
         known, split, new = self.chunks, [], set()
         for text in texts:
-            if _GAP.search(text):
+            if not self.cuts:
+                parts = [m[0] for m in self.pattern.finditer(text)]
+            elif _GAP.search(text):
                 # Next to other white space a match may reach across a blank, so take the matches themselves.
                 parts = self.pattern.findall(text)
             else:

@@ -7,7 +7,8 @@ The reader checks every record: its member inflates to the checksum, the version
 header are whole, the block has the stated length and is followed by two line ends, and the
 payload has the stated digest.  Where a check fails it looks for the next member or version
 line at which a valid record begins, goes on from there, and logs the bytes in between as
-a gap with the check that failed.  Members and plain records may stand in one file.
+a gap with the check that failed.  It does so in the content of a member, too, and a damaged
+member is read as far as it inflates.  Members and plain records may stand in one file.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from holdfast.llm.files import read_binary, write_binary
 
 #: Compressed bytes that a task gathers before it hands them to the writer.
 CHUNK = 4 << 20
+#: Bytes by which a damaged member is inflated.
+STEP = 4096
 #: Payloads of fewer bytes are never stored as revisits.
 MIN_REVISIT = 0
 #: Up to so many revisit ids are broadcast (about 64 bytes each); more are joined by an exchange.
@@ -171,62 +174,136 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     }, end + 4
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """Content of the gzip member at ``at`` and where it ends."""
+DAMAGED, OTHER_SUM = "member does not inflate", "member has another checksum"
+
+
+def _steps(data: bytes, at: int):
+    """What a member's bytes inflate to, piece by piece, each with where it ends; one byte at a time before an error."""
+    unpack, view = zlib.decompressobj(31), memoryview(data)
+    for i in range(at, len(data), STEP):
+        before = unpack.copy()
+        try:
+            out = unpack.decompress(view[i : i + STEP])
+        except zlib.error:
+            break
+        yield out, before, i, min(i + STEP, len(data))
+        if unpack.eof:
+            return
+    else:
+        return
+    for k in range(i, min(i + STEP, len(data))):
+        try:
+            held = before.copy()
+            yield before.decompress(view[k : k + 1]), held, k, k + 1
+        except zlib.error:
+            return
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Content of the gzip member at ``at``, where it ends, and what is wrong with it; content up to there."""
     unpack = zlib.decompressobj(31)
     try:
-        out = unpack.decompress(data[at:])
+        out = unpack.decompress(memoryview(data)[at:])
     except zlib.error as error:
-        raise Broken("member does not inflate") from error
+        whole = any(check in str(error) for check in ("incorrect data check", "incorrect length check"))
+        return b"".join(piece for piece, *_ in _steps(data, at)), at, OTHER_SUM if whole else DAMAGED
     if not unpack.eof:
-        raise Broken("member is cut off")
-    return out, len(data) - len(unpack.unused_data)
+        return out, at, "member is cut off"
+    return out, len(data) - len(unpack.unused_data), None
 
 
-def _records_at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """Records of the member, or the plain record, that begins at ``at``, and where it ends."""
-    if data.startswith(_MEMBER, at):
-        content, end = _inflate(memoryview(data), at)
-        found, inner = [], 0
-        while inner < len(content):
-            one, inner = _parse(content, inner)
-            found.append(one)
-        return found, end
-    one, end = _parse(data, at)
-    return [one], end
+def _consumed(data: bytes, at: int, size: int) -> int:
+    """Where the bytes of the member at ``at`` end that inflate to the first ``size`` bytes."""
+    got = 0
+    for out, before, low, high in _steps(data, at):
+        if got + len(out) < size:
+            got += len(out)
+            continue
+        for k in range(low, high):
+            got += len(before.decompress(data[k : k + 1]))
+            if got >= size:
+                return k + 1
+    return len(data)
+
+
+def _within(content: bytes, failure: str | None) -> tuple[list[dict], list[dict], int]:
+    """Valid records of a member's content, the gaps in between, both by place in the content, and where the last ends.
+
+    In a damaged member a record is valid only if the version line of another stands behind it, or the content ends.
+    """
+    records, gaps, at, end = [], [], 0, 0
+    while at < len(content):
+        try:
+            one, behind = _parse(content, at)
+            ends = failure != DAMAGED and behind == len(content)
+            if failure in (DAMAGED, OTHER_SUM) and not ends and not _LINE.match(content, behind):
+                raise Broken("no record follows")
+            records.append(one | {"inner_offset": at})
+            at = end = behind
+        except Broken as error:
+            begin, line = at, _LINE.search(content, at + 1)
+            at = line.start() if line else len(content)
+            # Version lines at which no record begins lengthen the gap.
+            if gaps and gaps[-1]["inner_offset"] + gaps[-1]["length"] == begin:
+                gaps[-1]["length"] += at - begin
+            else:
+                gaps.append({"inner_offset": begin, "length": at - begin, "reason": str(error)})
+    return records, gaps, end
+
+
+def _open(data: bytes, at: int) -> tuple[list[dict], list[dict], int, str | None]:
+    """Records and gaps of the member, or the plain record, that begins at ``at``, where it ends, and what ends it early."""
+    if not data.startswith(_MEMBER, at):
+        one, end = _parse(data, at)
+        return [one | {"inner_offset": None}], [], end, None
+    content, end, failure = _inflate(data, at)
+    records, gaps, inner = _within(content, failure)
+    if not records and (failure or gaps):
+        raise Broken(failure or gaps[0]["reason"])
+    if failure:  # what follows the last record is a gap of the file
+        end, gaps = _consumed(data, at, inner), [g for g in gaps if g["inner_offset"] < inner]
+    return records, gaps, end, failure
 
 
 def salvage(data: bytes) -> tuple[list[dict], list[dict]]:
-    """All valid records of a file, with ``offset`` and ``length``, and the gaps between them, with a ``reason``."""
+    """All valid records of a file, with ``offset`` and ``length``, and the gaps between them, with a ``reason``.
+
+    Records of a member, and gaps inside one, have the member's ``offset`` and their own ``inner_offset`` in its content;
+    the ``length`` of such a gap counts bytes of the content.  Of a member that is cut off the
+    records that are whole stay; of one that does not inflate, or has another checksum, those behind which the next one
+    begins, since damage shows late, or whose end is that of the member.  The bytes after them are a gap.  Records that stand twice are given twice.  No
+    bytes give nothing.
+    """
     records, gaps, at = [], [], 0
+    opened = None
     while at < len(data):
         try:
-            found, end = _records_at(data, at)
-        except Broken as failure:
-            begin, reason = at, str(failure)
-            while True:
-                start = _START.search(data, at + 1)
-                if not start:
-                    at, found = len(data), None
-                    break
-                at = start.start()
-                try:
-                    found, end = _records_at(data, at)
-                    break
-                except Broken:
-                    continue
-            gaps.append({"offset": begin, "length": at - begin, "reason": reason})
-            if found is None:
+            found, inner, end, failure = opened or _open(data, at)
+        except Broken as error:
+            found, inner, end, failure = [], [], at, str(error)
+        opened = None
+        records += [one | {"offset": at, "length": end - at} for one in found]
+        gaps += [gap | {"offset": at} for gap in inner]
+        if failure is None:
+            at = end
+            continue
+        begin, at = end, max(at + 1, end)
+        while opened is None:
+            start = _START.search(data, at)
+            at = start.start() if start else len(data)
+            if not start:
                 break
-        for one in found:
-            records.append(one | {"offset": at, "length": end - at})
-        at = end
+            try:
+                opened = _open(data, at)
+            except Broken:
+                at += 1
+        gaps.append({"offset": begin, "length": at - begin, "inner_offset": None, "reason": failure})
     return records, gaps
 
 
 _FIELDS = [("type", "string"), ("record_id", "string"), ("refers_to", "string"), ("target_uri", "string"),
            ("payload_digest", "string"), ("payload_bytes", "long"), ("payload", "binary"), ("offset", "long"),
-           ("length", "long"), ("reason", "string")]
+           ("length", "long"), ("inner_offset", "long"), ("reason", "string")]
 _ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -252,7 +329,8 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     """Records and gaps of the archive files below ``path``, one row each.
 
     ``type`` is the record's type, or ``gap`` for bytes that hold no valid record, with ``reason``; ``offset`` and
-    ``length`` are bytes of the file (of the member a record is in); ``payload_bytes`` of a revisit is that of the
+    ``length`` are bytes of the file (of the member a record is in), and ``inner_offset`` the place in that member's
+    content (see :func:`salvage`); ``payload_bytes`` of a revisit is that of the
     page it stands for.  An empty file has no rows.  A file is read by one task.
     """
     schema = "path string, " + ", ".join(f"{n} {t}" for n, t in _FIELDS)

@@ -1,5 +1,6 @@
 """Registered queries and operators against brute force, on whole small tables and made-up cases."""
 
+import base64
 import math
 import random
 import re
@@ -78,6 +79,40 @@ def test_salvage():
     assert [r["record_id"] for r in warc.salvage(plain[0] + longer + plain[2])[0]] == ["<urn:page:0>", "<urn:page:2>"]
 
 
+def test_salvage_inside_members():
+    """Records A, bad B and C in one member, and members that are cut or damaged behind whole records."""
+    rng = random.Random(3)
+    pages = [bytes(rng.choices(b"abcdefgh <>", k=9_000)) for _ in range(3)]
+    a, b, c = (warc.record(n, "http://x/", p, warc.payload_digest(p)) for n, p in zip("ABC", pages))
+    bad = b.replace(pages[1][:50], bytes(50))
+    names = lambda data: [r["record_id"][10:-1] for r in warc.salvage(data)[0]]
+    alone = warc._member(c)
+    member = warc._member(a + bad + c)
+    records, gaps = warc.salvage(member + alone)
+    assert [r["record_id"][10:-1] for r in records] == ["A", "C", "C"]
+    assert [(r["offset"], r["length"], r["inner_offset"]) for r in records] == [
+        (0, len(member), 0), (0, len(member), len(a + b)), (len(member), len(alone), 0)]
+    assert [(g["offset"], g["inner_offset"], g["length"]) for g in gaps] == [(0, len(a), len(b))]
+    assert names(a + bad + c) == ["A", "C"]
+    two = warc._member(a + b)
+    for cut in (4, 8):  # in the trailer
+        records, gaps = warc.salvage(two[:-cut] + alone)
+        assert [r["record_id"][10:-1] for r in records] == ["A", "B", "C"]
+        assert sum({r["offset"]: r["length"] for r in records}.values()) + sum(g["length"] for g in gaps) == len(two) - cut + len(alone)
+    half = warc.salvage(two[: len(two) * 3 // 4] + alone)
+    assert [r["record_id"][10:-1] for r in half[0]] == ["A", "C"] and len(half[1]) == 1 and half[1][0]["inner_offset"] is None
+    at = len(two) * 3 // 4
+    assert names(two[:at] + bytes(40) + two[at + 40 :] + alone)[0] == "A" and names(two[:at] + bytes(40) + two[at + 40 :] + alone)[-1] == "C"
+    # A member that is stored, not packed, shows its records' bytes; none is given twice.
+    packer = warc.zlib.compressobj(0, warc.zlib.DEFLATED, 31)
+    stored = packer.compress(a + b) + packer.flush()
+    assert names(stored[:-4] + alone) == ["A", "B", "C"]
+    # Any cut loses nothing that is whole before it, and nothing behind it.
+    for at in range(0, len(two), 97):
+        found = names(two[:at] + alone)
+        assert found[-1] == "C" and found[:-1] == ["A", "B"][: len(found) - 1]
+
+
 def test_long_urls_are_kept_and_gaps_are_errors(spark, tmp_path, monkeypatch):
     rows = [(1, "http://x/" + "a" * 100_000, "<p>one"), (2, "data:text/plain," + "é" * 30_000, "<p>two"),
             (3, "http://x/WARC/1.0", "<p>one WARC/1.0\r\n"), (4, "u" * 300_000, "<p>one")]
@@ -325,6 +360,16 @@ def test_long_texts_in_parts(monkeypatch, spark):
     assert bpe._encoded([text], vocab) == whole
 
 
+def test_another_pattern_as_the_library(spark):
+    pattern = r"\p{Lu}?\p{Ll}+|\p{Lu}+|\p{N}{1,3}|[^\p{L}\p{N}]+"
+    lines = bpe.read_ranks(spark, public_tokenizers.path(registered.RANKS))
+    ranks = {base64.b64decode(x.split()[0]): int(x.split()[1]) for x in lines.splitlines() if x}
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["helloWorld fooBar", "", "ABCdef  12345 x\n y", "été ÉTÉ"]
+    vocab = bpe.Vocabulary(lines, pattern)
+    assert [np.frombuffer(c, "<u4").tolist() for c in vocab.encode_texts(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_op10(spark, documents):
     got = {r.doc_id: r for r in run(spark, "op10_suffix_tree").collect()}
     for doc, n, known, total, base in unigrams(documents, lambda d: crc(d, 7) == 2):
