@@ -127,17 +127,25 @@ def _sliced_table(ties: DataFrame, column: str, ascending: bool, n_values: int,
 
 
 def global_rank(
-    df: DataFrame, column: str, out: str = "rank", ascending: bool = False, domain_bound: int | None = None
+    df: DataFrame, column: str, out: str = "rank", ascending: bool = False, domain_bound: int | None = None,
+    kept: ValueTable | None = None,
 ) -> DataFrame:
-    """``RANK()`` over the whole table: ties share a rank and leave a gap."""
-    table = value_table(df, column, ascending, domain_bound)
+    """``RANK()`` over the whole table: ties share a rank and leave a gap.
+
+    ``kept`` has the counts of the column in the same order, where they are kept (``sources.rank_table``).
+    """
+    table = kept or value_table(df, column, ascending, domain_bound)
     return table.attach(df).withColumn(out, F.col("_before") + 1).drop("_ties", "_before")
 
 
-def rank_pct(df: DataFrame, column: str, out: str = "pct", domain_bound: int | None = None) -> DataFrame:
-    """Mean-rank percentile in (0, 1], NULL for NULL: tied rows share the mean of their positions."""
-    present = df.where(F.col(column).isNotNull())
-    table = value_table(present, column, True, domain_bound)
+def rank_pct(
+    df: DataFrame, column: str, out: str = "pct", domain_bound: int | None = None, kept: ValueTable | None = None
+) -> DataFrame:
+    """Mean-rank percentile in (0, 1], NULL for NULL: tied rows share the mean of their positions.
+
+    ``kept`` has the counts of the values that are not NULL, in ascending order.
+    """
+    table = kept or value_table(df.where(F.col(column).isNotNull()), column, True, domain_bound)
     if table.n_rows is None:
         total = F.sum("_ties").over(W.partitionBy())
         table.frame = table.frame.withColumn("_total", total)

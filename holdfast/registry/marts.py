@@ -9,7 +9,9 @@ from holdfast.operators.ranks import global_rank, rank_pct, topk_per_key
 from holdfast.operators.rolling import long_trailing, rolling_rate
 from holdfast.plans import marts
 from holdfast.registry.sql import query, rate, whole
+from holdfast.session import scratch_dir
 from holdfast.sources import star_tables as star
+from holdfast.sources.rank_table import RankTable
 
 WARMUP_UNTIL = "1995-02-01"
 CHURN_BASE = 1500.0
@@ -74,6 +76,19 @@ def _rolling_rate(spark, sf):
     return rolling_rate(daily, "day", "high", "n", 7, "high_rate", series=["event_type"])
 
 
+def _kept_ranks(spark, sf):
+    """Ranks from kept counts, after two thirds of the customers, the others, and a correction of the first third."""
+    customers = star.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    third = lambda k: customers.where(F.col("c_custkey") % 3 == k)
+    wrong = third(0).select((F.col("c_acctbal") + 1).alias("c_acctbal"))
+    table = RankTable(spark, scratch_dir(spark, "rank-table"), "c_acctbal", customers.schema["c_acctbal"].dataType, 500)
+    table.apply(wrong.unionByName(third(1).select("c_acctbal")), 0)
+    table.apply(third(2), 1)
+    table.apply(wrong.withColumn("sign", F.lit(-1)).unionByName(third(0).select("c_acctbal", F.lit(1).alias("sign"))), 2, "sign")
+    ranked = global_rank(customers, "c_acctbal", "balance_rank", kept=table.values(ascending=False))
+    return rank_pct(ranked, "c_acctbal", "balance_pct", kept=table.values(present=True))
+
+
 def _rolling_long(spark, sf):
     """Sums over the last thousand events: one series, cut into ranges."""
     events = star.table(spark, sf, "events").select("event_id", F.col("value").cast("decimal(18,6)").alias("value"))
@@ -89,6 +104,7 @@ QUERIES = {
     "daily_kpis": daily_kpis,
     "global_rank": _global_rank,
     "rank_pct": _rank_pct,
+    "kept_ranks": _kept_ranks,
     "topk_per_key": _topk_per_key,
     "rolling_rate": _rolling_rate,
     "rolling_long": _rolling_long,
@@ -131,6 +147,11 @@ ORACLE = {
         FROM (SELECT event_type, CAST(ts AS DATE) AS day, COUNT(*) AS n, COUNT(*) FILTER (WHERE value > 20) AS high
               FROM events GROUP BY 1, 2)
         WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+    "kept_ranks": """
+        SELECT c_custkey, c_acctbal, RANK() OVER (ORDER BY c_acctbal DESC) AS balance_rank,
+               (RANK() OVER (ORDER BY c_acctbal) - 1 + (COUNT(*) OVER (PARTITION BY c_acctbal) + 1) / CAST(2 AS DOUBLE))
+                 / COUNT(*) OVER () AS balance_pct
+        FROM customer""",
     "rolling_long": """
         SELECT event_id, CAST(value AS DECIMAL(18,6)) AS value, SUM(CAST(value AS DECIMAL(18,6))) OVER w AS last_values, COUNT(*) OVER w AS last_events
         FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""",
