@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from holdfast import rules
 from holdfast.functions.text import whole_word
-from holdfast.operators import conversation, notes, search, vector_index
+from holdfast.operators import conversation, notes, postings, search, vector_index
 from holdfast.plans import model
 from holdfast.registry.sql import count_if, rate
 from holdfast.session import materialize, scratch_dir, spread_small
@@ -80,6 +80,18 @@ def _text_hits(spark, sf):
     return search.keyword_topk(_documents(spark, sf), TERMS, note_id="doc_id")
 
 
+def _asked_words(spark, sf):
+    """What users said in every conversation whose id is divisible by 50, turn by turn, as questions."""
+    turns = star.table(spark, sf, "conversations").where("conv_id % 50 = 0 AND role = 'user'")
+    return turns.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), "text")
+
+
+def _posting_hits(spark, sf):
+    """The best documents for the words of each question, by posting lists."""
+    index = postings.build_postings(_documents(spark, sf), scratch_dir(spark, "postings"), "doc_id")
+    return postings.search_postings(index, _asked_words(spark, sf))
+
+
 def _hybrid(spark, sf):
     """Fused lists with the notes' texts, also for a question that has no vector; rank 0: not in that leg."""
     asked = _questions(spark, sf).select("question_id").unionByName(spark.createDataFrame([(-1,)], "question_id long"))
@@ -138,6 +150,7 @@ QUERIES = {
     "vector_topk": _vector_hits,
     "vector_index_topk": _index_hits,
     "keyword_topk": _text_hits,
+    "keyword_postings": _posting_hits,
     "hybrid_rrf": _hybrid,
     "chunk_corpus": lambda s, d: search.chunk_corpus(_documents(s, d), "doc_id", "text", CHUNK),
     "final_answer": _final_answer,
@@ -189,6 +202,21 @@ def _bm25_sql() -> str:
           WHERE {hit} > 0 ORDER BY score DESC, note_id LIMIT 15)"""
 
 
+_POSTING_SQL = f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS tokens FROM documents),
+         c AS (SELECT COUNT(*) AS n, CAST(SUM(COALESCE(len(tokens), 0)) AS DOUBLE) AS all_words FROM d),
+         p AS (SELECT doc_id, words, term, COUNT(*) AS tf
+               FROM (SELECT doc_id, len(tokens) AS words, unnest(tokens) AS term FROM d) GROUP BY ALL),
+         f AS (SELECT term, ln(1 + (ANY_VALUE(n) - COUNT(*) + 0.5) / (COUNT(*) + 0.5)) AS idf FROM p, c GROUP BY term),
+         q AS (SELECT DISTINCT conv_id || '-' || turn AS question_id,
+                      unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term
+               FROM conversations WHERE conv_id % 50 = 0 AND role = 'user'),
+         s AS (SELECT question_id, doc_id AS note_id,
+                      round(SUM(idf * tf * ({search.BM25_K1} + 1) / (tf + {search.BM25_K1} * (1 - {search.BM25_B} + {search.BM25_B} * words * n / all_words))), 6) AS score
+               FROM q JOIN f USING (term) JOIN p USING (term), c GROUP BY 1, 2)
+    SELECT question_id, note_id, score, RANK() OVER (PARTITION BY question_id ORDER BY score DESC) AS text_rank
+    FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY score DESC, note_id) <= 15"""
+
 _TRIMMED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 ORACLE = {
@@ -203,6 +231,7 @@ ORACLE = {
     "vector_topk": _VECTOR_SQL,
     "vector_index_topk": _VECTOR_SQL,
     "keyword_topk": _bm25_sql(),
+    "keyword_postings": _POSTING_SQL,
     "hybrid_rrf": f"""
         WITH v AS ({_VECTOR_SQL}), t AS ({_bm25_sql()}),
              tq AS (SELECT question_id, note_id, text_rank FROM t, (SELECT DISTINCT question_id FROM v UNION SELECT -1))
