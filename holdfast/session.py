@@ -84,15 +84,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Evaluate a plan once into the shared scratch folder and return the written table.
 
     For results that later steps read more than once: without it, every reader would run
-    the whole plan again.  The table survives the loss of executors.
+    the whole plan again.  The table survives the loss of executors.  ``codec`` compresses
+    it otherwise than the session's setting.
     """
     path = scratch_dir(df.sparkSession, label)
     _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
