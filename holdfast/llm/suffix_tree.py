@@ -9,30 +9,39 @@ context's mass, with ``BACKOFF`` added, goes to its suffix, and the empty contex
 their add-one share.  So every state's distribution sums to one.  A text is scored by the
 longest kept context at every word.
 
-Nothing of the tree is collected or broadcast.  Runs of symbols have 64-bit keys, and the
-key of a context is that of the run which it is, so one table of keys has word counts, next
-symbols and back-off weights.  Slices of texts ask its buckets for their keys.
+Nothing of the tree is collected or broadcast.  Runs of symbols have 64-bit keys, and the key
+of a context is that of the run which it is.  Texts become slices of numbered words.  A slice
+sends each key of its runs once, with its count, to the bucket of the key, whose task answers
+with the count in all slices; one of the slices that sent a key gives the row of the run.  A run
+can stand twice only if the runs without its first and without its last symbol do, so deeper
+runs are sent only where those came back with two or more.  Scoring first asks which contexts
+are kept, and then for the runs behind those.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from holdfast.llm import textbytes as tb
 from holdfast.llm.settings import buckets_for
-from holdfast.session import materialize
+from holdfast.session import discard, materialize
 
 #: Times that a run must stand in the training texts to be stored; share that a word needs to be stored as next symbol.
 LEAST, SYMBOL_SHARE = 2, 0.0
 DEPTH, BACKOFF = 2, 4.0
+#: Text of a slice, besides a single longer one.
+SLICE = 8 << 20
 #: The hashes that stand for the end and the start of a text; words hash to them by chance only.
 END_HASH, START_HASH = np.int64(0x6C62272E07BB0142), np.int64(0x27D4EB2F165667C5)
 _ODD = tb.U64(0xD6E8FEB86659FD93)
@@ -113,39 +122,6 @@ def _tokens(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], stop])
 
 
-class _Counter:
-    """Adds up counts of runs by their key, and hands them on when there are many."""
-
-    def __init__(self, names: list[str], limit: int = 1 << 20):
-        self.names, self.limit, self.held, self.size = names, limit, [], 0
-
-    def add(self, keys: np.ndarray, columns: list[np.ndarray]):
-        found, at, counts = np.unique(keys, return_index=True, return_counts=True)
-        self.held.append((found, counts, [c[at] for c in columns]))
-        self.size += len(found)
-        if self.size >= 2 * self.limit:
-            yield from self.flush(self.limit)
-
-    def flush(self, above: int = 0):
-        if self.held:
-            keys, at, where = np.unique(np.concatenate([h[0] for h in self.held]), return_index=True, return_inverse=True)
-            counts = np.bincount(where, np.concatenate([h[1] for h in self.held]), len(keys)).astype(np.int64)
-            columns = [np.concatenate(c)[at] for c in zip(*(h[2] for h in self.held))]
-            self.held, self.size = [(keys, counts, columns)], len(keys)
-            if len(keys) > above:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, counts)], names=self.names)
-                self.held, self.size = [], 0
-
-
-def _count_words(batches):
-    counter = _Counter(["word", "n"])
-    for batch in batches:
-        for _, _, flat, at in tb.slices(batch.column(0)):
-            hashes = _tokens(flat, at)[0]
-            yield from counter.add(hashes, [hashes])
-    yield from counter.flush()
-
-
 def _back(hashes: np.ndarray, first: np.ndarray, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The ``depth`` symbols before each token, farthest first, and whether the text is long enough for them.
 
@@ -167,37 +143,17 @@ def _key(symbols: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _count_runs(depth: int, names: list[str]):
-    """Counts of the runs of ``depth`` symbols and the one that follows."""
+def _with_keys(depth: int, run: bool):
+    """Adds the keys of contexts, and of the runs that they are part of."""
 
-    def run(batches):
-        counter = _Counter([*names, "n"])
+    def keys(batches):
         for batch in batches:
-            for _, _, flat, at in tb.slices(batch.column(0)):
-                hashes, first = _tokens(flat, at)
-                before, use = _back(hashes, first, depth)
-                symbols = [x[use] for x in (*before, hashes)]
-                yield from counter.add(_key(symbols), symbols)
-        yield from counter.flush()
-
-    return run
-
-
-def _with_keys(depth: int):
-    """Adds the keys of the context and of the run, and of those whose context is cut to 1, 2, ... symbols."""
-
-    def run(batches):
-        for batch in batches:
-            symbols = [np.asarray(c) for c in batch.columns[:-1]]
-            cut = [x for k in [depth, *range(1, depth)] for x in (_key(symbols[-1 - k : -1]), _key(symbols[-1 - k :]))]
+            symbols = [np.asarray(batch.column(k)) for k in range(depth + run)]
+            added = {"context": _key(symbols[:depth])} | ({"key": _key(symbols)} if run else {})
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *map(pa.array, cut)], names=[*batch.schema.names, "context", "key", *_shorter(depth)])
-
-    return run
-
+                [*batch.columns, *map(pa.array, added.values())], names=[*batch.schema.names, *added])
 
-def _shorter(depth: int) -> list[str]:
-    return [f"{name}{k}" for k in range(1, depth) for name in ("context", "key")]
+    return keys
 
 
 def _collected(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -222,46 +178,304 @@ def _probability(tree: Tree, symbols: np.ndarray, base: np.ndarray, contexts: li
     return p
 
 
-def _grow(docs: DataFrame, tree: Tree, sizes: DataFrame, depth: int) -> DataFrame:
-    """Count what follows the contexts of ``depth`` symbols and keep those that diverge; returns all runs' counts.
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """A scratch table; the exchanges behind it go as soon as it stands, since nothing reads them again."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return materialize(df, label, "zstd")
+    finally:
+        conf.set(name, before)
 
-    ``sizes`` (``context``, ``size``) says how often the contexts stand.
-    """
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as few bytes each as the largest needs; the first byte says how many."""
+    kind = np.min_scalar_type(int(numbers.max()) if len(numbers) else 0)
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _flags(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(40)).astype(np.int64) % buckets
+
+
+def _slice_columns(kind) -> str:
+    """``words`` are the hashes that occur, sorted; ``at`` has a place among them for each token.  ``totals`` and ``mine``
+    are, by depth, the counts of the runs that were asked for, and which of them this slice gives the rows of;
+    ``answers`` are, by depth, the back-off weights of the contexts asked for, or (in scoring) which of them are kept."""
+    return (f"slice string, ids array<{kind.simpleString()}>, words binary, at binary, first binary, totals array<binary>, "
+            "mine array<binary>, answers array<binary>")
+
+
+def _sliced(id_type: pa.DataType):
+    """One row per slice of texts."""
+
+    def run(batches):
+        for batch in batches:
+            for low, high, flat, at in tb.slices(batch.column(1), SLICE):
+                tokens, first = _tokens(flat, at)
+                words, place = np.unique(tokens, return_inverse=True)
+                ids = batch.column(0).slice(low, high - low).cast(id_type)
+                blank = pa.array([[]], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), ids),
+                     pa.array([words.tobytes()], pa.binary()), pa.array([_small(place)], pa.binary()),
+                     pa.array([_small(first)], pa.binary()), blank, blank, blank],
+                    names=["slice", "ids", "words", "at", "first", "totals", "mine", "answers"])
+
+    return run
+
+
+class _Slice:
+    """A slice's tokens, and what is known about the runs that end at them."""
+
+    def __init__(self, row: dict):
+        self.words, self.first = np.frombuffer(row["words"], np.int64), _wide(row["first"])
+        self.tokens = self.words[_wide(row["at"])]
+        self.totals = [_wide(x) for x in row["totals"]]
+        self.mine = [_flags(x, len(t)) for x, t in zip(row["mine"], self.totals)]
+        self.answers = row["answers"]
+        self._runs, self._asked = {}, {}
+
+    def run(self, depth: int):
+        """By token: whether the text is long enough, the key of the run, that of its context."""
+        if depth not in self._runs:
+            before, use = _back(self.tokens, self.first, depth)
+            context = _key(before)
+            self._runs[depth] = use, _chain(context, self.tokens), context
+        return self._runs[depth]
+
+    def asked(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs that can stand ``LEAST`` times: their tokens, sorted keys, a token of each key, and each key's count here."""
+        if depth not in self._asked:
+            use, key = (np.ones(len(self.tokens), bool), self.tokens) if depth == 0 else self.run(depth)[:2]
+            if depth > 1:
+                often = np.zeros(len(key), bool)
+                often[self.asked(depth - 1)[0]] = self.often(depth - 1)
+                use = use & often
+                use[1:] &= often[:-1]
+            tokens = np.flatnonzero(use)
+            keys, at, counts = np.unique(key[tokens], return_index=True, return_counts=True)
+            self._asked[depth] = tokens, keys, tokens[at], counts
+        return self._asked[depth]
+
+    def often(self, depth: int) -> np.ndarray:
+        """Of the tokens asked about: whether the run stands ``LEAST`` times in all slices."""
+        tokens, keys, _, _ = self.asked(depth)
+        return (self.totals[depth] >= LEAST)[np.searchsorted(keys, self.run(depth)[1][tokens])]
+
+    def count(self, depth: int, keys: np.ndarray) -> np.ndarray:
+        """Counts of runs in all slices; 0 for those not asked for."""
+        at = _look(self.asked(depth)[1], keys)
+        return np.where(at >= 0, self.totals[depth][np.maximum(at, 0)], 0) if len(self.totals[depth]) else np.zeros(len(at), np.int64)
+
+    def contexts(self, depth: int) -> np.ndarray:
+        """Contexts that can be kept, sorted."""
+        if depth == 1:
+            return np.unique(np.append(self.words, START_HASH))
+        return self.asked(depth - 1)[1][self.totals[depth - 1] >= LEAST]
+
+    def size(self, depth: int, context: np.ndarray) -> np.ndarray:
+        """How often contexts stand.  A text has one start and one end; the end has nothing behind it."""
+        if depth == 1:
+            return self.count(0, np.where(context == START_HASH, END_HASH, context))
+        return self.count(depth - 1, context)
+
+
+def _slices_of(batches) -> Iterator[tuple[dict, _Slice]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
+            ids = row.pop("ids")
+            yield (plain := {n: v.as_py() for n, v in row.items()} | {"ids": ids}), _Slice(plain)
+
+
+def _questions(buckets: int, want):
+    """What ``want`` names of a slice, sorted run keys with counts and sorted context keys, in a row per bucket."""
+
+    def run(batches):
+        for row, part in _slices_of(batches):
+            keys, counts, contexts = want(part)
+            of_key, of_context = _bucket(keys, buckets), _bucket(contexts, buckets)
+            found = np.union1d(of_key, of_context)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array([row["slice"]] * len(found)),
+                 pa.array([keys[of_key == b].tobytes() for b in found], pa.binary()),
+                 pa.array([_small(counts[of_key == b]) for b in found], pa.binary()),
+                 pa.array([contexts[of_context == b].tobytes() for b in found], pa.binary())],
+                names=["bucket", "slice", "keys", "counts", "contexts"])
+
+    return run
+
+
+def _values(wanted: np.ndarray, known: pa.Table, kind: int) -> np.ndarray:
+    """The value of each key of a kind; 0 where there is none."""
+    known = known.filter(pa.compute.equal(known.column("kind"), kind)).sort_by("key")
+    keys, values = (np.asarray(known.column(c).combine_chunks()) for c in ("key", "value"))
+    at = _look(keys, wanted)
+    return np.where(at >= 0, values[np.maximum(at, 0)], 0.0) if len(keys) else np.zeros(len(wanted))
+
+
+def _totals(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Answers in training: counts of the runs in all slices, which of them the slice gives the rows of, back-off weights."""
+    asked = asked.sort_by("slice")  # the first slice by name gives the rows, also when the task runs again
+    keys = [np.frombuffer(x, np.int64) for x in asked.column("keys").to_pylist()]
+    found, at, where = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_index=True, return_inverse=True)
+    counts = np.concatenate([*map(_wide, asked.column("counts").to_pylist()), np.zeros(0, np.int64)])
+    totals = np.bincount(where, counts, len(found)).astype(np.int64)[where]
+    mine = np.zeros(len(where), bool)
+    mine[at] = True
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    weights = [_values(np.frombuffer(x, np.int64), known, 1).tobytes() for x in asked.column("contexts").to_pylist()]
+    return pa.table({
+        "slice": asked.column("slice"), "bucket": asked.column("bucket"),
+        "values": pa.array(map(_small, np.split(totals, cuts)), pa.binary()),
+        "mine": pa.array(map(_bits, np.split(mine, cuts)), pa.binary()), "weights": pa.array(weights, pa.binary())})
+
+
+def _shares(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Answers in scoring: word counts and shares of next symbols, and back-off weights."""
+    looked = {name: [_values(np.frombuffer(x, np.int64), known, kind).tobytes() for x in asked.column(column).to_pylist()]
+              for name, column, kind in (("values", "keys", 0), ("weights", "contexts", 1))}
+    return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"),
+                     "values": pa.array(looked["values"], pa.binary()), "mine": pa.array([b""] * len(asked), pa.binary()),
+                     "weights": pa.array(looked["weights"], pa.binary())})
+
+
+def _answered(parts: DataFrame, known: DataFrame, buckets: int, want, answer) -> DataFrame:
+    """Slices with what the buckets answer, ``replies``."""
+    asked = parts.mapInArrow(_questions(buckets, want), "bucket long, slice string, keys binary, counts binary, contexts binary")
+    known = known.withColumn("bucket", F.expr(f"shiftrightunsigned(key, 40) % {buckets}"))
+    replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
+        answer, "slice string, bucket long, values binary, mine binary, weights binary")
+    gathered = replies.groupBy("slice").agg(F.collect_list(F.struct("bucket", "values", "mine", "weights")).alias("replies"))
+    return parts.join(gathered, "slice", "left")
+
+
+def _by_key(replies, name: str, keys: np.ndarray, buckets: int, read, kind) -> np.ndarray:
+    """The answers of all buckets, in the order of the keys."""
+    bucket, out = _bucket(keys, buckets), np.zeros(len(keys), kind)
+    for reply in replies or []:
+        own = np.flatnonzero(bucket == reply["bucket"])
+        if len(own):
+            out[own] = read(reply[name], len(own))
+    return out
+
+
+def _depths(depth: int) -> list[int]:
+    """Runs of which depths are asked for together: words with the first, since they are few."""
+    return [0, 1] if depth == 1 else [depth]
+
+
+def _to_count(depth: int):
+    def want(part: _Slice):
+        asked = [part.asked(d) for d in _depths(depth)]
+        keys, at = np.unique(np.concatenate([a[1] for a in asked]), return_index=True)
+        contexts = part.contexts(depth - 1) if depth > 1 else np.zeros(0, np.int64)
+        return keys, np.concatenate([a[3] for a in asked])[at], contexts
+
+    return want
+
+
+def _counted(depth: int, buckets: int):
+    """Slices with the counts that came back."""
+
+    def run(batches):
+        for row, part in _slices_of(batches):
+            replies = row["replies"]
+            keys, _, contexts = _to_count(depth)(part)
+            totals = _by_key(replies, "values", keys, buckets, lambda raw, n: _wide(raw), np.int64)
+            mine = _by_key(replies, "mine", keys, buckets, _flags, bool)
+            for d in _depths(depth):
+                at = np.searchsorted(keys, part.asked(d)[1])
+                row["totals"].append(_small(totals[at]))
+                row["mine"].append(_bits(mine[at]))
+            if depth > 1:
+                weights = _by_key(replies, "weights", contexts, buckets, lambda raw, n: np.frombuffer(raw), np.float64)
+                row["answers"].append(weights.tobytes())
+            yield _row(row)
+
+    return run
+
+
+def _row(row: dict) -> pa.RecordBatch:
+    lists = [pa.array([row[n]], pa.list_(pa.binary())) for n in ("totals", "mine", "answers")]
+    ids = row["ids"].values
+    return pa.RecordBatch.from_arrays(
+        [pa.array([row["slice"]]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+         *(pa.array([row[n]], pa.binary()) for n in ("words", "at", "first")), *lists],
+        names=["slice", "ids", "words", "at", "first", "totals", "mine", "answers"])
+
+
+def _word_rows(batches):
+    for _, part in _slices_of(batches):
+        mine = part.mine[0]
+        yield pa.RecordBatch.from_arrays([pa.array(part.words[mine]), pa.array(part.totals[0][mine])], names=["word", "n"])
+
+
+def _run_rows(depth: int, names: list[str], total: int, distinct: int, least_share: float):
+    """Runs that stand ``LEAST`` times, each from one slice: symbols, count, size of the context, and what the suffix gives."""
+
+    def run(batches):
+        for _, part in _slices_of(batches):
+            _, _, tokens, _ = part.asked(depth)
+            n = part.totals[depth]
+            words = part.count(0, part.tokens[tokens])
+            take = part.mine[depth] & (n >= LEAST) & (words >= least_share * total)
+            tokens, n, words = tokens[take], n[take], words[take]
+            below = (words + 1.0) / (total + distinct + 1.0)
+            for d in range(1, depth):
+                _, key, context = (x[tokens] for x in part.run(d))
+                seen = part.count(d, key) / (part.size(d, context) + BACKOFF)
+                kept, escape = part.contexts(d), np.frombuffer(part.answers[d - 1])
+                at = _look(kept, context)
+                escape = np.where(at >= 0, escape[np.maximum(at, 0)], 0.0) if len(kept) else np.zeros(len(at))
+                below = np.where(escape > 0, seen + escape * below, below)
+            symbols = [x[tokens] for x in (*_back(part.tokens, part.first, depth)[0], part.tokens)]
+            size = part.size(depth, part.run(depth)[2][tokens])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (*symbols, n, size, below))], names=[*names, "n", "size", "below"])
+
+    return run
+
+
+def _grow(parts: DataFrame, tree: Tree, depth: int) -> None:
+    """Keep the contexts of ``depth`` symbols that diverge, with what follows them."""
     back = [f"b{k}" for k in range(depth, 0, -1)]
     names = [*back, "word"]
-    long = ", ".join(f"{n} long" for n in names)
-    runs = docs.mapInArrow(_count_runs(depth, names), f"{long}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
-    keys = ["context", "key", *_shorter(depth)]
-    runs = materialize(runs.where(F.col("n") >= LEAST).mapInArrow(
-        _with_keys(depth), f"{long}, n long, " + ", ".join(f"{k} long" for k in keys)), "runs")
-    shares = tree.words.select("word", F.col("n").alias("_all")).where(F.col("_all") >= SYMBOL_SHARE * tree.total)
-    # What the suffix gives, from the share of the word to the context that is one shorter.
-    below = (F.col("_all") + 1.0) / (tree.total + tree.distinct + 1.0)
-    rows = runs.join(shares, "word").join(sizes, "context").withColumn("below", below).drop("_all")
-    for k, (contexts, following) in enumerate(tree.tables, 1):
-        rows = rows.join(
-            contexts.select(F.col("context").alias(f"context{k}"), F.col("escape").alias("_escape")), f"context{k}", "left")
-        rows = rows.join(following.select(F.col("key").alias(f"key{k}"), F.col("value").alias("_seen")), f"key{k}", "left")
-        longer = F.coalesce("_seen", F.lit(0.0)) + F.coalesce("_escape", F.lit(1.0)) * F.col("below")
-        rows = rows.withColumn("below", longer).drop("_escape", "_seen")
-    rows = materialize(rows.select(*names, "context", "key", "n", "size", "below"), "following")
-    total = rows.groupBy("context").agg(F.sum("n").alias("stored"), F.count("*").alias("pairs"))
+    long = lambda columns: ", ".join(f"{n} long" for n in columns)
+    rows = _written(parts.mapInArrow(
+        _run_rows(depth, names, tree.total, tree.distinct, SYMBOL_SHARE), f"{long(names)}, n long, size long, below double"), "runs")
+    total = rows.groupBy(*back).agg(F.sum("n").alias("stored"), F.count("*").alias("pairs"))
     whole = F.col("size") + BACKOFF
     escape = (F.col("size") - F.col("stored") + BACKOFF) / whole
     # Divergence from the suffix: gain of log-likelihood over the training tokens behind the context.  Summed as
     # decimals, so that the order of rows does not matter.
     gain = F.col("n") * F.log((F.col("n") / whole + F.col("escape") * F.col("below")) / F.col("below"))
-    gains = rows.join(total, "context").withColumn("escape", escape).groupBy("context", "stored", "pairs", "size", "escape").agg(
-        F.sum(gain.cast("decimal(28,9)")).cast("double").alias("gain"), *(F.min(b).alias(b) for b in back))
+    gains = rows.join(total, back).withColumn("escape", escape).groupBy(*back, "stored", "pairs", "size", "escape").agg(
+        F.sum(gain.cast("decimal(28,9)")).cast("double").alias("gain"))
     price = 0.5 * math.log(max(2, tree.total))
-    kept = materialize(gains.where(
+    kept = gains.where(
         F.col("gain") + (F.col("size") - F.col("stored")) * F.log("escape") > F.col("pairs") * price
-    ).select(*back, "context", "size", "escape"), "contexts")
-    following = materialize(
-        rows.join(kept.select("context"), "context").select("context", "word", "key", "n", (F.col("n") / whole).alias("value")),
-        "next")
+    ).select(*back, "size", "escape")
+    kept = _written(kept.mapInArrow(_with_keys(depth, False), f"{long(back)}, size long, escape double, context long"), "contexts")
+    following = rows.join(kept.select(*back), back).select(*names, "n", (F.col("n") / whole).alias("value"))
+    following = _written(following.mapInArrow(
+        _with_keys(depth, True), f"{long(names)}, n long, value double, context long, key long").select(
+        "context", "word", "key", "n", "value"), "next")
+    discard(rows)
     tree.tables.append((kept, following))
-    return runs
 
 
 def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
@@ -269,112 +483,91 @@ def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
 
     NULL texts count as empty: their end is a token.  An empty table gives a tree without contexts.
     """
-    texts = docs.select("text")
-    words = materialize(
-        texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = Tree(words, int(total), int(distinct), [])
-    # A text has one start and one end; the end has nothing behind it.
-    context = F.when(F.col("word") == int(END_HASH), F.lit(int(START_HASH))).otherwise(F.col("word"))
-    sizes = words.select(context.alias("context"), F.col("n").alias("size"))
+    buckets, kind = buckets_for(docs), T.LongType()
+    texts = docs.select(F.lit(0).cast("long").alias("doc_id"), "text")
+    parts = _written(texts.mapInArrow(_sliced(pa.int64()), _slice_columns(kind)), "slices")
+    tree, words = Tree(None, 0, 0, []), None
     for d in range(1, depth + 1):
-        runs = _grow(texts, tree, sizes, d)
-        # A context one longer is a run of this depth, so its count is known.
-        sizes = runs.select(F.col("key").alias("context"), F.col("n").alias("size"))
+        # Weights of contexts that are one shorter; before the first depth there are none.
+        known = tree.tables[-1][0].select(
+            F.col("context").alias("key"), F.lit(1).alias("kind"), F.col("escape").alias("value")
+        ) if tree.tables else docs.sparkSession.createDataFrame([], "key long, kind int, value double")
+        counted = _written(_answered(parts, known, buckets, _to_count(d), _totals).mapInArrow(
+            _counted(d, buckets), _slice_columns(kind)), "slices")
+        discard(parts)
+        parts = counted
+        if d == 1:
+            words = _written(parts.mapInArrow(_word_rows, "word long, n long"), "words")
+            total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+            tree.words, tree.total, tree.distinct = words, int(total), int(distinct)
+        _grow(parts, tree, d)
+    discard(parts)
     return tree, words
 
 
-def _packed(id_type: pa.DataType):
-    """One row per slice: its ids and texts."""
-
-    def run(batches):
-        for batch in batches:
-            for low, high, _, _ in tb.slices(batch.column(1)):
-                ids, texts = (batch.column(k).slice(low, high - low) for k in (0, 1))
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uuid.uuid4().hex]), one(ids.cast(id_type)), one(texts)], names=["slice", "ids", "texts"])
-
-    return run
-
-
-def _wanted(texts, depth: int):
-    """Of a slice: the keys it needs, sorted; the rows' first tokens; and by depth, from 0, the tokens' runs and contexts.
+def _all_contexts(part: _Slice, depth: int) -> np.ndarray:
+    """Every context of up to ``depth`` symbols in a slice, sorted."""
+    longer = (run[use] for use, run, _ in (part.run(d - 1) for d in range(2, depth + 1)))
+    return np.unique(np.concatenate([part.words, [START_HASH], *longer]))
 
-    Runs and contexts are places among the keys, and come with whether the text is long enough.
-    """
-    flat, at = tb.buffers(texts)
-    hashes, first = _tokens(flat[at[0] : at[-1]], at - at[0])
-    runs = [(np.ones(len(hashes), bool), hashes, hashes)]
-    for d in range(1, depth + 1):
-        before, use = _back(hashes, first, d)
-        context = _key(before)
-        runs.append((use, _chain(context, hashes), context))
-    keys = np.unique(np.concatenate([[START_HASH], hashes, *(run[use] for use, run, _ in runs[1:])]))
-    return keys, first, [(use, _look(keys, run), _look(keys, context)) for use, run, context in runs]
 
+def _to_find(depth: int):
+    def want(part: _Slice):
+        none = np.zeros(0, np.int64)
+        return none, none, _all_contexts(part, depth)
 
-def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
-    return (words.view(np.uint64) >> np.uint64(40)).astype(np.int64) % buckets
+    return want
 
 
-def _questions(buckets: int, depth: int):
-    """The keys that a slice asks for, one row per bucket."""
+def _found(depth: int, buckets: int):
+    """Slices with a flag for each context: whether the tree has it."""
 
     def run(batches):
-        for batch in batches:
-            for name, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys = _wanted(texts.values, depth)[0]
-                bucket = _bucket(keys, buckets)
-                found = np.unique(bucket)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found), pa.array([name] * len(found)),
-                     pa.array([keys[bucket == b].tobytes() for b in found], pa.binary())],
-                    names=["bucket", "slice", "keys"])
+        for row, part in _slices_of(batches):
+            contexts = _all_contexts(part, depth)
+            weights = _by_key(row["replies"], "weights", contexts, buckets, lambda raw, n: np.frombuffer(raw), np.float64)
+            row["answers"].append(_bits(weights > 0))
+            yield _row(row)
 
     return run
 
 
-def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """For each key asked for: its count or share as a run, then its back-off weight as a context; 0 if there is none."""
-    known = known.sort_by([("kind", "ascending"), ("key", "ascending")])
-    kind, keys, values = (np.asarray(known.column(c).combine_chunks()) for c in ("kind", "key", "value"))
-    cut = int(np.searchsorted(kind, 1))
-    replies = []
-    for raw in asked.column("keys").to_pylist():
-        wanted, reply = np.frombuffer(raw, np.int64), []
-        for own, value in ((keys[:cut], values[:cut]), (keys[cut:], values[cut:])):
-            at = _look(own, wanted)
-            reply.append(np.where(at >= 0, value[at], 0.0) if len(own) else np.zeros(len(at)))
-        replies.append(np.concatenate(reply).tobytes())
-    return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"),
-                     "values": pa.array(replies, pa.binary())})
+def _to_score(depth: int):
+    """Words, kept contexts and the runs that they are part of."""
+
+    def want(part: _Slice):
+        contexts = _all_contexts(part, depth)
+        kept = contexts[_flags(part.answers[0], len(contexts))]
+        keys = [part.words]
+        for use, run, context in map(part.run, range(1, depth + 1)):
+            keys.append(run[use & (_look(kept, context) >= 0)])
+        keys = np.unique(np.concatenate(keys))
+        return keys, np.zeros(len(keys), np.int64), kept
 
+    return want
 
-def _joined(total: int, distinct: int, buckets: int, depth: int, id_type: pa.DataType):
+
+def _scored(total: int, distinct: int, buckets: int, depth: int, id_type: pa.DataType):
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
-                keys, first, runs = _wanted(row["texts"].values, depth)
-                bucket, seen, escape = _bucket(keys, buckets), np.zeros(len(keys)), np.zeros(len(keys))
-                for reply in row["replies"] if row["replies"].is_valid else []:
-                    mine = bucket == reply["bucket"].as_py()
-                    seen[mine], escape[mine] = np.frombuffer(reply["values"].as_py()).reshape(2, -1)
-                counts = seen[runs[0][1]]
-                base = (counts + 1.0) / (total + distinct + 1.0)
-                p = base.copy()
-                for use, at, context in runs[1:]:
-                    use = np.flatnonzero(use & (context >= 0))
-                    use = use[escape[context[use]] > 0]
-                    p[use] = seen[at[use]] + escape[context[use]] * p[use]
-                # Sums within each row only, so that a score does not depend on the rows around it.
-                add = lambda x: pa.array(np.add.reduceat(x, first[:-1]))
-                n_tokens = np.diff(first)
-                yield pa.RecordBatch.from_arrays([
-                    row["ids"].values.cast(id_type), pa.array(n_tokens), add((counts > 0).astype(np.int64)),
-                    pa.array(np.full(len(n_tokens), total)), add(np.log10(base)), add(np.log10(p)),
-                ], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row, part in _slices_of(batches):
+            keys, _, kept = _to_score(depth)(part)
+            number = lambda raw, n: np.frombuffer(raw)
+            values = _by_key(row["replies"], "values", keys, buckets, number, np.float64)
+            escapes = _by_key(row["replies"], "weights", kept, buckets, number, np.float64)
+            counts = values[np.searchsorted(keys, part.tokens)]
+            base = (counts + 1.0) / (total + distinct + 1.0)
+            p = base.copy()
+            for use, key, context in map(part.run, range(1, depth + 1)):
+                at = _look(kept, context)
+                use = np.flatnonzero(use & (at >= 0))
+                p[use] = values[np.searchsorted(keys, key[use])] + escapes[at[use]] * p[use]
+            # Sums within each row only, so that a score does not depend on the rows around it.
+            add = lambda x: pa.array(np.add.reduceat(x, part.first[:-1]))
+            n_tokens = np.diff(part.first)
+            yield pa.RecordBatch.from_arrays([
+                row["ids"].values.cast(id_type), pa.array(n_tokens), add((counts > 0).astype(np.int64)),
+                pa.array(np.full(len(n_tokens), total)), add(np.log10(base)), add(np.log10(p)),
+            ], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -392,13 +585,11 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
-    parts = materialize(
-        docs.mapInArrow(_packed(id_type), f"slice string, ids array<{kind.simpleString()}>, texts array<string>"), "slices")
-    asked = parts.select("slice", "texts").mapInArrow(_questions(buckets, depth), "bucket long, slice string, keys binary")
-    known = tree.known().withColumn("bucket", F.expr(f"shiftrightunsigned(key, 40) % {buckets}"))
-    replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
-        _answers, "slice string, bucket long, values binary")
-    gathered = replies.groupBy("slice").agg(F.collect_list(F.struct("bucket", "values")).alias("replies"))
-    return parts.join(gathered, "slice", "left").mapInArrow(
-        _joined(tree.total, tree.distinct, buckets, depth, id_type),
+    parts = _written(docs.mapInArrow(_sliced(id_type), _slice_columns(kind)), "slices")
+    known = tree.known()
+    found = _written(_answered(parts, known.where("kind = 1"), buckets, _to_find(depth), _shares).mapInArrow(
+        _found(depth, buckets), _slice_columns(kind)), "slices")
+    discard(parts)
+    return _answered(found, known, buckets, _to_score(depth), _shares).mapInArrow(
+        _scored(tree.total, tree.distinct, buckets, depth, id_type),
         f"doc_id {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
