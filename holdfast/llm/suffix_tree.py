@@ -60,12 +60,13 @@ class Tree:
         return (counts + 1.0) / (self.total + self.distinct + 1.0)
 
     def known(self) -> DataFrame:
-        """``key``, ``kind``, ``value``: 0 for word counts and shares of next symbols, 1 for back-off weights."""
+        """``key``, ``kind``, ``value``: 0 for counts of words and of stored runs, 1 for back-off weights, 2 for sizes of contexts."""
         row = lambda t, key, kind, value: t.select(
             F.col(key).alias("key"), F.lit(kind).alias("kind"), F.col(value).cast("double").alias("value"))
         out = row(self.words, "word", 0, "n")
         for contexts, following in self.tables:
-            out = out.unionByName(row(contexts, "context", 1, "escape")).unionByName(row(following, "key", 0, "value"))
+            out = out.unionByName(row(contexts, "context", 1, "escape")).unionByName(row(following, "key", 0, "n"))
+            out = out.unionByName(row(contexts, "context", 2, "size"))
         return out
 
     # A small tree in memory, to look at: symbol i is keys[i], a context is a number with the nearest symbol lowest.
@@ -243,7 +244,8 @@ class _Slice:
 
     def __init__(self, row: dict):
         self.words, self.first = np.frombuffer(row["words"], np.int64), _wide(row["first"])
-        self.tokens = self.words[_wide(row["at"])]
+        self.at = _wide(row["at"])
+        self.tokens = self.words[self.at]
         self.totals = [_wide(x) for x in row["totals"]]
         self.mine = [_flags(x, len(t)) for x, t in zip(row["mine"], self.totals)]
         self.answers = row["answers"]
@@ -257,25 +259,26 @@ class _Slice:
             self._runs[depth] = use, _chain(context, self.tokens), context
         return self._runs[depth]
 
-    def asked(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The runs that can stand ``LEAST`` times: their tokens, sorted keys, a token of each key, and each key's count here."""
-        if depth not in self._asked:
-            use, key = (np.ones(len(self.tokens), bool), self.tokens) if depth == 0 else self.run(depth)[:2]
+    def asked(self, depth: int) -> tuple[np.ndarray, ...]:
+        """The runs that can stand ``LEAST`` times: their tokens, sorted keys, a token of each key, each key's count here,
+        and the place of each token's key."""
+        if depth not in self._asked and depth == 0:
+            at = np.empty(len(self.words), np.int64)
+            at[self.at] = np.arange(len(self.at))
+            self._asked[0] = np.arange(len(self.at)), self.words, at, np.bincount(self.at, minlength=len(self.words)), self.at
+        elif depth not in self._asked:
+            use, key = self.run(depth)[:2]
             if depth > 1:
                 often = np.zeros(len(key), bool)
-                often[self.asked(depth - 1)[0]] = self.often(depth - 1)
+                tokens, _, _, _, place = self.asked(depth - 1)
+                often[tokens] = (self.totals[depth - 1] >= LEAST)[place]
                 use = use & often
                 use[1:] &= often[:-1]
             tokens = np.flatnonzero(use)
-            keys, at, counts = np.unique(key[tokens], return_index=True, return_counts=True)
-            self._asked[depth] = tokens, keys, tokens[at], counts
+            keys, at, place, counts = np.unique(key[tokens], return_index=True, return_inverse=True, return_counts=True)
+            self._asked[depth] = tokens, keys, tokens[at], counts, place
         return self._asked[depth]
 
-    def often(self, depth: int) -> np.ndarray:
-        """Of the tokens asked about: whether the run stands ``LEAST`` times in all slices."""
-        tokens, keys, _, _ = self.asked(depth)
-        return (self.totals[depth] >= LEAST)[np.searchsorted(keys, self.run(depth)[1][tokens])]
-
     def count(self, depth: int, keys: np.ndarray) -> np.ndarray:
         """Counts of runs in all slices; 0 for those not asked for."""
         at = _look(self.asked(depth)[1], keys)
@@ -302,19 +305,27 @@ def _slices_of(batches) -> Iterator[tuple[dict, _Slice]]:
             yield (plain := {n: v.as_py() for n, v in row.items()} | {"ids": ids}), _Slice(plain)
 
 
+def _dealt(keys: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    """By bucket, the places of its keys."""
+    bucket = _bucket(keys, buckets).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order])) + 1
+    return {int(bucket[places[0]]): places for places in np.split(order, edges) if len(places)}
+
+
 def _questions(buckets: int, want):
     """What ``want`` names of a slice, sorted run keys with counts and sorted context keys, in a row per bucket."""
 
     def run(batches):
         for row, part in _slices_of(batches):
-            keys, counts, contexts = want(part)
-            of_key, of_context = _bucket(keys, buckets), _bucket(contexts, buckets)
-            found = np.union1d(of_key, of_context)
+            keys, counts, contexts = want(part)[:3]
+            of_key, of_context, none = _dealt(keys, buckets), _dealt(contexts, buckets), np.zeros(0, np.int64)
+            found = sorted(of_key.keys() | of_context.keys())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array([row["slice"]] * len(found)),
-                 pa.array([keys[of_key == b].tobytes() for b in found], pa.binary()),
-                 pa.array([_small(counts[of_key == b]) for b in found], pa.binary()),
-                 pa.array([contexts[of_context == b].tobytes() for b in found], pa.binary())],
+                [pa.array(found, pa.int64()), pa.array([row["slice"]] * len(found), pa.string()),
+                 pa.array([keys[of_key.get(b, none)].tobytes() for b in found], pa.binary()),
+                 pa.array([_small(counts[of_key.get(b, none)]) for b in found], pa.binary()),
+                 pa.array([contexts[of_context.get(b, none)].tobytes() for b in found], pa.binary())],
                 names=["bucket", "slice", "keys", "counts", "contexts"])
 
     return run
@@ -345,13 +356,27 @@ def _totals(asked: pa.Table, known: pa.Table) -> pa.Table:
         "mine": pa.array(map(_bits, np.split(mine, cuts)), pa.binary()), "weights": pa.array(weights, pa.binary())})
 
 
+def _looked_up(asked: pa.Table, **columns) -> pa.Table:
+    """Answers from the tree: by column, which keys are looked up, as which kind, and how that is written."""
+    out = {"slice": asked.column("slice"), "bucket": asked.column("bucket")}
+    for name, (column, known, kind, write) in columns.items():
+        out[name] = pa.array([write(_values(np.frombuffer(x, np.int64), known, kind))
+                              for x in asked.column(column).to_pylist()], pa.binary())
+    return pa.table(out)
+
+
+def _present(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Answers to the first question of scoring: which keys are kept contexts, and which are stored runs."""
+    flags = lambda values: _bits(values > 0)
+    return _looked_up(asked, values=("contexts", known, 0, flags), mine=("keys", known, 0, flags),
+                      weights=("contexts", known, 1, flags))
+
+
 def _shares(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """Answers in scoring: word counts and shares of next symbols, and back-off weights."""
-    looked = {name: [_values(np.frombuffer(x, np.int64), known, kind).tobytes() for x in asked.column(column).to_pylist()]
-              for name, column, kind in (("values", "keys", 0), ("weights", "contexts", 1))}
-    return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"),
-                     "values": pa.array(looked["values"], pa.binary()), "mine": pa.array([b""] * len(asked), pa.binary()),
-                     "weights": pa.array(looked["weights"], pa.binary())})
+    """Answers to the second: counts of words and runs, sizes and back-off weights of contexts."""
+    whole = lambda values: _small(values.astype(np.int64))
+    return _looked_up(asked, values=("keys", known, 0, whole), mine=("contexts", known, 2, whole),
+                      weights=("contexts", known, 1, np.ndarray.tobytes))
 
 
 def _answered(parts: DataFrame, known: DataFrame, buckets: int, want, answer) -> DataFrame:
@@ -366,14 +391,22 @@ def _answered(parts: DataFrame, known: DataFrame, buckets: int, want, answer) ->
 
 def _by_key(replies, name: str, keys: np.ndarray, buckets: int, read, kind) -> np.ndarray:
     """The answers of all buckets, in the order of the keys."""
-    bucket, out = _bucket(keys, buckets), np.zeros(len(keys), kind)
+    dealt, out = _dealt(keys, buckets), np.zeros(len(keys), kind)
     for reply in replies or []:
-        own = np.flatnonzero(bucket == reply["bucket"])
-        if len(own):
+        own = dealt.get(reply["bucket"])
+        if own is not None:
             out[own] = read(reply[name], len(own))
     return out
 
 
+def _numbers(raw: bytes, _: int) -> np.ndarray:
+    return np.frombuffer(raw)
+
+
+def _counts(raw: bytes, _: int) -> np.ndarray:
+    return _wide(raw)
+
+
 def _depths(depth: int) -> list[int]:
     """Runs of which depths are asked for together: words with the first, since they are few."""
     return [0, 1] if depth == 1 else [depth]
@@ -396,14 +429,14 @@ def _counted(depth: int, buckets: int):
         for row, part in _slices_of(batches):
             replies = row["replies"]
             keys, _, contexts = _to_count(depth)(part)
-            totals = _by_key(replies, "values", keys, buckets, lambda raw, n: _wide(raw), np.int64)
+            totals = _by_key(replies, "values", keys, buckets, _counts, np.int64)
             mine = _by_key(replies, "mine", keys, buckets, _flags, bool)
             for d in _depths(depth):
                 at = np.searchsorted(keys, part.asked(d)[1])
                 row["totals"].append(_small(totals[at]))
                 row["mine"].append(_bits(mine[at]))
             if depth > 1:
-                weights = _by_key(replies, "weights", contexts, buckets, lambda raw, n: np.frombuffer(raw), np.float64)
+                weights = _by_key(replies, "weights", contexts, buckets, _numbers, np.float64)
                 row["answers"].append(weights.tobytes())
             yield _row(row)
 
@@ -430,9 +463,8 @@ def _run_rows(depth: int, names: list[str], total: int, distinct: int, least_sha
 
     def run(batches):
         for _, part in _slices_of(batches):
-            _, _, tokens, _ = part.asked(depth)
-            n = part.totals[depth]
-            words = part.count(0, part.tokens[tokens])
+            tokens, n = part.asked(depth)[2], part.totals[depth]
+            words = part.totals[0][part.at[tokens]]
             take = part.mine[depth] & (n >= LEAST) & (words >= least_share * total)
             tokens, n, words = tokens[take], n[take], words[take]
             below = (words + 1.0) / (total + distinct + 1.0)
@@ -470,10 +502,10 @@ def _grow(parts: DataFrame, tree: Tree, depth: int) -> None:
         F.col("gain") + (F.col("size") - F.col("stored")) * F.log("escape") > F.col("pairs") * price
     ).select(*back, "size", "escape")
     kept = _written(kept.mapInArrow(_with_keys(depth, False), f"{long(back)}, size long, escape double, context long"), "contexts")
-    following = rows.join(kept.select(*back), back).select(*names, "n", (F.col("n") / whole).alias("value"))
+    following = rows.join(kept.select(*back), back).select(*names, "n")
     following = _written(following.mapInArrow(
-        _with_keys(depth, True), f"{long(names)}, n long, value double, context long, key long").select(
-        "context", "word", "key", "n", "value"), "next")
+        _with_keys(depth, True), f"{long(names)}, n long, context long, key long").select(
+        "context", "word", "key", "n"), "next")
     discard(rows)
     tree.tables.append((kept, following))
 
@@ -505,44 +537,71 @@ def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     return tree, words
 
 
-def _all_contexts(part: _Slice, depth: int) -> np.ndarray:
-    """Every context of up to ``depth`` symbols in a slice, sorted."""
-    longer = (run[use] for use, run, _ in (part.run(d - 1) for d in range(2, depth + 1)))
-    return np.unique(np.concatenate([part.words, [START_HASH], *longer]))
+def _all_contexts(part: _Slice, depth: int):
+    """Every context of up to ``depth`` symbols in a slice, sorted, and by depth from 1 the place of each token's context
+    among them, then that of each token's run (for runs shorter than ``depth``); -1 where the text is too short."""
+    runs = [part.run(d)[:2] for d in range(1, depth)]
+    tokens = [np.flatnonzero(use) for use, _ in runs]
+    every = [part.words, np.array([START_HASH]), *(run[at] for at, (_, run) in zip(tokens, runs))]
+    keys, place = np.unique(np.concatenate(every), return_inverse=True)
+    words, start, *found = np.split(place, np.cumsum([len(x) for x in every])[:-1])
+    of_run = []
+    for at, one in zip(tokens, found):
+        of_run.append(np.full(len(part.tokens), -1))
+        of_run[-1][at] = one
+    of_context, row_start = [], part.first[:-1]
+    for d, before in enumerate([words[part.at], *of_run]):
+        of_context.append(np.concatenate([[-1], before[:-1]]))
+        of_context[-1][row_start] = start[0] if d == 0 else -1
+    return keys, of_context, of_run
 
 
 def _to_find(depth: int):
     def want(part: _Slice):
         none = np.zeros(0, np.int64)
-        return none, none, _all_contexts(part, depth)
+        return none, none, _all_contexts(part, depth)[0]
 
     return want
 
 
 def _found(depth: int, buckets: int):
-    """Slices with a flag for each context: whether the tree has it."""
+    """Slices with two flags for each context: whether the tree has it, and whether it has it as a run."""
 
     def run(batches):
         for row, part in _slices_of(batches):
-            contexts = _all_contexts(part, depth)
-            weights = _by_key(row["replies"], "weights", contexts, buckets, lambda raw, n: np.frombuffer(raw), np.float64)
-            row["answers"].append(_bits(weights > 0))
+            contexts = _all_contexts(part, depth)[0]
+            row["answers"] += [
+                _bits(_by_key(row["replies"], name, contexts, buckets, _flags, bool)) for name in ("weights", "values")]
             yield _row(row)
 
     return run
 
 
 def _to_score(depth: int):
-    """Words, kept contexts and the runs that they are part of."""
+    """Words, kept contexts and the runs behind them that can be stored; then what finds them again.
+
+    A run shorter than ``depth`` is known to be stored or not.  One whose suffix is not stored behind a kept context
+    stands too seldom itself.
+    """
 
     def want(part: _Slice):
-        contexts = _all_contexts(part, depth)
-        kept = contexts[_flags(part.answers[0], len(contexts))]
-        keys = [part.words]
-        for use, run, context in map(part.run, range(1, depth + 1)):
-            keys.append(run[use & (_look(kept, context) >= 0)])
-        keys = np.unique(np.concatenate(keys))
-        return keys, np.zeros(len(keys), np.int64), kept
+        contexts, of_context, of_run = _all_contexts(part, depth)
+        kept, stored = (_flags(raw, len(contexts)) for raw in part.answers)
+        behind = [(at >= 0) & kept[at] for at in of_context]
+        every, tokens = [part.words], []
+        for d in range(depth):
+            use = behind[d].copy()
+            if d < depth - 1:
+                use &= stored[of_run[d]]
+            if d > 0:
+                use &= stored[of_run[d - 1]] | ~behind[d - 1]
+            tokens.append(np.flatnonzero(use))
+            every.append(part.run(d + 1)[1][tokens[-1]])
+        keys, place = np.unique(np.concatenate(every), return_inverse=True)
+        words, *runs = np.split(place, np.cumsum([len(x) for x in every])[:-1])
+        among = np.cumsum(kept) - 1  # place of a context among the kept ones
+        return keys, np.zeros(len(keys), np.int64), contexts[kept], words, [
+            (use, among[at], asked, run) for use, at, asked, run in zip(behind, of_context, tokens, runs)]
 
     return want
 
@@ -550,17 +609,18 @@ def _to_score(depth: int):
 def _scored(total: int, distinct: int, buckets: int, depth: int, id_type: pa.DataType):
     def run(batches):
         for row, part in _slices_of(batches):
-            keys, _, kept = _to_score(depth)(part)
-            number = lambda raw, n: np.frombuffer(raw)
-            values = _by_key(row["replies"], "values", keys, buckets, number, np.float64)
-            escapes = _by_key(row["replies"], "weights", kept, buckets, number, np.float64)
-            counts = values[np.searchsorted(keys, part.tokens)]
+            keys, _, kept, words, levels = _to_score(depth)(part)
+            replies = row["replies"]
+            seen = _by_key(replies, "values", keys, buckets, _counts, np.int64)
+            size = _by_key(replies, "mine", kept, buckets, _counts, np.int64)
+            escape = _by_key(replies, "weights", kept, buckets, _numbers, np.float64)
+            counts = seen[words][part.at]
             base = (counts + 1.0) / (total + distinct + 1.0)
             p = base.copy()
-            for use, key, context in map(part.run, range(1, depth + 1)):
-                at = _look(kept, context)
-                use = np.flatnonzero(use & (at >= 0))
-                p[use] = values[np.searchsorted(keys, key[use])] + escapes[at[use]] * p[use]
+            for use, context, asked, run in levels:
+                stored = np.zeros(len(p))
+                stored[asked] = seen[run] / (size[context[asked]] + BACKOFF)
+                p[use] = stored[use] + escape[context[use]] * p[use]
             # Sums within each row only, so that a score does not depend on the rows around it.
             add = lambda x: pa.array(np.add.reduceat(x, part.first[:-1]))
             n_tokens = np.diff(part.first)
@@ -587,7 +647,7 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
     id_type = to_arrow_type(kind)
     parts = _written(docs.mapInArrow(_sliced(id_type), _slice_columns(kind)), "slices")
     known = tree.known()
-    found = _written(_answered(parts, known.where("kind = 1"), buckets, _to_find(depth), _shares).mapInArrow(
+    found = _written(_answered(parts, known.where("kind < 2"), buckets, _to_find(depth), _present).mapInArrow(
         _found(depth, buckets), _slice_columns(kind)), "slices")
     discard(parts)
     return _answered(found, known, buckets, _to_score(depth), _shares).mapInArrow(
