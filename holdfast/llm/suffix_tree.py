@@ -515,9 +515,10 @@ def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
 
     NULL texts count as empty: their end is a token.  An empty table gives a tree without contexts.
     """
-    buckets, kind = buckets_for(docs), T.LongType()
+    kind = T.LongType()
     texts = docs.select(F.lit(0).cast("long").alias("doc_id"), "text")
     parts = _written(texts.mapInArrow(_sliced(pa.int64()), _slice_columns(kind)), "slices")
+    buckets = buckets_for(parts)
     tree, words = Tree(None, 0, 0, []), None
     for d in range(1, depth + 1):
         # Weights of contexts that are one shorter; before the first depth there are none.
@@ -641,12 +642,12 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    buckets, depth = buckets_for(docs), len(tree.tables)
+    depth = len(tree.tables)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     parts = _written(docs.mapInArrow(_sliced(id_type), _slice_columns(kind)), "slices")
-    known = tree.known()
+    buckets, known = buckets_for(parts), tree.known()
     found = _written(_answered(parts, known.where("kind < 2"), buckets, _to_find(depth), _present).mapInArrow(
         _found(depth, buckets), _slice_columns(kind)), "slices")
     discard(parts)
