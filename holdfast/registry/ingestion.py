@@ -97,7 +97,7 @@ def _ingest_metadata(spark, sf):
     bronze = _ingested(spark, sf)
     return bronze.groupBy(F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("_source_file").rlike(r"/landing/.*\.json$")).alias("with_file"),
+        F.count_if(F.col("_source_file").rlike(r"/landing/.*\.json(\.gz)?$")).alias("with_file"),
         F.count("_ingested_at").alias("with_time"),
         F.countDistinct("_ingested_at").alias("arrivals"),
     )
