@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from holdfast import rules
 from holdfast.plans.scoring import FEATURES
-from holdfast.session import use_checkpoints
+from holdfast.session import spread_small, use_checkpoints
 
 
 def split_by_hash(
@@ -30,6 +30,15 @@ def split_by_hash(
     return drawn.where("_train").drop("_train"), drawn.where("NOT _train").drop("_train")
 
 
+def training_rows(flagged: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Training rows, dealt over all cores, and hold-out rows.
+
+    A written table of narrow rows has few files, and every level of every tree is a pass over all training rows.
+    """
+    train, held_out = split_by_hash(flagged, key, "label")
+    return spread_small(train, key=key), held_out
+
+
 def train_churn(flagged: DataFrame, key: str = "customer_id", **settings) -> tuple[PipelineModel, DataFrame]:
     """Boosted trees on the churn features; returns the model and a one-row report with the hold-out AUC.
 
@@ -38,7 +47,7 @@ def train_churn(flagged: DataFrame, key: str = "customer_id", **settings) -> tup
     """
     use_checkpoints(flagged.sparkSession)
     chosen = {**rules.TREE_SETTINGS, **settings}
-    train, held_out = split_by_hash(flagged, key, "label")
+    train, held_out = training_rows(flagged, key)
     trees = GBTClassifier(
         featuresCol="features", labelCol="label", cacheNodeIds=False, checkpointInterval=10, **chosen
     )
