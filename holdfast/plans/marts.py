@@ -35,23 +35,30 @@ def _is(outcome: str) -> Column:
 def call_fact(
     calls: DataFrame, customers: DataFrame, agents: DataFrame, competitors: DataFrame, offers: DataFrame
 ) -> DataFrame:
-    """One row per call with the attributes of its customer, agent, competitor and offer."""
+    """One row per call with the attributes of its customer, agent, competitor and offer.
+
+    Offers and customers may be too many to broadcast, and then each join exchanges the calls.  Offers come first, as
+    they add a single column to what the second exchange carries; days travel as dates.
+    """
     customer = customers.select("customer_id", "market", "plan_type", "tenure_months", "monthly_spend")
     agent = agents.select("agent_id", "agent_name", "team", F.col("tier").alias("agent_tier"))
     competitor = competitors.select("competitor_id", "competitor_name")
     offer = offers.select(
         F.col("offer_id").alias("offer_presented_id"), F.col("offer_name").alias("offer_presented")
     )
-    day = _day("call_date")
+    shown = ["call_id", "customer_id", "agent_id", "handle_time_min", "competitor_mentioned", "competitor_id", "call_topic",
+             "mention_text", "offer_presented_id", "offer_accepted", "outcome"]
+    day = F.col("call_date")
     return (
-        calls.join(customer, "customer_id", "left")
+        calls.select(*shown, _day("call_date").alias("call_date"))
+        .join(offer, "offer_presented_id", "left")
+        .join(customer, "customer_id", "left")
         .join(agent, "agent_id", "left")
         .join(competitor, "competitor_id", "left")
-        .join(offer, "offer_presented_id", "left")
         .select(
             "call_id", "customer_id", "market", "plan_type", "tenure_months", "monthly_spend",
             "agent_id", "agent_name", "team", "agent_tier",
-            day.alias("call_date"), F.date_trunc("month", day).alias("call_month"),
+            day, F.date_trunc("month", day).alias("call_month"),
             "handle_time_min", "competitor_mentioned", "competitor_id", "competitor_name",
             "call_topic", "mention_text", "offer_presented_id", "offer_presented", "offer_accepted",
             "outcome",
