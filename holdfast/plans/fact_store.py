@@ -4,7 +4,8 @@ Rows lie in folders by a hash of the customer; each batch adds folders, and many
 are merged.  A refresh reads the new calls and joins them with the dimensions.  If dimension
 rows changed since the last refresh, the folders that hold calls of those rows are found by
 their key columns and rewritten; all other folders stay as they are.  A call whose key comes
-again takes the place of the one before.
+again takes the place of the one before: its place in its file is marked from the key column
+alone, so whole calls are not exchanged to find it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from holdfast import schemas
 from holdfast.operators.history import dedupe_latest, snapshot_diff
 from holdfast.plans.marts import call_fact
-from holdfast.session import materialize
+from holdfast.session import estimated_bytes, materialize
 from holdfast.sources.manifest import FANOUT, Entry, ManifestTable
 
 #: Dimensions: source, key in the source, key in the call table, columns that the call table shows.
@@ -29,6 +30,12 @@ DIMENSIONS = {
 }
 CALL_COLUMNS = schemas.SOURCES["call_interactions"].fieldNames()
 BUCKETS = 64
+#: Rows of a file that share a bitmap; the size of a bitmap is Spark's.
+BLOCK_ROWS = 32_768
+#: Bitmaps up to this size are broadcast (4 KB for 32,768 rows that have a marked one among them).
+MARK_BYTES = 256 << 20
+FILE = "_metadata.file_path"
+FOLDER = r"/data/(.+)/[^/]+$"
 
 
 class FactStore:
@@ -51,15 +58,15 @@ class FactStore:
         """The call table, or the rows of some of its folders."""
         return self.table.read(self.table.current().entries if entries is None else entries, self.schema)
 
-    def _write(self, facts: DataFrame, level: int, first: int, last: int) -> list[Entry]:
-        return self.table.write(facts.withColumn("bucket", self._bucket()), level, first, last, "bucket")
+    def _write(self, facts: DataFrame, level: int, first: int, last: int, in_place: bool = False) -> list[Entry]:
+        return self.table.write(facts.withColumn("bucket", self._bucket()), level, first, last, "bucket", in_place)
 
     def _holding(self, entries: Iterable[Entry], column: str, keys: DataFrame, key: str) -> list[Entry]:
         """Folders with a row whose ``column`` is among the keys; only that column is read."""
         entries = list(entries)
         if not entries:
             return []
-        folder = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.+)/[^/]+$", 1)
+        folder = F.regexp_extract(F.col(FILE), FOLDER, 1)
         held = self.read(entries).select(F.col(column).alias("_held"), folder.alias("_folder"))
         wanted = keys.select(F.col(key).alias("_wanted"))
         # At most one row per folder.
@@ -67,10 +74,36 @@ class FactStore:
         names = {r[0] for r in found.collect()}
         return [e for e in entries if e.folder in names]
 
-    def replaced(self, calls: DataFrame, key: str) -> DataFrame:
+    def marks(self, calls: DataFrame, key: str) -> DataFrame:
+        """Where the rows lie whose key comes again in ``calls``: ``_file``, ``_block`` and the ``_bits`` of its rows."""
+        place = F.col("_metadata.row_index")
+        held = self.read().select(F.col(key).alias("_held"), F.col(FILE).alias("_file"), place.alias("_row"))
+        again = calls.select(F.col(key).alias("_again"))
+        found = held.join(again, F.col("_held").eqNullSafe(F.col("_again")), "left_semi")
+        number = F.col("_row") + 1  # Spark's blocks begin at 1
+        return materialize(found.groupBy("_file", F.bitmap_bucket_number(number).alias("_block")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits")), "marks")
+
+    def _with_marks(self, entries: Iterable[Entry], marks: DataFrame) -> tuple[DataFrame, bool]:
+        """Rows of some folders with ``_marked``, and whether they stayed in the tasks that read them."""
+        row = F.col("_metadata.row_index")
+        rows_ = self.read(entries).select("*", F.col(FILE).alias("_file"), row.alias("_row")).withColumn(
+            "_block", F.bitmap_bucket_number(F.col("_row") + 1))
+        small = estimated_bytes(marks) <= MARK_BYTES
+        joined = rows_.join(F.broadcast(marks) if small else marks, ["_file", "_block"], "left")
+        bit = F.expr(f"getbit(CAST(conv(hex(substring(_bits, CAST(_row % {BLOCK_ROWS} DIV 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST(_row % 8 AS INT))")
+        return joined.withColumn("_marked", F.coalesce(bit == 1, F.lit(False))).drop("_file", "_row", "_block", "_bits"), small
+
+    def _marked_entries(self, entries: Iterable[Entry], marks: DataFrame) -> list[Entry]:
+        # At most one row per folder.
+        names = {r[0] for r in marks.select(F.regexp_extract("_file", FOLDER, 1)).distinct().collect()}
+        return [e for e in entries if e.folder in names]
+
+    def replaced(self, calls: DataFrame, key: str, marks: DataFrame | None = None) -> DataFrame:
         """Rows of the table whose key comes again in ``calls``."""
-        again = calls.select(F.col(key).alias("_again")).distinct()
-        return self.read().join(again, F.col(key).eqNullSafe(F.col("_again")), "left_semi")
+        marks = self.marks(calls, key) if marks is None else marks
+        old = self._marked_entries(self.table.current().entries, marks)
+        return self._with_marks(old, marks)[0].where("_marked").drop("_marked") if old else self.read([])
 
     def propagate(self, dims: dict[str, DataFrame]) -> int:
         """Bring the calls of changed dimension rows up to date; returns how many folders were rewritten.
@@ -103,21 +136,25 @@ class FactStore:
             self.seen[name].replace(known, known.entries, self.seen[name].write(shown[name], 0, 0, 0))
         return len(touched)
 
-    def append(self, calls: DataFrame, dims: dict[str, DataFrame], batch_id: int, key: str | None = None) -> None:
+    def append(
+        self, calls: DataFrame, dims: dict[str, DataFrame], batch_id: int, key: str | None = None, marks: DataFrame | None = None,
+    ) -> None:
         """Add a batch of calls; with ``key``, rows of the table whose key comes again go.
 
-        A batch that the table contains is not added again.
+        A batch that the table contains is not added again.  ``marks`` are those of the batch, if they are known.
         """
         version = self.table.current()
         if batch_id <= version.batch:
             return
         old, new = [], []
-        if key is not None:
-            again = materialize(calls.select(F.col(key).alias("_again")).distinct(), "again")
-            old = self._holding(version.entries, key, again, "_again")
+        if key is not None and version.entries:
+            marks = self.marks(calls, key) if marks is None else marks
+            old = self._marked_entries(version.entries, marks)
             if old:
-                left = self.read(old).join(again, F.col(key).eqNullSafe(F.col("_again")), "left_anti")
-                new += self._write(left, max(e.level for e in old), min(e.first for e in old), max(e.last for e in old))
+                left, in_place = self._with_marks(old, marks)
+                new += self._write(
+                    left.where("NOT _marked").drop("_marked"), max(e.level for e in old), min(e.first for e in old), max(e.last for e in old),
+                    in_place)
         new += self._write(self._enriched(calls, dims), 0, batch_id, batch_id)
         self._merge(self.table.replace(version, old, new, batch_id))
 

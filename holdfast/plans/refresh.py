@@ -117,13 +117,15 @@ def add_calls(
     """
     if key:  # read several times below
         calls = materialize(calls, "batch")
+    marks = None
     if not partials.has(batch_id):
         counts = partial_counts(calls, disconnect_topics)
-        if key:
-            back = partial_counts(facts.replaced(calls, key), disconnect_topics)
+        if key and facts.table.current().entries:
+            marks = facts.marks(calls, key)
+            back = partial_counts(facts.replaced(calls, key, marks), disconnect_topics)
             counts = counts.unionByName(negated(back, [*KEYS, "grain"]))
         partials.add(counts, batch_id)
-    facts.append(calls, dims, batch_id, key)
+    facts.append(calls, dims, batch_id, key, marks)
 
 
 def refresh_scores(

@@ -195,3 +195,41 @@ def test_an_empty_table(spark, tmp_path):
     assert table.current().entries == () and table.current().batch == -1
     assert table.commit([Entry("x")], 3).batch == 3 and table.current().entries == (Entry("x"),)
     assert Partials(spark, str(tmp_path / "p"), ["k"], counts(spark, [])).read().count() == 0
+
+
+def many_calls(spark, start, stop, outcome, step=1):
+    """Calls of a table of 40 customers and 3 agents, in a single file a folder."""
+    n = F.col("id").cast("string")
+    values = {"call_id": F.concat(F.lit("K"), n), "customer_id": F.concat(F.lit("C"), (F.col("id") % 40).cast("string")),
+              "agent_id": F.concat(F.lit("A"), (F.col("id") % 3).cast("string")), "outcome": F.lit(outcome)}
+    fields = schemas.SOURCES["call_interactions"].fields
+    return spark.range(start, stop, step, 1).select(
+        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+@pytest.mark.parametrize("broadcast", [1 << 28, -1])
+def test_replaced_calls_are_found_by_their_place(spark, tmp_path, dims, monkeypatch, broadcast):
+    """Rows of several blocks of a file; whole calls are exchanged neither to find nor to keep them."""
+    monkeypatch.setattr("holdfast.plans.fact_store.MARK_BYTES", broadcast)
+    store = FactStore(spark, str(tmp_path), buckets=1)
+    store.append(many_calls(spark, 0, 80_000, "Pending"), dims, 0, "call_id")
+    again = many_calls(spark, 7, 90_007, "Saved", 1_009)
+    marks = store.marks(again, "call_id")
+    assert marks.count() == 3 and len(store.table.current().entries) == 1
+    wide, in_place = store._with_marks(store.table.current().entries, marks)
+    if broadcast > 0:
+        wide.count()
+        assert in_place and "ShuffleExchange" not in wide._jdf.queryExecution().executedPlan().toString().replace("ENSURE", "")
+    back = store.replaced(again, "call_id", marks)
+    assert back.count() == 80 and {r.outcome for r in back.collect()} == {"Pending"}
+    store.append(again, dims, 1, "call_id", marks)
+    kept = store.read()
+    assert kept.count() == 80_010 and kept.where("outcome = 'Saved'").count() == 90
+    assert kept.select("call_id").distinct().count() == 80_010
+
+
+def test_offers_are_joined_before_the_columns_of_customers(spark, dims):
+    """Where neither is broadcast, the second exchange of the calls carries one more column than the first."""
+    fact = call_fact(frame(spark, "call_interactions", [call(i, f"C{i}") for i in range(9)]), *(dims[n] for n in DIMS))
+    joins = [line for line in fact._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 4 and "offer_presented_id" in joins[3] and "customer_id" in joins[2]
