@@ -91,3 +91,17 @@ def test_edges(spark, tmp_path):
     none = postings.build_postings(spark.createDataFrame([], NOTES), str(tmp_path / "none"))
     assert none.notes == 0
     assert postings.search_postings(none, spark.createDataFrame(questions, ASKED)).count() == 0
+
+
+def test_questions_in_blocks_leave_little_behind(spark, tmp_path, monkeypatch):
+    """Many questions are answered block by block; partial scores and counted words are removed."""
+    from holdfast import session
+
+    monkeypatch.setattr(postings, "BLOCK_POSTINGS", 700, raising=False)
+    before = set(session._written.get(spark.sparkContext.applicationId, []))
+    notes = zipf_notes(200)
+    questions = [(q, f"w{q % 7 + 1} w{q % 40 + 2}") for q in range(30)]
+    _, _, found, expected = both(spark, notes, questions, tmp_path, 5)
+    same(found, expected)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(session._written[spark.sparkContext.applicationId]) - before}
+    assert not left & {"note_words", "note_lengths", "banded", "partial_scores", "near_notes"}
