@@ -105,3 +105,11 @@ def test_questions_in_blocks_leave_little_behind(spark, tmp_path, monkeypatch):
     same(found, expected)
     left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(session._written[spark.sparkContext.applicationId]) - before}
     assert not left & {"note_words", "note_lengths", "banded", "partial_scores", "near_notes"}
+
+
+def test_a_note_in_several_rows_is_one_note(spark, tmp_path):
+    """Its words are counted together, whether or not some of its rows have none."""
+    index = postings.build_postings(
+        spark.createDataFrame([(1, "a b"), (1, None), (1, "a"), (2, ""), (2, "b")], NOTES), str(tmp_path / "index"))
+    assert (index.notes, index.words) == (2, 4)
+    assert sorted((r.term, r.note_id, r.tf, r.words) for r in index.lists().collect()) == [("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 2, 1, 1)]
