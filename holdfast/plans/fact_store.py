@@ -4,8 +4,8 @@ Rows lie in folders by a hash of the customer; each batch adds folders, and many
 are merged.  A refresh reads the new calls and joins them with the dimensions.  If dimension
 rows changed since the last refresh, the folders that hold calls of those rows are found by
 their key columns and rewritten; all other folders stay as they are.  A call whose key comes
-again takes the place of the one before: its place in its file is marked from the key column
-alone, so whole calls are not exchanged to find it.
+again takes the place of the one before: its place in its file is marked from the key and a
+digest, so whole calls are not exchanged to find it, and one that comes again unchanged stays.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from holdfast import schemas
 from holdfast.operators.history import dedupe_latest, snapshot_diff
 from holdfast.plans.marts import call_fact
 from holdfast.session import estimated_bytes, materialize
-from holdfast.sources.manifest import FANOUT, Entry, ManifestTable
+from holdfast.sources.manifest import FANOUT, OPEN_FILES, Entry, ManifestTable
 
 #: Dimensions: source, key in the source, key in the call table, columns that the call table shows.
 DIMENSIONS = {
@@ -34,6 +35,8 @@ BUCKETS = 64
 BLOCK_ROWS = 32_768
 #: Bitmaps up to this size are broadcast (4 KB for 32,768 rows that have a marked one among them).
 MARK_BYTES = 256 << 20
+#: A batch above this size is written from the tasks that joined it.
+LARGE_BATCH = 32 << 20
 FILE = "_metadata.file_path"
 FOLDER = r"/data/(.+)/[^/]+$"
 
@@ -80,14 +83,43 @@ class FactStore:
         held = self.read().select(F.col(key).alias("_held"), F.col(FILE).alias("_file"), place.alias("_row"))
         again = calls.select(F.col(key).alias("_again"))
         found = held.join(again, F.col("_held").eqNullSafe(F.col("_again")), "left_semi")
+        return self._bitmaps(found)
+
+    def _bitmaps(self, found: DataFrame) -> DataFrame:
         number = F.col("_row") + 1  # Spark's blocks begin at 1
         return materialize(found.groupBy("_file", F.bitmap_bucket_number(number).alias("_block")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits")), "marks")
 
+    def changed(self, calls: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """The calls of a batch that the table does not hold as they are, and the marks of the rows they replace.
+
+        ``calls`` is a written table or a narrow plan on one.  A call is held as it is if the only row of its key in the
+        table has the same digest of all call columns (64 bits; keys tell the rows apart, so only the two versions of a
+        call are ever compared).  The table must be up to date with the dimensions (see ``propagate``).
+        """
+        place = [F.col(FILE).alias("_file"), F.col("_metadata.row_index").alias("_row")]
+        values = [F.col(c).try_cast(self.schema[c].dataType) for c in CALL_COLUMNS]  # days as the table has them
+        nulls = F.concat(*[v.isNull().cast("string") for v in values])  # the hash passes over NULLs
+        digest = F.xxhash64(*values, nulls).alias("_digest")
+        held = self.read().select(F.col(key).alias("_key"), digest, *place, F.lit(1).alias("_held"))
+        again = calls.select(F.col(key).alias("_key"), digest, *place, F.lit(0).alias("_held"))
+        of_key = W.partitionBy("_key")
+        both = held.unionByName(again).select(
+            "_file", "_row", "_held", F.sum("_held").over(of_key).alias("_old"), F.sum(1 - F.col("_held")).over(of_key).alias("_new"),
+            (F.min("_digest").over(of_key) == F.max("_digest").over(of_key)).alias("_equal"))
+        kept = (F.col("_old") == 1) & (F.col("_new") == 1) & F.col("_equal")
+        # Of the table the rows to replace, of the batch those that replace nothing.
+        marks = self._bitmaps(both.where(F.when(F.col("_held") == 1, (F.col("_new") > 0) & ~kept).otherwise(kept)))
+        return self._marked_rows(calls, marks)[0].where("NOT _marked").drop("_marked"), marks
+
     def _with_marks(self, entries: Iterable[Entry], marks: DataFrame) -> tuple[DataFrame, bool]:
         """Rows of some folders with ``_marked``, and whether they stayed in the tasks that read them."""
+        return self._marked_rows(self.read(entries), marks)
+
+    def _marked_rows(self, rows_: DataFrame, marks: DataFrame) -> tuple[DataFrame, bool]:
+        """Rows of a written table with ``_marked``, and whether they stayed in the tasks that read them."""
         row = F.col("_metadata.row_index")
-        rows_ = self.read(entries).select("*", F.col(FILE).alias("_file"), row.alias("_row")).withColumn(
+        rows_ = rows_.select("*", F.col(FILE).alias("_file"), row.alias("_row")).withColumn(
             "_block", F.bitmap_bucket_number(F.col("_row") + 1))
         small = estimated_bytes(marks) <= MARK_BYTES
         joined = rows_.join(F.broadcast(marks) if small else marks, ["_file", "_block"], "left")
@@ -138,10 +170,12 @@ class FactStore:
 
     def append(
         self, calls: DataFrame, dims: dict[str, DataFrame], batch_id: int, key: str | None = None, marks: DataFrame | None = None,
+        size: int | None = None,
     ) -> None:
         """Add a batch of calls; with ``key``, rows of the table whose key comes again go.
 
-        A batch that the table contains is not added again.  ``marks`` are those of the batch, if they are known.
+        A batch that the table contains is not added again.  ``marks`` are those of the batch and
+        ``size`` its bytes, if they are known.
         """
         version = self.table.current()
         if batch_id <= version.batch:
@@ -155,7 +189,9 @@ class FactStore:
                 new += self._write(
                     left.where("NOT _marked").drop("_marked"), max(e.level for e in old), min(e.first for e in old), max(e.last for e in old),
                     in_place)
-        new += self._write(self._enriched(calls, dims), 0, batch_id, batch_id)
+        # A large batch gives every bucket a file of some size from each task, so its calls are not exchanged once more.
+        many = self.buckets <= OPEN_FILES and (estimated_bytes(calls) if size is None else size) > LARGE_BATCH
+        new += self._write(self._enriched(calls, dims), 0, batch_id, batch_id, many)
         self._merge(self.table.replace(version, old, new, batch_id))
 
     def _merge(self, version) -> None:

@@ -13,7 +13,7 @@ from holdfast.functions.rates import rows
 from holdfast.operators.history import dedupe_latest
 from holdfast.plans import marts, model, scoring
 from holdfast.plans.fact_store import BUCKETS, FactStore, latest_calls
-from holdfast.session import materialize
+from holdfast.session import estimated_bytes, materialize
 from holdfast.sources.publish import publish_snapshot, publish_table
 from holdfast.streaming.ingest import bronze_schema, ingest_stream, read_bronze
 from holdfast.streaming.mart_counts import KEYS, mart_partials, marts_of, partial_counts
@@ -95,7 +95,9 @@ def _kept_up(
     facts.propagate(bronze)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        add_calls(facts, partials, latest_calls(batch, key) if key else batch, bronze, batch_id, key, disconnect_topics)
+        # With a key the batch is read several times, and choosing its latest calls is an exchange.
+        calls = materialize(latest_calls(batch, key), "batch", "zstd") if key else batch
+        add_calls(facts, partials, calls, bronze, batch_id, key, disconnect_topics)
 
     new = spark.readStream.schema(schema).parquet(store.bronze("call_interactions"))
     run = (
@@ -112,20 +114,21 @@ def add_calls(
 ) -> None:
     """Take a batch of calls, with at most one row for each ``key``, into the call table and the counts.
 
+    With a key the batch is read several times, so hand over a written table or a narrow plan on one.  Calls that the
+    table holds as they are change neither it nor the counts.
     The counts are written before the table changes, as they need the rows that the batch replaces; a batch that is
     retried in between finds its counts there and only changes the table.
     """
-    if key:  # read several times below
-        calls = materialize(calls, "batch")
-    marks = None
+    marks, size, version = None, estimated_bytes(calls), facts.table.current()
+    if key and version.entries and not (partials.has(batch_id) and batch_id <= version.batch):
+        calls, marks = facts.changed(calls, key)
     if not partials.has(batch_id):
         counts = partial_counts(calls, disconnect_topics)
-        if key and facts.table.current().entries:
-            marks = facts.marks(calls, key)
+        if marks is not None:
             back = partial_counts(facts.replaced(calls, key, marks), disconnect_topics)
             counts = counts.unionByName(negated(back, [*KEYS, "grain"]))
         partials.add(counts, batch_id)
-    facts.append(calls, dims, batch_id, key, marks)
+    facts.append(calls, dims, batch_id, key, marks, size)
 
 
 def refresh_scores(

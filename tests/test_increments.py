@@ -233,3 +233,74 @@ def test_offers_are_joined_before_the_columns_of_customers(spark, dims):
     fact = call_fact(frame(spark, "call_interactions", [call(i, f"C{i}") for i in range(9)]), *(dims[n] for n in DIMS))
     joins = [line for line in fact._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
     assert len(joins) == 4 and "offer_presented_id" in joins[3] and "customer_id" in joins[2]
+
+
+def test_calls_that_come_again_unchanged_stay_where_they_are(spark, tmp_path, dims):
+    """Only changed and new calls are counted, joined and written; a value that moves to another column is a change."""
+    from holdfast.session import materialize
+    from holdfast.streaming.mart_counts import mart_partials
+
+    store = FactStore(spark, str(tmp_path / "facts"), buckets=4)
+    partials = mart_partials(spark, str(tmp_path / "counts"), schemas.SOURCES["call_interactions"], ())
+    rows = {f"K{i}": call(i, f"C{i % 40}", mention_text="x", call_topic=None) for i in range(60)}
+    first = materialize(frame(spark, "call_interactions", list(rows.values())), "first")
+    store.propagate(dims)
+    refresh.add_calls(store, partials, first, dims, 0, "call_id", ())
+    before = store.table.current().entries
+    refresh.add_calls(store, partials, first.where("call_id <> 'K9'"), dims, 1, "call_id", ())
+    assert store.table.current().entries == before and store.table.current().batch == 1
+    assert partials.read().where("batch_id = 1").count() == 0
+    more = [rows["K1"], rows["K2"] | {"mention_text": None, "call_topic": "x"}, rows["K3"] | {"outcome": "Saved!"}, call(99, "C1"),
+            call(0, None, call_id=None)]
+    again = materialize(frame(spark, "call_interactions", more), "again")
+    fresh, _ = store.changed(again, "call_id")
+    assert sorted(str(r.call_id) for r in fresh.collect()) == ["K2", "K3", "K99", "None"]
+    for batch in (2, 3):
+        refresh.add_calls(store, partials, again, dims, batch, "call_id", ())
+    rows |= {r["call_id"]: r for r in more}
+    same(store.read(), call_fact(frame(spark, "call_interactions", list(rows.values())), *(dims[n] for n in DIMS)))
+    counted = partials.read().where("grain = 'topics'").groupBy("call_topic").agg(F.sum("total_calls").alias("n")).where("n <> 0")
+    assert {r.call_topic: r.n for r in counted.collect()} == {None: 59, "x": 1, "Billing Dispute": 2}
+
+
+def test_large_batches_are_not_exchanged_once_more(spark, tmp_path, dims, monkeypatch):
+    store = FactStore(spark, str(tmp_path), buckets=4)
+    asked = []
+    write = store.table.write
+    monkeypatch.setattr(store.table, "write", lambda *a: asked.append(a[5]) or write(*a))
+    rows = frame(spark, "call_interactions", [call(i, f"C{i}") for i in range(20)])
+    store.append(rows, dims, 0, size=1 << 30)
+    store.append(rows, dims, 1, size=1 << 10)
+    assert asked == [True, False] and store.read().count() == 40
+    assert {e.bucket for e in store.table.current().entries} <= set(range(4))
+
+
+def test_distinct_calls_need_no_exchange_of_their_own(spark, tmp_path):
+    """Equal lines are one call, different calls of one line stay apart."""
+    from datetime import datetime
+
+    from holdfast.sources import star_tables as star
+
+    def line(number, quantity, part=1):
+        return (1, part, 2, number, quantity, 1.0, 0.06, 0.01, "R", "O", datetime(1998, 1, 1))
+
+    line_fields = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
+    rows = [line(1, 5.0), line(1, 5.0), line(1, 6.0), line(2, 5.0), line(None, 5.0), line(None, 5.0), line(None, None)]
+    schema = star.SCHEMAS["lineitem"]
+    assert [f.split()[0] for f in schema.split(", ")] == line_fields.split()
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7, "O", 1.0, datetime(1998, 1, 1), "1-URGENT")], star.SCHEMAS["orders"]).write.parquet(
+        f"{tmp_path}/orders.parquet")
+    calls = star.distinct_calls(spark, str(tmp_path))
+    assert sorted((r.call_id, r.handle_time_min) for r in calls.collect()) == [
+        ("CALL-1", None), ("CALL-1-1", 5.0), ("CALL-1-1/2", 6.0), ("CALL-1-2", 5.0), ("CALL-1/2", 5.0)]
+    joined = star.calls(spark, str(tmp_path))
+    exchanges = lambda f: f._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        assert exchanges(star.distinct_calls(spark, str(tmp_path))) == exchanges(star.calls(spark, str(tmp_path))) == 2
+    finally:
+        spark.conf.set(name, before)
+    assert joined.count() == 7
