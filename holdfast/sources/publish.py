@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from holdfast import schemas
 from holdfast.functions.rates import count_true, rows
 from holdfast.session import materialize
+from holdfast.sources.manifest import CODEC
 
 
 def publish_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Replace a table and return it as read back."""
     if partition_by:
         # Few files per partition value, while a value with very many rows is split among writers.
-        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path, compression=CODEC)
     else:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=CODEC)
     return df.sparkSession.read.parquet(path)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.sources.evolve import CORRUPT, parse_evolving
+from holdfast.sources.manifest import CODEC
 
 METADATA = [T.StructField("_source_file", T.StringType()), T.StructField("_ingested_at", T.TimestampType())]
 
@@ -45,7 +46,7 @@ def ingest_stream(
     if unique_key:  # the state holds the keys of that time span, spread over the key
         parsed = parsed.withWatermark("_ingested_at", repeats_within).dropDuplicatesWithinWatermark(unique_key)
     run = (
-        parsed.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        parsed.writeStream.format("parquet").option("compression", CODEC).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start(table)
     )
     run.awaitTermination()
