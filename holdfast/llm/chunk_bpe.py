@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from functools import cached_property, lru_cache
+from functools import lru_cache
+from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +89,8 @@ class Model:
         tokens = {i: bytes(byte[c] for c in token) for token, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.size = max(tokens) + 1
         self.lengths = np.array([len(tokens.get(i, b"")) for i in range(self.size)], np.int64)
-        self.offsets = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(self.size)), np.uint8)
+        self.texts = pa.array([tokens.get(i, b"") for i in range(self.size)], pa.binary())
+        self.numbers = pa.array([b"%d," % i for i in range(self.size)], pa.binary())
         self.byte = np.array([vocab[c] for c, _ in sorted(byte.items(), key=lambda x: x[1])], np.int64)
         merges = [merge if isinstance(merge, list) else merge.split(" ") for merge in kind["merges"]]
         self.joined = np.array([vocab[left + right] for left, right in merges], np.int64)  # by rank
@@ -96,6 +98,8 @@ class Model:
         keys = np.array([left << 32 | right for left, right in self.ranks], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.ranks.values()), np.int64)[order]
+        # Ranks of pairs of bytes, with which every piece begins.
+        self.byte_ranks = self._ranks(np.repeat(self.byte, 256), np.tile(self.byte, 256)).reshape(256, 256)
         self.pattern = regex.compile(pattern)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.known = _Pieces(self)
@@ -113,32 +117,41 @@ class Model:
             for i in range(0, len(members), CELLS // n):
                 rows = members[i : i + CELLS // n].tolist()
                 flat = np.frombuffer(b"".join(raws[k] for k in rows), np.uint8)
-                for k, ids in zip(rows, self._rows(self.byte[flat].reshape(-1, n))):
+                for k, ids in zip(rows, self._rows(flat.reshape(-1, n))):
                     self.known[new[k]] = ids
 
-    def _rows(self, ids: np.ndarray) -> list[bytes]:
-        """Ids of pieces of one length: each round merges the leftmost pair of the lowest rank in every row."""
-        out, live, none = [b""] * len(ids), np.arange(len(ids)), len(self.joined)
+    def _rows(self, flat: np.ndarray) -> list[bytes]:
+        """Ids of pieces of one length: each round merges the leftmost pair of the lowest rank in every row.
+
+        A merge changes the ranks of two pairs only, which are looked up anew.
+        """
+        ids, none = self.byte[flat], len(self.joined)
+        out, live = [b""] * len(ids), np.arange(len(ids))
+        ranks = np.full(ids.shape, none)  # of each pair of neighbours, and a last column without one
+        ranks[:, :-1] = self.byte_ranks[flat[:, :-1], flat[:, 1:]]
         while len(live):
-            ranks = self._ranks(ids)
             at = ranks.argmin(1)
             best = ranks[np.arange(len(live)), at]
-            for row, code in zip(live[best == none].tolist(), ids[best == none].astype("<u4")):
-                out[row] = code.tobytes()
-            live, ids, at, best = (x[best < none] for x in (live, ids, at, best))
-            place = np.arange(ids.shape[1] - 1)
-            merged = np.where(place <= at[:, None], ids[:, :-1], ids[:, 1:])
-            merged[np.arange(len(live)), at] = self.joined[best]
-            ids = merged
+            done = best == none
+            if done.any():
+                for row, code in zip(live[done].tolist(), ids[done].astype("<u4")):
+                    out[row] = code.tobytes()
+                live, ids, ranks, at, best = (x[~done] for x in (live, ids, ranks, at, best))
+            row, left = np.arange(len(live)), np.arange(ids.shape[1] - 1) <= at[:, None]
+            ids, ranks = (np.where(left, x[:, :-1], x[:, 1:]) for x in (ids, ranks))
+            ids[row, at] = self.joined[best]
+            inner = at > 0
+            ranks[row[inner], at[inner] - 1] = self._ranks(ids[row[inner], at[inner] - 1], ids[row[inner], at[inner]])
+            inner = at < ids.shape[1] - 1
+            ranks[row, at] = none
+            ranks[row[inner], at[inner]] = self._ranks(ids[row[inner], at[inner]], ids[row[inner], at[inner] + 1])
         return out
 
-    def _ranks(self, ids: np.ndarray) -> np.ndarray:
-        """Rank of each pair of neighbours, and a last column without one."""
-        out = np.full(ids.shape, len(self.joined))
-        keys = ids[:, :-1] << 32 | ids[:, 1:]
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair."""
+        keys = left << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        out[:, :-1] = np.where(self.pair_keys[at] == keys, self.pair_ranks[at], len(self.joined))
-        return out
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], len(self.joined))
 
     def merged(self, piece: str) -> bytes:
         """Ids of one match of the pattern, as 32-bit integers."""
@@ -171,19 +184,51 @@ class Model:
 
     def chunks(self, raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of each chunk as if it were a whole text, and how many ids its matches have."""
-        out, find = [], self.pattern.findall
+        return [(code.ids, code.counts) for code in self.coded(raws)]
+
+    def coded(self, raws: list[bytes]) -> list[_Coded]:
+        """Each chunk encoded as if it were a whole text."""
+        out, find, known = [], self.pattern.findall, self.known
         for group in _groups(raws, PART):
-            split = [find(raw.decode()) for raw in group]
-            self.learn(set().union(*split))
-            for pieces in split:
-                codes = list(map(self.known.__getitem__, pieces))
-                out.append((np.frombuffer(b"".join(codes), "<u4"), np.fromiter(map(len, codes), np.int64, len(codes)) >> 2))
+            split, codes = [], []
+            for raw in group:
+                split.append(find(raw.decode()))
+                codes += map(known.get, split[-1])
+            if None in codes:
+                pieces = list(chain.from_iterable(split))
+                self.learn({piece for piece, code in zip(pieces, codes) if code is None})
+                codes = [known[piece] if code is None else code for piece, code in zip(pieces, codes)]
+            ids = np.frombuffer(b"".join(codes), "<u4")
+            counts = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
+            firsts, begins = self.places(ids, counts)
+            edges = np.cumsum([0, *map(len, split)])
+            cut = np.append(firsts, len(ids))[edges].tolist()
+            for k, (low, high) in enumerate(pairwise(edges.tolist())):
+                own = slice(low, high)
+                out.append(_Coded(
+                    ids[cut[k] : cut[k + 1]], counts[own], firsts[own] - cut[k], begins[own] - begins[low] if high > low else begins[own]))
         return out
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
+    def places(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first id of each match, and the byte at which it begins."""
+        firsts, ends = np.cumsum(counts) - counts, np.cumsum(self.lengths[ids])
+        return firsts, np.append(0, ends)[firsts]
+
+    def decode(self, ids: np.ndarray) -> memoryview:
         """Bytes of the tokens, one after another."""
-        size = self.lengths[ids]
-        return self.flat[np.repeat(self.offsets[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        return _joined(self.texts, ids)
+
+    def written(self, ids: np.ndarray) -> memoryview:
+        """The decimal ids, joined by commas."""
+        return _joined(self.numbers, ids)[:-1]
+
+
+def _joined(values: pa.Array, at: np.ndarray) -> memoryview:
+    """The chosen values, one after another."""
+    if not len(at):
+        return memoryview(b"")
+    _, offsets, data = values.take(pa.array(at)).buffers()
+    return memoryview(data or b"")[: np.frombuffer(offsets, np.int32, len(at) + 1)[-1]]
 
 
 def _groups(raws: list[bytes], limit: int):
@@ -263,20 +308,13 @@ class Slice:
                 yield low, self.raw[low:high]
 
 
-class _Coded:
-    """Ids of a chunk, where its matches begin (in bytes), and their first ids."""
-
-    def __init__(self, m: Model, ids: np.ndarray, counts: np.ndarray):
-        self.model, self.ids, self.counts = m, ids, counts
-
-    @cached_property
-    def firsts(self) -> np.ndarray:
-        return np.cumsum(self.counts) - self.counts
+class _Coded(NamedTuple):
+    """Ids of a chunk, how many each of its matches has, their first ids, and where they begin (in bytes)."""
 
-    @cached_property
-    def begins(self) -> np.ndarray:
-        size = self.model.lengths[self.ids]
-        return (np.cumsum(size) - size)[self.firsts]
+    ids: np.ndarray
+    counts: np.ndarray
+    firsts: np.ndarray
+    begins: np.ndarray
 
 
 def stitch(m: Model, raw: bytes, bounds: list[int], codes: list[_Coded]) -> list[np.ndarray]:
@@ -329,10 +367,11 @@ def encode_slice(m: Model, part: Slice, shared: dict[int, tuple[bytes, bytes]])
         if ready := shared.get(digest(chunk)):
             ids = np.frombuffer(ready[0], m.kind).astype("<u4")
             # Only ids that stand for exactly these bytes are used.
-            if m.lengths[ids].sum() == len(chunk) and m.decode(ids).tobytes() == chunk:
-                known[chunk] = _Coded(m, ids, np.frombuffer(ready[1], "<u4").astype(np.int64))
+            if m.lengths[ids].sum() == len(chunk) and m.decode(ids) == chunk:
+                counts = np.frombuffer(ready[1], "<u4").astype(np.int64)
+                known[chunk] = _Coded(ids, counts, *m.places(ids, counts))
     new = list(dict.fromkeys(chunk for _, chunk in places if chunk not in known))
-    known.update((chunk, _Coded(m, *code)) for chunk, code in zip(new, m.chunks(new)))
+    known.update(zip(new, m.coded(new)))
     coded = {low: known[chunk] for low, chunk in places}
     bounds, out = part.bounds.tolist(), []
     edge = np.flatnonzero([b in part.edges for b in bounds])
@@ -486,7 +525,7 @@ def decode(tokens: DataFrame, source: str, pattern: str) -> DataFrame:
             texts = []
             for value in batch.column(batch.schema.get_field_index("ids")):
                 ids = np.frombuffer(value.as_py() or b"", "<u4")
-                texts.append(b"".join(m.decode(ids[i : i + PART]).tobytes() for i in range(0, len(ids), PART)).decode(errors="replace"))
+                texts.append(b"".join(m.decode(ids[i : i + PART]) for i in range(0, len(ids), PART)).decode(errors="replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
@@ -507,8 +546,9 @@ def token_digests(docs: DataFrame, source: str, pattern: str) -> DataFrame:
         for x in ids:
             number, text = hashlib.sha256(), hashlib.sha256()
             for i in range(0, len(x), PART):
-                number.update((b"," if i else b"") + ",".join(map(str, x[i : i + PART].tolist())).encode())
-                text.update(m.decode(x[i : i + PART]).tobytes())
+                number.update(b"," if i else b"")
+                number.update(m.written(x[i : i + PART]))
+                text.update(m.decode(x[i : i + PART]))
             numbers.append(number.hexdigest())
             texts.append(text.hexdigest())
         return pa.RecordBatch.from_arrays(

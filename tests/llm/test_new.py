@@ -1,6 +1,7 @@
 """Vector codes, importance resampling and BPE with shared chunks, against brute force and on edge rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -251,3 +252,20 @@ def test_op13(spark, tokenizer):
 def test_other_tokenizers_are_refused(tokenizer):
     with pytest.raises(ValueError):
         chunk_bpe.Model(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read(), public_tokenizers.PATTERN)
+
+
+def test_op13_looks_up_few_pairs_and_writes_ids_at_once(tokenizer, monkeypatch):
+    """A round of merges looks up the two pairs that it changed, and ids and bytes are written without an object each."""
+    library, source = tokenizer
+    m = chunk_bpe.Model(source, public_tokenizers.PATTERN)
+    words = ["".join(p) for p in itertools.product("etaoin", repeat=5)]
+    asked, ranks = [], m._ranks
+    monkeypatch.setattr(m, "_ranks", lambda *pairs: (asked.append(pairs[0].size), ranks(*pairs))[1])
+    m.learn(set(words))
+    want = {w: e.ids for w, e in zip(words, library.encode_batch(words, add_special_tokens=False))}
+    assert {w: np.frombuffer(m.known[w], "<u4").tolist() for w in words} == want
+    assert sum(asked) <= 2 * sum(5 - len(ids) for ids in want.values())
+    ids = np.concatenate([np.array(x, "<u4") for x in want.values()])
+    assert bytes(m.written(ids)) == ",".join(map(str, ids.tolist())).encode()
+    assert bytes(m.decode(ids)) == "".join(words).encode()
+    assert bytes(m.written(ids[:0])) == bytes(m.decode(ids[:0])) == b""
