@@ -17,6 +17,8 @@ import base64
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import textbytes as tb
 from holdfast.llm.files import read_binary, write_binary
+from holdfast.session import discard, materialize
 
 #: Compressed bytes that a task gathers before it hands them to the writer.
 CHUNK = 4 << 20
 #: Bytes by which a damaged member is inflated.
 STEP = 4096
+#: Bytes by which a sound one is: what stands behind a member is copied up to the end of such a piece, not of the file.
+PIECE = 16 << 10
 #: Payloads of fewer bytes are never stored as revisits.
 MIN_REVISIT = 0
 #: Up to so many revisit ids are broadcast (about 64 bytes each); more are joined by an exchange.
@@ -116,7 +121,8 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     sums = pages.select("page_id", "html").mapInArrow(_digests, "page_id long, size long, digest string")
-    sums = sums.where((F.col("size") >= min_revisit) & F.col("page_id").isNotNull())
+    # Read four times; the pages only for this and for the records.
+    sums = written = materialize(sums.where((F.col("size") >= min_revisit) & F.col("page_id").isNotNull()), "digests", "zstd")
     first = sums.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     repeats = sums.join(first.where("first < last"), ["digest", "size"]).where("page_id <> first")
     seen = repeats.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("digest", "first"))).alias("seen"))
@@ -124,6 +130,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -
         seen = F.broadcast(seen)
     rows = pages.join(seen, "page_id", "left").select("page_id", "url", "html", "seen")
     write_binary(rows.mapInArrow(_records, "members binary"), "members", EMPTY_MEMBER, path)
+    discard(written)
 
 
 class Broken(Exception):
@@ -201,15 +208,17 @@ def _steps(data: bytes, at: int):
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     """Content of the gzip member at ``at``, where it ends, and what is wrong with it; content up to there."""
-    unpack = zlib.decompressobj(31)
+    unpack, view, out, end = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        out = unpack.decompress(memoryview(data)[at:])
+        while end < len(data) and not unpack.eof:
+            out.append(unpack.decompress(view[end : end + PIECE]))
+            end = min(end + PIECE, len(data))
     except zlib.error as error:
         whole = any(check in str(error) for check in ("incorrect data check", "incorrect length check"))
         return b"".join(piece for piece, *_ in _steps(data, at)), at, OTHER_SUM if whole else DAMAGED
     if not unpack.eof:
-        return out, at, "member is cut off"
-    return out, len(data) - len(unpack.unused_data), None
+        return b"".join(out), at, "member is cut off"
+    return b"".join(out), end - len(unpack.unused_data), None
 
 
 def _consumed(data: bytes, at: int, size: int) -> int:
@@ -265,25 +274,16 @@ def _open(data: bytes, at: int) -> tuple[list[dict], list[dict], int, str | None
     return records, gaps, end, failure
 
 
-def salvage(data: bytes) -> tuple[list[dict], list[dict]]:
-    """All valid records of a file, with ``offset`` and ``length``, and the gaps between them, with a ``reason``.
-
-    Records of a member, and gaps inside one, have the member's ``offset`` and their own ``inner_offset`` in its content;
-    the ``length`` of such a gap counts bytes of the content.  Of a member that is cut off the
-    records that are whole stay; of one that does not inflate, or has another checksum, those behind which the next one
-    begins, since damage shows late, or whose end is that of the member.  The bytes after them are a gap.  Records that stand twice are given twice.  No
-    bytes give nothing.
-    """
-    records, gaps, at = [], [], 0
-    opened = None
+def _salvaged(data: bytes) -> Iterator[tuple[list[dict], list[dict]]]:
+    """Records and gaps of :func:`salvage`, a member and what stands before the next one at a time."""
+    at, opened = 0, None
     while at < len(data):
         try:
             found, inner, end, failure = opened or _open(data, at)
         except Broken as error:
             found, inner, end, failure = [], [], at, str(error)
         opened = None
-        records += [one | {"offset": at, "length": end - at} for one in found]
-        gaps += [gap | {"offset": at} for gap in inner]
+        yield [one | {"offset": at, "length": end - at} for one in found], [gap | {"offset": at} for gap in inner]
         if failure is None:
             at = end
             continue
@@ -297,7 +297,22 @@ def salvage(data: bytes) -> tuple[list[dict], list[dict]]:
                 opened = _open(data, at)
             except Broken:
                 at += 1
-        gaps.append({"offset": begin, "length": at - begin, "inner_offset": None, "reason": failure})
+        yield [], [{"offset": begin, "length": at - begin, "inner_offset": None, "reason": failure}]
+
+
+def salvage(data: bytes) -> tuple[list[dict], list[dict]]:
+    """All valid records of a file, with ``offset`` and ``length``, and the gaps between them, with a ``reason``.
+
+    Records of a member, and gaps inside one, have the member's ``offset`` and their own ``inner_offset`` in its content;
+    the ``length`` of such a gap counts bytes of the content.  Of a member that is cut off the
+    records that are whole stay; of one that does not inflate, or has another checksum, those behind which the next one
+    begins, since damage shows late, or whose end is that of the member.  The bytes after them are a gap.  Records that stand twice are given twice.  No
+    bytes give nothing.
+    """
+    records, gaps = [], []
+    for found, between in _salvaged(data):
+        records += found
+        gaps += between
     return records, gaps
 
 
@@ -307,17 +322,20 @@ _FIELDS = [("type", "string"), ("record_id", "string"), ("refers_to", "string"),
 _ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
+def _rows(data: bytes, with_payload: bool) -> Iterator[dict]:
+    for records, gaps in _salvaged(data):
+        for one in records:
+            yield one | {"reason": None} | ({} if with_payload else {"payload": None})
+        for gap in gaps:
+            yield {"type": "gap", **{n: None for n, _ in _FIELDS[1:7]}, **gap}
+
+
 def _read(with_payload: bool):
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
-                records, gaps = salvage(content.as_py() or b"")
-                rows = [r | {"reason": None} for r in records] + [
-                    {"type": "gap", **{n: None for n, _ in _FIELDS[1:7]}, **g} for g in gaps]
-                if not with_payload:
-                    rows = [r | {"payload": None} for r in rows]
-                for i in range(0, len(rows), 256):
-                    some = rows[i : i + 256]
+                rows = _rows(content.as_py() or b"", with_payload)
+                while some := list(islice(rows, 256)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([path.as_py()] * len(some)), *(pa.array([r[n] for r in some], _ARROW[t]) for n, t in _FIELDS)],
                         names=["path", *(n for n, _ in _FIELDS)])

@@ -4,6 +4,7 @@ import base64
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -79,6 +80,28 @@ def test_salvage():
     assert [r["record_id"] for r in warc.salvage(plain[0] + longer + plain[2])[0]] == ["<urn:page:0>", "<urn:page:2>"]
 
 
+def test_salvage_inflates_a_file_about_once(monkeypatch):
+    """What stands behind a member is not handed out again for every member before it."""
+    handed = []
+
+    class Counted:
+        def __init__(self, *args):
+            self.inner = zlib.decompressobj(*args)
+
+        def decompress(self, piece):
+            handed.append(len(piece))
+            return self.inner.decompress(piece)
+
+        eof, unused_data = property(lambda self: self.inner.eof), property(lambda self: self.inner.unused_data)
+
+    pages = [random.Random(n).randbytes(40_000 if n % 10 else 9) for n in range(100)]
+    whole = b"".join(warc._member(warc.record(n, None, p, warc.payload_digest(p))) for n, p in enumerate(pages))
+    monkeypatch.setattr(warc, "zlib", type("zlib", (), {"decompressobj": Counted, "error": zlib.error}))
+    records, gaps = warc.salvage(whole)
+    assert [r["payload"] for r in records] == pages and not gaps
+    assert sum(r["length"] for r in records) == len(whole) and sum(handed) < 2 * len(whole)
+
+
 def test_salvage_inside_members():
     """Records A, bad B and C in one member, and members that are cut or damaged behind whole records."""
     rng = random.Random(3)
