@@ -113,3 +113,34 @@ def test_a_note_in_several_rows_is_one_note(spark, tmp_path):
         spark.createDataFrame([(1, "a b"), (1, None), (1, "a"), (2, ""), (2, "b")], NOTES), str(tmp_path / "index"))
     assert (index.notes, index.words) == (2, 4)
     assert sorted((r.term, r.note_id, r.tf, r.words) for r in index.lists().collect()) == [("a", 1, 2, 3), ("b", 1, 1, 3), ("b", 2, 1, 1)]
+
+
+def test_a_search_hands_on_the_best_and_not_every_pair(spark, tmp_path, monkeypatch):
+    """Of the pairs of questions and notes with a common word few leave the task of the note."""
+    written, materialize = {}, postings.materialize
+
+    def counting(df, label, *options):
+        table = materialize(df, label, *options)
+        written[label] = written.get(label, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(postings, "materialize", counting)
+    rng = np.random.default_rng(8)
+    notes = zipf_notes(1_500, 5)
+    questions = [(q, " ".join(f"w{int(x)}" for x in rng.integers(1, 60, 8))) for q in range(40)]
+    _, _, found, expected = both(spark, notes, questions, tmp_path, 5)
+    same(found, expected)
+    terms = [set(t.split()) for _, t in notes]
+    pairs = sum(bool(set(t.split()) & own) for _, t in questions for own in terms)
+    assert written["partial_scores"] < 0.2 * pairs
+
+
+def test_steps_and_blocks_of_any_size(spark, tmp_path, monkeypatch):
+    notes = zipf_notes(150, 9)
+    questions = [(q, f"w{q % 5 + 1} w{q % 11 + 1} w{q % 70 + 3}") for q in range(25)]
+    for n, (cells, at_once, block, words) in enumerate([(1, 1, 1_000, 1_000), (300, 7, 13, 60)]):
+        for name, value in (("STEP_CELLS", cells), ("STEP_POSTINGS", at_once), ("BLOCK_QUESTIONS", block), ("BLOCK_WORDS", words)):
+            monkeypatch.setattr(postings, name, value)
+        (tmp_path / str(n)).mkdir()
+        _, _, found, expected = both(spark, notes, questions, tmp_path / str(n), 3)
+        same(found, expected)
