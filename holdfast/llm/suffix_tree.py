@@ -30,18 +30,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.llm import textbytes as tb
 from holdfast.llm.settings import buckets_for
-from holdfast.session import discard, materialize
+from holdfast.session import discard, estimated_bytes, materialize
 
 #: Times that a run must stand in the training texts to be stored; share that a word needs to be stored as next symbol.
 LEAST, SYMBOL_SHARE = 2, 0.0
 DEPTH, BACKOFF = 2, 4.0
 #: Text of a slice, besides a single longer one.
 SLICE = 8 << 20
+#: Written slices for which there is a bucket, whatever the number of exchange partitions: about twice as many bytes of keys.
+SLICES_BYTES = 4 << 20
 #: The hashes that stand for the end and the start of a text; words hash to them by chance only.
 END_HASH, START_HASH = np.int64(0x6C62272E07BB0142), np.int64(0x27D4EB2F165667C5)
 _ODD = tb.U64(0xD6E8FEB86659FD93)
@@ -111,6 +114,17 @@ def _look(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The keys sorted, a place where each stands, the place of each among them, and how often it stands."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first, place = np.flatnonzero(new), np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[first], order[first], place, np.diff(np.append(first, len(keys)))
+
+
 def _tokens(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (signed) of each row's words with the end behind them, and the rows' first tokens."""
     starts, ends, first = tb.words(flat, at, tb.SPACED)
@@ -275,7 +289,7 @@ class _Slice:
                 use = use & often
                 use[1:] &= often[:-1]
             tokens = np.flatnonzero(use)
-            keys, at, place, counts = np.unique(key[tokens], return_index=True, return_inverse=True, return_counts=True)
+            keys, at, place, counts = _distinct(key[tokens])
             self._asked[depth] = tokens, keys, tokens[at], counts, place
         return self._asked[depth]
 
@@ -331,17 +345,27 @@ def _questions(buckets: int, want):
     return run
 
 
-def _values(wanted: np.ndarray, known: pa.Table, kind: int) -> np.ndarray:
+def _by_kind(known: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys of each kind, and their values; a bucket sorts them once, however many slices ask."""
+    kinds, keys, values = (np.asarray(known.column(c).combine_chunks()) for c in ("kind", "key", "value"))
+    out = {}
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        at = at[np.argsort(keys[at])]
+        out[int(kind)] = keys[at], values[at]
+    return out
+
+
+def _values(wanted: np.ndarray, known: dict[int, tuple[np.ndarray, np.ndarray]], kind: int) -> np.ndarray:
     """The value of each key of a kind; 0 where there is none."""
-    known = known.filter(pa.compute.equal(known.column("kind"), kind)).sort_by("key")
-    keys, values = (np.asarray(known.column(c).combine_chunks()) for c in ("key", "value"))
+    keys, values = known.get(kind, (np.zeros(0, np.int64), np.zeros(0)))
     at = _look(keys, wanted)
     return np.where(at >= 0, values[np.maximum(at, 0)], 0.0) if len(keys) else np.zeros(len(wanted))
 
 
 def _totals(asked: pa.Table, known: pa.Table) -> pa.Table:
     """Answers in training: counts of the runs in all slices, which of them the slice gives the rows of, back-off weights."""
-    asked = asked.sort_by("slice")  # the first slice by name gives the rows, also when the task runs again
+    asked, known = asked.sort_by("slice"), _by_kind(known)  # the first slice by name gives the rows, also when the task runs again
     keys = [np.frombuffer(x, np.int64) for x in asked.column("keys").to_pylist()]
     found, at, where = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_index=True, return_inverse=True)
     counts = np.concatenate([*map(_wide, asked.column("counts").to_pylist()), np.zeros(0, np.int64)])
@@ -356,10 +380,10 @@ def _totals(asked: pa.Table, known: pa.Table) -> pa.Table:
         "mine": pa.array(map(_bits, np.split(mine, cuts)), pa.binary()), "weights": pa.array(weights, pa.binary())})
 
 
-def _looked_up(asked: pa.Table, **columns) -> pa.Table:
+def _looked_up(asked: pa.Table, known: pa.Table, **columns) -> pa.Table:
     """Answers from the tree: by column, which keys are looked up, as which kind, and how that is written."""
-    out = {"slice": asked.column("slice"), "bucket": asked.column("bucket")}
-    for name, (column, known, kind, write) in columns.items():
+    out, known = {"slice": asked.column("slice"), "bucket": asked.column("bucket")}, _by_kind(known)
+    for name, (column, kind, write) in columns.items():
         out[name] = pa.array([write(_values(np.frombuffer(x, np.int64), known, kind))
                               for x in asked.column(column).to_pylist()], pa.binary())
     return pa.table(out)
@@ -368,25 +392,31 @@ def _looked_up(asked: pa.Table, **columns) -> pa.Table:
 def _present(asked: pa.Table, known: pa.Table) -> pa.Table:
     """Answers to the first question of scoring: which keys are kept contexts, and which are stored runs."""
     flags = lambda values: _bits(values > 0)
-    return _looked_up(asked, values=("contexts", known, 0, flags), mine=("keys", known, 0, flags),
-                      weights=("contexts", known, 1, flags))
+    return _looked_up(asked, known, values=("contexts", 0, flags), mine=("keys", 0, flags), weights=("contexts", 1, flags))
 
 
 def _shares(asked: pa.Table, known: pa.Table) -> pa.Table:
     """Answers to the second: counts of words and runs, sizes and back-off weights of contexts."""
     whole = lambda values: _small(values.astype(np.int64))
-    return _looked_up(asked, values=("keys", known, 0, whole), mine=("contexts", known, 2, whole),
-                      weights=("contexts", known, 1, np.ndarray.tobytes))
+    return _looked_up(asked, known, values=("keys", 0, whole), mine=("contexts", 2, whole), weights=("contexts", 1, np.ndarray.tobytes))
 
 
-def _answered(parts: DataFrame, known: DataFrame, buckets: int, want, answer) -> DataFrame:
-    """Slices with what the buckets answer, ``replies``."""
+def _answered(parts: DataFrame, known: DataFrame, buckets: int, want, answer) -> tuple[DataFrame, DataFrame]:
+    """Slices with what the buckets answer, ``replies``, and the table of the answers that they are read from.
+
+    The answers are written first, so that the exchange of keys is gone before the slices are exchanged.
+    """
     asked = parts.mapInArrow(_questions(buckets, want), "bucket long, slice string, keys binary, counts binary, contexts binary")
     known = known.withColumn("bucket", F.expr(f"shiftrightunsigned(key, 40) % {buckets}"))
-    replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
-        answer, "slice string, bucket long, values binary, mine binary, weights binary")
+    replies = _written(asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
+        answer, "slice string, bucket long, values binary, mine binary, weights binary"), "replies")
     gathered = replies.groupBy("slice").agg(F.collect_list(F.struct("bucket", "values", "mine", "weights")).alias("replies"))
-    return parts.join(gathered, "slice", "left")
+    return parts.join(gathered, "slice", "left"), replies
+
+
+def _buckets(parts: DataFrame) -> int:
+    """Buckets of keys: one for so many bytes of slices, so that one fits a task's memory also where partitions are few."""
+    return max(buckets_for(parts), estimated_bytes(parts) // SLICES_BYTES)
 
 
 def _by_key(replies, name: str, keys: np.ndarray, buckets: int, read, kind) -> np.ndarray:
@@ -489,23 +519,23 @@ def _grow(parts: DataFrame, tree: Tree, depth: int) -> None:
     long = lambda columns: ", ".join(f"{n} long" for n in columns)
     rows = _written(parts.mapInArrow(
         _run_rows(depth, names, tree.total, tree.distinct, SYMBOL_SHARE), f"{long(names)}, n long, size long, below double"), "runs")
-    total = rows.groupBy(*back).agg(F.sum("n").alias("stored"), F.count("*").alias("pairs"))
-    whole = F.col("size") + BACKOFF
-    escape = (F.col("size") - F.col("stored") + BACKOFF) / whole
+    # One exchange by context: whatever is known of a context is gathered where its rows are.
+    own, whole = W.partitionBy(*back), F.col("size") + BACKOFF
     # Divergence from the suffix: gain of log-likelihood over the training tokens behind the context.  Summed as
     # decimals, so that the order of rows does not matter.
     gain = F.col("n") * F.log((F.col("n") / whole + F.col("escape") * F.col("below")) / F.col("below"))
-    gains = rows.join(total, back).withColumn("escape", escape).groupBy(*back, "stored", "pairs", "size", "escape").agg(
-        F.sum(gain.cast("decimal(28,9)")).cast("double").alias("gain"))
     price = 0.5 * math.log(max(2, tree.total))
-    kept = gains.where(
-        F.col("gain") + (F.col("size") - F.col("stored")) * F.log("escape") > F.col("pairs") * price
-    ).select(*back, "size", "escape")
-    kept = _written(kept.mapInArrow(_with_keys(depth, False), f"{long(back)}, size long, escape double, context long"), "contexts")
-    following = rows.join(kept.select(*back), back).select(*names, "n")
+    following = (
+        rows.withColumn("stored", F.sum("n").over(own)).withColumn("pairs", F.count("*").over(own))
+        .withColumn("escape", (F.col("size") - F.col("stored") + BACKOFF) / whole)
+        .withColumn("gain", F.sum(gain.cast("decimal(28,9)")).over(own).cast("double"))
+        .where(F.col("gain") + (F.col("size") - F.col("stored")) * F.log("escape") > F.col("pairs") * price)
+        .select(*names, "n", "size", "escape")
+    )
     following = _written(following.mapInArrow(
-        _with_keys(depth, True), f"{long(names)}, n long, context long, key long").select(
-        "context", "word", "key", "n"), "next")
+        _with_keys(depth, True), f"{long(names)}, n long, size long, escape double, context long, key long"), "next")
+    kept = _written(following.groupBy(*back).agg(*(F.first(c).alias(c) for c in ("size", "escape", "context"))), "contexts")
+    following = following.select("context", "word", "key", "n")
     discard(rows)
     tree.tables.append((kept, following))
 
@@ -518,15 +548,16 @@ def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     kind = T.LongType()
     texts = docs.select(F.lit(0).cast("long").alias("doc_id"), "text")
     parts = _written(texts.mapInArrow(_sliced(pa.int64()), _slice_columns(kind)), "slices")
-    buckets = buckets_for(parts)
+    buckets = _buckets(parts)
     tree, words = Tree(None, 0, 0, []), None
     for d in range(1, depth + 1):
         # Weights of contexts that are one shorter; before the first depth there are none.
         known = tree.tables[-1][0].select(
             F.col("context").alias("key"), F.lit(1).alias("kind"), F.col("escape").alias("value")
         ) if tree.tables else docs.sparkSession.createDataFrame([], "key long, kind int, value double")
-        counted = _written(_answered(parts, known, buckets, _to_count(d), _totals).mapInArrow(
-            _counted(d, buckets), _slice_columns(kind)), "slices")
+        answered, replies = _answered(parts, known, buckets, _to_count(d), _totals)
+        counted = _written(answered.mapInArrow(_counted(d, buckets), _slice_columns(kind)), "slices")
+        discard(replies)
         discard(parts)
         parts = counted
         if d == 1:
@@ -647,10 +678,11 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     parts = _written(docs.mapInArrow(_sliced(id_type), _slice_columns(kind)), "slices")
-    buckets, known = buckets_for(parts), tree.known()
-    found = _written(_answered(parts, known.where("kind < 2"), buckets, _to_find(depth), _present).mapInArrow(
-        _found(depth, buckets), _slice_columns(kind)), "slices")
+    buckets, known = _buckets(parts), tree.known()
+    answered, replies = _answered(parts, known.where("kind < 2"), buckets, _to_find(depth), _present)
+    found = _written(answered.mapInArrow(_found(depth, buckets), _slice_columns(kind)), "slices")
+    discard(replies)
     discard(parts)
-    return _answered(found, known, buckets, _to_score(depth), _shares).mapInArrow(
+    return _answered(found, known, buckets, _to_score(depth), _shares)[0].mapInArrow(
         _scored(tree.total, tree.distinct, buckets, depth, id_type),
         f"doc_id {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from plain import archive, crc, near_copies, overlaps, roots, unigrams
@@ -431,6 +432,47 @@ def test_tree_is_a_distribution_and_learns(spark, monkeypatch):
     assert sum(r.score for r in scored) > 0.7 * sum(r.base_score for r in scored)
 
 
+def test_a_bucket_sorts_the_tree_once_for_all_slices():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**62), 2**62, 900)
+    known = pa.table({"kind": np.arange(900) % 3, "key": keys, "value": np.arange(900) + 1.0})
+
+    class Counted:
+        used = 0
+
+        def __getattr__(self, name):
+            Counted.used += 1
+            return getattr(known, name)
+
+    wanted = [np.sort(rng.choice(keys, 20, replace=False)) for _ in range(60)]
+    raw = pa.array([w.tobytes() for w in wanted], pa.binary())
+    asked = pa.table({"bucket": [0] * 60, "slice": [f"s{i:02}" for i in range(60)], "keys": raw,
+                      "counts": [suffix_tree._small(np.ones(20, int))] * 60, "contexts": raw})
+    value = {k: (i % 3, i + 1) for i, k in enumerate(keys.tolist())}
+    got = suffix_tree._shares(asked, Counted()).to_pylist()
+    for own, row in zip(wanted, got):
+        of_kind = lambda kind: [value[k][1] * (value[k][0] == kind) for k in own.tolist()]
+        assert suffix_tree._wide(row["values"]).tolist() == of_kind(0) and suffix_tree._wide(row["mine"]).tolist() == of_kind(2)
+        assert np.frombuffer(row["weights"]).tolist() == of_kind(1)
+    assert Counted.used < 10
+
+
+def test_buckets_follow_the_slices_where_partitions_are_few(spark, monkeypatch):
+    """A bucket's keys fit a task however few partitions the session has; scores do not depend on the buckets."""
+    rng = random.Random(8)
+    frame = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(300))) for i in range(60)], "doc_id long, text string")
+    dealt, real = [], suffix_tree._questions
+    monkeypatch.setattr(suffix_tree, "_questions", lambda buckets, want: dealt.append(buckets) or real(buckets, want))
+
+    def scores():
+        dealt.clear()
+        return sorted(map(tuple, suffix_tree.score(frame, *suffix_tree.train(frame)).collect()))
+
+    before, few = scores(), max(dealt)
+    monkeypatch.setattr(suffix_tree, "SLICES_BYTES", 500, raising=False)
+    assert scores() == before and min(dealt) > 1.5 * few
+
+
 def test_contexts_are_kept_by_count_whatever_the_corpus(spark):
     """Five occurrences among 60,000 tokens, which shares of the tokens left out; against counts made by hand."""
     rng = random.Random(6)
