@@ -24,7 +24,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ from holdfast.session import discard, estimated_bytes, materialize
 #: Times that a run must stand in the training texts to be stored; share that a word needs to be stored as next symbol.
 LEAST, SYMBOL_SHARE = 2, 0.0
 DEPTH, BACKOFF = 2, 4.0
-#: Text of a slice, besides a single longer one.
-SLICE = 8 << 20
+#: Text of a slice, besides a single longer one; a task's memory is that of one slice, about 25 times its text.
+SLICE = 4 << 20
 #: Written slices for which there is a bucket, whatever the number of exchange partitions: about twice as many bytes of keys.
 SLICES_BYTES = 4 << 20
 #: The hashes that stand for the end and the start of a text; words hash to them by chance only.
@@ -62,15 +62,21 @@ class Tree:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1.0) / (self.total + self.distinct + 1.0)
 
-    def known(self) -> DataFrame:
-        """``key``, ``kind``, ``value``: 0 for counts of words and of stored runs, 1 for back-off weights, 2 for sizes of contexts."""
+    def known(self, presence: bool = False) -> DataFrame:
+        """``key``, ``kind``, ``value``: 0 for counts of words and of stored runs, 1 for back-off weights, 2 for sizes of contexts.
+
+        ``presence`` leaves out what does not tell which contexts are kept, and which of them are stored as runs.
+        """
         row = lambda t, key, kind, value: t.select(
             F.col(key).alias("key"), F.lit(kind).alias("kind"), F.col(value).cast("double").alias("value"))
-        out = row(self.words, "word", 0, "n")
-        for contexts, following in self.tables:
-            out = out.unionByName(row(contexts, "context", 1, "escape")).unionByName(row(following, "key", 0, "n"))
-            out = out.unionByName(row(contexts, "context", 2, "size"))
-        return out
+        tables = [] if presence else [row(self.words, "word", 0, "n")]
+        for depth, (contexts, following) in enumerate(self.tables, 1):
+            tables.append(row(contexts, "context", 1, "escape"))
+            if not presence:
+                tables.append(row(contexts, "context", 2, "size"))
+            if not presence or depth < len(self.tables):
+                tables.append(row(following, "key", 0, "n"))
+        return reduce(DataFrame.unionByName, tables) if tables else row(self.words.limit(0), "word", 0, "n")
 
     # A small tree in memory, to look at: symbol i is keys[i], a context is a number with the nearest symbol lowest.
     @cached_property
@@ -452,25 +458,27 @@ def _to_count(depth: int):
     return want
 
 
-def _counted(depth: int, buckets: int):
+def _counted(depth: int, buckets: int, batches) -> Iterator[tuple[dict, _Slice]]:
     """Slices with the counts that came back."""
-
-    def run(batches):
-        for row, part in _slices_of(batches):
-            replies = row["replies"]
-            keys, _, contexts = _to_count(depth)(part)
-            totals = _by_key(replies, "values", keys, buckets, _counts, np.int64)
-            mine = _by_key(replies, "mine", keys, buckets, _flags, bool)
-            for d in _depths(depth):
-                at = np.searchsorted(keys, part.asked(d)[1])
-                row["totals"].append(_small(totals[at]))
-                row["mine"].append(_bits(mine[at]))
-            if depth > 1:
-                weights = _by_key(replies, "weights", contexts, buckets, _numbers, np.float64)
-                row["answers"].append(weights.tobytes())
-            yield _row(row)
-
-    return run
+    for row, part in _slices_of(batches):
+        replies = row.pop("replies")
+        keys, _, contexts = _to_count(depth)(part)
+        totals = _by_key(replies, "values", keys, buckets, _counts, np.int64)
+        mine = _by_key(replies, "mine", keys, buckets, _flags, bool)
+        for d in _depths(depth):
+            at = np.searchsorted(keys, part.asked(d)[1])
+            part.totals.append(totals[at])
+            part.mine.append(mine[at])
+            row["totals"].append(_small(totals[at]))
+            row["mine"].append(_bits(mine[at]))
+        if depth > 1:
+            weights = _by_key(replies, "weights", contexts, buckets, _numbers, np.float64)
+            row["answers"].append(weights.tobytes())
+        yield row, part
+
+
+def _counted_slices(depth: int, buckets: int):
+    return lambda batches: (_row(row) for row, _ in _counted(depth, buckets, batches))
 
 
 def _row(row: dict) -> pa.RecordBatch:
@@ -488,11 +496,11 @@ def _word_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part.words[mine]), pa.array(part.totals[0][mine])], names=["word", "n"])
 
 
-def _run_rows(depth: int, names: list[str], total: int, distinct: int, least_share: float):
+def _run_rows(depth: int, names: list[str], total: int, distinct: int, least_share: float, slices=_slices_of):
     """Runs that stand ``LEAST`` times, each from one slice: symbols, count, size of the context, and what the suffix gives."""
 
     def run(batches):
-        for _, part in _slices_of(batches):
+        for _, part in slices(batches):
             tokens, n = part.asked(depth)[2], part.totals[depth]
             words = part.totals[0][part.at[tokens]]
             take = part.mine[depth] & (n >= LEAST) & (words >= least_share * total)
@@ -512,13 +520,13 @@ def _run_rows(depth: int, names: list[str], total: int, distinct: int, least_sha
     return run
 
 
-def _grow(parts: DataFrame, tree: Tree, depth: int) -> None:
+def _grow(parts: DataFrame, tree: Tree, depth: int, slices=_slices_of) -> None:
     """Keep the contexts of ``depth`` symbols that diverge, with what follows them."""
     back = [f"b{k}" for k in range(depth, 0, -1)]
     names = [*back, "word"]
     long = lambda columns: ", ".join(f"{n} long" for n in columns)
     rows = _written(parts.mapInArrow(
-        _run_rows(depth, names, tree.total, tree.distinct, SYMBOL_SHARE), f"{long(names)}, n long, size long, below double"), "runs")
+        _run_rows(depth, names, tree.total, tree.distinct, SYMBOL_SHARE, slices), f"{long(names)}, n long, size long, below double"), "runs")
     # One exchange by context: whatever is known of a context is gathered where its rows are.
     own, whole = W.partitionBy(*back), F.col("size") + BACKOFF
     # Divergence from the suffix: gain of log-likelihood over the training tokens behind the context.  Summed as
@@ -556,7 +564,11 @@ def train(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
             F.col("context").alias("key"), F.lit(1).alias("kind"), F.col("escape").alias("value")
         ) if tree.tables else docs.sparkSession.createDataFrame([], "key long, kind int, value double")
         answered, replies = _answered(parts, known, buckets, _to_count(d), _totals)
-        counted = _written(answered.mapInArrow(_counted(d, buckets), _slice_columns(kind)), "slices")
+        if 1 < d == depth:  # nothing reads these slices but the rows of their runs
+            _grow(answered, tree, d, partial(_counted, d, buckets))
+            discard(replies)
+            break
+        counted = _written(answered.mapInArrow(_counted_slices(d, buckets), _slice_columns(kind)), "slices")
         discard(replies)
         discard(parts)
         parts = counted
@@ -679,7 +691,7 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
     id_type = to_arrow_type(kind)
     parts = _written(docs.mapInArrow(_sliced(id_type), _slice_columns(kind)), "slices")
     buckets, known = _buckets(parts), tree.known()
-    answered, replies = _answered(parts, known.where("kind < 2"), buckets, _to_find(depth), _present)
+    answered, replies = _answered(parts, tree.known(presence=True), buckets, _to_find(depth), _present)
     found = _written(answered.mapInArrow(_found(depth, buckets), _slice_columns(kind)), "slices")
     discard(replies)
     discard(parts)
